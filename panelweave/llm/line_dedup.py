@@ -87,7 +87,8 @@ class LineRuns:
         )
 
     def merged(self) -> DataFrame:
-        return self._merge([run for _, runs in sorted(self.levels.items()) for run in runs])
+        runs = [run for _, runs in sorted(self.levels.items()) for run in runs]
+        return self.spark.read.parquet(runs[0][1]) if len(runs) == 1 else self._merge(runs)
 
 
 def repeated_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
