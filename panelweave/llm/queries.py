@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import decontamination, language_id, line_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_language_id": language_id.op5_language_id,
         "op7_sharding": sharding.op7_sharding,
+        "op8_decontamination": decontamination.op8_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL}
+    return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
+        "op8_decontamination": decontamination.OP8_SQL,
+    }
