@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, line_dedup, sharding
+from . import decontamination, language_id, license_scan, line_dedup, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_packing": packing.op4_packing,
         "op5_language_id": language_id.op5_language_id,
         "op7_sharding": sharding.op7_sharding,
         "op8_decontamination": decontamination.op8_decontamination,
