@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, license_scan, line_dedup, packing, sharding
+from . import decontamination, language_id, license_scan, line_dedup, nearest, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_nearest": nearest.op1_nearest,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_packing": packing.op4_packing,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_nearest": nearest.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
     }
