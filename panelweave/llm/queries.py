@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, license_scan, line_dedup, nearest, packing, sharding
+from . import decontamination, hidden_markov, language_id, license_scan, line_dedup, nearest, packing, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_language_id": language_id.op5_language_id,
         "op7_sharding": sharding.op7_sharding,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_lm_scoring": hidden_markov.op9_lm_scoring,
     }
 
 
