@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hidden_markov, language_id, license_scan, line_dedup, nearest, packing, sharding
+from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_packing": packing.op4_packing,
         "op5_language_id": language_id.op5_language_id,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_sharding": sharding.op7_sharding,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_lm_scoring": hidden_markov.op9_lm_scoring,
