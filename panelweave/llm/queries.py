@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding
+from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_lm_scoring": hidden_markov.op9_lm_scoring,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
