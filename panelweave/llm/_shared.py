@@ -53,3 +53,13 @@ def ascii_lower(c: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and every column once more inside _row: nothing an operator adds can clash with it."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of _row, some of them replaced."""
+    return df.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in columns))

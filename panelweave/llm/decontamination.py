@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import documents
+from ._shared import documents, packed, unpacked
 from ._words import ALNUM, Vocabulary, Words, runs, slices
 
 WINDOW, SAMPLE, BLOCK_CHARS, SHARD_BYTES = 10, 8, 16 << 20, 8 << 20
@@ -240,7 +240,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` with contaminated passages cut out of text (a blank stays), n_chars kept right if there is one."""
-    found = find_contamination(docs, benchmark, **params)
+    found = find_contamination(packed(docs, "text"), benchmark, **params)
     dirty = F.size("_spans") > 0
     raw = F.col("text").cast("binary")
     cut = F.aggregate(
@@ -252,10 +252,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
         ),
         lambda a: F.concat(a["kept"], F.substring(raw, a["at"].cast("int") + 1, F.octet_length(raw))),
     )
-    out = found.withColumn("text", F.when(dirty, cut.cast("string")).otherwise(F.col("text")))
+    clean = found.withColumn("text", F.when(dirty, cut.cast("string")).otherwise(F.col("text")))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(dirty, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(dirty, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unpacked(clean, docs.columns, **new)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._shared import documents, materialise
 from ._words import BLANK, Words, mix, slices
 
-SHINGLE, PERCENT, STARS, RANGE_BYTES = 4, 85, 2, 12 << 20
+SHINGLE, PERCENT, STARS, RANGE_BYTES = 5, 80, 2, 12 << 20
 _SALT = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -271,5 +271,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     )
 
 
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays, of repeated rows one."""
+    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(F.col("_uid").alias("doc_id"), "text"), **params)
+    labelled = found.select(F.col("doc_id").alias("_uid"), "component_id").join(rows.select("_uid", "doc_id"), "_uid")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")
+    stay = labelled.groupBy("component_id").agg(F.min(first).alias("first")).select("first._uid")
+    return rows.join(stay, "_uid", "left_semi").drop("_uid")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85)

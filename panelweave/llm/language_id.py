@@ -8,7 +8,8 @@ The dictionaries are fitted on at most SAMPLE_DOCS labelled documents a language
 doc_id) and SAMPLE_CHARS characters of each: a documented bound, so the model is small however large the corpus is.
 
 Nulls: a null or letterless text is `und` with score 0 and rejected; rows with a null lang don't train; a null doc_id
-is not held out and not trained on. Without any training row every text is `und`. Ties go to the language with more
+is not held out and not trained on. Without any training row every text is `und`, and only
+letterless ones are rejected. Ties go to the language with more
 training documents, then to the smaller name. Repeated rows are judged each; other columns pass through untouched.
 """
 
@@ -57,6 +58,10 @@ def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, sample_chars=SAMPLE_CHARS) ->
     return {lang: (counts[lang], b"\n".join(p)) for lang, p in parts.items()}
 
 
+def letters(text: bytes) -> bool:
+    return any(map(str.isalpha, text.decode()))
+
+
 class Classifier:
     def __init__(self, model: dict[str, tuple[int, bytes]], level: int = LEVEL, block: int = BLOCK_BYTES):
         self.block = block
@@ -70,7 +75,7 @@ class Classifier:
 
     def judge(self, text: bytes) -> tuple[str, float]:
         """(language, margin from 0 to 1)."""
-        if not self.langs or not any(map(str.isalpha, text.decode())):
+        if not self.langs or not letters(text):
             return "und", 0.0
         text = fold(text.decode())
         blocks = [text[i : i + self.block] for i in range(0, len(text), self.block)]
@@ -88,8 +93,10 @@ def identify(docs: DataFrame, model: dict[str, tuple[int, bytes]], narrow: float
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(shared.value).judge
         for batch in batches:
-            found = [judge(t) for t in texts_of(batch)]
-            cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == "und" or x[1] < narrow for x in found], pa.bool_())]
+            texts = texts_of(batch)
+            found = [judge(t) for t in texts]
+            rejected = [not letters(t) or bool(shared.value) and x[1] < narrow for t, x in zip(texts, found, strict=True)]
+            cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_lang_pred", "_score", "_rejected"])
 
     schema = T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BLANKS, ascii_lower, discard, documents, materialise, new_path
+from ._shared import BLANKS, ascii_lower, discard, documents, materialise, new_path, packed, unpacked
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
 
@@ -132,6 +132,16 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     )
 
 
+def without_repeated_lines(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with repeated lines dropped from text (a null text stays null), n_chars kept right if there is one."""
+    out = dedup_lines(packed(docs, "doc_id", "text"), **params)
+    fewer = F.col("n_dropped") > 0
+    new = {"text": F.when(fewer, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(fewer, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return unpacked(out, docs.columns, **new)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
