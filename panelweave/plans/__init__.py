@@ -1 +1,4 @@
-"""panelweave plans."""
+"""Query plans over the operators; QUERIES and SQL hold all registered ones."""
+
+from . import layout_queries, stream_queries  # noqa: F401  they register themselves
+from .queries import QUERIES, SQL  # noqa: F401
