@@ -28,15 +28,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files,
-    so lost executors cost nothing upstream and no branch computes it twice."""
+    so lost executors cost nothing upstream and no branch computes it twice. ``batch_rows``: rows in an Arrow batch
+    while it is written, where rows are large."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, batch_rows)
+    try:
+        writer.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,11 +8,13 @@ identified by a 64-bit hash of the set. Two items link when 100 * shared >= perc
 2. An item needs ``percent`` of its shingles shared to link at all; the others are done. Every global order puts rare
    shingles first (0: by exact count; 1 and 2: by count class, then by two different hashes), so linked items share a
    token within their first n - ceil(percent n) + 1 tokens of each order.
-3. Items that share a prefix token of order 0 meet in its bucket. A bucket doesn't emit its pairs: its most typical
-   item is paired with the others (a star), pairs are filtered by size and by a common prefix token in the other
-   orders, then verified on the whole sets. Links are contracted to components, and what stays open in a bucket meets
-   the typical item among it, for STARS rounds. The rest, pairs of items in different components of a bucket, is
-   paired in full in blocks, so no link between components is lost.
+3. Items that share a prefix token of order 0 meet in its bucket. A bucket doesn't emit its pairs: its members go to
+   the star of its most typical item, each with the few shingles by which it differs from that centre. All pairs of a
+   star are then judged in place: a candidate shares prefix tokens in the other orders too and has a fitting size, and
+   its exact overlap follows from the differences alone (|x and y| = (|x| + |y| - |Dx xor Dy|) / 2). Only links that
+   join two components are emitted, so fewer than members. A star of more than BLOCK members is dealt as pairs of
+   blocks; none is capped.
+4. Links are contracted to components by label propagation in written tables.
 
 Nulls: a null or wordless text has no shingles and links with nothing (its component is its own doc_id). A null doc_id
 never names a component unless all of it is null. Repeated rows are copies. Empty tables give no rows.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from ._shared import documents, materialise
 from ._words import BLANK, Words, mix, slices
 
-SHINGLE, PERCENT, STARS, RANGE_BYTES = 5, 80, 2, 12 << 20
+SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH = 5, 80, 8192, 12 << 20, 1000
 _SALT = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -131,12 +133,15 @@ def _gather(scattered: DataFrame, ranges: int) -> DataFrame:
             once = np.concatenate(([True], (tok[1:] != tok[:-1]) | (item[1:] != item[:-1]))) if len(tok) else np.zeros(0, bool)
             tok, item, n = tok[once], item[once], n[once]
             _, back, df = np.unique(tok, return_inverse=True, return_counts=True)
-            df = df[back].astype(np.uint32)
+            df = np.minimum(df[back], 65535).astype(np.uint16)
             order = np.argsort(item, kind="stable")
             tok, item, n, df = tok[order], item[order], n[order], df[order]
             part = _ranges(item, ranges)
             there, begin = np.unique(part, return_index=True)
-            blobs = [_pack(np.array([b - a], np.int64), item[a:b], tok[a:b], n[a:b], df[a:b]) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True)]
+            blobs = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
+                own, at, count = np.unique(item[a:b], return_index=True, return_counts=True)
+                blobs.append(_pack(np.array([len(own), b - a], np.int64), own, n[a:b][at], count.astype(np.uint32), tok[a:b], df[a:b]))
             m = len(there)
             out.append(pa.table({"doc_id": pa.nulls(m, docs.schema.field("doc_id").type), "item": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "part": pa.array(there, pa.int32()), "blob": pa.array(blobs, pa.binary())}))
         return pa.concat_tables(out)
@@ -155,8 +160,11 @@ def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
     def work(key, table):
         parts = []
         for blob in table.column("blob").to_pylist():
-            m = int(np.frombuffer(blob, np.int64, 1)[0])
-            parts.append((np.frombuffer(blob, np.uint64, m, 8), np.frombuffer(blob, np.uint64, m, 8 + 8 * m), np.frombuffer(blob, np.uint32, m, 8 + 16 * m), np.frombuffer(blob, np.uint32, m, 8 + 20 * m)))
+            f, m = np.frombuffer(blob, np.int64, 2).tolist()
+            own, rest = np.frombuffer(blob, np.uint64, f, 16), 16 + 8 * f
+            n, count = np.frombuffer(blob, np.uint32, f, rest), np.frombuffer(blob, np.uint32, f, rest + 4 * f)
+            rest += 8 * f
+            parts.append((np.repeat(own, count), np.frombuffer(blob, np.uint64, m, rest), np.repeat(n, count), np.frombuffer(blob, np.uint16, m, rest + 8 * m)))
         item, tok, n, df = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(item, kind="stable")
         item, tok, n, df = item[order], tok[order], n[order].astype(np.int64), df[order].astype(np.uint64)
@@ -184,24 +192,91 @@ def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy("part").applyInArrow(work, "item long, n long, typical int, tokens binary, prefix array<long>, others array<binary>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda s: sets.select(F.col("item").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}"), F.col("others").alias(f"o_{s}"))
+def _stars(sets: DataFrame) -> DataFrame:
+    """a, item, n, m, d, others: members of the star of a (a is one), with their numbers of all and of shared shingles,
+    the shingles by which they differ from a, and their prefixes in the other orders."""
+    buckets = sets.select("item", "typical", F.explode("prefix").alias("token"))
+    top = buckets.groupBy("token").agg(F.max(F.struct("typical", "item")).alias("top"), F.min("item").alias("lo"), F.max("item").alias("hi"))
+    top = top.where(F.col("lo") != F.col("hi")).select("token", F.col("top.item").alias("a"))
+    met = buckets.join(top, "token").select("a", F.col("item").alias("b")).distinct()
+    b = sets.select(F.col("item").alias("b"), "n", F.col("tokens").alias("t_b"), "others")
+    full = met.join(b, "b").join(sets.select(F.col("item").alias("a"), F.col("tokens").alias("t_a")), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        array = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
-            keep = []
-            for na, nb, ta, tb, oa, ob in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "t_a", "t_b", "o_a", "o_b")), strict=True):
-                ok = all(common(x, y) for x, y in zip(oa, ob, strict=True))
-                if ok:
-                    both = common(ta, tb)
-                    ok = 100 * both >= percent * (na + nb - both)
-                keep.append(ok)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            d, m = [], []
+            for x, y in zip(batch.column("t_a"), batch.column("t_b"), strict=True):
+                x, y = array(x), array(y)
+                d.append(np.setxor1d(x, y, assume_unique=True).tobytes())
+                m.append(len(y))
+            cols = [batch.column("a"), batch.column("b"), batch.column("n"), pa.array(m, pa.int64()), pa.array(d, pa.binary()), batch.column("others")]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "item", "n", "m", "d", "others"])
+
+    out = full.select("a", "b", "n", "t_a", "t_b", "others").mapInArrow(work, "a long, item long, n long, m long, d binary, others array<binary>")
+    return materialise(out, "stars", batch_rows=BATCH)
+
+
+class _Postings:
+    """Which rows hold a token."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        token = np.concatenate(rows)
+        order = np.argsort(token, kind="stable")
+        self.row, self.n = row[order], len(rows)
+        self.tokens, self.begin = np.unique(token[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(token))
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of ``tokens`` (all of them held) each row holds."""
+        at = np.searchsorted(self.tokens, tokens)
+        if not len(at):
+            return np.zeros(self.n, np.int64)
+        return np.bincount(np.concatenate([self.row[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]), minlength=self.n)
+
+
+def star_links(n: np.ndarray, m: np.ndarray, d: list[np.ndarray], orders: list[list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between rows of a star, as many as join components."""
+    g, out = len(n), []
+    if g > 2:  # differ from what most members hold rather than from the centre
+        tokens, counts = np.unique(np.concatenate(d), return_counts=True)
+        most = tokens[counts * 2 > g]
+        if len(most):
+            d = [np.setxor1d(x, most, assume_unique=True) for x in d]
+    size = np.array([len(x) for x in d])
+    differ, prefixes = _Postings(d), [_Postings(o) for o in orders]
+    component = np.arange(g)
+    for x in range(1, g):
+        y = np.flatnonzero((component[:x] != component[x]) & (np.minimum(n[:x], n[x]) * 100 >= np.maximum(n[:x], n[x]) * percent))
+        for p, o in zip(prefixes, orders, strict=True):
+            if len(y):
+                y = y[p.counts(o[x])[y] > 0]
+        if len(y):
+            apart = size[y] + size[x] - 2 * differ.counts(d[x])[y]
+            shared = (m[y] + m[x] - apart) // 2
+            for k in y[100 * shared >= percent * (n[y] + n[x] - shared)].tolist():
+                if component[k] != component[x]:
+                    out.append((k, x))
+                    component[component == component[k]] = component[x]
+    return out
+
+
+def _links(stars: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: links that join components within each star."""
+    size = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    dealt = stars.join(size, "a").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+    def work(key, table):
+        item = table.column("item").to_numpy()
+        arrays = lambda c: [np.frombuffer(x.as_buffer(), np.uint64) for x in c]
+        orders = list(zip(*(arrays(o.values) for o in table.column("others")), strict=True))
+        found = star_links(table.column("n").to_numpy(), table.column("m").to_numpy(), arrays(table.column("d")), [list(o) for o in orders], percent)
+        return pa.table({"a": pa.array([int(item[x]) for x, _ in found], pa.int64()), "b": pa.array([int(item[y]) for _, y in found], pa.int64())})
 
-    full = pairs.join(side("b"), "b").join(side("a"), "a")
-    return full.select("a", "b", "n_a", "n_b", "t_a", "t_b", "o_a", "o_b").mapInArrow(work, "a long, b long")
+    return dealt.groupBy("a", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -220,45 +295,16 @@ def connected(links: DataFrame) -> DataFrame:
         labels = new.select("item", "component")
 
 
-def _sized(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def component_labels(sets: DataFrame, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
+def component_labels(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """item, component for the items that link."""
-    spark = sets.sparkSession
-    members = materialise(sets.select("item", "n", "typical", F.explode("prefix").alias("token")), "buckets")
-    links, labels = None, spark.createDataFrame([], "item long, component long")
-    current = members.withColumn("component", F.col("item"))
-    for star in range(stars + 1):
-        spread = current.groupBy("token").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("typical", "item", "component", "n")).alias("top")
-        ).where(F.col("lo") != F.col("hi"))
-        if star < stars:
-            met = current.join(spread.select("token", "top"), "token").where(F.col("component") != F.col("top.component"))
-            pairs = met.where(_sized("n", "top.n", percent)).select(F.col("top.item").alias("a"), F.col("item").alias("b"))
-        else:
-            rest = current.join(spread.select("token"), "token", "left_semi").select("token", "item", "n", "component")
-            other = rest.select("token", F.col("item").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
-            met = rest.join(other, "token").where((F.col("component") < F.col("c2")) & _sized("n", "m", percent))
-            pairs = met.select(F.col("item").alias("a"), "b")
-        found = materialise(_verify(pairs.distinct(), sets, percent), "verified")
-        if found.isEmpty():
-            if star < stars:
-                continue
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links)
-        if star < stars:
-            current = materialise(members.join(labels, "item", "left").withColumn("component", F.coalesce("component", "item")), "buckets")
-    return labels
+    return connected(materialise(_links(_stars(sets), percent, block), "links"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, one row a document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-int(total) // range_bytes))
-    gathered = materialise(_gather(_scatter(docs, ranges, k), ranges), "shared-shingles")
+    gathered = materialise(_gather(_scatter(docs, ranges, k), ranges), "shared-shingles", batch_rows=BATCH)
     sets = materialise(_candidates(gathered, percent), "shingle-sets")
     labels = component_labels(sets, percent)
     own = gathered.where(F.col("blob").isNull()).select("doc_id", "item", "n")
