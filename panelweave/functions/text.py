@@ -113,23 +113,32 @@ def sentences(text: Column, least: int = 4) -> Column:
     return F.aggregate(pieces, start, add, close)
 
 
+def _push(out: Column, piece: Column) -> Column:
+    return F.when(trimmed(piece) != "", F.concat(out, F.array(trimmed(piece)))).otherwise(out)
+
+
 def tts_chunks(text: Column, most: int = 400) -> Column:
-    """Array of chunks of at most ``most`` characters: sentences packed greedily, long ones by words."""
+    """Array of chunks of at most ``most`` characters: sentences packed greedily, longer ones by words (one word that
+    is longer stays whole)."""
     t = trimmed(text)
     found = F.regexp_extract_all(t, F.lit(r"([^.!?…\n]+[.!?…]*\s*)"), F.lit(1))
-    pieces = F.flatten(F.transform(found, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.filter(F.split(trimmed(p), r"\s+"), lambda w: w != ""), lambda w: F.concat(w, F.lit(" "))))))
-    start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def add(acc, p):
-        fits = F.length(F.concat(acc["held"], p)) <= most
-        push = (acc["held"] != "") & ~fits
-        return F.struct(
-            F.when(fits, F.concat(acc["held"], p)).otherwise(p).alias("held"),
-            F.when(push, F.concat(acc["out"], F.array(trimmed(acc["held"])))).otherwise(acc["out"]).alias("out"),
-        )
-
-    packed = F.aggregate(pieces, start, add, lambda a: F.filter(F.concat(a["out"], F.array(trimmed(a["held"]))), lambda x: x != ""))
-    return F.when(F.length(t) <= most, F.filter(F.array(t), lambda x: x != "")).otherwise(packed)
+    pieces = F.when(F.size(found) > 0, found).otherwise(F.array(t))
+    state = lambda held, out: F.struct(held.alias("held"), out.alias("out"))
+    empty = F.expr("cast(array() as array<string>)")
+
+    def by_word(acc, x):
+        longer = F.when(acc["held"] == "", x).otherwise(F.concat(acc["held"], F.lit(" "), x))
+        full = F.length(trimmed(longer)) > most
+        return state(F.when(full, x).otherwise(longer), F.when(full, _push(acc["out"], acc["held"])).otherwise(acc["out"]))
+
+    def add(acc, piece):
+        full = F.length(F.concat(acc["held"], piece)) > most
+        out = F.when(full, _push(acc["out"], acc["held"])).otherwise(acc["out"])
+        held = F.when(full, F.lit("")).otherwise(acc["held"])
+        return F.when(F.length(piece) > most, F.aggregate(F.split(piece, r"\s+"), state(F.lit(""), out), by_word)).otherwise(state(F.concat(held, piece), out))
+
+    packed = F.aggregate(pieces, state(F.lit(""), empty), add, lambda a: _push(a["out"], a["held"]))
+    return F.when(t == "", empty).when(F.length(t) <= most, F.array(t)).otherwise(packed)
 
 
 def is_page_image(url: Column) -> Column:
