@@ -57,6 +57,7 @@ class LineRuns:
     def _store(self, run: DataFrame, level: int) -> None:
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
         run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.schema = run.schema
         self.levels.setdefault(level, []).append((name, path))
 
     def tables(self) -> list[DataFrame]:
@@ -81,14 +82,14 @@ class LineRuns:
 
     def _merge(self, runs: list[tuple[str, str]]) -> DataFrame:
         # By path, not by table: a union of bucketed scans may be taken as partitioned when it isn't.
-        both = self.spark.read.parquet(*[path for _, path in runs])
+        both = self.spark.read.schema(self.schema).parquet(*[path for _, path in runs])
         return both.groupBy("h1", "h2").agg(
             F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("first").alias("first")
         )
 
     def merged(self) -> DataFrame:
         runs = [run for _, runs in sorted(self.levels.items()) for run in runs]
-        return self.spark.read.parquet(runs[0][1]) if len(runs) == 1 else self._merge(runs)
+        return self.spark.read.schema(self.schema).parquet(runs[0][1]) if len(runs) == 1 else self._merge(runs)
 
 
 def repeated_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
