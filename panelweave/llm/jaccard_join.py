@@ -92,7 +92,7 @@ def _scatter(docs: DataFrame, ranges: int, k: int) -> DataFrame:
             tokens, doc, r = tokens[order], doc[order], r[order]
             there, begin = np.unique(r, return_index=True)
             blobs = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(r)], strict=True):
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(r)], strict=False):
                 d, count = np.unique(doc[a:b], return_counts=True)
                 blobs.append(_pack(np.array([len(d), b - a], np.int64), items[d], size[d].astype(np.uint32), count.astype(np.uint32), tokens[a:b]))
             m = len(there)
@@ -139,7 +139,7 @@ def _gather(scattered: DataFrame, ranges: int) -> DataFrame:
             part = _ranges(item, ranges)
             there, begin = np.unique(part, return_index=True)
             blobs = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=False):
                 own, at, count = np.unique(item[a:b], return_index=True, return_counts=True)
                 blobs.append(_pack(np.array([len(own), b - a], np.int64), own, n[a:b][at], count.astype(np.uint32), tok[a:b], df[a:b]))
             m = len(there)
