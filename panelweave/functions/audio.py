@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,18 +43,17 @@ def interleave(channels: Column) -> Column:
     return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(channels, lambda c: F.get(c, i))))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def _wav(pcm: pd.Series, channels: pd.Series, rate: pd.Series) -> pd.Series:
-    def one(p, c, r):
-        data = struct.pack(f"<{len(p)}h", *p)
-        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, c, r, r * c * 2, c * 2, 16, b"data", len(data))
-        return head + data
-
-    return pd.Series([one(*x) for x in zip(pcm, channels, rate, strict=True)])
+def _little(v: Column, n_bytes: int) -> Column:
+    """Hex digits of an integer, lowest byte first."""
+    return F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(v, 8 * k).bitwiseAND(255)), 2, "0") for k in range(n_bytes)))
 
 
-def wav_bytes(pcm: Column, channels: Column, rate: Column) -> Column:
-    """A RIFF file of interleaved 16-bit samples. The samples must be a plain column (not built in the same select)."""
-    return F.pandas_udf(_wav, "binary")(pcm, channels, rate)
+def wav_bytes(pcm: Column, channels: int, rate: int) -> Column:
+    """A RIFF file of interleaved 16-bit samples."""
+    size, text = F.size(pcm) * 2, lambda s: F.lit(s.encode().hex())
+    number = lambda v, n: _little(v if isinstance(v, Column) else F.lit(v), n)
+    head = [text("RIFF"), number(size + 36, 4), text("WAVEfmt "), number(16, 4), number(1, 2), number(channels, 2), number(rate, 4), number(rate * channels * 2, 4), number(channels * 2, 2), number(16, 2), text("data"), number(size, 4)]
+    return F.unhex(F.concat(*head, F.array_join(F.transform(pcm, lambda v: _little(v, 2)), "")))
 
 
 def volume(v: Column) -> Column:

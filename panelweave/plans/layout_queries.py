@@ -350,4 +350,4 @@ def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("embedding")
     pcm = audio.interleave(F.array(audio.pcm16(s), audio.pcm16(F.reverse(s))))
     ready = table(spark, sf_dir, "embeddings").select("vec_id", pcm.alias("pcm"))
-    return ready.select("vec_id", audio.wav_bytes(F.col("pcm"), F.lit(2), F.lit(22050)).alias("wav")).select("vec_id", F.length("wav").alias("n_bytes"), F.crc32("wav").alias("crc"))
+    return ready.select("vec_id", audio.wav_bytes(F.col("pcm"), 2, 22050).alias("wav")).select("vec_id", F.length("wav").alias("n_bytes"), F.crc32("wav").alias("crc"))

@@ -65,3 +65,27 @@ def test_respell(spark):
     names = spark.createDataFrame([("minami", "minnami"), ("kun", "koon")], "word string, respelling string")
     assert lr.respell(rows, ["k"], names).first().fixed == "minnami KOON constructor"
     assert lr.respell(rows, ["k"], None).first().fixed == "minami KUN constructor"
+
+
+def test_wav(spark):
+    import io
+    import wave
+
+    import numpy as np
+
+    from panelweave.functions import audio
+
+    x = [0.0, 0.5, -0.5, 1.5, -2.0]
+    row = spark.createDataFrame([(x,)], "s array<double>").select(audio.interleave(F.array(audio.pcm16(F.col("s")), audio.pcm16(F.reverse("s")))).alias("p")).select(audio.wav_bytes(F.col("p"), 2, 22050).alias("w")).first()
+    with wave.open(io.BytesIO(bytes(row.w))) as f:
+        assert (f.getnchannels(), f.getframerate(), f.getnframes(), f.getsampwidth()) == (2, 22050, 5, 2)
+        left = np.frombuffer(f.readframes(5), "<i2").reshape(-1, 2)[:, 0]
+    assert left.tolist() == [0, 16383, -16384, 32767, -32768]
+
+
+def test_registered_names(spark):
+    from panelweave.functions.registry import register
+
+    assert "core_word" in register(spark)
+    row = spark.sql("SELECT core_word(\"Don't\") a, repair_slashes('a/b\\\\c') b, js_round(-2.5D) c, box_gap(0D, 1D, 3D, 4D) d, box_overlap_ratio(0D, 2D, 1D, 4D) e, space_after_comma('a,b') f").first()
+    assert tuple(row) == ("don", "aibic", -2, 2.0, 0.5, "a, b")
