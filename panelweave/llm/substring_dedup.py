@@ -34,7 +34,7 @@ from ._grouping import common_prefixes, grouping_suffix_array
 from ._shared import documents, materialise
 from ._words import mix, slices
 
-LENGTH, KMER, HOT, UNIT, RANGE_BYTES, BATCH_SYMBOLS = 200, 64, 20000, 8 << 20, 16 << 20, 60000
+LENGTH, KMER, HOT, UNIT, RANGE_BYTES, BATCH_SYMBOLS, MOST_TASKS = 200, 64, 8000, 8 << 20, 16 << 20, 60000, 10000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -111,13 +111,19 @@ def _ranges(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _bounds(grouped: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """The values of a sorted array and where each begins and ends."""
+    values, begin = np.unique(grouped, return_index=True)
+    edges = [*begin.tolist(), len(grouped)]
+    return values.tolist(), list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def _by_range(of: np.ndarray, n: int, *arrays: np.ndarray) -> tuple[list[int], list[bytes]]:
     r = _ranges(of, n)
     order = np.argsort(r.astype(np.uint16) if n < 65536 else r, kind="stable")
-    there, begin = np.unique(r[order], return_index=True)
-    ends = [*begin[1:].tolist(), len(r)]
+    there, bounds = _bounds(r[order])
     arrays = [a[order] for a in arrays]
-    return there.tolist(), [_pack(*(a[i:j] for a in arrays)) for i, j in zip(begin.tolist(), ends, strict=True)]
+    return there, [_pack(*(a[i:j] for a in arrays)) for i, j in bounds]
 
 
 #: Packed columns: of segments, of intervals, of requests for bytes, of windows of hot keys.
@@ -189,8 +195,7 @@ def _per_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[i
     """Merged packed intervals of each document."""
     o = np.argsort(doc, kind="stable")
     doc, start, end = doc[o], start[o], end[o]
-    ids, begin = np.unique(doc, return_index=True)
-    return {d: _pack(*(x.astype("u4") for x in merged(start[a:b], end[a:b]))) for d, a, b in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(doc)], strict=True)}
+    return {d: _pack(*(x.astype("u4") for x in merged(start[a:b], end[a:b]))) for d, (a, b) in zip(*_bounds(doc), strict=True)}
 
 
 def _documents(compared: DataFrame) -> DataFrame:
@@ -202,8 +207,7 @@ def _documents(compared: DataFrame) -> DataFrame:
         req = _joined(have[1], *_REQUEST)
         o = np.argsort(req[0], kind="stable")
         req = [a[o] for a in req]
-        ids, begin = np.unique(req[0], return_index=True)
-        wanted = {d: _pack(*(a[i:j] for a in req)) for d, i, j in zip(ids.tolist(), begin.tolist(), [*begin[1:].tolist(), len(o)], strict=True)}
+        wanted = {d: _pack(*(a[i:j] for a in req)) for d, (i, j) in zip(*_bounds(req[0]), strict=True)}
         u = sorted({*iv, *wanted})
         return pa.table({"u": pa.array(np.array(u, np.uint64).view(np.int64)), "intervals": pa.array([iv.get(d) for d in u], pa.binary()), "requests": pa.array([wanted.get(d) for d in u], pa.binary())})
 
@@ -260,10 +264,17 @@ def _shared_prefix(a: bytes, b: bytes) -> int:
 
 
 def _cuts(sides: list[bytes]) -> list[int]:
-    """Where to cut aligned strings: every place two of them begin to differ is the first difference of neighbours in
-    sorted order, or an end."""
+    """Where to cut aligned strings: any place where two of them begin to differ (or one ends inside the other) is that
+    of two neighbours in sorted order. What follows a string's last cut is its own alone."""
     order = sorted(sides)
-    return sorted({0, *map(len, order), *(_shared_prefix(a, b) for a, b in zip(order, order[1:], strict=False))})
+    return sorted({0, *(_shared_prefix(a, b) for a, b in zip(order, order[1:], strict=False))})
+
+
+def _blocks(side: bytes, cuts: list[int]) -> list[tuple[int, int]]:
+    own = [c for c in cuts if c < len(side)]
+    if not own:
+        return []
+    return list(zip(own, [*own[1:], len(side)], strict=True))
 
 
 class Strings:
@@ -283,17 +294,16 @@ class Strings:
             return blocks.setdefault((k, content), self.names + len(blocks))
 
         for (c, x, count), l, r, tag in zip(group, left, right, tags, strict=True):
-            first, at = len(self.text), 0
-            lb = [(a, b) for a, b in zip(lcuts, lcuts[1:], strict=False) if b <= len(l)]
+            first = len(self.text)
+            lb = _blocks(l, lcuts)
             for a, b in reversed(lb):
                 self.text.append(name(-1 - a, l[a:b]))
                 self.weight.append(b - a)
             self.text.append(name(1 << 30, b""))
             self.weight.append(KMER)
-            for a, b in zip(rcuts, rcuts[1:], strict=False):
-                if b <= len(r):
-                    self.text.append(name(a, r[a:b]))
-                    self.weight.append(b - a)
+            for a, b in _blocks(r, rcuts):
+                self.text.append(name(a, r[a:b]))
+                self.weight.append(b - a)
             self.rows.append((first, len(self.text), len(lb), count, tag))
             self.text.append(-1)  # a separator of its own, named below
             self.weight.append(0)
@@ -328,7 +338,7 @@ class Strings:
         self.__init__(self.length)
 
 
-def _search(fetched: DataFrame, length: int) -> DataFrame:
+def _search(fetched: DataFrame, ranges: int, length: int) -> DataFrame:
     """u, intervals."""
 
     def work(key, table):
@@ -364,7 +374,8 @@ def _search(fetched: DataFrame, length: int) -> DataFrame:
         per = _per_document(doc, start, end)
         return pa.table({"u": pa.array(np.array(list(per), np.uint64).view(np.int64)), "intervals": pa.array(list(per.values()), pa.binary())})
 
-    return fetched.groupBy("range").applyInArrow(work, "u long, intervals binary")
+    # Few bytes, much work: by number, so that adaptive execution doesn't put many ranges into one task.
+    return fetched.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(work, "u long, intervals binary")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -374,7 +385,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_
     compared = materialise(_documents(_compare(_scatter(docs, ranges, length), ranges, length, hot)), "repeats")
     wanted = compared.where(F.col("requests").isNotNull()).select("u", "requests")
     asked = docs.join(wanted, "u").select("u", "text", "requests")
-    more = _search(_fetch(asked, ranges, length), length)
+    more = _search(_fetch(asked, ranges, length), ranges, length)
     known = compared.where(F.col("intervals").isNotNull()).select("u", "intervals")
     return known.unionByName(more).groupBy("u").agg(F.collect_list("intervals").alias("parts"))
 
