@@ -3,8 +3,9 @@
 All templates (short notices, headers and licence texts, written down below) form one automaton. Each document is
 streamed through it word by word, which gives matching statistics: the longest template substring ending at each
 word. Right-maximal matches of MIN_MATCH words or more become anchors in every template they occur in; anchors in
-order in text and template, at most MAX_GAP words apart, are chained, and chains that cover enough of a template are
-its spans. Base phrases are templates too; a place is found when the state's suffix chain holds the whole phrase.
+order in text and template, at most MAX_GAP words apart, are chained. A chain that covers half of a template is a span;
+notices of up to SHORT words must stand word for word, as theirs differ in single words. Where spans of different
+licences overlap, the fullest stays. Base phrases are templates too; a place is found when the state's suffix chain holds the whole phrase.
 
 Words outside the templates reset the automaton, so only runs of template words are walked.
 
@@ -39,8 +40,8 @@ TEMPLATES = [
     ("gpl-2", "licensed under the gnu general public license version 2"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
@@ -52,7 +53,7 @@ TEMPLATES = [
     ("cc-by", "licensed under cc by 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
-MIN_MATCH, MAX_GAP, SHORT, COVER_SHORT, COVER_LONG = 3, 8, 20, 0.8, 0.5
+MIN_MATCH, MAX_GAP, SHORT, COVER_LONG = 3, 8, 12, 0.5
 
 
 class Automaton:
@@ -125,13 +126,16 @@ class Scanner:
         self.seqs = [ids[words.first[i] : words.first[i + 1]].tolist() for i in range(len(texts))]
         self.labels = [label for label, _ in texts]
         self.auto = Automaton(self.seqs)
-        self.base_at: list[list[int]] = [[] for _ in self.auto.len]
-        holders = {self.auto.whole[b]: b for b in range(self.n_base)}
+        self.short = [i < self.n_base or len(q) <= SHORT for i, q in enumerate(self.seqs)]
+        self.whole_at: list[list[int]] = [[] for _ in self.auto.len]  # short templates that end a state's strings
+        holders: dict[int, list[int]] = {}
+        for i, whole in enumerate(self.auto.whole):
+            if self.short[i]:
+                holders.setdefault(whole, []).append(i)
         for s in range(1, len(self.auto.len)):
             a = s
             while a > 0:
-                if a in holders:
-                    self.base_at[s].append(holders[a])
+                self.whole_at[s] += holders.get(a, [])
                 a = self.auto.link[a]
         self.shortest = min(MIN_MATCH, *(len(s) for s in self.seqs))
 
@@ -140,7 +144,7 @@ class Scanner:
         own = ids[first:end]
         starts, ends = runs(own >= 0, np.empty(0, np.int64))
         long = ends - starts >= self.shortest
-        places, anchors = [], []
+        anchors, notices = [], []
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             prev_n = prev_s = 0
             i = a
@@ -148,20 +152,24 @@ class Scanner:
                 if prev_n >= MIN_MATCH and n != prev_n + 1:
                     anchors.append((i, prev_n, prev_s))
                 i += 1
-                for p in self.base_at[s]:
+                for p in self.whole_at[s]:
                     if n >= len(self.seqs[p]):
-                        places.append((i - len(self.seqs[p]), p))
+                        notices.append((p, i - len(self.seqs[p]), i))
                 prev_n, prev_s = n, s
             if prev_n >= MIN_MATCH:
                 anchors.append((i, prev_n, prev_s))
-        return places, self._chain(anchors)
+        places = [(b, p) for p, b, _ in notices if p < self.n_base]
+        return places, self._chain(anchors, notices)
 
-    def _chain(self, anchors: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """anchors: (end word, length, state), by end word. Chains are open only while a gap of MAX_GAP isn't passed."""
+    def _chain(self, anchors: list[tuple[int, int, int]], notices: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
+        """anchors: (end word, length, state), by end word. Chains are open only while a gap of MAX_GAP isn't passed.
+        notices: (template, first word, end word) of short templates, which stand whole."""
         open_by: dict[int, list[list[int]]] = {}
         done: list[tuple[int, list[int]]] = []
         for e, n, s in anchors:
             for t, te in self.auto.at[s]:
+                if self.short[t]:
+                    continue
                 chains, best = open_by.setdefault(t, []), None
                 still = []
                 for c in chains:  # [doc end, template end, doc start, covered]
@@ -178,12 +186,15 @@ class Scanner:
                     best[3] += min(n, te - best[1], max(0, e - best[0]))
                     best[0], best[1] = e, te
         done += [(t, c) for t, chains in open_by.items() for c in chains]
-        out = set()
+        found = {(b - e, -1.0, b, e, self.labels[p]) for p, b, e in notices}
         for t, (e, _, b, covered) in done:
-            size = len(self.seqs[t])
-            share = min(1.0, covered / size)
-            if share >= (COVER_SHORT if size <= SHORT else COVER_LONG):
-                out.add((self.labels[t], b, e, share))
+            share = min(1.0, covered / len(self.seqs[t]))
+            if share >= COVER_LONG:
+                found.add((-covered, -share, b, e, self.labels[t]))
+        out: list[tuple[str, int, int, float]] = []
+        for _, share, b, e, label in sorted(found):  # the fullest span holds its place against other licences
+            if all(e <= x[1] or b >= x[2] or label == x[0] for x in out):
+                out.append((label, b, e, -share))
         return sorted(out)
 
 

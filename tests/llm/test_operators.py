@@ -127,6 +127,22 @@ def test_license_text_with_changes_is_one_span():
     assert [(x[0], x[1] <= 2, x[2] >= len(text)) for x in spans if x[0] == "mit"] == [("mit", True, True)] and spans[0][3] > 0.9
 
 
+def test_license_notices_are_told_apart():
+    s = license_scan.Scanner()
+
+    def labels(t):
+        w = _words.Words([t.encode()], _words.ALNUM)
+        places, spans = s.scan(s.vocabulary.ids(w.hashes()), 0, len(w.starts))
+        return sorted({x[0] for x in spans} | {s.labels[p] for _, p in places})
+
+    assert labels("Licensed under CC BY-NC 4.0.") == ["cc-by-nc"]
+    assert labels("Licensed under CC BY 4.0, I think.") == ["cc-by"]
+    assert labels("This work is licensed under the GNU General Public License, version 3.") == ["gpl-3"]
+    assert labels("Licensed under the Apache License, Version 2.0.") == ["apache-2"]
+    assert labels(dict(license_scan.TEMPLATES)["agpl-3"]) == ["agpl-3"]
+    assert labels("the software is free to use and to copy under these terms") == []
+
+
 # ---------------------------------------------------------------- op3
 
 
