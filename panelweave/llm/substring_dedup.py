@@ -144,7 +144,8 @@ def _scatter(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             content, begin = np.empty(len(unit), np.uint64), place.tolist()
             for i, (q, a, x, w) in enumerate(zip(unit.tolist(), begin, at.tolist(), windows.tolist(), strict=True)):
                 content[i] = xxhash.xxh3_64_intdigest(units[q][a : a + w - 1 + length], x)
-            there, blobs = _by_range(key, ranges, key, content, ids[doc[unit]], (place + offset[unit]).astype("u4"), at.astype("u2"), windows.astype("u2"))
+            # Keys are minima of many hashes, so their own high bits are all alike.
+            there, blobs = _by_range(mix(key), ranges, key, content, ids[doc[unit]], (place + offset[unit]).astype("u4"), at.astype("u2"), windows.astype("u2"))
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
 
     return docs.mapInArrow(work, "range int, blob binary")
@@ -231,7 +232,7 @@ def _fetch(asked: DataFrame, ranges: int, length: int) -> DataFrame:
             there, blobs, kinds = [], [], []
             if rows:
                 cols = [np.array(c, t) for c, t in zip(zip(*rows, strict=True), _REQUEST, strict=True)]
-                r = _ranges(cols[1], ranges)
+                r = _ranges(mix(cols[1]), ranges)
                 for p in np.unique(r).tolist():
                     at = np.flatnonzero(r == p)
                     there.append(p)
