@@ -126,7 +126,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_block))
 
     def dealt(df: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        key = F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(own)
+        # Both sides' keys must be of one type, or their hash partitions don't meet.
+        key = F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(own)
         return df.select(F.size("x").alias("dim"), key, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), "vec_id", "x")
 
     def work(key, left, right):

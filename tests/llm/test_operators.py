@@ -101,6 +101,11 @@ def test_nearest_recall_and_edges(spark):
     assert len(got) == 17 and hit >= 0.95 * 170
     assert [i for i, s in got[5][:2]] == [7, 2100]
     assert nearest.nearest(v.where("false"), v.where("false")).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # no luck by small tables
+    try:
+        assert nearest.nearest(v, v.where("vec_id % 100 = 0"), 10, shard_rows=300, query_block=4).count() == 160
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 # ---------------------------------------------------------------- op2
