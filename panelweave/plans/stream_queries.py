@@ -172,14 +172,14 @@ def enabled_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d(key, value) AS (VALUES ('engine', 'piper'), ('volume', '100'), ('direction', 'rtl'), ('autoScroll', 'false'), ('autoScrollSpeed', '140')),
-st AS (SELECT DISTINCT r_name AS key, lower(r_name) AS value FROM region UNION ALL SELECT 'volume', '55'), ov AS (SELECT 'engine' AS key, 'kokoro' AS value)
+WITH d(key, value) AS (VALUES ('enabled', 'true'), ('direction', 'rtl'), ('ttsEngine', 'piper'), ('piperVoiceId', 'en_US-hfc_female-medium'), ('kokoroVoiceId', 'af_heart'), ('autoScrollSpeed', '140'), ('volume', '100')),
+st AS (SELECT DISTINCT r_name AS key, lower(r_name) AS value FROM region UNION ALL SELECT 'volume', '55'), ov AS (SELECT 'ttsEngine' AS key, 'kokoro' AS value)
 SELECT key, coalesce(ov.value, st.value, d.value) AS value FROM d FULL JOIN st USING (key) FULL JOIN ov USING (key)
 """)
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defaults, stored, overrides."""
     stored = table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), F.lower("r_name").alias("value")).unionByName(spark.range(1).select(F.lit("volume").alias("key"), F.lit("55").alias("value")))
-    return web.settings(stored, spark.range(1).select(F.lit("engine").alias("key"), F.lit("kokoro").alias("value")))
+    return web.settings(stored, spark.range(1).select(F.lit("ttsEngine").alias("key"), F.lit("kokoro").alias("value")))
 
 
 @query("""
@@ -217,3 +217,20 @@ def autoscroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.min("ts_ms").over(W.partitionBy("tab_id"))
     s = e.select("tab_id", ((F.col("ts_ms") - start) / 100000).cast("bigint").alias("ts_ms"), F.when(F.col("img_key").isNotNull(), F.col("top").cast("double") * 40).alias("content_top"), (F.col("seq") % 4 == 0).alias("busy"))
     return v.simulate_autoscroll(s, 800.0, 140.0)
+
+
+@query("""
+WITH e AS (SELECT user_id AS tab_id, event_id, CAST(value AS DOUBLE) * 3.7 AS top, event_id % 5 <> 0 AS visible FROM events), v AS (SELECT * FROM e WHERE visible)
+SELECT tab_id, event_id AS img, CAST(floor(top + 0.5) AS BIGINT) AS top FROM v QUALIFY row_number() OVER (PARTITION BY tab_id ORDER BY top, event_id) = 1
+""")
+def topmost_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tab's topmost visible image, first on ties, its top rounded."""
+    e = table(spark, sf_dir, "events").where("event_id % 5 <> 0").select(F.col("user_id").alias("tab_id"), "event_id", (F.col("value").cast("double") * 3.7).alias("top"))
+    best = e.groupBy("tab_id").agg(F.min(F.struct("top", "event_id")).alias("b"))
+    return best.select("tab_id", F.col("b.event_id").alias("img"), g.js_round(F.col("b.top")).cast("bigint").alias("top"))
+
+
+@query("SELECT engine, count(*) AS n, min(voice_id) AS first_voice FROM (VALUES " + ", ".join("('{}', '{}')".format(e, i) for e, i, _ in web.VOICES) + ") v(engine, voice_id) GROUP BY 1")
+def voice_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9."""
+    return web.voices(spark).groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.min("voice_id").alias("first_voice"))

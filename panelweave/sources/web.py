@@ -8,8 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.text import directory, is_page_image
 
 CHAPTER = r"(?i)/manga/[^/]+/chapter-\d+$"
-DEFAULTS = {"engine": "piper", "volume": "100", "direction": "rtl", "autoScroll": "false", "autoScrollSpeed": "140"}
-VOICES = [("piper", "en_US-hfc_female-medium", "default"), ("kokoro", "af_heart", "default")]
+# --- fixed values ---
+DEFAULTS = {
+    "enabled": "true",
+    "direction": "rtl",
+    "ttsEngine": "piper",
+    "piperVoiceId": "en_US-hfc_female-medium",
+    "kokoroVoiceId": "af_heart",
+    "autoScrollSpeed": "140",
+    "volume": "100",
+}
+VOICES = [
+    ("piper", "en_US-hfc_female-medium", "HFC Female (default)"),
+    ("piper", "en_US-amy-medium", "Amy (female)"),
+    ("piper", "en_US-kathleen-low", "Kathleen (female)"),
+    ("piper", "en_US-kristin-medium", "Kristin (female)"),
+    ("piper", "en_US-ljspeech-high", "LJSpeech (female, high quality — slower)"),
+    ("piper", "en_US-hfc_male-medium", "HFC Male"),
+    ("piper", "en_US-ryan-medium", "Ryan (male)"),
+    ("piper", "en_US-joe-medium", "Joe (male)"),
+    ("piper", "en_US-danny-low", "Danny (male)"),
+    ("piper", "en_US-bryce-medium", "Bryce (male)"),
+    ("kokoro", "af_heart", "Heart (US female, default)"),
+    ("kokoro", "af_bella", "Bella (US female)"),
+    ("kokoro", "af_nicole", "Nicole (US female)"),
+    ("kokoro", "af_sarah", "Sarah (US female)"),
+    ("kokoro", "af_kore", "Kore (US female)"),
+    ("kokoro", "am_fenrir", "Fenrir (US male)"),
+    ("kokoro", "am_michael", "Michael (US male)"),
+    ("kokoro", "am_puck", "Puck (US male)"),
+    ("kokoro", "bf_emma", "Emma (UK female)"),
+    ("kokoro", "bm_george", "George (UK male)"),
+]
+# --- end of fixed values ---
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
