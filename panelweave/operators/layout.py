@@ -1,15 +1,19 @@
-"""From word boxes to ordered bubbles, one capture at a time.
+"""From word boxes to ordered bubbles.
 
-The predicates compare all pairs of one capture as numpy matrices; a capture has tens of words. Only the steps whose
-result depends on order run here, in one grouped call per capture (one shuffle on capture_id); everything before and
-after stays in Column expressions.
+The rows of a capture are gathered into one array column (one shuffle on capture_id), and Arrow batches of many captures
+are worked on together: predicates compare all pairs of a capture in matrices that are stacked over captures of like
+size, so no Python runs per capture until lines are put together. Only the order-dependent splice and the panel claims
+go capture by capture.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values of the clustering and ordering rules.
 SAME_COLUMN, GAP_HEIGHTS, GAP_PAGE = 0.6, 1.3, 0.015
@@ -29,7 +33,11 @@ class Boxes:
         return cls(df["x0"], df["y0"], df["x1"], df["y1"])
 
     def __len__(self) -> int:
-        return len(self.x0)
+        return self.x0.shape[-1]
+
+    @property
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.x0, self.y0, self.x1, self.y1
 
     @property
     def height(self) -> np.ndarray:
@@ -39,75 +47,117 @@ class Boxes:
         return Boxes(*([f(v[g]) for g in groups] for f, v in ((np.min, self.x0), (np.min, self.y0), (np.max, self.x1), (np.max, self.y1))))
 
 
+def _each(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return v[..., :, None], v[..., None, :]
+
+
 def _share(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Overlap of each two intervals over the shorter one; 0 where that has no length."""
-    size = hi - lo
-    least = np.minimum(size[:, None], size[None])
-    both = np.maximum(0, np.minimum(hi[:, None], hi[None]) - np.maximum(lo[:, None], lo[None]))
+    (lo_a, lo_b), (hi_a, hi_b), (a, b) = _each(lo), _each(hi), _each(hi - lo)
+    least = np.minimum(a, b)
+    both = np.maximum(0, np.minimum(hi_a, hi_b) - np.maximum(lo_a, lo_b))
     return np.where(least > 0, both / np.where(least > 0, least, 1), 0)
 
 
 def _gap(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    first = lo[:, None] <= lo[None]
-    return np.maximum(0, np.where(first, lo[None] - hi[:, None], lo[:, None] - hi[None]))
+    (lo_a, lo_b), (hi_a, hi_b) = _each(lo), _each(hi)
+    return np.maximum(0, np.where(lo_a <= lo_b, lo_b - hi_a, lo_a - hi_b))
 
 
-def stacked(b: Boxes, page_h: float) -> np.ndarray:
+def stacked(b: Boxes, page_h) -> np.ndarray:
     """Which boxes stand in one column, closely above each other."""
-    least = np.minimum(b.height[:, None], b.height[None])
+    least = np.minimum(*_each(b.height))
     return (_share(b.x0, b.x1) > SAME_COLUMN) & (_gap(b.y0, b.y1) < np.maximum(GAP_HEIGHTS * least, GAP_PAGE * page_h))
 
 
-def in_line(b: Boxes, page_w: float, column: np.ndarray) -> np.ndarray:
+def in_line(b: Boxes, page_w, column: np.ndarray) -> np.ndarray:
     """Which words stand on one line; not across columns that both have several words."""
-    middle, mean = (b.y0 + b.y1) / 2, (b.height[:, None] + b.height[None]) / 2
-    size = np.bincount(column, minlength=len(b))[column] if len(b) else column
-    apart = (column[:, None] != column[None]) & (size[:, None] >= 2) & (size[None] >= 2)
-    level = np.abs(middle[:, None] - middle[None]) <= LINE_DRIFT * mean
+    (mid_a, mid_b), (h_a, h_b), (col_a, col_b) = _each((b.y0 + b.y1) / 2), _each(b.height), _each(column)
+    mean = (h_a + h_b) / 2
+    size_a, size_b = _each((col_a == col_b).sum(axis=-1))
+    level = np.abs(mid_a - mid_b) <= LINE_DRIFT * mean
+    apart = (col_a != col_b) & (size_a >= 2) & (size_b >= 2)
     return level & ~apart & (_gap(b.x0, b.x1) < np.maximum(LINE_GAP_HEIGHTS * mean, LINE_GAP_PAGE * page_w))
 
 
+def same_row(b: Boxes) -> np.ndarray:
+    return _share(b.y0, b.y1) > SAME_ROW
+
+
 def components(linked: np.ndarray) -> np.ndarray:
-    """Smallest index that each one reaches by links: minimum over neighbours, then pointer jumps, until stable."""
-    label = np.arange(len(linked))
-    if not len(linked):
-        return label
-    while True:
-        new = np.minimum(label, np.where(linked, label[None], len(label)).min(axis=1))
-        new = new[new]
+    """Smallest index that each one reaches by links: minimum over neighbours, then pointer jumps, until stable.
+    Works on one matrix or a stack of them."""
+    n = linked.shape[-1]
+    label = np.broadcast_to(np.arange(n), linked.shape[:-1])
+    while n:
+        new = np.minimum(label, np.where(linked, label[..., None, :], n).min(axis=-1))
+        new = np.take_along_axis(new, new, axis=-1)
         if (new == label).all():
-            return label
+            break
         label = new
+    return label
 
 
 def groups_of(label: np.ndarray) -> list[np.ndarray]:
     return [np.flatnonzero(label == k) for k in np.unique(label)]
 
 
-def words_to_lines(words: pd.DataFrame, page_w: float, page_h: float) -> pd.DataFrame:
-    b = Boxes.of(words)
-    column = components(stacked(b, page_h))
-    groups = groups_of(components(in_line(b, page_w, column)))
-    return _merge(words, b, [g[np.argsort(b.x0[g], kind="stable")] for g in groups], "line_ix")
-
-
-def lines_to_bubbles(lines: pd.DataFrame, page_h: float) -> pd.DataFrame:
-    b = Boxes.of(lines)
-    groups = groups_of(components(stacked(b, page_h)))
-    return _merge(lines.assign(text=lines["text"].str.strip()), b, [g[np.argsort(b.y0[g], kind="stable")] for g in groups], "bubble_ix")
-
-
-def _merge(rows: pd.DataFrame, b: Boxes, groups: list[np.ndarray], name: str) -> pd.DataFrame:
-    u, text, confidence = b.union(groups), rows["text"].to_numpy(), rows["confidence"].fillna(0).to_numpy(float)
-    return pd.DataFrame({
-        name: np.arange(len(groups), dtype="int32"), "text": [" ".join(text[g]) for g in groups],
-        "x0": u.x0, "y0": u.y0, "x1": u.x1, "y1": u.y1, "confidence": [confidence[g].mean() for g in groups],
-    })
+class Items:
+    """Boxes of several captures, one after another: ``first[c]`` is the index of capture c's first."""
+
+    def __init__(self, box: Boxes, text: np.ndarray, confidence: np.ndarray, first: np.ndarray):
+        self.box, self.text, self.confidence, self.first = box, text, confidence, first
+
+    def labels(self, link: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 21) -> np.ndarray:
+        """For each item the first item of its cluster, as a place in its capture. Captures are taken by size, so that
+        stacks of matrices are even and hold about ``most`` pairs. ``link``: (boxes, captures, flat places)."""
+        out, size = np.empty(int(self.first[-1]), np.int64), np.diff(self.first)
+        order = np.argsort(size, kind="stable")
+        at = int(np.searchsorted(size[order], 1))
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * int(size[order[end]]) ** 2 <= most:
+                end += 1
+            own = order[at:end]
+            n = int(size[own].max())
+            valid = np.arange(n) < size[own][:, None]
+            place = np.minimum(self.first[own][:, None] + np.arange(n), len(out) - 1)
+            linked = link(Boxes(*(v[place] for v in self.box.sides)), own, place) & valid[:, :, None] & valid[:, None, :]
+            out[place[valid]] = components(linked)[valid]
+            at = end
+        return out
+
+    def merged(self, label: np.ndarray, across: np.ndarray) -> Items:
+        """One item for each cluster, clusters by their first member; texts in the order of ``across``."""
+        capture = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        order = np.lexsort((across, label, capture))
+        key = capture[order] * (1 << 32) + label[order]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        edges = [*begin.tolist(), len(order)]
+        low, high = (lambda v: np.minimum.reduceat(v[order], begin)), (lambda v: np.maximum.reduceat(v[order], begin))
+        x0, y0, x1, y1 = self.box.sides
+        box = Boxes(low(x0), low(y0), high(x1), high(y1)) if len(begin) else Boxes([], [], [], [])
+        text = self.text[order]
+        joined = np.array([" ".join(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)], object)
+        mean = np.add.reduceat(self.confidence[order], begin) / np.diff(edges) if len(begin) else np.empty(0)
+        return Items(box, joined, mean, np.searchsorted(capture[order][begin], np.arange(len(self.first))))
+
+
+def words_to_lines(words: Items, page_w: np.ndarray, page_h: np.ndarray) -> Items:
+    column = words.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]))
+    label = words.labels(lambda b, c, place: in_line(b, page_w[c][:, None, None], np.where(np.arange(place.shape[1]) < np.diff(words.first)[c][:, None], column[place], -1 - np.arange(place.shape[1]))))
+    return words.merged(label, words.box.x0)
+
+
+def lines_to_bubbles(lines: Items, page_h: np.ndarray) -> Items:
+    label = lines.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]))
+    stripped = np.array([t.strip() for t in lines.text], object)
+    return Items(lines.box, stripped, lines.confidence, lines.first).merged(label, lines.box.y0)
 
 
 def reading_rows(b: Boxes, rtl: bool) -> list[list[int]]:
     """Rows from the top, each in reading direction, equal places by index."""
-    rows = groups_of(components(_share(b.y0, b.y1) > SAME_ROW))
+    rows = groups_of(components(same_row(b)))
     rows = [g[np.argsort(-b.x0[g] if rtl else b.x0[g], kind="stable")].tolist() for g in rows]
     return sorted(rows, key=lambda g: b.y0[g].min())
 
@@ -133,51 +183,52 @@ def order_flat(b: Boxes, rtl: bool) -> list[int]:
     return [i for row in splice_orphans(reading_rows(b, rtl), b, rtl) for i in row]
 
 
-def panel_candidates(cuts: pd.DataFrame, page_w: float | None) -> pd.DataFrame:
-    """Pairs of vertical cuts that may bound a panel: i, j, least height and the rectangle, tallest first."""
-    x, y0, y1 = (cuts[c].to_numpy(float) for c in ("x0", "y0", "y1"))
-    edge = np.zeros(len(cuts), bool)
+def panel_pairs(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, page_w: float | None) -> tuple[np.ndarray, ...]:
+    """Pairs of vertical cuts that may bound a panel, tallest first: i, j, least height, x0, y0, x1, y1. With a page
+    width both page sides count as cuts."""
+    edge = np.zeros(len(x), bool)
     if page_w:
         x, y0, y1 = np.append(x, (0.0, page_w)), np.append(y0, (0.0, 0.0)), np.append(y1, (np.inf, np.inf))
         edge = np.append(edge, (True, True))
     i, j = np.triu_indices(len(x), 1)
-    with np.errstate(invalid="ignore"):
-        lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
-        top, bottom = np.maximum(y0[i], y0[j]), np.minimum(y1[i], y1[j])
-        least = np.minimum(y1[i] - y0[i], y1[j] - y0[j])
-        ok = ~(edge[i] & edge[j]) & (bottom - top > 0) & (least > 0) & np.isfinite(least)
-        ok &= np.where(ok, (bottom - top) / np.where(ok, least, 1), 0) >= PANEL_OVERLAP
+    keep = ~(edge[i] & edge[j])
+    i, j = i[keep], j[keep]
+    lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
+    top, bottom = np.maximum(y0[i], y0[j]), np.minimum(y1[i], y1[j])
+    least = np.minimum(y1[i] - y0[i], y1[j] - y0[j])
+    ok = (bottom - top > 0) & (least > 0) & np.isfinite(least)
+    ok[ok] = (bottom - top)[ok] / least[ok] >= PANEL_OVERLAP
     if page_w:
         ok &= hi - lo >= page_w * PANEL_WIDTH
-    found = pd.DataFrame({"i": i, "j": j, "least": least, "x0": lo, "y0": top, "x1": hi, "y1": bottom})[ok]
-    return found.sort_values("least", ascending=False, kind="stable")
+    at = np.flatnonzero(ok)
+    at = at[np.argsort(-least[at], kind="stable")]
+    return tuple(v[at] for v in (i, j, least, lo, top, hi, bottom))
 
 
-def claim_panels(candidates: pd.DataFrame) -> pd.DataFrame:
+def claim_panels(pairs: tuple[np.ndarray, ...]) -> Boxes:
     """Greedy matching: a cut bounds one panel at most."""
     used, rows = set(), []
-    for c in candidates.itertuples(index=False):
-        if not used & {c.i, c.j}:
-            used |= {c.i, c.j}
-            rows.append((len(rows), c.x0, c.y0, c.x1, c.y1))
-    return pd.DataFrame(rows, columns=["rect_ix", "x0", "y0", "x1", "y1"])
+    for k, (i, j) in enumerate(zip(pairs[0].tolist(), pairs[1].tolist(), strict=True)):
+        if not used & {i, j}:
+            used |= {i, j}
+            rows.append(k)
+    return Boxes(*(v[rows] for v in pairs[3:]))
 
 
-def assign_panels(b: Boxes, rects: pd.DataFrame) -> list[np.ndarray]:
+def assign_panels(b: Boxes, rects: Boxes) -> list[np.ndarray]:
     """Bubbles of each panel (the first that holds the centre), then each other bubble alone."""
     if not len(rects):
         return [np.arange(len(b))]
-    cx, cy = (b.x0 + b.x1) / 2, (b.y0 + b.y1) / 2
-    r = {c: rects[c].to_numpy(float)[None] for c in ("x0", "y0", "x1", "y1")}
-    inside = (cx[:, None] >= r["x0"]) & (cx[:, None] <= r["x1"]) & (cy[:, None] >= r["y0"]) & (cy[:, None] <= r["y1"])
+    cx, cy = ((b.x0 + b.x1) / 2)[:, None], ((b.y0 + b.y1) / 2)[:, None]
+    inside = (cx >= rects.x0) & (cx <= rects.x1) & (cy >= rects.y0) & (cy <= rects.y1)
     first = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
-    return [np.flatnonzero(first == k) for k in range(len(rects)) if (first == k).any()] + [np.array([k]) for k in np.flatnonzero(first == -1)]
+    return [g for k in range(len(rects)) if len(g := np.flatnonzero(first == k))] + [np.array([k]) for k in np.flatnonzero(first == -1)]
 
 
-def order(b: Boxes, rtl: bool, vertical: pd.DataFrame, n_horizontal: int, page_w: float | None) -> list[int]:
-    """Total reading order: panels first if cuts bound several, bubbles inside each."""
-    if len(vertical) + n_horizontal:
-        panels = assign_panels(b, claim_panels(panel_candidates(vertical, page_w)))
+def order(b: Boxes, rtl: bool, vertical: tuple[np.ndarray, np.ndarray, np.ndarray], n_horizontal: int, page_w: float | None) -> list[int]:
+    """Total reading order: panels first if cuts bound several, bubbles inside each. vertical: x, y0 and y1 of cuts."""
+    if len(vertical[0]) + n_horizontal:
+        panels = assign_panels(b, claim_panels(panel_pairs(*vertical, page_w)))
         if len(panels) > 1:
             out = []
             for p in order_flat(b.union(panels), rtl):
@@ -189,52 +240,120 @@ def order(b: Boxes, rtl: bool, vertical: pd.DataFrame, n_horizontal: int, page_w
 
 
 _BOX = "text string, x0 double, y0 double, x1 double, y1 double, confidence double"
+_SIDES = ["x0", "y0", "x1", "y1"]
+
 
+def gathered(items: DataFrame, index: str, columns: list[str], per_capture: list[str] | None = None) -> DataFrame:
+    """One row for each capture: capture_id, what holds for all of it, and ``rows``, its items by index."""
+    same = [F.first(c).alias(c) for c in per_capture or []]
+    return items.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct(index, *columns))).alias("rows"), *same)
 
-def cluster(pairs_of, items: DataFrame, keys: str = "capture_id", index: str = "ix") -> DataFrame:
-    """Transitive clustering by a pairwise predicate: ``pairs_of(Boxes, group rows)`` gives the link matrix. Adds the
-    smallest index of each item's group as ``label``."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(index, kind="stable").reset_index(drop=True)
-        label = components(pairs_of(Boxes.of(rows), rows))
-        return pd.DataFrame({keys: rows[keys], index: rows[index], "label": rows[index].to_numpy()[label]})
+class Batch:
+    """An Arrow batch of gathered captures."""
+
+    def __init__(self, batch: pa.RecordBatch, rows: str = "rows"):
+        lists = batch.column(rows)
+        self.size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+        self.fields = lists.flatten()
+        self.capture_id = batch.column("capture_id")
+
+    def column(self, name: str) -> np.ndarray:
+        return self.fields.field(name).to_numpy(zero_copy_only=False)
+
+    def boxes(self) -> Boxes:
+        return Boxes(*(self.column(c) for c in _SIDES))
+
+    def ids(self, first: np.ndarray) -> pa.Array:
+        """capture_id of items that lie as ``first`` says."""
+        return self.capture_id.take(pa.array(np.repeat(np.arange(len(first) - 1), np.diff(first))))
+
+
+def _number(first: np.ndarray) -> np.ndarray:
+    return (np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)
+
+
+def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str = "ix") -> DataFrame:
+    """Transitive clustering by a pairwise predicate on boxes. Adds the smallest index of each item's group, ``label``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Batch(batch)
+            ix = b.column(index)
+            place = Items(b.boxes(), ix, ix, b.first).labels(lambda x, _, __: link(x))
+            yield pa.RecordBatch.from_arrays([b.ids(b.first), pa.array(ix), pa.array(ix[place + np.repeat(b.first[:-1], b.size)])], ["capture_id", index, "label"])
 
     kind = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.groupBy(keys).applyInPandas(work, f"{keys} {kind[keys]}, {index} {kind[index]}, label {kind[index]}")
+    return gathered(items, index, _SIDES).mapInArrow(work, f"capture_id {kind['capture_id']}, {index} {kind[index]}, label {kind[index]}")
 
 
 def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
-    """words: capture_id, word_ix, text, box, confidence, canvas_w, canvas_h. Lines or bubbles of every capture."""
+    """words: capture_id, word_ix, text, box, confidence, canvas_w, canvas_h. Lines or bubbles of every capture. Missing
+    confidences count as 0; no capture is left out or cut."""
+    name = "bubble_ix" if level == "bubbles" else "line_ix"
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_ix", kind="stable").reset_index(drop=True)
-        w, h = float(rows["canvas_w"].iloc[0]), float(rows["canvas_h"].iloc[0])
-        out = words_to_lines(rows, w, h)
-        if level == "bubbles":
-            out = lines_to_bubbles(out, h)
-        return out.assign(capture_id=rows["capture_id"].iloc[0])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Batch(batch)
+            w, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("canvas_w", "canvas_h"))
+            out = words_to_lines(Items(b.boxes(), b.column("text"), np.nan_to_num(b.column("confidence").astype(float)), b.first), w, h)
+            if level == "bubbles":
+                out = lines_to_bubbles(out, h)
+            cols = [b.ids(out.first), pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
+            yield pa.RecordBatch.from_arrays(cols, ["capture_id", name, "text", *_SIDES, "confidence"])
 
-    name = "bubble_ix" if level == "bubbles" else "line_ix"
-    return words.groupBy("capture_id").applyInPandas(work, f"capture_id long, {name} int, {_BOX}")
+    rows = gathered(words.withColumn("text", F.coalesce("text", F.lit(""))), "word_ix", ["text", *_SIDES, "confidence"], ["canvas_w", "canvas_h"])
+    return rows.mapInArrow(work, f"capture_id long, {name} int, {_BOX}")
 
 
 def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """bubbles: capture_id, bubble_ix, box, direction, canvas_w; cuts: capture_id, orient, cut_ix, box.
     Adds ``seq``, the place in reading order (from 0)."""
-    keep = "capture_id long, bubble_ix int, seq int"
-
-    def ranked(rows: pd.DataFrame, cut: pd.DataFrame | None) -> pd.DataFrame:
-        rows = rows.sort_values("bubble_ix", kind="stable").reset_index(drop=True)
-        none = pd.DataFrame(columns=["x0", "y0", "x1", "y1"], dtype=float)
-        vertical = none if cut is None else cut[cut["orient"] == "v"].sort_values("cut_ix")
-        n_h = 0 if cut is None else int((cut["orient"] == "h").sum())
-        w = rows["canvas_w"].iloc[0]
-        at = order(Boxes.of(rows), rows["direction"].iloc[0] == "rtl", vertical, n_h, None if pd.isna(w) or not w else float(w))
-        return pd.DataFrame({"capture_id": rows["capture_id"].to_numpy()[at], "bubble_ix": rows["bubble_ix"].to_numpy()[at], "seq": np.arange(len(at), dtype="int32")})
-
-    slim = bubbles.select("capture_id", "bubble_ix", "x0", "y0", "x1", "y1", "direction", "canvas_w")
-    if cuts is None:
-        return slim.groupBy("capture_id").applyInPandas(lambda rows: ranked(rows, None), keep)
-    both = lambda rows, cut: ranked(rows, cut) if len(rows) else pd.DataFrame(columns=["capture_id", "bubble_ix", "seq"])
-    return slim.groupBy("capture_id").cogroup(cuts.groupBy("capture_id")).applyInPandas(both, keep)
+    rows = gathered(bubbles, "bubble_ix", _SIDES, ["direction", "canvas_w"])
+    if cuts is not None:
+        own = cuts.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("cut_ix", "orient", *_SIDES))).alias("cuts"))
+        rows = rows.join(own, "capture_id", "left")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, box = Batch(batch), Batch(batch).boxes()
+            rtl = [d == "rtl" for d in batch.column("direction").to_pylist()]
+            page_w = batch.column("canvas_w").to_pylist()
+            listed = batch.column("cuts").to_pylist() if "cuts" in batch.schema.names else [None] * len(rtl)
+            at = []
+            for c, (a, e) in enumerate(zip(b.first.tolist(), b.first[1:].tolist(), strict=False)):
+                cut = listed[c] or []
+                vertical = tuple(np.array([x[k] for x in cut if x["orient"] == "v"], float) for k in ("x0", "y0", "y1"))
+                n_h = sum(x["orient"] == "h" for x in cut)
+                found = order(Boxes(*(v[a:e] for v in box.sides)), rtl[c], vertical, n_h, page_w[c] or None)
+                at.append(a + np.array(found, np.int64))
+            at = np.concatenate(at) if at else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.ids(b.first), pa.array(b.column("bubble_ix")[at]), pa.array(_number(b.first))], ["capture_id", "bubble_ix", "seq"])
+
+    return rows.mapInArrow(work, "capture_id long, bubble_ix int, seq int")
+
+
+def panels(cuts: DataFrame, page_w: float | None, candidates: bool = False) -> DataFrame:
+    """Panels of every capture in claim order (rect_ix), or all candidate pairs."""
+    names = ["i", "j", "least_h", *_SIDES] if candidates else ["rect_ix", *_SIDES]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = Batch(batch)
+            v = np.stack([b.column(c) for c in ("x0", "y0", "y1")])
+            size, parts = [], []
+            for a, e in zip(b.first.tolist(), b.first[1:].tolist(), strict=False):
+                found = panel_pairs(*v[:, a:e], page_w)
+                if not candidates:
+                    own = claim_panels(found)
+                    found = (np.arange(len(own)), *own.sides)
+                size.append(len(found[0]))
+                parts.append(np.stack(found))
+            first = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+            flat = np.concatenate(parts, axis=1) if parts else np.empty((len(names), 0))
+            cols = [pa.array(c.astype(np.int32) if n in ("i", "j", "rect_ix") else c) for n, c in zip(names, flat, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.ids(first), *cols], ["capture_id", *names])
+
+    kinds = ", ".join(f"{n} {'int' if n in ('i', 'j', 'rect_ix') else 'double'}" for n in names)
+    return gathered(cuts.where("orient = 'v'"), "cut_ix", _SIDES).mapInArrow(work, f"capture_id long, {kinds}")

@@ -52,7 +52,7 @@ bubbles AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY l
 @query(f"WITH RECURSIVE {_COLUMNS_SQL} SELECT capture_id, word_ix, label, count(*) OVER (PARTITION BY capture_id, label) AS n FROM col")
 def word_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 D0 A6."""
-    found = layout.cluster(lambda b, _: layout.stacked(b, CANVAS_H), synth.words(spark, sf_dir), index="word_ix")
+    found = layout.cluster(lambda b: layout.stacked(b, CANVAS_H), synth.words(spark, sf_dir), index="word_ix")
     return found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("capture_id", "label")))
 
 
@@ -84,7 +84,7 @@ SELECT capture_id, bubble_ix, label, CAST(row_number() OVER (PARTITION BY captur
 def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and the order before orphans are spliced."""
     b = _bubbles(spark, sf_dir)
-    rows = layout.cluster(lambda x, _: layout._share(x.y0, x.y1) > layout.SAME_ROW, b, index="bubble_ix")
+    rows = layout.cluster(layout.same_row, b, index="bubble_ix")
     both = b.join(rows, ["capture_id", "bubble_ix"]).withColumn("row_y", F.min("y0").over(W.partitionBy("capture_id", "label")))
     across = F.when(F.col("direction") == "rtl", -F.col("x0")).otherwise(F.col("x0"))
     place = F.row_number().over(W.partitionBy("capture_id").orderBy("row_y", "label", across, "bubble_ix")) - 1
@@ -123,23 +123,13 @@ rects AS (SELECT capture_id, CAST(generate_subscripts(r, 1) - 1 AS INT) AS rect_
 @query(f"WITH {WORDS_SQL}, {_CUTS_SQL} SELECT capture_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, least_h, x0, y0, x1, y1 FROM cand")
 def panel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 U5."""
-
-    def work(cuts):
-        found = layout.panel_candidates(cuts[cuts["orient"] == "v"].sort_values("cut_ix"), CANVAS_W).rename(columns={"least": "least_h"})
-        return found.assign(capture_id=cuts["capture_id"].iloc[0])
-
-    return _cuts(spark, sf_dir).groupBy("capture_id").applyInPandas(work, "capture_id long, i int, j int, least_h double, x0 double, y0 double, x1 double, y1 double")
+    return layout.panels(_cuts(spark, sf_dir), CANVAS_W, candidates=True)
 
 
 @query(f"WITH {WORDS_SQL}, {_CUTS_SQL}, {_RECTS_SQL} SELECT capture_id, rect_ix, q[3] AS x0, q[4] AS y0, q[5] AS x1, q[6] AS y1 FROM rects")
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4."""
-
-    def work(cuts):
-        found = layout.claim_panels(layout.panel_candidates(cuts[cuts["orient"] == "v"].sort_values("cut_ix"), CANVAS_W))
-        return found.assign(capture_id=cuts["capture_id"].iloc[0])
-
-    return _cuts(spark, sf_dir).groupBy("capture_id").applyInPandas(work, "capture_id long, rect_ix int, x0 double, y0 double, x1 double, y1 double")
+    return layout.panels(_cuts(spark, sf_dir), CANVAS_W)
 
 
 @query(f"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,17 +41,29 @@ def test_orphan_is_spliced_only_when_close():
 
 
 def test_words_of_different_columns_do_not_join():
-    words = pd.DataFrame({
-        "text": ["GRAB", "IT", "GONNA", "GO"], "x0": [0, 0, 44, 44], "y0": [0, 12, 0, 12], "x1": [40, 40, 90, 90], "y1": [10, 22, 10, 22], "confidence": [90.0] * 4,
-    })
-    assert layout.words_to_lines(words, 500.0, 300.0)["text"].tolist() == ["GRAB", "IT", "GONNA", "GO"]
+    words = layout.Items(
+        Boxes([0, 0, 44, 44], [0, 12, 0, 12], [40, 40, 90, 90], [10, 22, 10, 22]), np.array(["GRAB", "IT", "GONNA", "GO"], object), np.full(4, 90.0), np.array([0, 0, 4, 4])
+    )
+    lines = layout.words_to_lines(words, np.full(3, 500.0), np.full(3, 300.0))
+    assert lines.text.tolist() == ["GRAB", "IT", "GONNA", "GO"] and lines.first.tolist() == [0, 0, 4, 4]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(box, max_size=9), min_size=1, max_size=6))
+def test_stacks_of_captures_equal_single_ones(captures):
+    flat = [r for c in captures for r in c]
+    first = np.concatenate(([0], np.cumsum([len(c) for c in captures])))
+    items = layout.Items(boxes(flat) if flat else Boxes([], [], [], []), np.array([str(i) for i in range(len(flat))], object), np.ones(len(flat)), first)
+    got = items.labels(lambda b, c, _: layout.stacked(b, 400.0), most=120)
+    want = [x for c in captures if c for x in layout.components(layout.stacked(boxes(c), 400.0)).tolist()]
+    assert got.tolist() == want
 
 
 def test_panels_first():
-    cut = pd.DataFrame({"x0": [200.0], "y0": [0.0], "x1": [204.0], "y1": [400.0]})
+    cut = (np.array([200.0]), np.array([0.0]), np.array([400.0]))
     b = boxes([(10, 10, 60, 40), (300, 10, 360, 40), (10, 200, 60, 240), (300, 200, 360, 240)])
     assert layout.order(b, False, cut, 0, 400.0) == [0, 2, 1, 3]
-    assert layout.order(b, False, cut.iloc[:0], 0, 400.0) == [0, 1, 2, 3]
+    assert layout.order(b, False, tuple(v[:0] for v in cut), 0, 400.0) == [0, 1, 2, 3]
 
 
 def test_raster_forms_agree(spark):
