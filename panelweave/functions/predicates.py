@@ -5,9 +5,10 @@ Java's word boundary is Unicode-aware, so boundaries are written as ASCII look-a
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import collapse, trimmed
@@ -43,14 +44,15 @@ SFX_MAX_WORDS, SFX_MIN_CONFIDENCE, SFX_TOKEN_MAX_WORDS = 2, 80.0, 4
 MIN_CONFIDENCE, MIN_IMAGE, EDGE_RATIO, DETECTOR_CONFIDENCE = 45.0, 320, 0.02, 0.3
 # --- end of fixed values ---
 
-_BEFORE, _AFTER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))", r"\z"
+_NOT_BEFORE, _NOT_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def java(pattern: str, ignore_case: bool = False) -> str:
-    """An ECMAScript-like pattern for Java: ASCII word boundaries, $ only at the very end."""
-    out = pattern.replace(r"\b", _BEFORE)
+    """An ECMAScript-like pattern for Java: ASCII word boundaries next to letters, $ only at the very end."""
+    out = re.sub(r"\\b(?=[A-Za-z])", lambda _: _NOT_BEFORE, pattern)
+    out = re.sub(r"(?<=[A-Za-z])\\b", lambda _: _NOT_AFTER, out)
     if out.endswith("$"):
-        out = out[:-1] + _AFTER
+        out = out[:-1] + r"\z"
     return f"(?i){out}" if ignore_case else out
 
 
@@ -62,32 +64,38 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z]", "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: branches of a CASE don't share common parts otherwise."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_garbage(text: Column) -> Column:
-    t = trimmed(text)
-    only, w = letters(t), words(text)
-    n, low = F.length(only), F.lower(only)
-    bare = F.transform(w, lambda x: F.length(letters(x)))
-    packed = F.lower(F.regexp_replace(t, r"\s+", ""))
-    rescued = (F.size(w) >= 2) & (n >= 5)
-    codes = [chr(97 + i) for i in range(26)]
-    top = F.greatest(*(n - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in codes))
-    return (
-        F.when(low.isin("i", "a"), False)
-        .when(F.length(t) < 2, True)
-        .when(packed.rlike(java(INTERJECTION)), False)
-        .when((F.try_divide(n, F.length(t)) < 0.55) & ~rescued, True)
-        .when((n > 3) & ~only.rlike("[aeiouAEIOU]"), True)
-        .when(t.rlike(java(CODE_LIKE, True)), True)
-        .when(F.exists(bare, lambda k: k > 18), True)
-        .when((F.size(w) >= 2) & F.forall(bare, lambda k: k <= 1), True)
-        .when((n > 4) & (F.try_divide(top, n) > 0.7), True)
-        .otherwise(False)
-    )
+    def judge(s: Column) -> Column:
+        t, only, low, w = (s[c] for c in ("t", "only", "low", "w"))
+        n = F.length(only)
+        bare = F.transform(w, lambda x: F.length(letters(x)))
+        packed = F.lower(F.regexp_replace(t, r"\s+", ""))
+        rescued = (F.size(w) >= 2) & (n >= 5)
+        top = F.greatest(*(n - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit(""))) for i in range(26)))
+        return (
+            F.when(low.isin("i", "a"), False)
+            .when(F.length(t) < 2, True)
+            .when(packed.rlike(java(INTERJECTION)), False)
+            .when((F.try_divide(n, F.length(t)) < 0.55) & ~rescued, True)
+            .when((n > 3) & ~only.rlike("[aeiouAEIOU]"), True)
+            .when(t.rlike(java(CODE_LIKE, True)), True)
+            .when(F.exists(bare, lambda k: k > 18), True)
+            .when((F.size(w) >= 2) & F.forall(bare, lambda k: k <= 1), True)
+            .when((n > 4) & (F.try_divide(top, n) > 0.7), True)
+            .otherwise(False)
+        )
+
+    parts = lambda t: F.struct(t.alias("t"), letters(t).alias("only"), F.lower(letters(t)).alias("low"), F.split(t, r"\s+").alias("w"))
+    return let(trimmed(text), lambda t: let(parts(t), judge))
 
 
 def is_chrome(text: Column) -> Column:
-    shown = F.trim(collapse(F.upper(text)))
-    return reduce(lambda a, b: a | b, (shown.rlike(java(p)) for p in CHROME_PATTERNS))
+    return let(F.trim(collapse(F.upper(text))), lambda shown: reduce(lambda a, b: a | b, (shown.rlike(java(p)) for p in CHROME_PATTERNS)))
 
 
 def is_url_only(text: Column) -> Column:
@@ -107,6 +115,18 @@ def is_sound_effect(text: Column, confidence: Column) -> Column:
     )
 
 
+NOISE = ["garbage", "chrome", "url_only", "sound"]
+
+
+def with_noise(df: DataFrame, text: str = "text", confidence: str = "confidence") -> DataFrame:
+    """Adds every noise flag once, and from them ``kept`` and ``suspicious``, so that no rule is computed twice."""
+    t, c = F.col(text), F.col(confidence)
+    flags = dict(zip(NOISE, (is_garbage(t), is_chrome(t), is_url_only(t), is_sound_effect(t, c)), strict=True))
+    sure = c >= MIN_CONFIDENCE
+    kept = sure & ~reduce(lambda a, b: a | b, (F.col(x) for x in NOISE))
+    return df.withColumns(flags).withColumns({"kept": kept, "suspicious": sure & F.col("garbage") & (F.size(words(t)) >= 2)})
+
+
 def is_kept(text: Column, confidence: Column) -> Column:
     return (confidence >= MIN_CONFIDENCE) & ~is_garbage(text) & ~is_chrome(text) & ~is_url_only(text) & ~is_sound_effect(text, confidence)
 

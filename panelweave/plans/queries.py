@@ -146,10 +146,9 @@ SELECT doc_id, ix, garbage, chrome, url_only, sound, confidence >= 45 AND NOT ga
 """)
 def noise_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1-F7 F13 F14 A11 X13 on all lines."""
-    x, c = F.col("text"), F.col("confidence")
-    return synth.noisy_lines(spark, sf_dir).select(
-        "doc_id", "ix", p.is_garbage(x).alias("garbage"), p.is_chrome(x).alias("chrome"), p.is_url_only(x).alias("url_only"), p.is_sound_effect(x, c).alias("sound"),
-        p.is_kept(x, c).alias("kept"), p.is_dropped_suspicious(x, c).alias("suspicious"), p.is_real_content(x).alias("real_content"),
+    x = F.col("text")
+    return p.with_noise(synth.noisy_lines(spark, sf_dir)).select(
+        "doc_id", "ix", *p.NOISE, "kept", "suspicious", (~x.rlike(r"(?i)^Ch\.?\s*\d") & ~F.col("chrome")).alias("real_content"),
         p.is_speakable(x).alias("speakable"), p.is_word(x).alias("is_word"),
     )
 
@@ -163,11 +162,10 @@ FROM k GROUP BY doc_id
 """)
 def capture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept and dropped counts, mean confidence, rescue gate."""
-    x, c = F.col("text"), F.col("confidence")
-    kept, real = p.is_kept(x, c), F.count_if(p.is_real_content(x))
-    return synth.noisy_lines(spark, sf_dir).groupBy("doc_id").agg(
-        F.count_if(kept).alias("n_kept"), F.count_if(p.is_dropped_suspicious(x, c)).alias("n_suspicious"),
-        _r(F.coalesce(F.avg(F.when(kept, c)), F.lit(0.0))).alias("avg_confidence"), real.alias("n_real"), (real <= 1).alias("needs_rescue"),
+    real = F.count_if(~F.col("text").rlike(r"(?i)^Ch\.?\s*\d") & ~F.col("chrome"))
+    return p.with_noise(synth.noisy_lines(spark, sf_dir)).groupBy("doc_id").agg(
+        F.count_if("kept").alias("n_kept"), F.count_if("suspicious").alias("n_suspicious"),
+        _r(F.coalesce(F.avg(F.when(F.col("kept"), F.col("confidence"))), F.lit(0.0))).alias("avg_confidence"), real.alias("n_real"), (real <= 1).alias("needs_rescue"),
     )
 
 

@@ -16,10 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (one small file) over all cores; anything larger as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """capture_id, word_ix, text, box, confidence, canvas_w, canvas_h."""
     tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    flat = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens).alias("p", "text"))
+    flat = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tokens).alias("p", "text"))
     ids = flat.select((F.col("doc_id") * 10000 + F.expr(f"p div {PAGE_WORDS}")).alias("capture_id"), (F.col("p") % PAGE_WORDS).cast("int").alias("word_ix"), "text")
     return ids.selectExpr(
         "capture_id", "word_ix", "text",
@@ -91,7 +97,7 @@ ev AS (SELECT user_id AS tab_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms,
 
 def noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ix, text, confidence: every line of every document, some of them damaged as recognisers do."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ix", "line"))
     k = F.pmod(F.col("doc_id") + F.col("ix"), F.lit(9))
     damaged = (
         F.when(k == 0, F.translate("line", "oi", "01")).when(k == 1, F.replace("line", F.lit(", "), F.lit(",")))
