@@ -49,14 +49,36 @@ def _kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def _runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Bounds of runs of neighbours that together have at most ``most`` bytes (a larger one is a run of its own)."""
+    edges, held = [0], 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            edges.append(i)
+            held = 0
+        held += n
+    return list(zip(edges, [*edges[1:], len(sizes)], strict=True))
+
+
 def segments(units: list[bytes], length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, ...]:
-    """(unit, key, place of the first window, offset of the key's place in it, number of windows) of every segment."""
+    """(unit, key, place of the first window, offset of the key's place in it, number of windows) of every segment.
+    Units are joined only as far as a place in them fits into _PLACE_BITS."""
+    parts = []
+    for a, b in _runs([len(u) for u in units], 1 << int(_PLACE_BITS)):
+        unit, *rest = _segments(units[a:b], length, k)
+        parts.append((unit + a, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segments(units: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(units), np.uint8)
     sizes = np.array([len(u) for u in units], np.int64)
     base = np.concatenate(([0], np.cumsum(sizes)))
     if len(data) < length:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
     h = _kmer_hashes(data, k)
+    if len(h) > 1 << int(_PLACE_BITS):
+        raise ValueError(f"a place among {len(h)} does not fit into {_PLACE_BITS} bits")
     mask = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     v, w, span = (h & ~mask) | np.arange(len(h), dtype=np.uint64), 1, length - k + 1
     while 2 * w <= span:

@@ -429,6 +429,23 @@ def test_substring_dedup(spark, docs, none, hot, monkeypatch):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_a_text_over_16_mib(spark):
+    rng = np.random.default_rng(16)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    long, passage, other = (letters[rng.integers(0, 27, n)].tobytes() for n in (18 << 20, 400, 3000))
+    at = (17 << 20) + 12345
+    long = b"A" + long[:at] + passage + long[at:]
+    other = other[:1000] + b"B" + passage + b"C" + other[1000:]
+    table = spark.createDataFrame([(1, long.decode()), (2, other.decode())], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.remove_repeats(table).collect()}
+    assert got == {1: (400, 1, long.replace(passage, b"")), 2: (400, 1, other.replace(passage, b""))}
+    units, _, offset = substring_dedup._units([long], 200)
+    unit, key, place, x, windows = substring_dedup.segments(units)
+    assert x.min() >= 0 and x.max() <= 200 - 64 and windows.sum() == len(long) - 199
+    first = offset[unit] + place
+    assert (first[1:] == first[:-1] + windows[:-1]).all()  # every window in one segment
+
+
 def test_only_empty_texts(spark, tmp_path):
     d = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     slim = d.select("doc_id", "text")
