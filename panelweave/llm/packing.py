@@ -2,10 +2,11 @@
 
 Documents become ids of a public byte-level BPE plus an end id, and pieces of at most ``capacity``; only longer
 documents are cut, and their first piece takes the remainder so all others are full. Pieces are dealt to groups of
-about GROUP_PIECES by a hash (no key can gather in one), and each group is packed by branch and bound: the largest
-piece left is completed by undominated fillings, branches die when their waste exceeds what a better packing may
-waste, and best-fit decreasing gives the incumbent. The search ends at the lower bound or after NODES nodes and then
-returns the incumbent; the waste bound is per group, so what groups cost together is under one sequence each.
+about GROUP_PIECES by a hash (no key can gather in one), and each group is packed by branch and bound: full pieces and
+pairs that fill a bin are taken out, the largest piece left is completed by undominated fillings (all of them, fullest
+first, made one by one), branches die when their waste exceeds what a better packing may waste, and best-fit decreasing
+gives the incumbent. The search ends at the lower bound, when nothing is left, or after STEPS_A_BIN steps back for each
+bin (the first dive takes none), with the best packing found; dominated fillings met count as steps.
 
 Ids: the vocabulary is read from the `tokenizers` file and applied by `tiktoken` with the same ranks (equal ids, five
 times as fast; a test compares them); texts that hold the special token's string go through `tokenizers` itself.
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, materialise
 
-CAPACITY, END_ID, GROUP_PIECES, NODES = 2048, 0, 8192, 2000
+CAPACITY, END_ID, GROUP_PIECES, STEPS_A_BIN = 2048, 0, 8192, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -96,39 +98,104 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], counts: dict[int, int], space: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``space`` with up to three pieces (a longer filling grows from their rest in the next
-    call of ``complete``), fullest first. One piece that fits as well dominates any set of the same sum."""
-    found: dict[int, tuple[int, ...]] = {}
+def dominated(filling: tuple[int, ...], space: int, sizes: list[int], counts: dict[int, int]) -> bool:
+    """Whether one piece left over fits besides, or in place of some of these whose sum it has at least. Then the other
+    filling is never worse (Martello and Toth), and whatever set dominates this one, such a piece is in it."""
+    one = several = 0  # sums of one of the pieces, of two or more: bit sets
+    for x in filling:
+        several |= several << x | one << x
+        one |= 1 << x
+    slack = space - sum(filling)
+    for x in sizes[: bisect_right(sizes, space)]:
+        if counts[x] > filling.count(x):
+            low = max(0, x - slack)
+            if x <= slack or several >> low & ((1 << x - low + 1) - 1) or one >> low & ((1 << x - low) - 1):
+                return True
+    return False
+
+
+def fillings(sizes: list[int], counts: dict[int, int], space: int, least: Callable[[], int] = lambda: 0, rejected: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, ...]]:
+    """Every undominated way to fill ``space``, fullest first, then the fewest pieces, then the largest; made as they are
+    asked for. It ends below a sum of ``least()``, or when ``rejected()``, called for each dominated one, is false. The
+    first is found without a step back. ``sizes`` and ``counts`` must be as they were whenever the next one is asked for."""
     k = bisect_right(sizes, space)
     if not k:
-        return [()]
-    found[sizes[k - 1]] = (sizes[k - 1],)
-    for i in range(k - 1, -1, -1):
-        a = sizes[i]
-        j = bisect_right(sizes, min(a, space - a))
-        while j and counts[sizes[j - 1]] < 1 + (sizes[j - 1] == a):
-            j -= 1
-        if j:
-            found.setdefault(a + sizes[j - 1], (a, sizes[j - 1]))
-        if space in found or len(found) >= 4 * most:
-            break
-    best = sorted(found.values(), key=lambda f: (-sum(f), len(f)))
-    top = sum(best[0])
-    return [best[0]] if top == space else best[:most]
-
-
-def pack(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+        yield ()
+        return
+    if sizes[k - 1] == space:  # dominates all others
+        yield (space,)
+        return
+
+    def pairs(total: int) -> Iterator[tuple[int, ...]]:
+        if total in counts and counts[total] > 0:
+            yield (total,)
+        for i in range(bisect_right(sizes, total) - 1, -1, -1):
+            a = sizes[i]
+            b = total - a
+            if b > a:
+                return
+            if counts.get(b, 0) > (a == b):
+                yield (a, b)
+
+    for f in pairs(space):
+        yield f  # no piece left has the sum of both, and none is left over
+    reach: list[int] = []  # bit sets: sums of pieces of the sizes up to each
+    for x in sizes[:k]:
+        r, n, m = reach[-1] if reach else 1, min(counts[x], space // x), 1
+        while n:
+            m = min(m, n)
+            r |= r << m * x
+            n -= m
+            m *= 2
+        reach.append(r & ((2 << space) - 1))
+
+    def sets(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        """Sets of the sizes before the i-th, largest first; never a step without a result."""
+        if not total:
+            yield ()
+        for j in range(min(i, bisect_right(sizes, total)) - 1, -1, -1):
+            if not reach[j] >> total & 1:
+                return
+            x, below = sizes[j], reach[j - 1] if j else 1
+            for n in range(min(counts[x], total // x), 0, -1):
+                if below >> total - n * x & 1:
+                    for rest in sets(j, total - n * x):
+                        yield (x,) * n + rest
+
+    left = reach[-1]
+    while left:
+        total = left.bit_length() - 1
+        left ^= 1 << total
+        for f in chain(pairs(total) if total < space else (), (f for f in sets(k, total) if len(f) != 1 and len(f) != 2)):
+            if total < least():
+                return
+            if not dominated(f, space, sizes, counts):
+                yield f
+            elif not rejected():
+                return
+
+
+def pack(lengths: list[int], capacity: int = CAPACITY, steps: int | None = None) -> list[list[int]]:
     """Bin completion: depth-first over fillings of the bin that holds the largest piece left."""
     incumbent = best_fit(lengths, capacity)
     bound = -(-sum(lengths) // capacity)
     if len(incumbent) <= bound:
         return incumbent
-    total, budget = sum(lengths), [nodes]
     counts: dict[int, int] = {}
     for x in lengths:
         counts[x] = counts.get(x, 0) + 1
-    sizes = sorted(counts)
+    # Full pieces, and pairs that fill a bin: some best packing has them so.
+    fixed = []
+    for x in sorted(counts):
+        pair = [x] if x == capacity else [x, capacity - x]
+        n = counts[x] // 2 if 2 * x == capacity else min(counts[x], counts.get(pair[-1], 0))
+        fixed += [list(pair) for _ in range(n)]
+        for y in pair:
+            if n:
+                counts[y] -= n
+    sizes = sorted(x for x, n in counts.items() if n)
+    waste = capacity * (len(incumbent) - 1) - sum(lengths)  # what a better packing may waste
+    left = STEPS_A_BIN * len(incumbent) if steps is None else steps
 
     def take(x: int, n: int) -> None:
         counts[x] = counts.get(x, 0) - n
@@ -137,60 +204,46 @@ def pack(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> li
         elif counts[x] == -n:
             insort(sizes, x)
 
-    def complete() -> list[int]:
-        """A bin around the largest piece, filled greedily by the fullest fillings; its pieces, taken."""
-        out = [sizes[-1]]
-        take(sizes[-1], 1)
-        return out
+    def step() -> bool:
+        nonlocal left
+        left -= 1
+        return left > 0
 
     done: list[list[int]] = []
-    stack: list[tuple[list[list[int]], int]] = []  # choices left at each depth, the waste above it
-    wasted = 0
-
-    def choices() -> list[list[int]]:
-        first = complete()[0]
-        options = []
-        for f in fillings(sizes, counts, capacity - first):
-            whole = [first, *f]
-            for x in f:
-                take(x, 1)
-            rest, more = capacity - sum(whole), []
-            while rest and sizes and sizes[0] <= rest:  # what small pieces still fill
-                x = sizes[bisect_right(sizes, rest) - 1]
-                take(x, 1)
-                more.append(x)
-                rest -= x
-            options.append([*whole, *more])
-            for x in (*f, *more):
+    stack: list[tuple[Iterator[tuple[int, ...]], int, int]] = []  # choices left at each depth, its largest piece, the waste above it
+    wasted, fresh = 0, True
+    while True:
+        if fresh:
+            if not sizes:
+                if len(fixed) + len(done) < len(incumbent):
+                    incumbent = [*fixed, *done]
+                    waste = capacity * (len(incumbent) - 1) - sum(lengths)
+                if len(incumbent) <= bound:
+                    break
+            elif len(fixed) + len(done) + 1 < len(incumbent):
+                first, above = sizes[-1], wasted
+                take(first, 1)
+                space = capacity - first
+                stack.append((fillings(sizes, counts, space, lambda least=space + above: least - waste, step), first, above))
+        if not stack:
+            break
+        options, first, above = stack[-1]
+        again = len(done) == len(stack)
+        if again:  # back from the branch below: undo its bin
+            for x in done.pop()[1:]:
                 take(x, -1)
-        take(first, -1)
-        return sorted(options, key=sum)
-
-    while budget[0] > 0:
-        if not sizes:
-            if len(done) < len(incumbent):
-                incumbent = [list(b) for b in done]
-            if len(incumbent) <= bound:
-                break
-        elif len(done) + 1 < len(incumbent):
-            stack.append((choices(), wasted))
-        while stack:
-            options, above = stack[-1]
-            if len(done) == len(stack):  # back from the branch below: undo its bin
-                for x in done.pop():
-                    take(x, -1)
-            allowed = (len(incumbent) - 1) * capacity - total
-            if options and above + capacity - sum(options[-1]) <= allowed:
-                b = options.pop()
-                for x in b:
-                    take(x, 1)
-                done.append(b)
-                wasted = above + capacity - sum(b)
-                budget[0] -= 1
-                break
+        f = next(options, None)
+        fresh = f is not None and above + capacity - first - sum(f) <= waste
+        if not fresh:
+            take(first, -1)
             stack.pop()
-        else:
+        elif again and not step():
             break
+        else:
+            for x in f:
+                take(x, 1)
+            done.append([first, *f])
+            wasted = above + capacity - first - sum(f)
     return incumbent
 
 

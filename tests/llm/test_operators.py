@@ -222,6 +222,47 @@ def test_bin_completion_beats_best_fit():
     assert packing.pack([], 10) == []
 
 
+def _dominates(a, b):
+    """Whether the pieces of b fit into bins of the sizes a."""
+    return not b or any(x >= b[0] and _dominates(sorted([*a[:i], x - b[0], *a[i + 1 :]]), b[1:]) for i, x in enumerate(a))
+
+
+def test_fillings_are_all_the_undominated_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        pieces = rng.integers(1, 20, rng.integers(0, 8)).tolist()
+        space = int(rng.integers(1, 40))
+        sets = {tuple(sorted((x for i, x in enumerate(pieces) if k >> i & 1), reverse=True)) for k in range(1 << len(pieces))}
+        sets = {s for s in sets if sum(s) <= space}
+        want = {b for b in sets if not any(a != b and _dominates(a, b) for a in sets)}
+        got = list(packing.fillings(sorted(set(pieces)), Counter(pieces), space))
+        assert sorted(got) == sorted(want) and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def _fewest(pieces, capacity):
+    """Number of bins, by brute force."""
+
+    def go(i, rooms):
+        if i == len(pieces):
+            return len(rooms)
+        new = go(i + 1, (*rooms, capacity - pieces[i]))
+        return min([new, *(go(i + 1, (*rooms[:k], r - pieces[i], *rooms[k + 1 :])) for k, r in enumerate(rooms) if r >= pieces[i])])
+
+    return go(0, ())
+
+
+def test_packing_is_optimal_or_reaches_the_bound_of_a_whole_group():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        cap = int(rng.integers(8, 40))
+        x = rng.integers(1, cap + 1, rng.integers(1, 8)).tolist()
+        assert len(packing.pack(x, cap)) == _fewest(x, cap)
+    x = np.random.default_rng(2).integers(1, 1600, packing.GROUP_PIECES).tolist()
+    b = packing.pack(x)
+    assert sorted(v for p in b for v in p) == sorted(x) and max(map(sum, b)) <= packing.CAPACITY
+    assert len(b) == -(-sum(x) // packing.CAPACITY) < len(packing.best_fit(x, packing.CAPACITY))
+
+
 def test_packing_empty(none):
     assert packing.pack_documents(none).count() == 0
 
