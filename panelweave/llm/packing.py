@@ -8,11 +8,16 @@ first, made one by one), branches die when their waste exceeds what a better pac
 gives the incumbent. The search ends at the lower bound, when nothing is left, or after STEPS_A_BIN steps back for each
 bin (the first dive takes none), with the best packing found; dominated fillings met count as steps.
 
+What groups leave unfilled is packed in further rounds: bins with room are taken apart and their pieces dealt to fewer
+groups, as long as that halves what is left, so the loss is a bin a table rather than a bin a group.
+
 Ids: the vocabulary is read from the `tokenizers` file and applied by `tiktoken` with the same ranks (equal ids, five
-times as fast; a test compares them); texts that hold the special token's string go through `tokenizers` itself.
+times as fast; a test compares them); texts that hold the special token's string, and texts whose runs of blanks
+(about a million) are too long for tiktoken's patterns, go through `tokenizers` itself.
 
-Nulls: a null text is empty and gives the end id alone; a null doc_id stays null. Repeated rows are packed each. An
-empty table gives no rows. Other columns are ignored.
+Nulls: a null text is empty and gives the end id alone; a null doc_id stays null. Repeated rows are packed each, equal
+lengths are interchangeable. An empty table gives no rows. Very long texts are encoded whole, one at a time. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, materialise
 
-CAPACITY, END_ID, GROUP_PIECES, STEPS_A_BIN = 2048, 0, 8192, 4
+CAPACITY, END_ID, GROUP_PIECES, STEPS_A_BIN, MOST_ROUNDS = 2048, 0, 8192, 4, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,7 +62,12 @@ class Encoder:
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        try:
+            return self.fast.encode_ordinary(text)
+        except BaseException as e:  # a panic of its pattern engine is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -247,28 +258,57 @@ def pack(lengths: list[int], capacity: int = CAPACITY, steps: int | None = None)
     return incumbent
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Groups hold about group_pieces pieces each, whatever the table's size."""
-    n = pieces.count()
-    groups = max(1, -(-n // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
+PLACED = ["sequence_id", "offset", "_room"]
+
+
+def _round(pieces: DataFrame, number: int, groups: int, capacity: int) -> DataFrame:
+    """``pieces`` packed once: with sequence_id, offset and _room, what the sequence has left. Pieces of an earlier
+    round come by whole sequences, and a group stays as it was unless it gets fewer."""
+    again = "sequence_id" in pieces.columns
+    own = [c for c in pieces.columns if c not in PLACED]
+    by = ["sequence_id"] if again else ["doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()]
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(groups)))
 
     def work(key, table):
         lengths = table.column("length").to_numpy()
         waiting: dict[int, list[int]] = {}
         for i, x in enumerate(lengths.tolist()):
             waiting.setdefault(x, []).append(i)
-        sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        for b, content in enumerate(pack(lengths.tolist(), capacity)):
-            at = 0
+        bins = pack(lengths.tolist(), capacity)
+        if again and len(bins) >= len(table.column("sequence_id").unique()):
+            return table.drop_columns(["_group"])
+        sequence, offset, room = (np.empty(len(lengths), np.int64) for _ in range(3))
+        for b, content in enumerate(bins):
+            at, free = 0, capacity - sum(content)
             for x in content:
                 i = waiting[x].pop()
-                sequence[i], offset[i] = key[0].as_py() + b * groups, at
+                sequence[i], offset[i], room[i] = (key[0].as_py() + b * groups) * MOST_ROUNDS + number, at, free
                 at += x
-        return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        out = table.select(own)
+        for name, column in zip(PLACED, (sequence, offset, room), strict=True):
+            out = out.append_column(name, pa.array(column))
+        return out
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInArrow(work, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in own)
+    return dealt.groupBy("_group").applyInArrow(work, schema + "".join(f", {c} long" for c in PLACED))
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``pieces`` with sequence_id and offset. Groups hold about group_pieces pieces each, whatever the table's size."""
+    n, done = pieces.count(), []
+    for number in range(MOST_ROUNDS):
+        groups = max(1, -(-n // group_pieces))
+        packed = _round(pieces, number, groups, capacity)
+        left = 0
+        if groups > 1:
+            packed = materialise(packed, "packed")
+            left = packed.where(F.col("_room") > 0).count()
+        if not 0 < left <= n // 2:
+            done.append(packed)
+            break
+        done.append(packed.where(F.col("_room") == 0))
+        pieces, n = packed.where(F.col("_room") > 0), left
+    return reduce(DataFrame.unionByName, done).drop("_room")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

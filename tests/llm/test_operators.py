@@ -189,6 +189,11 @@ def test_encoder_equals_tokenizers(encoder):
         assert encoder(t) == encoder.slow.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_two_million_blanks(encoder):
+    for t in (" " * 2_000_000, "a" + "\n \t" * 700_000 + "b"):
+        assert encoder(t) == encoder.slow.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [16, 2048])
 def test_packing_round_trip(docs, encoder, capacity):
     got = packing.pack_documents(docs, capacity=capacity).collect()
@@ -263,6 +268,43 @@ def test_packing_is_optimal_or_reaches_the_bound_of_a_whole_group():
     assert len(b) == -(-sum(x) // packing.CAPACITY) < len(packing.best_fit(x, packing.CAPACITY))
 
 
+def _optimum(pieces, capacity):
+    """Number of bins, by dynamic programming over subsets: (bins, filled part of the last) is least."""
+    best = [(0, capacity)] * (1 << len(pieces))
+    for mask in range(1, len(best)):
+        found = (len(pieces) + 1, 0)
+        for i, x in enumerate(pieces):
+            if mask >> i & 1:
+                bins, used = best[mask ^ 1 << i]
+                found = min(found, (bins, used + x) if used + x <= capacity else (bins + 1, x))
+        best[mask] = found
+    return best[-1][0]
+
+
+def test_packing_is_optimal_on_twelve_pieces():
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        cap = int(rng.integers(20, 60))
+        x = rng.integers(3, cap // 2 + 4, int(rng.integers(9, 13))).tolist()
+        assert len(packing.pack(x, cap)) == _optimum(x, cap)
+    beaten = [([20, 18, 15, 13, 14, 17, 22, 8, 5, 26, 16], 45), ([6, 6, 5, 4, 4, 4, 3, 3, 2, 2, 1], 10)]
+    assert len(packing.pack(*beaten[0])) == 4 < len(packing.best_fit(*beaten[0]))
+
+
+def test_packing_rounds_take_up_what_groups_leave(spark):
+    lengths = np.random.default_rng(5).integers(1, 900, 9000).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], packing.PIECES)
+    got = packing.pack_pieces(pieces, group_pieces=1000).collect()
+    assert sorted(r.length for r in got) == sorted(lengths) and len({r.doc_id for r in got}) == 9000
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= packing.CAPACITY
+    assert len(used) <= -(-sum(lengths) // packing.CAPACITY) + 1
+
+
 def test_packing_empty(none):
     assert packing.pack_documents(none).count() == 0
 
