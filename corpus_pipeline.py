@@ -14,8 +14,8 @@ from panelweave.llm import _shared, decontamination, jaccard_join, language_id,
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; letterless texts and narrow margins go."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    judged = language_id.identify(_shared.packed(docs, "text"), model)
-    return _shared.unpacked(judged.where(~F.col("_rejected")), docs.columns)
+    judged = language_id.identify(docs, model)
+    return _shared.unpacked(judged.where(~F.col("rejected")), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    rows = jaccard_join.one_of_each(_shared.packed(docs, "doc_id", "text"))
-    return _shared.unpacked(rows, docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _shared.documents(spark, sf_dir)
+    docs, before = _shared.documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = _shared.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = _shared.new_path(spark, f"pipeline-{name}")
+        with _shared.scratch(spark):  # what a stage wrote for itself goes once its result is written
+            docs = _shared.materialise(stage(spark, docs, sf_dir), name, path=path)
+        if before:
+            _shared.discard(spark, before)
+        before = path
     return docs

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,25 +17,34 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a temporary one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary
+    folder of its own, which on a cluster would be each machine's."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="panelweave-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None, batch_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None, batch_rows: int | None = None, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later plans start from the files,
     so lost executors cost nothing upstream and no branch computes it twice. ``batch_rows``: rows in an Arrow batch
     while it is written, where rows are large."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -64,11 +75,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, and every column once more inside _row: nothing an operator adds can clash with it."""
-    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+INPUTS = ("doc_id", "text")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text as they are (as far as there), all other columns inside the struct _row (absent if there are
+    none): nothing an operator adds can clash with them."""
+    inputs, rest = [c for c in INPUTS if c in docs.columns], [c for c in docs.columns if c not in INPUTS]
+    return docs.select(*inputs, *([F.struct(*rest).alias("_row")] if rest else []))
 
 
 def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns of _row, some of them replaced."""
-    return df.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in columns))
+    """The columns again, some of them replaced."""
+    return df.select(*(new.get(c, F.col(c) if c in INPUTS else F.col("_row").getField(c)).alias(c) for c in columns))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end: what is kept must have been written outside or read."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)

@@ -1,15 +1,20 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A run is a table of (line hash, documents that hold it, largest holder), bucketed and sorted by hash. Documents
-arrive in batches; each batch is reduced to one row a hash, merge-anti-joined with every run (co-bucketed, so no
-exchange) to tell first holders from later ones, and added as a run of level 0. When a level has ``fanout`` runs
-they are compacted into one of the next level. Batches go by falling doc_id, so a hash's first batch has its keeper.
+A run is a table of (line hash, its keeper), bucketed and sorted by hash. Documents arrive in batches by falling
+doc_id; each batch is reduced to one row a hash and merge-anti-joined with every run (co-bucketed, so no exchange), and
+only hashes that no run has are added, as a run of level 0: each hash stands in one run, with the largest doc_id that
+holds it. Numbers of documents are kept beside the runs, one sorted table a batch. When a level has ``fanout`` runs they
+are compacted into one of the next level.
 
-Lines are identified by two 64-bit hashes (128 bits). Everything is DataFrame expressions.
+A text is split once: every line that is long enough is a row of (hash, place in the document). Which lines go comes
+back as places, so a document's lines are never compared with its dropped keys one by one.
+
+Lines are identified by two 64-bit hashes (128 bits), rows by doc_id and a hash of the text (rows equal in both lose
+the same lines). Everything is DataFrame expressions.
 
 Nulls and ties: a null or empty text is one empty line; each row counts as a document, repeated rows too; a null
 doc_id is below every other, and all rows with the keeper's doc_id keep their lines. An empty table gives an empty
-result. Other columns pass through.
+result. Long texts are one row each, their work linear in their lines. Other columns come back inside _row, untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._shared import BLANKS, ascii_lower, discard, documents, materialise, new_path, packed, unpacked
 
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
+MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
 
 def _text(c: str = "text") -> Column:
@@ -36,106 +41,125 @@ def _key(line: Column) -> Column:
     return ascii_lower(F.trim(line, F.lit(BLANKS)))
 
 
-def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x5EED), key).alias("h2"))
+def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, t, h1, h2, place, first: each line that is long enough; ``first`` of its key in its document."""
+    keys = F.transform(_lines(_text()), lambda line, i: F.struct(_key(line).alias("key"), i.alias("place")))
+    long = F.filter(keys, lambda x: F.char_length(x["key"]) >= min_chars)
+    hashed = F.transform(long, lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(0x5EED), x["key"]).alias("h2"), x["place"].alias("place")))
 
+    def mark(a: Column) -> Column:  # equal keys are neighbours
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(a, i - 1)
+            again = (before["h1"] == x["h1"]) & (before["h2"] == x["h2"])
+            return F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["place"].alias("place"), (~F.coalesce(again, F.lit(False))).alias("first"))
 
-def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, h1, h2: each key of a document that is long enough, once."""
-    keys = F.filter(F.transform(_lines(_text()), _key), lambda k: F.char_length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, _hash))
-    return docs.select("doc_id", F.explode(hashes).alias("h")).select("doc_id", "h.h1", "h.h2")
+        return F.transform(a, one)
+
+    marked = F.transform(F.array(F.array_sort(hashed)), mark)[0]
+    return docs.select("doc_id", F.xxhash64(_text()).alias("t"), F.explode(marked).alias("x")).select("doc_id", "t", "x.*")
 
 
 class LineRuns:
-    """The levels of runs. Tables lie in the shared folder; the session's catalog only knows their bucketing."""
+    """Levels of runs (h1, h2, keeper) and of counts (h1, h2, n_docs). Tables lie in the shared folder; the session's
+    catalog only knows their bucketing."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, {}
+        self.spark, self.fanout, self.runs, self.counts, self.schema = spark, fanout, {}, {}, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _store(self, run: DataFrame, level: int) -> None:
+    def _store(self, table: DataFrame, levels: dict, level: int) -> DataFrame:
         name, path = f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "line-run")
-        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
-        self.schema = run.schema
-        self.levels.setdefault(level, []).append((name, path))
+        table.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        self.schema[id(levels)] = table.schema
+        levels.setdefault(level, []).append((name, path))
+        return self.spark.table(name)
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for _, runs in sorted(self.levels.items()) for name, _ in runs]
+    def _all(self, levels: dict) -> DataFrame:
+        """By path, not by table: a union of bucketed scans may be taken as partitioned when it isn't."""
+        return self.spark.read.schema(self.schema[id(levels)]).parquet(*[path for _, tables in sorted(levels.items()) for _, path in tables])
 
-    def absorb(self, pairs: DataFrame) -> None:
-        """Take in one batch of (doc_id, h1, h2)."""
-        batch = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        seen = F.lit(False)
-        for i, run in enumerate(self.tables()):
-            batch = batch.join(run.select("h1", "h2", F.lit(True).alias(f"s{i}")), ["h1", "h2"], "left")
-            seen = seen | F.coalesce(F.col(f"s{i}"), F.lit(False))
-        self._store(batch.select("h1", "h2", "n_docs", F.when(~seen, F.col("keeper")).alias("keeper"), (~seen).alias("first")), 0)
+    def _drop(self, tables: list[tuple[str, str]]) -> None:
+        for name, path in tables:
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, path)
+
+    def _compact(self, levels: dict) -> None:
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
-            spent = self.levels.pop(level)
-            self._store(self._merge(spent), level + 1)
-            for name, path in spent:
-                self.spark.sql(f"DROP TABLE {name}")
-                discard(self.spark, path)
+        while len(levels.get(level, [])) >= self.fanout:
+            spent = {level: levels[level]}
+            self.schema[id(spent)] = self.schema[id(levels)]
+            both = self._all(spent)
+            if levels is self.counts:
+                both = both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+            del levels[level]
+            self._store(both, levels, level + 1)
+            self._drop(spent[level])
             level += 1
 
-    def _merge(self, runs: list[tuple[str, str]]) -> DataFrame:
-        # By path, not by table: a union of bucketed scans may be taken as partitioned when it isn't.
-        both = self.spark.read.schema(self.schema).parquet(*[path for _, path in runs])
-        return both.groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("first").alias("first")
-        )
-
-    def merged(self) -> DataFrame:
-        runs = [run for _, runs in sorted(self.levels.items()) for run in runs]
-        return self.spark.read.schema(self.schema).parquet(runs[0][1]) if len(runs) == 1 else self._merge(runs)
-
-
-def repeated_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
-    """doc_id, dropped: the hashes whose lines each document loses."""
+    def absorb(self, pairs: DataFrame) -> None:
+        """Take in one batch of pairs. Later batches must hold smaller doc_ids."""
+        batch = pairs.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        batch = self._store(batch, self.counts, 0)
+        fresh = batch.select("h1", "h2", "keeper")
+        for _, tables in sorted(self.runs.items()):
+            for name, _ in tables:
+                fresh = fresh.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._store(fresh, self.runs, 0)
+        self._compact(self.runs)
+        self._compact(self.counts)
+
+    def common(self, min_docs: int) -> DataFrame:
+        """h1, h2, keeper of the hashes that stand in ``min_docs`` documents or more."""
+        many = self._all(self.counts).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+        return self._all(self.runs).join(many.select("h1", "h2"), ["h1", "h2"])
+
+    def close(self) -> None:
+        for levels in (self.runs, self.counts):
+            for tables in levels.values():
+                self._drop(tables)
+            levels.clear()
+
+
+def dropped_lines(docs: DataFrame, min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
+    """doc_id, t, dropped: the places of the lines each document loses."""
     spark = docs.sparkSession
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
     number = F.lit(0)
-    for c in sorted(set(cuts)):
+    for c in cuts:
         number = number + F.when(F.col("doc_id") <= c, 1).otherwise(0)
-    number = F.when(F.col("doc_id").isNull(), len(set(cuts))).otherwise(number).cast("int")
+    number = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(number).cast("int")
     pairs = materialise(line_pairs(docs, min_chars).withColumn("batch", number), "line-pairs", ["batch"])
     runs = LineRuns(spark, fanout)
-    for b in range(len(set(cuts)) + 1):
+    for b in range(len(cuts) + 1):
         runs.absorb(pairs.where(F.col("batch") == b).drop("batch"))
-    hot = runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    return (
-        pairs.join(hot, ["h1", "h2"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("dropped"))
-    )
+    common = materialise(runs.common(min_docs), "common-lines")
+    runs.close()
+    lost = pairs.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return lost.groupBy("doc_id", "t").agg(F.collect_set("place").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with n_lines (before), n_dropped and kept_text beside its own columns."""
-    lost = repeated_lines(docs, **params).select(F.col("doc_id").alias("_lost_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost_id"]), "left").drop("_lost_id")
-    lines, min_chars = _lines(_text()), params.get("min_chars", MIN_CHARS)
+    """doc_id, text, _row (all other columns), n_lines (before), n_dropped, kept_text."""
+    lost = dropped_lines(docs.select("doc_id", "text"), **params).select(F.col("doc_id").alias("lost_id"), "t", "dropped")
+    marked = packed(docs).withColumn("t", F.xxhash64(_text()))
+    joined = marked.join(lost, marked["doc_id"].eqNullSafe(lost["lost_id"]) & (marked["t"] == lost["t"]), "left").drop("lost_id", "t")
 
-    def stays(line: Column) -> Column:
-        key = _key(line)
-        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("_dropped"), _hash(key)))
+    def left(lines: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped")), lambda i: F.get(lines, i))
 
-    kept = F.when(F.col("_dropped").isNotNull(), F.filter(lines, stays))
+    kept = F.array_join(F.transform(F.array(_lines(_text())), left)[0], "\n")
     return (
-        joined.withColumn("_kept", kept)
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("_kept").isNull(), _text()).otherwise(F.array_join("_kept", "\n")))
-        .drop("_kept", "_dropped")
+        joined.withColumn("n_lines", F.size(_lines(_text())).cast("long"))
+        .withColumn("n_dropped", F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long"))
+        .withColumn("kept_text", F.when(F.col("dropped").isNull(), _text()).otherwise(kept))
+        .drop("dropped")
     )
 
 
 def without_repeated_lines(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with repeated lines dropped from text (a null text stays null), n_chars kept right if there is one."""
-    out = dedup_lines(packed(docs, "doc_id", "text"), **params)
+    out = dedup_lines(docs, **params)
     fewer = F.col("n_dropped") > 0
     new = {"text": F.when(fewer, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -151,7 +151,7 @@ def test_license_notices_are_told_apart():
 # ---------------------------------------------------------------- op3
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (3, 2), (4, 4)])
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (5, 3)])
 def test_line_dedup(docs, batches, fanout):
     key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
     data = [(r[0], (r[1] or "").split("\n")) for r in rows()]
@@ -162,11 +162,45 @@ def test_line_dedup(docs, batches, fanout):
                 held[k].append(i)
     keeper = {k: max(x for x in v if x is not None) if any(x is not None for x in v) else None for k, v in held.items() if len(v) >= 5}
     want = sorted((-1 if i is None else i, len(lines), "\n".join(x for x in lines if key(x) not in keeper or keeper[key(x)] == i)) for i, lines in data)
-    got = line_dedup.dedup_lines(docs.select("doc_id", "text"), batches=batches, fanout=fanout).collect()
+    got = line_dedup.dedup_lines(docs, batches=batches, fanout=fanout).collect()
+    assert {r._row.n_lines for r in got} == {7}
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.kept_text) for r in got) == want
     assert sum(r.n_dropped for r in got) >= 7
 
 
+class _Blind(line_dedup.LineRuns):
+    """Runs that take in every hash of a batch, as they would without the anti-join."""
+
+    def absorb(self, pairs):
+        batch = pairs.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+        self._store(self._store(batch, self.counts, 0).select("h1", "h2", "keeper"), self.runs, 0)
+
+
+def test_runs_hold_each_hash_once_and_have_levels(spark):
+    data = [(i, f"{LINE} {i % 7}\n{LINE}\n{LINE}") for i in range(40)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    pairs = line_dedup.line_pairs(d)
+    assert pairs.count() == 120 and pairs.where("first").count() == 80
+    for kind, once in ((line_dedup.LineRuns, True), (_Blind, False)):
+        runs, levels = kind(spark, 2), set()
+        for b in range(4):
+            runs.absorb(pairs.where((F.col("doc_id") <= 39 - 10 * b) & (F.col("doc_id") > 29 - 10 * b)))
+            levels |= set(runs.runs)
+        common = runs.common(5).collect()
+        assert (len(common) == len({(r.h1, r.h2) for r in common}) == 8 and levels == {0, 1, 2}) is once
+        if once:
+            assert sorted(r.keeper for r in common) == [33, 34, 35, 36, 37, 38, 39, 39]
+        runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line number {i % 3000} of a text that is very long indeed" for i in range(200_000)]
+    d = spark.createDataFrame([(i, "\n".join(lines if i == 2 else lines[:3000])) for i in range(6)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(d).collect()}
+    assert got == {**{i: (3000, 3000) for i in range(6)}, 2: (200_000, 200_000), 5: (3000, 0)}
+
+
 def test_line_dedup_stage_keeps_columns(docs, none):
     out = line_dedup.without_repeated_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -318,12 +352,33 @@ def test_language_id(spark, docs, none):
     data = [(i, " ".join(rng.choice(words[lang := ("aa", "bb")[i % 2]], 30)) + ".", lang, "s", None) for i in range(200)]
     table = spark.createDataFrame([*data, (900, None, "aa", None, None), (901, "12 !", "bb", None, None), (None, "bora kinu", None, None, None)], SCHEMA)
     got = {r.doc_id: r for r in language_id.identify(table, language_id.fit(table)).collect()}
-    assert sum(got[i]._lang_pred == lang for i, _, lang, *_ in data) >= 198
-    assert got[900]._lang_pred == got[901]._lang_pred == "und" and got[900]._rejected and got[901]._rejected and got[None]._lang_pred == "aa"
-    assert all(0 <= r._score <= 1 for r in got.values())
+    assert sum(got[i].lang_pred == lang for i, _, lang, *_ in data) >= 198
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[900].rejected and got[901].rejected and got[None].lang_pred == "aa"
+    assert all(0 <= r.score <= 1 for r in got.values())
     assert language_id.fit(none) == {}
-    free = {r.doc_id: r._rejected for r in language_id.identify(docs.select("doc_id", "text"), {}).collect()}
-    assert free[10] is False and free[1] is True
+    free = {r.doc_id: r for r in language_id.identify(docs, {}).collect()}
+    assert free[10].rejected is False and free[1].rejected is True and free[10].score == 0 and free[10]._row.score == 7
+
+
+def test_dictionaries_come_from_whole_texts(spark):
+    assert language_id.spread(b"abc", 9) == b"abc" and language_id.spread(bytes(range(100)), 8, 2) == bytes([0, 1, 32, 33, 65, 66, 98, 99])
+    header = "zzz qqq " * 100  # all texts begin alike
+    data = [(i, header + ("bora kinu talo " if i % 2 else "schrift trend plank ") * 60, ("aa", "bb")[1 - i % 2]) for i in range(80)]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert b"talo" in model["aa"][1] and b"plank" in model["bb"][1] and all(len(d) <= language_id.DICT_BYTES for _, d in model.values())
+    judge = language_id.Classifier(model).judge
+    assert judge(b"kinu talo bora") [0] == "aa" and judge(b"plank schrift trend")[0] == "bb"
+
+
+def test_language_id_query_is_accurate(spark, data):
+    """Held-out accuracy on the whole table; every column of the contract."""
+    told = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = language_id.op5_language_id(spark, data).collect()
+    assert len(got) == len(told) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert {r.lang_pred for r in got} <= {lang for lang, _ in told.values()} | {"und"}
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, told[r.doc_id][1] or ""))) for r in got)
+    held = [r for r in got if r.held_out and r.lang_pred != "und"]
+    assert sum(r.lang_pred == told[r.doc_id][0] for r in held) >= 0.97 * len(held)
 
 
 def test_held_out_rule(spark):
@@ -538,7 +593,7 @@ def test_only_empty_texts(spark, tmp_path):
     assert {r._n_words for r in license_scan.scan_licenses(slim).collect()} == {0}
     assert {r.kept_text for r in line_dedup.dedup_lines(slim).collect()} == {""}
     assert {r.length for r in packing.pack_documents(slim).collect()} == {1}
-    assert {r._lang_pred for r in language_id.identify(slim, language_id.fit(d)).collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.identify(slim, language_id.fit(d)).collect()} == {"und"}
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert {r._n_words for r in decontamination.find_contamination(slim, bench).collect()} == {0}
     assert sharding.shard_documents(slim)[0].count() == 4
