@@ -56,7 +56,8 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return F.transform(a, one)
 
     marked = F.transform(F.array(F.array_sort(hashed)), mark)[0]
-    return docs.select("doc_id", F.xxhash64(_text()).alias("t"), F.explode(marked).alias("x")).select("doc_id", "t", "x.*")
+    # First the text's hash, once, then the rows.
+    return docs.select("doc_id", F.xxhash64(_text()).alias("t"), marked.alias("a")).select("doc_id", "t", F.explode("a").alias("x")).select("doc_id", "t", "x.*")
 
 
 class LineRuns:
