@@ -2,17 +2,21 @@
 
 Rows are dealt by a hash of vec_id to shards of about SHARD_ROWS. A shard projects its vectors on M random lines and
 sorts each line. A query opens a window around its own projection on every line and widens all of them together
-(virtual rehashing: radius R means a half width of w R / 2); a vector that lies in the windows of at least L lines is
-verified by its exact distance. A shard ends when its k-th distance is at most R: a vector within R is then missed
-with probability DELTA at most, and a far one verified with probability BETA. M and L follow from c, DELTA and BETA
-by the usual tail bounds. There is no cap on candidates.
+(virtual rehashing: radius R means a half width of w R / 2); only a vector that lies in the windows of L lines or more is
+verified by its exact distance. A shard ends when k verified vectors lie within R, or all are verified: a vector within R
+is then missed with probability DELTA at most (by far less on average), and one beyond RATIO times R verified with
+probability BETA. M and L follow from RATIO, DELTA and BETA by the usual tail bounds. R begins below the usual distance
+to a k-th neighbour, that of SAMPLE of the shard's own vectors. There is no cap on candidates, and no other way to be one.
 
-Every shard meets the queries in blocks of QUERY_BLOCK and returns k rows a query, so what is sent on is small.
+Every shard meets the queries in blocks of QUERY_BLOCK and returns k rows a query, so what is sent on is small. Vectors
+without structure (all far from each other, as on a sphere of many dimensions) need windows over most of each line for any
+recall worth the name, so work then grows with rows times queries whatever the parameters; the windows' share falls only
+where near ones are much nearer than others.
 
 Vectors that are null, zero, or hold null or non-finite numbers take no part; vectors of another length than the
 query's aren't its candidates; null vec_ids take no part. A vec_id that repeats counts once, at its smallest distance;
 a query that repeats is its smallest vector. Ties go to the smaller vec_id. Empty tables give no rows. Other columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import materialise
 
-SHARD_ROWS, QUERY_BLOCK, RATIO, DELTA, FAR_ROWS, STEP = 8192, 16384, 1.5, 0.06, 200, 1.03
+SHARD_ROWS, QUERY_BLOCK, RATIO, DELTA, FAR_ROWS, STEP, SAMPLE = 16384, 16384, 1.4, 0.5, 800, 1.03, 32
 
 
 def parameters(n: int, c: float = RATIO, delta: float = DELTA, far_rows: int = FAR_ROWS) -> tuple[float, int, int]:
@@ -44,47 +48,41 @@ def parameters(n: int, c: float = RATIO, delta: float = DELTA, far_rows: int = F
 
 
 class CollisionIndex:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
-        self.ids, self.x = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = 10, seed: int = 7):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[order], vectors[order]
         self.w, self.m, self.threshold = parameters(len(ids))
-        self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], self.m))
-        p = (vectors @ self.lines).T
+        rng = np.random.default_rng(seed)
+        self.lines = rng.standard_normal((vectors.shape[1], self.m))
+        p = (self.x @ self.lines).T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         p = np.take_along_axis(p, self.order, axis=1)
         self.least, self.most = float(p.min()), float(p.max())
         self.shift = np.arange(self.m) * (self.most - self.least + 2)
         self.axis = (p - self.least + self.shift[:, None]).ravel()
         self.start = np.arange(self.m) * len(ids)
+        some = [np.sort(self._distances(slice(None), self.x[i])) for i in rng.choice(len(ids), min(SAMPLE, len(ids)), replace=False)]
+        # Of copies the distance is 0, whatever lies beyond them.
+        kth = [x for x in (float(d[min(k, len(d) - 1)]) for d in some) if x > 0]
+        self.first_radius = 0.9 * float(np.median(kth)) if kth else max((self.most - self.least) / self.m, 1e-300)
 
     def _place(self, values: np.ndarray, right: bool) -> np.ndarray:
         """searchsorted on every line at once: all lines lie one after another on one axis."""
         at = np.clip(values, self.least - 0.5, self.most + 0.5) - self.least + self.shift
         return np.searchsorted(self.axis, at, "right" if right else "left") - self.start
 
-    def _distances(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _distances(self, rows: np.ndarray | slice, q: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.x[rows] - q) ** 2).sum(axis=1))
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of the verified vectors that matter, the query's own left out."""
+        """(rows, distances) of the verified vectors, the query's own left out."""
         n = len(self.ids)
-        own = self.ids == query_id
-        allowed = n - int(np.count_nonzero(own))
-        if allowed <= 4 * k:
-            rows = np.flatnonzero(~own)
-            return rows, self._distances(rows, q)
-        at = q @ self.lines
-        mid = self._place(at, False)
-        near = [self.order[i, max(0, a - k) : a + k] for i, a in enumerate(mid[:16].tolist())]
-        tried = np.unique(np.concatenate(near))
-        tried = tried[~own[tried]]
-        dist = self._distances(tried, q)
-        bound = np.partition(dist, k - 1)[k - 1] if len(dist) >= k else math.inf
         done = np.zeros(n, bool)
-        done[tried] = True
-        rows, found = [tried], [dist]
-        counts = np.zeros(n, np.int64)
-        lo, hi = mid.copy(), mid.copy()
-        r = 0.88 * bound if math.isfinite(bound) else max(-self.least, self.most)
+        done[np.searchsorted(self.ids, query_id) : np.searchsorted(self.ids, query_id, "right")] = True
+        at = q @ self.lines
+        lo = self._place(at, False)
+        hi = lo.copy()
+        rows, found, counts, r = [], [], np.zeros(n, np.int64), self.first_radius
         while True:
             new_lo, new_hi = self._place(at - self.w * r / 2, False), self._place(at + self.w * r / 2, True)
             fresh = [self.order[i, a:b] for i, (a, b) in enumerate(zip(new_lo.tolist(), lo.tolist(), strict=True)) if b > a]
@@ -92,14 +90,13 @@ class CollisionIndex:
             if fresh:
                 counts += np.bincount(np.concatenate(fresh), minlength=n)
             lo, hi = np.minimum(lo, new_lo), np.maximum(hi, new_hi)
-            c = np.flatnonzero((counts >= self.threshold) & ~done & ~own)
+            c = np.flatnonzero((counts >= self.threshold) & ~done)
             done[c] = True
             rows.append(c)
             found.append(self._distances(c, q))
-            dist = np.concatenate(found)
-            if len(dist) >= k and np.partition(dist, k - 1)[k - 1] <= r or bool((done | own).all()):
-                return np.concatenate(rows), dist
-            r = min(r * STEP, bound) if r < bound else r * STEP
+            if sum(int(np.count_nonzero(d <= r)) for d in found) >= k or bool(done.all()):
+                return np.concatenate(rows), np.concatenate(found)
+            r *= STEP
 
 
 def _best(ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
             dim = key[0].as_py()
             x = left.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             y = right.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            index = CollisionIndex(left.column("vec_id").to_numpy(), x)
+            index = CollisionIndex(left.column("vec_id").to_numpy(), x, k)
             for q, v in zip(right.column("vec_id").to_pylist(), y, strict=True):
                 rows, dist = index.search(q, v, k)
                 ids, dist = _best(index.ids[rows], dist, k)
