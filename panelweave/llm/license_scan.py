@@ -10,11 +10,13 @@ licences overlap, the fullest stays. Base phrases are templates too; a place is
 Words outside the templates reset the automaton, so only runs of template words are walked.
 
 Nulls: a null text has no words and no labels. Empty texts likewise; an empty table gives an empty result; repeated
-rows are scanned each; other columns pass through untouched.
+rows are scanned each, of equal spans one stays. Long texts are scanned whole, in time that grows with their words and
+matches. Other columns come back inside _row, untouched.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import documents
+from ._shared import documents, packed
 from ._words import ALNUM, Vocabulary, Words, runs, slices
 
 #: Fixed values of the contract.
@@ -51,6 +53,20 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see"),
+    ("lgpl-2", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit"),
+    ("cc-by-nc", "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 MIN_MATCH, MAX_GAP, SHORT, COVER_LONG = 3, 8, 12, 0.5
@@ -192,9 +208,18 @@ class Scanner:
             if share >= COVER_LONG:
                 found.add((-covered, -share, b, e, self.labels[t]))
         out: list[tuple[str, int, int, float]] = []
+        starts, held = [], []  # disjoint stretches of one label each, by start: what is taken
         for _, share, b, e, label in sorted(found):  # the fullest span holds its place against other licences
-            if all(e <= x[1] or b >= x[2] or label == x[0] for x in out):
-                out.append((label, b, e, -share))
+            i = bisect_right(starts, b)
+            i -= i > 0 and held[i - 1][0] > b
+            j = i
+            while j < len(starts) and starts[j] < e:
+                j += 1
+            if any(x[1] != label for x in held[i:j]):
+                continue
+            out.append((label, b, e, -share))
+            end = max([e, *(x[0] for x in held[i:j])])
+            starts[i:j], held[i:j] = [min([b, *starts[i:j]])], [(end, label)]
         return sorted(out)
 
 
@@ -207,7 +232,8 @@ def _spark_list(fields) -> T.ArrayType:
 
 
 def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """``docs`` with _n_words, _places (base phrases) and _spans (covered template spans)."""
+    """doc_id, text, _row (all other columns), n_words, places (of base phrases), spans (covered template spans)."""
+    docs = packed(docs)
 
     def listed(rows: list[list[tuple]], fields) -> pa.Array:
         kind = pa.list_(pa.struct([(n, a) for n, _, a in fields]))
@@ -221,18 +247,18 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
             found = [scanner.scan(ids, words.first[d], words.first[d + 1]) for d in range(len(texts))]
             places = [[(i, scanner.labels[p]) for i, p in f[0]] for f in found]
             cols = [pa.array(words.counts, pa.int64()), listed(places, _PLACE), listed([f[1] for f in found], _SPAN)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_n_words", "_places", "_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "n_words", "places", "spans"])
 
-    new = [T.StructField("_n_words", T.LongType()), T.StructField("_places", _spark_list(_PLACE)), T.StructField("_spans", _spark_list(_SPAN))]
+    new = [T.StructField("n_words", T.LongType()), T.StructField("places", _spark_list(_PLACE)), T.StructField("spans", _spark_list(_SPAN))]
     return docs.mapInArrow(work, T.StructType([*docs.schema, *new]))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
-    base, spans = F.col("_places"), F.col("_spans")
+    base, spans = F.col("places"), F.col("spans")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.size(base).cast("long").alias("n_base"),
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
         joined(base["label"]).alias("base_labels"), joined(F.concat(base["label"], spans["label"])).alias("labels"),
         F.greatest(F.coalesce(F.array_max(spans["covered"]), F.lit(0.0)), F.when(F.size(base) > 0, 1.0).otherwise(0.0)).alias("score"),
