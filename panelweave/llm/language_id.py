@@ -59,8 +59,13 @@ def spread(content: bytes, most: int, piece: int = PIECE_BYTES) -> bytes:
 
 def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, dict_bytes=DICT_BYTES) -> dict[str, tuple[int, bytes]]:
     """lang -> (labelled documents, dictionary content)."""
+    spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4))
-    usable = labelled.where(F.col("text").rlike(r"\p{L}"))
+    counts = dict(labelled.groupBy("lang").count().collect())
+    # By hash alone about four times as many as needed remain of each language, so ranking them is small work.
+    shares = spark.createDataFrame([(lang, min(1.0, 4 * sample_docs / n)) for lang, n in counts.items()], "lang string, share double")
+    few = labelled.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < F.col("share") * 2.0**32)
+    usable = few.drop("share").where(F.col("text").rlike(r"\p{L}"))
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample_docs)
     # At most sample_docs ids a language on the broadcast side; a doc_id that repeats brings all its rows.
@@ -74,7 +79,6 @@ def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, dict_bytes=DICT_BYTES) -> dict
     own = usable.join(ids, ["lang", "doc_id"], "left_semi").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     shares = own.mapInArrow(work, "lang string, h long, share binary").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "share")))
     rows = shares.where(F.col("k") <= sample_docs).select("lang", "h", "share").collect()  # dict_bytes a language
-    counts = dict(labelled.groupBy("lang").count().collect())
     parts: dict[str, list] = {}
     for lang, _, share in sorted(rows):
         parts.setdefault(lang, []).append(bytes(share))
