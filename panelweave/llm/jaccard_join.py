@@ -4,7 +4,10 @@ A document is its set of distinct word shingles, as 64-bit hashes; equal sets (c
 identified by a 64-bit hash of the set. Two items link when 100 * shared >= percent * union.
 
 1. Shingles are dealt by hash range. A range counts in how many items each shingle occurs and returns those of two or
-   more; shingles of one item can't be shared. Tokens travel as packed arrays, one row for each slice and range.
+   more; shingles of one item can't be shared. Tokens travel as packed arrays, one row for each slice and range. A
+   shingle that HOT items or more of one slice hold is shared for certain: its entries go to their items' ranges at
+   once, salted by item as it were, and its own range only gets a note that it is frequent; so no range gets more of a
+   shingle than HOT entries a slice, however many documents hold it. Document rows go to any range.
 2. An item needs ``percent`` of its shingles shared to link at all; the others are done. Every global order puts rare
    shingles first (0: by exact count; 1 and 2: by count class, then by two different hashes), so linked items share a
    token within their first n - ceil(percent n) + 1 tokens of each order.
@@ -17,7 +20,8 @@ identified by a 64-bit hash of the set. Two items link when 100 * shared >= perc
 4. Links are contracted to components by label propagation in written tables.
 
 Nulls: a null or wordless text has no shingles and links with nothing (its component is its own doc_id). A null doc_id
-never names a component unless all of it is null. Repeated rows are copies. Empty tables give no rows.
+never names a component unless all of it is null. Repeated rows are copies. Long texts are one set each. Empty tables give
+no rows. Other columns are ignored, or (one_of_each) kept as they are.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialise
+from ._shared import discard, documents, materialise, new_path, packed, scratch, unpacked
 from ._words import BLANK, Words, mix, slices
 
-SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH = 5, 80, 8192, 12 << 20, 1000
+SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH, HOT = 5, 80, 8192, 12 << 20, 1000, 16
+MANY = 65535  # the count that stands for this many items and more
+_DOCS, _ENTRIES, _DIRECT, _FREQUENT = range(4)  # kinds of rows that are dealt
 _SALT = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -66,52 +72,85 @@ def _ranges(tokens: np.ndarray, n: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _scatter(docs: DataFrame, ranges: int, k: int) -> DataFrame:
+def _bounds(sorted_: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """The values of a sorted array and where each begins and ends."""
+    values, begin = np.unique(sorted_, return_index=True)
+    edges = [*begin.tolist(), len(sorted_)]
+    return values.tolist(), list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _by_item(item: np.ndarray, n: np.ndarray, tok: np.ndarray, df: np.ndarray, ranges: int) -> tuple[list[int], list[bytes]]:
+    """Entries packed by range of their items."""
+    order = np.lexsort((tok, item))
+    tok, item, n, df = tok[order], item[order], n[order], df[order]
+    there, bounds = _bounds(_ranges(item, ranges))
+    blobs = []
+    for a, b in bounds:
+        own, at, count = np.unique(item[a:b], return_index=True, return_counts=True)
+        blobs.append(_pack(np.array([len(own), b - a], np.int64), own, n[a:b][at].astype(np.uint32), count.astype(np.uint32), tok[a:b], df[a:b]))
+    return there, blobs
+
+
+def _scatter(docs: DataFrame, ranges: int, k: int, hot: int) -> DataFrame:
     """Rows of packed tokens by range, and a row for each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["range", "kind", "blob", "doc_id", "item", "n"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             tokens, first = shingle_sets(texts, k)
             size = np.diff(first)
             items = np.array([xxhash.xxh3_64_intdigest(tokens[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)], np.uint64)
-            own = _ranges(items, ranges)
-            empty = size == 0
+            anywhere = _ranges(mix(items + mix(np.arange(len(items), dtype=np.uint64))), ranges)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), pa.nulls(len(size), pa.binary()), batch.column("doc_id"), pa.array(items.view(np.int64), mask=empty), pa.array(size)],
-                ["range", "blob", "doc_id", "item", "n"],
-            )
+                [pa.array(anywhere, pa.int32()), pa.array(np.full(len(size), _DOCS), pa.int32()), pa.nulls(len(size), pa.binary()), batch.column("doc_id"), pa.array(items.view(np.int64), mask=size == 0), pa.array(size)],
+                names,
+            )
             u, at = np.unique(items, return_index=True)  # a copy in the same slice sends its tokens once
             once = np.zeros(len(items), bool)
             once[at] = True
             doc = np.repeat(np.arange(len(size)), size)
             keep = once[doc]
             tokens, doc = tokens[keep], doc[keep]
+            distinct, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+            frequent = count >= hot
+            rows: list[tuple[int, int, bytes]] = []
+            if frequent.any():
+                d = frequent[back]
+                there, blobs = _by_item(items[doc[d]], size[doc[d]], tokens[d], np.full(int(d.sum()), MANY, np.uint16), ranges)
+                rows += [(r, _DIRECT, b) for r, b in zip(there, blobs, strict=True)]
+                notes = distinct[frequent]
+                there, bounds = _bounds(_ranges(notes, ranges))
+                rows += [(r, _FREQUENT, _pack(notes[a:b])) for r, (a, b) in zip(there, bounds, strict=True)]
+                tokens, doc = tokens[~d], doc[~d]
             r = _ranges(tokens, ranges)
             order = np.argsort(r.astype(np.uint16) if ranges < 65536 else r, kind="stable")
             tokens, doc, r = tokens[order], doc[order], r[order]
-            there, begin = np.unique(r, return_index=True)
-            blobs = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(r)], strict=False):
+            there, bounds = _bounds(r)
+            for p, (a, b) in zip(there, bounds, strict=True):
                 d, count = np.unique(doc[a:b], return_counts=True)
-                blobs.append(_pack(np.array([len(d), b - a], np.int64), items[d], size[d].astype(np.uint32), count.astype(np.uint32), tokens[a:b]))
-            m = len(there)
+                rows.append((p, _ENTRIES, _pack(np.array([len(d), b - a], np.int64), items[d], size[d].astype(np.uint32), count.astype(np.uint32), tokens[a:b])))
+            m = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(there, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
-                ["range", "blob", "doc_id", "item", "n"],
-            )
+                [pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary()), pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                names,
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"range int, blob binary, doc_id {kind}, item long, n long")
+    return docs.select("doc_id", "text").mapInArrow(work, f"range int, kind int, blob binary, doc_id {kind}, item long, n long")
 
 
 def _gather(scattered: DataFrame, ranges: int) -> DataFrame:
     """Document rows as they are; of the tokens, those of two or more items with their counts, by range of the item."""
 
     def work(key, table):
-        docs = table.filter(pa.compute.is_null(table.column("blob"))).select(["doc_id", "item", "n"])
+        kinds = table.column("kind").to_numpy()
+        docs = table.filter(pa.array(kinds == _DOCS)).select(["doc_id", "item", "n"])
         out = [docs.append_column("part", pa.nulls(docs.num_rows, pa.int32())).append_column("blob", pa.nulls(docs.num_rows, pa.binary()))]
+        of = lambda kind: table.column("blob").filter(pa.array(kinds == kind)).to_pylist()
+        blobs = of(_DIRECT)
+        there = [key[0].as_py()] * len(blobs)
         items, sizes, tokens = [], [], []
-        for blob in table.column("blob").drop_null().to_pylist():
+        for blob in of(_ENTRIES):
             d, t = np.frombuffer(blob, np.int64, 2).tolist()
             f, rest = np.frombuffer(blob, np.uint64, d, 16), 16 + 8 * d
             n, count = np.frombuffer(blob, np.uint32, d, rest), np.frombuffer(blob, np.uint32, d, rest + 4 * d)
@@ -120,30 +159,26 @@ def _gather(scattered: DataFrame, ranges: int) -> DataFrame:
             tokens.append(np.frombuffer(blob, np.uint64, t, rest + 8 * d))
         if tokens:
             tok, item, n = np.concatenate(tokens), np.concatenate(items), np.concatenate(sizes)
+            notes = of(_FREQUENT)
+            notes = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in notes])) if notes else np.empty(0, np.uint64)
             order = np.argsort(tok)
             tok, item, n = tok[order], item[order], n[order]
             new = np.concatenate(([True], tok[1:] != tok[:-1]))
             run = np.cumsum(new) - 1
             other = np.concatenate(([False], (item[1:] != item[:-1]) & ~new[1:]))
-            shared = np.bincount(run, other) > 0
-            keep = shared[run]
-            tok, item, n = tok[keep], item[keep], n[keep]
+            elsewhere = np.isin(tok[new], notes, assume_unique=True)
+            keep = ((np.bincount(run, other) > 0) | elsewhere)[run]
+            tok, item, n, elsewhere = tok[keep], item[keep], n[keep], elsewhere[run][keep]
             order = np.lexsort((item, tok))
-            tok, item, n = tok[order], item[order], n[order]
+            tok, item, n, elsewhere = tok[order], item[order], n[order], elsewhere[order]
             once = np.concatenate(([True], (tok[1:] != tok[:-1]) | (item[1:] != item[:-1]))) if len(tok) else np.zeros(0, bool)
-            tok, item, n = tok[once], item[once], n[once]
+            tok, item, n, elsewhere = tok[once], item[once], n[once], elsewhere[once]
             _, back, df = np.unique(tok, return_inverse=True, return_counts=True)
-            df = np.minimum(df[back], 65535).astype(np.uint16)
-            order = np.argsort(item, kind="stable")
-            tok, item, n, df = tok[order], item[order], n[order], df[order]
-            part = _ranges(item, ranges)
-            there, begin = np.unique(part, return_index=True)
-            blobs = []
-            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=False):
-                own, at, count = np.unique(item[a:b], return_index=True, return_counts=True)
-                blobs.append(_pack(np.array([len(own), b - a], np.int64), own, n[a:b][at], count.astype(np.uint32), tok[a:b], df[a:b]))
-            m = len(there)
-            out.append(pa.table({"doc_id": pa.nulls(m, docs.schema.field("doc_id").type), "item": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "part": pa.array(there, pa.int32()), "blob": pa.array(blobs, pa.binary())}))
+            df = np.where(elsewhere, MANY, np.minimum(df[back], MANY)).astype(np.uint16)
+            more, packs = _by_item(item, n, tok, df, ranges)
+            there, blobs = [*there, *more], [*blobs, *packs]
+        m = len(there)
+        out.append(pa.table({"doc_id": pa.nulls(m, docs.schema.field("doc_id").type), "item": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int64()), "part": pa.array(there, pa.int32()), "blob": pa.array(blobs, pa.binary())}))
         return pa.concat_tables(out)
 
     kind = scattered.schema["doc_id"].dataType.simpleString()
@@ -166,8 +201,10 @@ def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
             rest += 8 * f
             parts.append((np.repeat(own, count), np.frombuffer(blob, np.uint64, m, rest), np.repeat(n, count), np.frombuffer(blob, np.uint16, m, rest + 8 * m)))
         item, tok, n, df = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(item, kind="stable")
+        order = np.lexsort((tok, item))
         item, tok, n, df = item[order], tok[order], n[order].astype(np.int64), df[order].astype(np.uint64)
+        once = np.concatenate(([True], (item[1:] != item[:-1]) | (tok[1:] != tok[:-1])))  # frequent ones come from many slices
+        item, tok, n, df = item[once], tok[once], n[once], df[once]
         begin = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
         end = np.concatenate((begin[1:], [len(item)]))
         out: dict[str, list] = {c: [] for c in ("item", "n", "typical", "tokens", "prefix", "others")}
@@ -180,7 +217,7 @@ def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
             out["item"].append(np.uint64(item[a]).view(np.int64))
             out["n"].append(size)
             out["typical"].append(int(np.log2(d.astype(float)).mean() * 1000))
-            out["tokens"].append(np.sort(t).tobytes())
+            out["tokens"].append(t.tobytes())
             out["prefix"].append(t[prefixes[0]].view(np.int64))
             out["others"].append([np.sort(t[p]).tobytes() for p in prefixes[1:]])
         return pa.table({
@@ -281,15 +318,19 @@ def _links(stars: DataFrame, percent: int, block: int) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """item, component (the smallest item that links reach). Smallest neighbour, then a pointer jump, until no change;
-    every round starts from a written table, so its plan stays short."""
+    every round starts from a written table, so its plan stays short, and deletes the one before."""
+    spark = links.sparkSession
     edges = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialise(edges.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    at = new_path(spark, "labels")
+    labels = materialise(edges.groupBy(F.col("a").alias("item")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", path=at)
     while True:
         near = edges.join(labels.select(F.col("item").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("item")).agg(F.min("c").alias("near"))
         step = labels.join(near, "item").select("item", "component", F.least("component", "near").alias("to"))
         jump = labels.select(F.col("item").alias("to"), F.col("component").alias("far"))
         new = step.join(jump, "to", "left").select("item", F.col("component").alias("old"), F.least("to", F.coalesce("far", "to")).alias("component"))
-        new = materialise(new, "labels")
+        before, at = at, new_path(spark, "labels")
+        new = materialise(new, "labels", path=at)
+        discard(spark, before)
         if new.where(F.col("old") != F.col("component")).isEmpty():
             return new.select("item", "component")
         labels = new.select("item", "component")
@@ -300,13 +341,15 @@ def component_labels(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK
     return connected(materialise(_links(_stars(sets), percent, block), "links"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, range_bytes: int = RANGE_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row a document."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-int(total) // range_bytes))
-    gathered = materialise(_gather(_scatter(docs, ranges, k), ranges), "shared-shingles", batch_rows=BATCH)
-    sets = materialise(_candidates(gathered, percent), "shingle-sets")
-    labels = component_labels(sets, percent)
+    at = new_path(docs.sparkSession, "components")
+    gathered = materialise(_gather(_scatter(docs, ranges, k, hot), ranges), "shared-shingles", batch_rows=BATCH)
+    with scratch(docs.sparkSession):
+        sets = materialise(_candidates(gathered, percent), "shingle-sets")
+        labels = materialise(component_labels(sets, percent), "components", path=at)
     own = gathered.where(F.col("blob").isNull()).select("doc_id", "item", "n")
     items = own.where(F.col("item").isNotNull()).groupBy("item").agg(F.min("doc_id").alias("least"))
     named = items.join(labels, "item", "left").withColumn("component", F.coalesce("component", "item"))
@@ -317,15 +360,41 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     )
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays, of repeated rows one."""
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    found = near_duplicates(rows.select(F.col("_uid").alias("doc_id"), "text"), **params)
-    labelled = found.select(F.col("doc_id").alias("_uid"), "component_id").join(rows.select("_uid", "doc_id"), "_uid")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")
-    stay = labelled.groupBy("component_id").agg(F.min(first).alias("first")).select("first._uid")
-    return rows.join(stay, "_uid", "left_semi").drop("_uid")
+def one_of_each(docs: DataFrame, written: bool = False, **params) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: the smallest doc_id of each component stays, of repeated rows one.
+    Rows are numbered by their place, so ``docs`` is written first unless it is a ``written`` table."""
+    rows = packed(docs).withColumn("uid", F.monotonically_increasing_id())
+    if not written:
+        rows = materialise(rows, "numbered")
+    found = near_duplicates(rows.select(F.col("uid").alias("doc_id"), "text"), **params)
+    labelled = found.select(F.col("doc_id").alias("uid"), "component_id").join(rows.select("uid", "doc_id"), "uid")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    stay = labelled.groupBy("component_id").agg(F.min(first).alias("first")).select("first.uid")
+    return unpacked(rows.join(stay, "uid", "left_semi"), docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+every AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM docs)),
+sizes AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM every GROUP BY r),
+items AS (SELECT r, n, min(r) OVER (PARTITION BY k) AS item FROM sizes),
+own AS MATERIALIZED (SELECT r, s, n FROM every JOIN items USING (r) WHERE r = item),
+links AS MATERIALIZED (
+  SELECT a.r AS x, b.r AS y FROM own a JOIN own b ON a.s = b.s AND a.r < b.r
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT item AS root, item FROM items WHERE r = item UNION SELECT root, y FROM reach JOIN edges ON item = x),
+least AS (SELECT item, min(doc_id) AS least FROM items JOIN docs USING (r) GROUP BY item),
+names AS (SELECT root AS item, min(least) AS component_id FROM reach JOIN least USING (item) GROUP BY root)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM docs LEFT JOIN items USING (r) LEFT JOIN names USING (item)
+"""
