@@ -1,13 +1,18 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes to one of ``n_slots`` slots that never change. Bytes are aggregated per slot, and a
-versioned slot-to-shard map says where each slot lives. Rebalancing edits the map and moves whole slots, so the
-records of all other slots stay where they are. Everything is DataFrame expressions; only tables of ``n_slots``
-rows are ever brought together or broadcast.
-
-Nulls: a null text has no bytes (size 1), a null doc_id is hashed like any other value. Repeated rows are separate
-records and get separate places. An empty table gives an empty result and an empty map. Columns beyond doc_id and
-text are ignored.
+versioned slot-to-shard map says where each slot lives. Maps are stored, one folder a version that is never written
+again; rebalancing loads the latest, edits it (whole slots move, as few as it takes) and publishes the next, and ``moves``
+tells what has to be carried where. Everything is DataFrame expressions; only tables of ``n_slots`` (times SUBS) rows are
+ever brought together or broadcast.
+
+Equal texts aren't kept in one shard: a group of them may hold a third of all bytes, which no law of near equal sizes
+allows. They are dealt by doc_id like all others, and so evenly.
+
+Nulls: a null text has no bytes (size 1); rows with a null doc_id are dealt to slots by their place in the table, so they
+can't gather in one. Repeated rows are separate records and get separate places; ties in a slot are placed in any order.
+Long texts are only measured. An empty table gives an empty result and an empty map. Columns beyond doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,20 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import documents, materialise
+from ._shared import documents, materialise, new_path
 
-N_SLOTS = 4096
+N_SLOTS, SUBS = 4096, 16
 MAP_SCHEMA = "version int, slot int, shard int, bytes bigint, rows bigint, first_place bigint"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot: what placing needs of each record (no text)."""
+    """doc_id, size, text_crc32, vslot, sub: what placing needs of each record (no text). ``sub`` splits a slot where its
+    records are ranked."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(n_slots)).cast("int"))
+        F.monotonically_increasing_id().alias("row"),
+    ).select(
+        "doc_id", "size", "text_crc32",
+        F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.when(F.col("doc_id").isNull(), F.col("row"))), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64("row"), F.lit(SUBS)).cast("int").alias("sub"),
+    )
 
 
 def slot_sizes(recs: DataFrame) -> DataFrame:
@@ -44,7 +55,7 @@ def edit_map(sizes: DataFrame, n_shards: int, old: DataFrame | None = None, slac
     if old is None:
         cur = sizes.withColumn("shard", F.lit(None).cast("int")).withColumn("version", F.lit(0))
     else:
-        cur = sizes.join(F.broadcast(old.select("slot", "shard", "version")), "slot", "left")
+        cur = sizes.join(F.broadcast(old.select("slot", "shard")), "slot", "left").withColumn("version", F.lit(old.agg(F.max("version")).first()[0]))
     item = F.struct((-F.col("bytes")).alias("neg"), F.col("slot"), F.col("shard"), F.col("rows"))
     one = cur.agg(
         F.array_sort(F.collect_list(item)).alias("items"),
@@ -82,21 +93,54 @@ def edit_map(sizes: DataFrame, n_shards: int, old: DataFrame | None = None, slac
     return flat.withColumn("first_place", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("bigint"))
 
 
+def publish(slot_map: DataFrame, path: str) -> DataFrame:
+    """Store a map as its version; a version that is there stays as it is (an error)."""
+    version = slot_map.agg(F.max("version")).first()[0] or 1
+    slot_map.drop("version").coalesce(1).write.parquet(f"{path}/version={version}")
+    return load(slot_map.sparkSession, path, version)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored map, the latest version by default."""
+    every = spark.read.parquet(path).select(*(F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in MAP_SCHEMA.split(", ")))
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == version)
+
+
+def moves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """slot, from_shard (null: a new slot), to_shard, bytes: what must be carried to get from one map to the next."""
+    before = old.select("slot", F.col("shard").alias("from_shard"))
+    both = new.join(F.broadcast(before), "slot", "left").where(~F.col("shard").eqNullSafe(F.col("from_shard")))
+    return both.select("slot", "from_shard", F.col("shard").alias("to_shard"), "bytes")
+
+
 def apply_map(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
-    """shard and place (gapless from 0 in each shard): the slot's first place plus the rank inside the slot, so no
-    window is ever larger than one slot. The map has at most n_slots rows and is broadcast."""
-    inside = W.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    """shard and place (gapless from 0 in each shard): the first place of a slot's part plus the rank inside the part,
+    so no window is larger than one part. The parts are n_slots times SUBS rows at most and broadcast."""
+    before = W.partitionBy("vslot").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
+    parts = recs.groupBy("vslot", "sub").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
     m = slot_map.select(F.col("slot").alias("vslot"), "shard", "first_place", "version")
-    return recs.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(m), "vslot").withColumn(
-        "place", F.col("first_place") + F.col("_r") - 1
-    ).drop("_r", "first_place")
+    firsts = parts.join(F.broadcast(m), "vslot").select("vslot", "sub", "shard", "version", (F.col("first_place") + F.col("ahead")).alias("first_place"))
+    inside = W.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
+    ranked = recs.withColumn("r", F.row_number().over(inside)).join(F.broadcast(firsts), ["vslot", "sub"])
+    return ranked.withColumn("place", F.col("first_place") + F.col("r") - 1).drop("r", "first_place", "sub")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed records, the map). With a ``map_path`` that holds maps, the latest is edited and published as the next
+    version; else version 1 is made and published (in a folder of its own, if no path is given)."""
+    spark = docs.sparkSession
+    recs, old = materialise(records(docs, n_slots), "shard-records"), None
+    if map_path and _exists(spark, map_path):
+        old = load(spark, map_path)
+    slot_map = publish(edit_map(slot_sizes(recs), n_shards, old), map_path or new_path(spark, "slot-map"))
+    return apply_map(recs, slot_map), slot_map
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(placed records, stored map of version 1)."""
-    recs = materialise(records(docs, n_slots), "shard-records")
-    slot_map = materialise(edit_map(slot_sizes(recs), n_shards), "slot-map")
-    return apply_map(recs, slot_map), slot_map
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
