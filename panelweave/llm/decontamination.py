@@ -8,18 +8,19 @@ occurrences are located by walking to the next sampled position and merged into
 
 Phrases are the windows of ``window`` consecutive words of an item, or the whole item if it has fewer.
 
-The benchmark is split into blocks of at most BLOCK_CHARS characters; each block is one pass with a broadcast of
-bounded size, and later passes add to the spans of earlier ones.
+The benchmark is taken in blocks of about BLOCK_CHARS characters. A block's phrases become arrays once, on the driver, and
+are broadcast; one block usually holds all. With more, each is a pass of its own that writes the documents it hits, and
+its broadcast is given up before the next begins; at the end a document's spans are merged.
 
 Nulls: a null text has no words; an item without words has no phrase; a null item_id counts as the empty string.
-Repeated documents are judged each, repeated items count once by item_id. Empty tables give no hits or no rows. Other
-columns pass through untouched.
+Repeated documents are judged each, repeated items count once by item_id. Long texts are searched whole: a shard is one
+text at least. Empty tables give no hits or no rows. Other columns come back inside _row, untouched.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import documents, packed, unpacked
+from ._shared import documents, materialise, packed, unpacked
 from ._words import ALNUM, Vocabulary, Words, runs, slices
 
-WINDOW, SAMPLE, BLOCK_CHARS, SHARD_BYTES = 10, 8, 16 << 20, 8 << 20
+WINDOW, SAMPLE, BLOCK_CHARS, SHARD_BYTES = 10, 8, 2 << 20, 8 << 20
 
 
 class WaveletTree:
@@ -110,7 +111,8 @@ class FMIndex:
 
 
 class Phrases:
-    """All windows of some items: by length, an array of distinct phrases and the items that hold each."""
+    """All windows of some items: by length, an array of distinct phrases, and of the items that hold each (an index
+    into ``names``; those of phrase i are held[at[i]:at[i + 1]])."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         words = Words([t for _, t in items], ALNUM)
@@ -118,24 +120,28 @@ class Phrases:
         self.vocabulary = Vocabulary(hashes)
         ids = self.vocabulary.ids(hashes) + 1
         self.n_symbols = len(self.vocabulary.sorted) + 1
-        held: dict[int, dict[bytes, set[str]]] = {}
-        pairs = []
-        for d, (item, _) in enumerate(items):
-            own = ids[words.first[d] : words.first[d + 1]]
-            pairs.append(own[:-1] * self.n_symbols + own[1:])
-            n = min(window, len(own))
-            if n:
-                for w in np.lib.stride_tricks.sliding_window_view(own, n):
-                    held.setdefault(n, {}).setdefault(w.tobytes(), set()).add(item)
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        self.by_length = [(n, np.array([np.frombuffer(k, np.int64) for k in d]), [sorted(v) for v in d.values()]) for n, d in sorted(held.items())]
-        self.shortest = min(held, default=0)
+        inner = np.ones(len(ids), bool)
+        inner[words.first[:-1][words.counts > 0]] = False
+        second = np.flatnonzero(inner)
+        self.pairs = np.unique(ids[second - 1] * self.n_symbols + ids[second])
+        self.names, name_of = np.unique(np.array([n for n, _ in items], object), return_inverse=True) if items else (np.empty(0, object), np.empty(0, np.int64))
+        size = np.minimum(window, words.counts)
+        self.by_length = []
+        for n in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == n)
+            many = words.counts[own] - n + 1
+            item = np.repeat(own, many)
+            start = words.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+            table, phrase = np.unique(np.lib.stride_tricks.sliding_window_view(ids.astype(np.int32), n)[start], axis=0, return_inverse=True)
+            both = np.unique(np.stack((phrase.ravel(), name_of[item]), 1), axis=0)
+            self.by_length.append((n, table, np.searchsorted(both[:, 0], np.arange(len(table) + 1)), both[:, 1]))
+        self.shortest = min((n for n, *_ in self.by_length), default=0)
 
 
 class Shard:
     """Occurrences of phrases in some texts."""
 
-    def __init__(self, texts: list[bytes], phrases: Phrases, with_hits: bool = True):
+    def __init__(self, texts: list[bytes], phrases: Phrases):
         self.words = Words(texts, ALNUM)
         self.items: dict[int, set[str]] = {}
         self.hit = np.zeros(len(self.words.starts), bool)
@@ -165,7 +171,7 @@ class Shard:
         seq[last] = 0
         index, doc_of = FMIndex(seq, p.n_symbols), np.searchsorted(self.words.first, place, "right") - 1
         change = np.zeros(len(self.hit) + 1, np.int64)
-        for n, table, items in p.by_length:
+        for n, table, at, held in p.by_length:
             lo, hi = index.search(table)
             found = np.flatnonzero(hi > lo)
             count = (hi - lo)[found]
@@ -177,9 +183,14 @@ class Shard:
             np.add.at(change, place[spot] + n, -1)
             both = np.unique(np.stack((doc_of[spot], np.repeat(found, count)), 1), axis=0)
             for d, f in both.tolist():
-                self.items.setdefault(d, set()).update(items[f])
+                self.items.setdefault(d, set()).update(p.names[held[at[f] : at[f + 1]]])
         self.hit = np.cumsum(change[:-1]) > 0
 
+    def hits(self) -> np.ndarray:
+        """Number of hit words of each text."""
+        sums = np.concatenate(([0], np.cumsum(self.hit)))
+        return sums[self.words.first[1:]] - sums[self.words.first[:-1]]
+
     def spans(self, d: int) -> list[tuple[int, int, int, int]]:
         """Removal spans of text d: first word, end word, first byte, end byte."""
         w = self.words
@@ -188,24 +199,25 @@ class Shard:
         return [(int(i), int(j), int(w.starts[a + i] - w.base[d]), int(w.ends[a + j - 1] - w.base[d])) for i, j in zip(s, e, strict=True)]
 
 
-SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "end_word", "first_byte", "end_byte")])
-FOUND = [T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(SPAN)), T.StructField("_items", T.ArrayType(T.StringType()))]
-_ARROW_SPAN = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "end_word", "first_byte", "end_byte")]))
+_SPAN = ("first_word", "end_word", "first_byte", "end_byte")
+SPAN = T.StructType([T.StructField(n, T.LongType()) for n in _SPAN])
+FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
+_ARROW_SPAN = pa.list_(pa.struct([(n, pa.int64()) for n in _SPAN]))
 
 
-def phrase_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_chars characters, one block at a time on the driver."""
+def phrase_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The items in blocks of about block_chars characters, one block at a time on the driver, and whether more follow."""
     items = benchmark.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_chars))
     for b in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r[0], r[1].encode()) for r in part.collect()]
+        yield [(r[0], r[1].encode()) for r in part.collect()], b < n - 1
 
 
-def _merge(old: list[dict], new: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+def _merged(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     out: list[list[int]] = []
-    for s in sorted([tuple(o.values()) for o in old] + new):
+    for s in sorted(spans):
         if out and s[0] <= out[-1][1]:
             if s[1] > out[-1][1]:
                 out[-1][1], out[-1][3] = s[1], s[3]
@@ -214,37 +226,60 @@ def _merge(old: list[dict], new: list[tuple[int, int, int, int]]) -> list[tuple[
     return [tuple(s) for s in out]
 
 
+def _columns(n_words: np.ndarray, spans: list, items: list) -> list[pa.Array]:
+    named = [[dict(zip(_SPAN, x, strict=True)) for x in s] for s in spans]
+    return [pa.array(n_words, pa.int64()), pa.array(named, _ARROW_SPAN), pa.array(items, pa.list_(pa.string()))]
+
+
+def _search(rows: DataFrame, phrases, hits_only: bool) -> DataFrame:
+    """``rows`` (with text) and n_words, spans and items of one block; without text and only those hit, if so."""
+    own = [c for c in rows.columns if not (hits_only and c == "text")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, most=SHARD_BYTES):
+            shard = Shard(texts, phrases.value)
+            hits = shard.hits()
+            spans = [shard.spans(d) if h else [] for d, h in enumerate(hits.tolist())]
+            new = _columns(shard.words.counts, spans, [sorted(shard.items.get(d, ())) for d in range(len(texts))])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], [*own, *(f.name for f in FOUND)])
+            yield out.filter(pa.array(hits > 0)) if hits_only else out
+
+    return rows.mapInArrow(work, T.StructType([*(rows.schema[c] for c in own), *FOUND]))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with _n_words, _spans (merged removal spans) and _items (item_ids with an occurring window)."""
-    spark = docs.sparkSession
-    out = docs.withColumns({f.name: F.lit(None).cast(f.dataType) for f in FOUND})
-    for items in phrase_blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(items)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, window)
-            for batch, texts in slices(batches, most=SHARD_BYTES):
-                shard, names = Shard(texts, phrases), batch.schema.names
-                old_spans, old_items = (batch.column(names.index(c)).to_pylist() for c in ("_spans", "_items"))
-                hits = np.add.reduceat(np.concatenate((shard.hit, [0])), shard.words.first[:-1]) if len(texts) else []
-                hits = np.where(shard.words.counts > 0, hits, 0)
-                spans = [_merge(o or [], shard.spans(d) if hits[d] else []) for d, o in enumerate(old_spans)]
-                found = [sorted({*(o or []), *shard.items.get(d, ())}) for d, o in enumerate(old_items)]
-                named = [[dict(zip(("first_word", "end_word", "first_byte", "end_byte"), x, strict=True)) for x in s] for s in spans]
-                new = {"_n_words": pa.array(shard.words.counts, pa.int64()), "_spans": pa.array(named, _ARROW_SPAN), "_items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(names, batch.columns, strict=True)], names)
-
-        out = out.mapInArrow(work, out.schema)
-    return out
+    """doc_id, text, _row (all other columns), n_words, spans (merged removal spans), items (item_ids with an occurring
+    window)."""
+    sc, rows, hit, keyed = docs.sparkSession.sparkContext, packed(docs), [], None
+    for items, more in phrase_blocks(benchmark, block_chars):
+        phrases = sc.broadcast(Phrases(items, window))
+        if not more and not hit:
+            return _search(rows, phrases, False)
+        if keyed is None:
+            keyed = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "keyed")
+        hit.append(materialise(_search(keyed.select("uid", "text"), phrases, True), "block-hits"))
+        phrases.unpersist(blocking=True)
+    found = reduce(DataFrame.unionByName, hit).groupBy("uid").agg(
+        F.max("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    joined = keyed.join(found, "uid", "left").select(*rows.columns, F.col("n").alias("n_words"), "spans", "items")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            spans = [_merged([tuple(x.values()) for x in s or []]) for s in batch.column("spans").to_pylist()]
+            new = _columns(Words(texts, ALNUM).counts, spans, [i or [] for i in batch.column("items").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -len(new)], *new], batch.schema.names)
+
+    return joined.mapInArrow(merge, T.StructType([*rows.schema, *FOUND]))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` with contaminated passages cut out of text (a blank stays), n_chars kept right if there is one."""
-    found = find_contamination(packed(docs, "text"), benchmark, **params)
-    dirty = F.size("_spans") > 0
+    found = find_contamination(docs, benchmark, **params)
+    dirty = F.size("spans") > 0
     raw = F.col("text").cast("binary")
     cut = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit("").cast("binary").alias("kept"), F.lit(0).cast("bigint").alias("at")),
         lambda a, s: F.struct(
             F.concat(a["kept"], F.substring(raw, a["at"].cast("int") + 1, (s["first_byte"] - a["at"]).cast("int")), F.lit(" ").cast("binary")).alias("kept"),
@@ -261,10 +296,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    n_hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end_word"] - s["first_word"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end_word"] - s["first_word"])
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 
