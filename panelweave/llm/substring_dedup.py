@@ -14,10 +14,10 @@
 
 A key with more than HOT different contents is split by window: each window's hash goes to its own range and is
 counted, so no task gets an unbounded group. Documents longer than UNIT bytes are taken in overlapping units.
-Identity of contents, windows and documents rests on 64-bit hashes.
+Contents are told apart within their key by 64-bit hashes, windows likewise; documents are numbered.
 
-Nulls: a null text is empty; a null doc_id is an id like any other. Repeated rows are copies of each other. An empty
-table gives no rows. Other columns are ignored.
+Nulls: a null text is empty; a null doc_id is an id like any other. Repeated rows are documents of their own and copies of
+each other. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from ._grouping import common_prefixes, grouping_suffix_array
 from ._shared import documents, materialise
 from ._words import mix, slices
 
-LENGTH, KMER, HOT, UNIT, RANGE_BYTES, BATCH_SYMBOLS, MOST_TASKS = 200, 64, 8000, 8 << 20, 16 << 20, 60000, 10000
+LENGTH, KMER, HOT, UNIT, RANGE_BYTES, SEARCH_RANGES, BATCH_SYMBOLS, MOST_TASKS = 200, 64, 8000, 8 << 20, 16 << 20, 8, 60000, 10000
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -408,14 +408,18 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_
     compared = materialise(_documents(_compare(_scatter(docs, ranges, length), ranges, length, hot)), "repeats")
     wanted = compared.where(F.col("requests").isNotNull()).select("u", "requests")
     asked = docs.join(wanted, "u").select("u", "text", "requests")
+    ranges *= SEARCH_RANGES  # the same bytes are more work here
     more = _search(_fetch(asked, ranges, length), ranges, length)
     known = compared.where(F.col("intervals").isNotNull()).select("u", "intervals")
     return known.unionByName(more).groupBy("u").agg(F.collect_list("intervals").alias("parts"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, **params) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    marked = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), "text")
+def remove_repeats(docs: DataFrame, length: int = LENGTH, written: bool = False, **params) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes). Rows are numbered by their place, so ``docs`` is
+    written first unless it is a ``written`` table."""
+    marked = docs.select("doc_id", "text").withColumn("u", F.monotonically_increasing_id())
+    if not written:
+        marked = materialise(marked, "numbered")
     found = repeated_bytes(marked.select("u", "text"), length, **params)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -437,5 +441,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **params) -> DataFrame
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(documents(spark, sf_dir))
+    out = remove_repeats(documents(spark, sf_dir), written=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _twice(name: str, before: str, step: int) -> str:
+    """A stretch's hash from those of two stretches ``step`` apart."""
+    return f"""{name} AS (SELECT r, pos, x, CASE WHEN lead(h, {step}) OVER w IS NOT NULL THEN hash(h, lead(h, {step}) OVER w) END AS h
+  FROM {before} WINDOW w AS (PARTITION BY r ORDER BY pos)),"""
+
+
+#: Hashes of 1, 2, 4 .. 128 bytes at each place, then of 200 (two of 128, 72 apart).
+OP10_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS parts FROM documents),
+h1 AS (SELECT r, pos, x, hash(x) AS h FROM (SELECT r, unnest(parts) AS x, generate_subscripts(parts, 1) AS pos FROM docs)),
+{"".join(_twice(f"h{2 * n}", f"h{n}", n) for n in (1, 2, 4, 8, 16, 32, 64))}
+{_twice("h200", "h128", 72)}
+many AS (SELECT h FROM h200 WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+hot AS (SELECT r, pos, x, CASE WHEN many.h IS NULL THEN 0 ELSE 1 END AS hot FROM h200 LEFT JOIN many USING (h)),
+covered AS (SELECT r, pos, x, max(hot) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS c FROM hot),
+edges AS (SELECT r, pos, x, c, coalesce(lag(c) OVER (PARTITION BY r ORDER BY pos), 0) AS before FROM covered),
+found AS (SELECT r, sum(c) AS n_removed, count(*) FILTER (c > before) AS n_spans, string_agg(x, '' ORDER BY pos) FILTER (c = 0) AS kept FROM edges GROUP BY r)
+SELECT doc_id, len(parts)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN found USING (r)
+"""
