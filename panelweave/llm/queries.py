@@ -24,5 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest": nearest.OP1_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
+        "op6_jaccard_join": jaccard_join.OP6_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
     }

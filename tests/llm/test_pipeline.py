@@ -22,7 +22,7 @@ def test_pipeline_runs_and_stages_take_effect(spark, data):
     from panelweave.llm import decontamination
 
     found = decontamination.find_contamination(docs.select("text"), spark.read.parquet(f"{data}/benchmark.parquet"))
-    assert found.where("size(_spans) > 0").count() == 0
+    assert found.where("size(spans) > 0").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
