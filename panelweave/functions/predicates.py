@@ -140,8 +140,12 @@ def is_word(text: Column) -> Column:
     return (trimmed(text) != "") & text.rlike("[A-Za-z]")
 
 
-def is_real_content(text: Column) -> Column:
-    return ~text.rlike(r"(?i)^Ch\.?\s*\d") & ~is_chrome(text)
+CHAPTER_LABEL = r"(?i)^Ch\.?\s*\d"
+
+
+def is_real_content(text: Column, chrome: Column | None = None) -> Column:
+    """``chrome``: that flag, where it is known already."""
+    return ~text.rlike(CHAPTER_LABEL) & ~(is_chrome(text) if chrome is None else chrome)
 
 
 def is_speakable(text: Column) -> Column:
@@ -162,7 +166,7 @@ def is_eligible_image(natural_w: Column, natural_h: Column, layout_w: Column | N
 
 
 def in_viewport(left: Column, top: Column, right: Column, bottom: Column, viewport_w: Column, viewport_h: Column, margin: float = 0.0) -> Column:
-    return (bottom > -margin) & (top < viewport_h + margin) & (right > -margin) & (left < viewport_w + margin)
+    return (bottom > -margin) & (top < viewport_h + margin) & (right > 0) & (left < viewport_w)
 
 
 def detector_confidence(obj: Column, cls0: Column, cls1: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, iou
-from ..functions.predicates import DETECTOR_CONFIDENCE, detector_confidence
+from ..functions.geometry import Box, box, iou, shift
+from ..functions.predicates import DETECTOR_CONFIDENCE, detector_confidence, is_real_content
 
 NMS_IOU, DUPLICATE_IOU = 0.35, 0.6
 
@@ -59,3 +59,16 @@ def dedup_words(words: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame
     per = flat.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("neg", "word_ix", "text", "x0", "y0", "x1", "y1"))).alias("w"))
     out = per.select("capture_id", F.posexplode("w").alias("word_ix", "w"))
     return out.select("capture_id", "word_ix", "w.text", "w.x0", "w.y0", "w.x1", "w.y1", (-F.col("w.neg")).alias("confidence"))
+
+
+def rescue(words: DataFrame, crop_words: DataFrame) -> DataFrame:
+    """words: capture_id, word_ix, text, box, confidence. crop_words: the same of words found in crops of detected blocks,
+    boxes relative to the crop, with crop_x0 and crop_y0. A capture with crops whose own words hold at most one of real
+    content takes both, without duplicates (word_ix is then the place by falling confidence); all others stay."""
+    columns = ["capture_id", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
+    rich = words.groupBy("capture_id").agg(F.count_if(is_real_content(F.col("text"))).alias("n")).where("n > 1").select("capture_id")
+    thin = crop_words.select("capture_id").distinct().join(rich, "capture_id", "left_anti")
+    moved = shift(box(), F.col("crop_x0"), F.col("crop_y0"))
+    found = crop_words.select("capture_id", "word_ix", "text", *(getattr(moved, c).alias(c) for c in ("x0", "y0", "x1", "y1")), "confidence")
+    both = words.select(*columns).unionByName(found).join(thin, "capture_id", "left_semi")
+    return words.select(*columns).join(thin, "capture_id", "left_anti").unionByName(dedup_words(both).select(*columns))

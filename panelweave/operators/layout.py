@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box, boxes_overlap
+
 # Fixed values of the clustering and ordering rules.
 SAME_COLUMN, GAP_HEIGHTS, GAP_PAGE = 0.6, 1.3, 0.015
 LINE_DRIFT, LINE_GAP_HEIGHTS, LINE_GAP_PAGE = 0.2, 1.0, 0.01
@@ -28,10 +30,6 @@ class Boxes:
     def __init__(self, x0, y0, x1, y1):
         self.x0, self.y0, self.x1, self.y1 = (np.asarray(v, float) for v in (x0, y0, x1, y1))
 
-    @classmethod
-    def of(cls, df: pd.DataFrame) -> Boxes:
-        return cls(df["x0"], df["y0"], df["x1"], df["y1"])
-
     def __len__(self) -> int:
         return self.x0.shape[-1]
 
@@ -307,10 +305,26 @@ def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
     return rows.mapInArrow(work, f"capture_id long, {name} int, {_BOX}")
 
 
-def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+def on_page(bubbles: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """``bubbles`` off the overlays and, in captures that have images, on one of them. overlays, images: capture_id, box."""
+
+    def met(rects: DataFrame, how: str, out: DataFrame) -> DataFrame:
+        r = rects.select(F.col("capture_id").alias("r_id"), *(F.col(c).alias(f"r_{c}") for c in _SIDES))
+        return out.join(r, (F.col("capture_id") == F.col("r_id")) & boxes_overlap(box(), box("r_")), how)
+
+    if overlays is not None:
+        bubbles = met(overlays, "left_anti", bubbles)
+    if images is not None:
+        free = bubbles.join(images.select("capture_id"), "capture_id", "left_anti")
+        bubbles = met(images, "left_semi", bubbles).unionByName(free)
+    return bubbles
+
+
+def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
     """bubbles: capture_id, bubble_ix, box, direction, canvas_w; cuts: capture_id, orient, cut_ix, box.
-    Adds ``seq``, the place in reading order (from 0)."""
-    rows = gathered(bubbles, "bubble_ix", _SIDES, ["direction", "canvas_w"])
+    Adds ``seq``, the place in reading order (from 0); columns to ``carry`` come along."""
+    carry = carry or []
+    rows = gathered(bubbles, "bubble_ix", [*_SIDES, *carry], ["direction", "canvas_w"])
     if cuts is not None:
         own = cuts.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("cut_ix", "orient", *_SIDES))).alias("cuts"))
         rows = rows.join(own, "capture_id", "left")
@@ -329,9 +343,11 @@ def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None) -> DataFram
                 found = order(Boxes(*(v[a:e] for v in box.sides)), rtl[c], vertical, n_h, page_w[c] or None)
                 at.append(a + np.array(found, np.int64))
             at = np.concatenate(at) if at else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.ids(b.first), pa.array(b.column("bubble_ix")[at]), pa.array(_number(b.first))], ["capture_id", "bubble_ix", "seq"])
+            own = [b.fields.field(c).take(pa.array(at)) for c in ("bubble_ix", *carry)]
+            yield pa.RecordBatch.from_arrays([b.ids(b.first), *own, pa.array(_number(b.first))], ["capture_id", "bubble_ix", *carry, "seq"])
 
-    return rows.mapInArrow(work, "capture_id long, bubble_ix int, seq int")
+    kinds = "".join(f", {c} {bubbles.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(work, f"capture_id long, bubble_ix int{kinds}, seq int")
 
 
 def panels(cuts: DataFrame, page_w: float | None, candidates: bool = False) -> DataFrame:

@@ -13,11 +13,11 @@ from ..functions.text import core_word, replace_slashes
 
 # --- fixed values ---
 SHORT_PREFIXES = ["does", "when", "can", "saw", "put", "so", "is", "for"]
-SAFE_SHORT = (
-    "a i he it is be we us my so to of or an if am "
-    "she her him his its are was has had did not "
-    "now out all any but for and can the you our"
-).split()
+SAFE_SHORT = [
+    "a", "i", "he", "it", "is", "be", "we", "us", "my", "so", "to", "of", "or", "an", "if", "am",
+    "she", "her", "him", "his", "its", "are", "was", "has", "had", "did", "not", "now", "out", "all", "any", "but",
+    "for", "and", "can", "the", "you", "our",
+]
 FUSED_WORDS = {
     "itwas": "it was",
     "idont": "i dont",

@@ -102,12 +102,13 @@ def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUTS_SQL = """
-cuts AS (SELECT capture_id, cut_ix, CASE WHEN cut_ix = 3 THEN 'h' ELSE 'v' END AS orient, CAST(120 + cut_ix * 110 + capture_id % 40 AS DOUBLE) AS x0,
+pages AS MATERIALIZED (SELECT DISTINCT capture_id FROM words),
+cuts AS MATERIALIZED (SELECT capture_id, cut_ix, CASE WHEN cut_ix = 3 THEN 'h' ELSE 'v' END AS orient, CAST(120 + cut_ix * 110 + capture_id % 40 AS DOUBLE) AS x0,
   CAST((capture_id * 3 + cut_ix * 7) % 20 AS DOUBLE) AS y0, CAST(90 + (capture_id + cut_ix * 11) % 60 AS DOUBLE) AS y1
-  FROM (SELECT DISTINCT capture_id FROM words) CROSS JOIN (SELECT unnest(range(4)) AS cut_ix)),
-vc AS (SELECT capture_id, cut_ix AS k, x0, y0, y1, false AS edge FROM cuts WHERE orient = 'v'
-  UNION ALL SELECT DISTINCT capture_id, 3, 0, 0, 1e15, true FROM words UNION ALL SELECT DISTINCT capture_id, 4, 520, 0, 1e15, true FROM words),
-cand AS (SELECT a.capture_id, a.k AS i, b.k AS j, least(a.y1 - a.y0, b.y1 - b.y0) AS least_h, least(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0,
+  FROM pages CROSS JOIN (SELECT unnest(range(4)) AS cut_ix)),
+vc AS MATERIALIZED (SELECT capture_id, cut_ix AS k, x0, y0, y1, false AS edge FROM cuts WHERE orient = 'v'
+  UNION ALL SELECT capture_id, 3, 0, 0, 1e15, true FROM pages UNION ALL SELECT capture_id, 4, 520, 0, 1e15, true FROM pages),
+cand AS MATERIALIZED (SELECT a.capture_id, a.k AS i, b.k AS j, least(a.y1 - a.y0, b.y1 - b.y0) AS least_h, least(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0,
   greatest(a.x0, b.x0) AS x1, least(a.y1, b.y1) AS y1 FROM vc a JOIN vc b ON a.capture_id = b.capture_id AND a.k < b.k
   WHERE NOT (a.edge AND b.edge) AND greatest(a.x0, b.x0) - least(a.x0, b.x0) >= 520 * 0.08 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0
   AND least(a.y1 - a.y0, b.y1 - b.y0) > 0 AND (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0) >= 0.7)
@@ -146,13 +147,50 @@ def words_in_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("capture_id", "word_ix").join(hit, ["capture_id", "word_ix"], "left")
 
 
-@query()
+def _flat_sql(name: str, src: str) -> str:
+    """``name`` (capture_id, ix, place): reading order of ``src`` (capture_id, ix, rtl, x0, y0, x1, y1) without panels. Rows
+    are folded from the top: [index, x in reading direction, top, bottom] of each box."""
+    return f"""{name}_e AS MATERIALIZED (SELECT a.capture_id, a.ix AS i, b.ix AS j FROM {src} a JOIN {src} b ON a.capture_id = b.capture_id AND a.ix <> b.ix
+  AND greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0) > 0.35),
+{_labels_sql(f"{name}_l", f"{name}_e", src, "ix")},
+{name}_row AS (SELECT capture_id, l.label, min(y0) AS y, list([ix, CASE WHEN rtl THEN -x0 ELSE x0 END, y0, y1]::DOUBLE[] ORDER BY CASE WHEN rtl THEN -x0 ELSE x0 END, ix) AS r
+  FROM {src} JOIN {name}_l l USING (capture_id, ix) GROUP BY 1, 2),
+{name}_all AS (SELECT capture_id, list(r ORDER BY y, label) AS rows FROM {name}_row GROUP BY 1),
+{name}_fold AS (SELECT capture_id, list_reduce(list_prepend([]::DOUBLE[][][], list_transform(rows, lambda r: [r])), lambda acc, x:
+  CASE WHEN len(x[1]) = 1 AND len(acc) > 0 AND len(acc[-1]) >= 2
+    AND greatest(0, CASE WHEN list_min(list_transform(acc[-1], lambda b: b[3])) <= x[1][1][3] THEN x[1][1][3] - list_max(list_transform(acc[-1], lambda b: b[4]))
+      ELSE list_min(list_transform(acc[-1], lambda b: b[3])) - x[1][1][4] END) <= 0.5 * (x[1][1][4] - x[1][1][3])
+  THEN list_concat(acc[1:len(acc) - 1], [list_concat(
+    acc[-1][1:coalesce(nullif(list_position(list_transform(acc[-1], lambda b: b[2] > x[1][1][2]), true), 0), len(acc[-1]) + 1) - 1], x[1],
+    acc[-1][coalesce(nullif(list_position(list_transform(acc[-1], lambda b: b[2] > x[1][1][2]), true), 0), len(acc[-1]) + 1):])])
+  ELSE list_concat(acc, x) END) AS f FROM {name}_all),
+{name} AS (SELECT capture_id, unnest(list_transform(flatten(f), lambda b: CAST(b[1] AS BIGINT))) AS ix, generate_subscripts(flatten(f), 1) - 1 AS place FROM {name}_fold)"""
+
+
+_DIRECTED_SQL = f"""{_BUBBLES_SQL},
+boxed AS MATERIALIZED (SELECT capture_id, CAST(bubble_ix AS BIGINT) AS ix, capture_id % 2 = 0 AS rtl, x0, y0, x1, y1 FROM bubbles)"""
+
+_ORDER_SQL = f"""
+WITH RECURSIVE {_DIRECTED_SQL}, {_CUTS_SQL}, {_RECTS_SQL},
+own AS MATERIALIZED (SELECT capture_id, ix, rtl, x0, y0, x1, y1, min(rect_ix) FILTER ((x0 + x1) / 2 BETWEEN q[3] AND q[5] AND (y0 + y1) / 2 BETWEEN q[4] AND q[6]) AS rect, count(rect_ix) > 0 AS any_rect
+  FROM boxed LEFT JOIN rects USING (capture_id) GROUP BY ALL),
+parted AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY capture_id ORDER BY CASE WHEN any_rect THEN coalesce(rect, 1000000 + ix) ELSE 0 END) AS part FROM own),
+whole AS MATERIALIZED (SELECT capture_id, part AS ix, any_value(rtl) AS rtl, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM parted GROUP BY 1, 2),
+inside AS MATERIALIZED (SELECT capture_id || '-' || part AS capture_id, ix, rtl, x0, y0, x1, y1 FROM parted),
+{_flat_sql("outer_o", "whole")},
+{_flat_sql("inner_o", "inside")}
+SELECT p.capture_id, CAST(p.ix AS INT) AS bubble_ix, CAST(row_number() OVER (PARTITION BY p.capture_id ORDER BY o.place, i.place) - 1 AS INT) AS seq
+FROM parted p JOIN outer_o o ON p.capture_id = o.capture_id AND p.part = o.ix JOIN inner_o i ON i.capture_id = p.capture_id || '-' || p.part AND i.ix = p.ix
+"""
+
+
+@query(_ORDER_SQL)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total order with panels."""
     return layout.order_bubbles(_bubbles(spark, sf_dir), _cuts(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_DIRECTED_SQL}, {_flat_sql('o', 'boxed')} SELECT capture_id, CAST(ix AS INT) AS bubble_ix, CAST(place AS INT) AS seq FROM o")
 def reading_order_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 D5 without panels."""
     return layout.order_bubbles(_bubbles(spark, sf_dir))
@@ -250,15 +288,20 @@ def suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.nms(detect.decode(synth.anchors(spark, sf_dir))).select("capture_id", "rank", "anchor_ix")
 
 
+def dedup_sql(u: str) -> str:
+    return f"""l AS (SELECT capture_id, text, list([-confidence, word_ix, x0, y0, x1, y1]::DOUBLE[] ORDER BY confidence DESC, word_ix) AS b FROM {u} GROUP BY 1, 2),
+k AS (SELECT capture_id, text, list_reduce(list_prepend([]::DOUBLE[][], list_transform(b, lambda c: [c])), lambda acc, c:
+  CASE WHEN len(list_filter(acc, lambda q: {_iou_sql("q", "c[1]", 3)} >= 0.6)) = 0 THEN list_concat(acc, c) ELSE acc END) AS r FROM l),
+f AS (SELECT capture_id, text, unnest(r) AS q FROM k),
+deduped AS (SELECT capture_id, text, q[3] AS x0, q[4] AS y0, -q[1] AS confidence, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY q[1], q[2]) - 1 AS INT) AS word_ix FROM f)"""
+
+
 @query(f"""
 WITH {WORDS_SQL},
 u AS (SELECT capture_id, word_ix, text, x0, y0, x1, y1, confidence FROM words UNION ALL
       SELECT capture_id, word_ix + 100, text, x0 + word_ix % 25, y0, x1 + word_ix % 25, y1, (confidence * 7 + word_ix) % 101 FROM words),
-l AS (SELECT capture_id, text, list([-confidence, word_ix, x0, y0, x1, y1]::DOUBLE[] ORDER BY confidence DESC, word_ix) AS b FROM u GROUP BY 1, 2),
-k AS (SELECT capture_id, text, list_reduce(list_prepend([]::DOUBLE[][], list_transform(b, lambda c: [c])), lambda acc, c:
-  CASE WHEN len(list_filter(acc, lambda q: {_iou_sql("q", "c[1]", 3)} >= 0.6)) = 0 THEN list_concat(acc, c) ELSE acc END) AS r FROM l),
-f AS (SELECT capture_id, text, unnest(r) AS q FROM k)
-SELECT capture_id, text, q[3] AS x0, q[4] AS y0, -q[1] AS confidence, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY q[1], q[2]) - 1 AS INT) AS word_ix FROM f
+{dedup_sql("u")}
+SELECT capture_id, text, x0, y0, confidence, word_ix FROM deduped
 """)
 def rescue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3 D3 J13."""
@@ -306,7 +349,28 @@ def dark_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.longest_runs(left, "y", "x", o)
 
 
-@query()
+def _bands_sql(name: str, line: str, along: str) -> str:
+    """``name`` (capture_id, p0, p1, a, b): bands of the runs along one axis, by a fold."""
+    return f"""{name}_k AS (SELECT *, row_number() OVER (PARTITION BY capture_id, {line} ORDER BY {along}) AS r FROM inner_px),
+{name}_i AS (SELECT capture_id, {line} AS pos, {along} AS v, r - row_number() OVER (PARTITION BY capture_id, {line} ORDER BY {along}) AS i FROM {name}_k WHERE g < 60),
+{name}_r AS (SELECT capture_id, pos, min(v) AS a, max(v) AS b FROM {name}_i GROUP BY capture_id, pos, i QUALIFY row_number() OVER (PARTITION BY capture_id, pos ORDER BY max(v) - min(v) DESC, min(v)) = 1 AND max(v) - min(v) + 1 >= 40),
+{name}_l AS (SELECT capture_id, list([pos, pos, a, b]::BIGINT[] ORDER BY pos) AS l FROM {name}_r GROUP BY 1),
+{name}_f AS (SELECT capture_id, list_reduce(list_prepend([]::BIGINT[][], list_transform(l, lambda c: [c])), lambda acc, x:
+  CASE WHEN len(acc) > 0 AND x[1][1] = acc[-1][2] + 1 AND abs(x[1][3] - acc[-1][3]) < 20 AND abs(x[1][4] - acc[-1][4]) < 20
+  THEN list_concat(acc[1:len(acc) - 1], [[acc[-1][1], x[1][1], least(acc[-1][3], x[1][3]), greatest(acc[-1][4], x[1][4])]]) ELSE list_concat(acc, x) END) AS f FROM {name}_l),
+{name} AS (SELECT capture_id, q[1] AS p0, q[2] AS p1, q[3] AS a, q[4] AS b FROM (SELECT capture_id, unnest(f) AS q FROM {name}_f) WHERE q[2] - q[1] + 1 <= 30)"""
+
+
+def _confirmed_sql(own: str, other: str, size: int) -> str:
+    return f"""SELECT * FROM {own} o WHERE a <= 20 OR a >= {size} - 20 OR b <= 20 OR b >= {size} - 20
+  OR EXISTS (SELECT 1 FROM {other} q WHERE q.capture_id = o.capture_id AND (abs(q.p0 - o.a) < 20 OR abs(q.p0 - o.b) < 20) AND o.p0 >= q.a - 20 AND o.p0 <= q.b + 20)"""
+
+
+@query(f"""
+WITH {_PIXELS_SQL}, {_bands_sql("hb", "y", "x")}, {_bands_sql("vb", "x", "y")}
+SELECT capture_id, 'h' AS orient, a AS x0, p0 AS y0, b AS x1, p1 AS y1 FROM ({_confirmed_sql("hb", "vb", 120)})
+UNION ALL SELECT capture_id, 'v', p0, a, p1, b FROM ({_confirmed_sql("vb", "hb", 90)})
+""")
 def border_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 whole: A10 D8 D7 J9, relational form."""
     px, sizes = _pixels(spark, sf_dir)
@@ -334,10 +398,18 @@ def loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_LE = "printf('%02x', ({0}) & 255) || printf('%02x', (({0}) >> 8) & 255)"
+
+
+@query(f"""
+WITH a AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(trunc(CASE WHEN e < 0 THEN greatest(-1, CAST(e AS DOUBLE)) * 32768 ELSE least(1, CAST(e AS DOUBLE)) * 32767 END) AS BIGINT)) AS s FROM embeddings),
+b AS (SELECT vec_id, len(s) AS n, list_transform(range(1, len(s) + 1), lambda i: {_LE.format("s[i]")} || {_LE.format("s[len(s) + 1 - i]")}) AS h FROM a),
+c AS (SELECT vec_id, n, unhex('52494646' || {_LE.format("36 + 4 * n")} || '0000' || '57415645666d742010000000' || '0100' || '0200' || '22560000' || '88580100' || '04001000' || '64617461' || {_LE.format("4 * n")} || '0000' || array_to_string(h, '')) AS w FROM b)
+SELECT vec_id, CAST(44 + 4 * n AS INT) AS n_bytes, md5(w) AS md5 FROM c
+""")
 def wav_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: two channels, interleaved, with header."""
     s = F.col("embedding")
     pcm = audio.interleave(F.array(audio.pcm16(s), audio.pcm16(F.reverse(s))))
     ready = table(spark, sf_dir, "embeddings").select("vec_id", pcm.alias("pcm"))
-    return ready.select("vec_id", audio.wav_bytes(F.col("pcm"), 2, 22050).alias("wav")).select("vec_id", F.length("wav").alias("n_bytes"), F.crc32("wav").alias("crc"))
+    return ready.select("vec_id", audio.wav_bytes(F.col("pcm"), 2, 22050).alias("wav")).select("vec_id", F.length("wav").alias("n_bytes"), F.md5("wav").alias("md5"))

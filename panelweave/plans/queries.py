@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g, predicates as p, text as t
@@ -63,17 +64,17 @@ _PAIR_SQL = """
 
 @query(f"""
 WITH {WORDS_SQL},
-pr AS (SELECT a.capture_id, a.word_ix, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas, {_PAIR_SQL}
-       FROM words a JOIN words b ON a.capture_id = b.capture_id AND b.word_ix = a.word_ix + 8)
+n AS (SELECT capture_id, word_ix, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS a, lead({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}, 8) OVER (PARTITION BY capture_id ORDER BY word_ix) AS b FROM words),
+pr AS (SELECT capture_id, word_ix, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas, {_PAIR_SQL} FROM n WHERE b IS NOT NULL)
 SELECT capture_id, word_ix, round(ix / mw, 6) AS x_ratio, round(iy / mh, 6) AS v_ratio, h_gap, v_gap,
   round(ix * iy / (areas - ix * iy + 1e-9), 6) AS iou, ix > 0 AND iy > 0 AS overlap FROM pr
 """)
 def geom_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2 G3 G5 G8, each word with the one below."""
-    w = synth.words(spark, sf_dir)
-    below = w.select("capture_id", (F.col("word_ix") - 8).alias("word_ix"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    """G2 G3 G5 G8, each word with the one below: eight further in its capture."""
+    sides, order = ("x0", "y0", "x1", "y1"), W.partitionBy("capture_id").orderBy("word_ix")
+    w = synth.words(spark, sf_dir).select("capture_id", "word_ix", *sides, *(F.lead(c, 8).over(order).alias(f"b_{c}") for c in sides))
     a, b = g.box(), g.box("b_")
-    return w.join(below, ["capture_id", "word_ix"]).select(
+    return w.where(F.col("b_x0").isNotNull()).select(
         "capture_id", "word_ix", _r(g.x_overlap_ratio(a, b)).alias("x_ratio"), _r(g.v_overlap_ratio(a, b)).alias("v_ratio"),
         g.h_gap(a, b).alias("h_gap"), g.v_gap(a, b).alias("v_gap"), _r(g.iou(a, b)).alias("iou"), g.boxes_overlap(a, b).alias("overlap"),
     )
@@ -117,7 +118,7 @@ def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LETTERS = "regexp_replace(tr, '[^a-zA-Z]', '', 'g')"
 _TRIM = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
-_CHROME_SQL = " OR ".join("regexp_matches(shown, '" + x.replace("'", "''") + "')" for x in p.CHROME_PATTERNS)
+CHROME_SQL = " OR ".join("regexp_matches(shown, '" + x.replace("'", "''") + "')" for x in p.CHROME_PATTERNS)
 _PREDICATES_SQL = rf"""
 {LINES_SQL},
 b1 AS (SELECT *, {_TRIM} AS tr, trim(regexp_replace(upper(text), '\s+', ' ', 'g')) AS shown FROM lines),
@@ -126,12 +127,12 @@ b3 AS (SELECT *, length(lt) AS n, lower(lt) AS low, list_transform(w, lambda x:
   regexp_replace(lower(w[1]), '[^a-z]', '', 'g') AS fw,
   list_max(list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: length(lt) - length(replace(lower(lt), c, '')))) AS top FROM b2),
 judged AS (SELECT *,
-  CASE WHEN low IN ('i', 'a') THEN false WHEN length(tr) < 2 THEN true WHEN regexp_matches(packed, '^(?:h*m+|u+m+|u+h+|e+r+|a+h+|o+h+|e+h+)[.…!?]*$') THEN false
+  CASE WHEN low IN ('i', 'a') THEN false WHEN length(tr) < 2 THEN true WHEN regexp_matches(packed, '{p.INTERJECTION}') THEN false
     WHEN n / length(tr) < 0.55 AND NOT (len(w) >= 2 AND n >= 5) THEN true WHEN n > 3 AND NOT regexp_matches(lt, '[aeiouAEIOU]') THEN true
-    WHEN regexp_matches(tr, '(?i)' || '[{{}}<>;`]|=>|::|//|\bfunction\b|\bconst\b|\bvar\b|\breturn\b|\bimport\b|\bclass\b') THEN true
+    WHEN regexp_matches(tr, '(?i)' || '{p.CODE_LIKE}') THEN true
     WHEN len(list_filter(wl, lambda k: k > 18)) > 0 THEN true WHEN len(w) >= 2 AND len(list_filter(wl, lambda k: k > 1)) = 0 THEN true
     WHEN n > 4 AND top / n > 0.7 THEN true ELSE false END AS garbage,
-  {_CHROME_SQL} AS chrome, regexp_matches(tr, '(?i)^[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{{2,6}}[a-z0-9]{{0,3}}$') AS url_only,
+  {CHROME_SQL} AS chrome, regexp_matches(tr, '(?i){p.URL_ONLY}') AS url_only,
   CASE WHEN len(w) = 1 AND fw IN ('i', 'a') THEN false WHEN len(w) <= 2 AND confidence < 80 THEN true
     WHEN len(w) <= 4 AND (fw IN ({", ".join(f"'{x}'" for x in p.SFX_TOKENS)}) OR {" OR ".join(f"starts_with(fw, '{x}')" for x in p.SFX_PREFIXES)}) THEN true ELSE false END AS sound
   FROM b3)
@@ -141,14 +142,14 @@ judged AS (SELECT *,
 @query(rf"""
 WITH {_PREDICATES_SQL}
 SELECT doc_id, ix, garbage, chrome, url_only, sound, confidence >= 45 AND NOT garbage AND NOT chrome AND NOT url_only AND NOT sound AS kept,
-  confidence >= 45 AND garbage AND len(w) >= 2 AS suspicious, NOT regexp_matches(text, '(?i)^Ch\.?\s*\d') AND NOT chrome AS real_content,
+  confidence >= 45 AND garbage AND len(w) >= 2 AS suspicious, NOT regexp_matches(text, '{p.CHAPTER_LABEL}') AND NOT chrome AS real_content,
   regexp_matches(text, '[A-Za-z0-9]') AS speakable, tr <> '' AND regexp_matches(text, '[A-Za-z]') AS is_word FROM judged
 """)
 def noise_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1-F7 F13 F14 A11 X13 on all lines."""
     x = F.col("text")
     return p.with_noise(synth.noisy_lines(spark, sf_dir)).select(
-        "doc_id", "ix", *p.NOISE, "kept", "suspicious", (~x.rlike(r"(?i)^Ch\.?\s*\d") & ~F.col("chrome")).alias("real_content"),
+        "doc_id", "ix", *p.NOISE, "kept", "suspicious", p.is_real_content(x, F.col("chrome")).alias("real_content"),
         p.is_speakable(x).alias("speakable"), p.is_word(x).alias("is_word"),
     )
 
@@ -157,12 +158,12 @@ def noise_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PREDICATES_SQL}, k AS (SELECT *, confidence >= 45 AND NOT garbage AND NOT chrome AND NOT url_only AND NOT sound AS kept FROM judged)
 SELECT doc_id, count(*) FILTER (kept) AS n_kept, count(*) FILTER (confidence >= 45 AND garbage AND len(w) >= 2) AS n_suspicious,
   round(coalesce(avg(confidence) FILTER (kept), 0), 6) AS avg_confidence,
-  count(*) FILTER (NOT regexp_matches(text, '(?i)^Ch\.?\s*\d') AND NOT chrome) AS n_real, count(*) FILTER (NOT regexp_matches(text, '(?i)^Ch\.?\s*\d') AND NOT chrome) <= 1 AS needs_rescue
+  count(*) FILTER (NOT regexp_matches(text, '{p.CHAPTER_LABEL}') AND NOT chrome) AS n_real, count(*) FILTER (NOT regexp_matches(text, '{p.CHAPTER_LABEL}') AND NOT chrome) <= 1 AS needs_rescue
 FROM k GROUP BY doc_id
 """)
 def capture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept and dropped counts, mean confidence, rescue gate."""
-    real = F.count_if(~F.col("text").rlike(r"(?i)^Ch\.?\s*\d") & ~F.col("chrome"))
+    real = F.count_if(p.is_real_content(F.col("text"), F.col("chrome")))
     return p.with_noise(synth.noisy_lines(spark, sf_dir)).groupBy("doc_id").agg(
         F.count_if("kept").alias("n_kept"), F.count_if("suspicious").alias("n_suspicious"),
         _r(F.coalesce(F.avg(F.when(F.col("kept"), F.col("confidence"))), F.lit(0.0))).alias("avg_confidence"), real.alias("n_real"), (real <= 1).alias("needs_rescue"),
@@ -235,7 +236,7 @@ def tts_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of four to nine letters in the documents, as a stand-in lexicon."""
+    """Words of two to nine letters in the documents, as a stand-in lexicon."""
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return w.where(F.length("word").between(2, 9)).distinct()
 
@@ -288,6 +289,13 @@ def split_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_repair.split_fused(synth.noisy_lines(spark, sf_dir).withColumn("text", joined), ["doc_id", "ix"], _lexicon(spark, sf_dir))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respellings, as a stand-in: of nations, and of one frequent word."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.lower("n_name").alias("word"), F.concat(F.lower("r_name"), F.lit("y")).alias("respelling"))
+    return names.unionByName(spark.range(1).select(F.lit("the").alias("word"), F.lit("thee").alias("respelling")))
+
+
 @query(rf"""
 WITH {LINES_SQL}, names AS (SELECT lower(n_name) AS word, lower(r_name) || 'y' AS respelling FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'the', 'thee'),
 parts AS (SELECT doc_id, ix, regexp_extract_all(text, '[A-Za-z]+') AS f, regexp_split_to_array(text, '[A-Za-z]+') AS b FROM lines),
@@ -298,7 +306,4 @@ FROM t2 LEFT JOIN names ON lower(token) = word GROUP BY doc_id, ix
 """)
 def respell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X7 J11."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    names = n.join(r, n.n_regionkey == r.r_regionkey).select(F.lower("n_name").alias("word"), F.concat(F.lower("r_name"), F.lit("y")).alias("respelling"))
-    names = names.unionByName(spark.range(1).select(F.lit("the").alias("word"), F.lit("thee").alias("respelling")))
-    return lexicon_repair.respell(synth.noisy_lines(spark, sf_dir), ["doc_id", "ix"], names)
+    return lexicon_repair.respell(synth.noisy_lines(spark, sf_dir), ["doc_id", "ix"], _names(spark, sf_dir))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p, text as t
-from ..operators import layout, lexicon_repair as lr
+from ..operators import detect, layout, lexicon_repair as lr
 from ..sources import synth
-from .layout_queries import _cuts
-from .queries import _lexicon, query
+from ..sources.synth import WORDS_SQL
+from .layout_queries import _cuts, _images, dedup_sql
+from .queries import CHROME_SQL, _lexicon, _names, query
 
-KEYS = ["capture_id", "bubble_ix"]
+KEYS = ["capture_id", "seq"]
 
 
 def repair(bubbles: DataFrame, lexicon: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -22,20 +23,58 @@ def repair(bubbles: DataFrame, lexicon: DataFrame, names: DataFrame | None = Non
     return lr.respell(out, KEYS, names).select(*KEYS, F.col("fixed").alias("text"))
 
 
-def read_pages(words: DataFrame, cuts: DataFrame | None, lexicon: DataFrame, names: DataFrame | None = None, direction: str = "rtl") -> DataFrame:
-    """capture_id, seq (bubble), part (sentence), text, spoken: what is read aloud, in order. One shuffle on capture_id
-    feeds reconstruction; ordering, repair and chunking follow on the few kept bubbles."""
-    found = layout.reconstruct(words)
+def read_pages(
+    words: DataFrame, cuts: DataFrame | None, lexicon: DataFrame, names: DataFrame | None = None, direction: str = "rtl",
+    crop_words: DataFrame | None = None, overlays: DataFrame | None = None, images: DataFrame | None = None,
+) -> DataFrame:
+    """capture_id, seq (bubble), part (sentence), text, spoken: what is read aloud, in order. Thin captures take words from
+    crops first; bubbles are put together in one shuffle on capture_id, filtered by place and by noise, ordered (their text
+    comes along), and only then repaired, so that every stage is planned once."""
+    if crop_words is not None:
+        sizes = words.select("capture_id", "canvas_w", "canvas_h").unionByName(crop_words.select("capture_id", "canvas_w", "canvas_h"))
+        sizes = sizes.groupBy("capture_id").agg(F.max("canvas_w").alias("canvas_w"), F.max("canvas_h").alias("canvas_h"))
+        words = detect.rescue(words, crop_words).join(sizes, "capture_id")
+    found = layout.on_page(layout.reconstruct(words), overlays, images)
     kept = found.where(p.is_kept(F.col("text"), F.col("confidence")))
     kept = kept.withColumn("direction", F.lit(direction)).withColumn("canvas_w", F.lit(synth.CANVAS_W))
-    order = layout.order_bubbles(kept, cuts)
-    fixed = repair(kept, lexicon, names)
-    lines = order.join(fixed, KEYS).select("capture_id", "seq", F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
-    spoken = lines.withColumn("spoken", t.speech(F.col("text")))
-    return spoken.where(p.is_speakable(F.col("spoken")))
+    fixed = repair(layout.order_bubbles(kept, cuts, ["text"]), lexicon, names)
+    lines = fixed.select(*KEYS, F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
+    return lines.withColumn("spoken", t.speech(F.col("text"))).where(p.is_speakable(F.col("spoken")))
+
+
+def _thin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Captures of which every third keeps only its first word; the crops at (10, 5) there hold the first ten."""
+    w = synth.words(spark, sf_dir)
+    crops = w.where("capture_id % 3 = 0 and word_ix < 10").selectExpr(
+        "capture_id", "word_ix + 100 as word_ix", "text", "x0 - 10 as x0", "y0 - 5 as y0", "x1 - 10 as x1", "y1 - 5 as y1",
+        "(confidence * 7 + word_ix) % 101 as confidence", "10.0D as crop_x0", "5.0D as crop_y0", "canvas_w", "canvas_h",
+    )
+    return w.where("capture_id % 3 <> 0 or word_ix = 0"), crops
+
+
+@query(rf"""
+WITH {WORDS_SQL},
+own AS MATERIALIZED (SELECT * FROM words WHERE capture_id % 3 <> 0 OR word_ix = 0),
+rich AS (SELECT capture_id FROM (SELECT capture_id, text, trim(regexp_replace(upper(text), '\s+', ' ', 'g')) AS shown FROM own)
+  WHERE NOT regexp_matches(text, '{p.CHAPTER_LABEL}') AND NOT ({CHROME_SQL}) GROUP BY 1 HAVING count(*) > 1),
+thin AS MATERIALIZED (SELECT DISTINCT capture_id FROM words WHERE capture_id % 3 = 0 AND capture_id NOT IN (SELECT capture_id FROM rich)),
+u AS (SELECT capture_id, word_ix, text, x0, y0, x1, y1, confidence FROM own JOIN thin USING (capture_id) UNION ALL
+  SELECT capture_id, word_ix + 100, text, x0, y0, x1, y1, (confidence * 7 + word_ix) % 101 FROM words JOIN thin USING (capture_id) WHERE word_ix < 10),
+{dedup_sql("u")}
+SELECT capture_id, word_ix, text, x0, y0, confidence FROM own WHERE capture_id NOT IN (SELECT capture_id FROM thin)
+UNION ALL SELECT capture_id, word_ix, text, x0, y0, confidence FROM deduped
+""")
+def rescued_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thin captures take words from crops."""
+    return detect.rescue(*_thin(spark, sf_dir)).select("capture_id", "word_ix", "text", "x0", "y0", "confidence")
 
 
 @query()
 def page_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1-X7 X9-X14, F1-F7, J1-J6, D0 D4 D5, W3 W4 in one plan."""
-    return read_pages(synth.words(spark, sf_dir), _cuts(spark, sf_dir), _lexicon(spark, sf_dir))
+    """S2, X1-X7 X9-X14, F1-F7, J1-J8, J13, D0 D3 D4 D5, W3 W4 in one plan."""
+    words, crops = _thin(spark, sf_dir)
+    overlays = words.where("capture_id % 3 = 1").select("capture_id").distinct().selectExpr(
+        "capture_id", "cast(capture_id % 300 as double) as x0", "cast(capture_id % 90 as double) as y0", "cast(capture_id % 300 + 120 as double) as x1", "cast(capture_id % 90 + 40 as double) as y1"
+    )
+    images = _images(spark, sf_dir).selectExpr("capture_id", "left as x0", "top as y0", "right + 200 as x1", "bottom + 60 as y1")
+    return read_pages(words, _cuts(spark, sf_dir), _lexicon(spark, sf_dir), _names(spark, sf_dir), crop_words=crops, overlays=overlays, images=images)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import audio, geometry as g, text as t
+from ..functions import audio, geometry as g, predicates as p, text as t
 from ..sources import synth, web
 from ..sources.synth import EVENTS_SQL, table
 from ..streaming import viewport as v
@@ -99,25 +99,48 @@ def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EVENTS_SQL}, l AS (SELECT tab_id AS session_id, seq AS line_ix, ts_ms, coalesce(img_key, 'ERROR') AS kind FROM ev)
-SELECT session_id, line_ix, kind FROM l QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY line_ix DESC) <= 20
+WITH {EVENTS_SQL}, l AS (SELECT tab_id % 2 AS session_id, seq AS line_ix, ts_ms, coalesce(img_key, 'ERROR') AS kind FROM ev)
+SELECT session_id, line_ix, kind FROM l QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY line_ix DESC) <= 3000
 """)
 def last_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ring's last rows (20 here)."""
-    log = synth.viewport_events(spark, sf_dir).select(F.col("tab_id").alias("session_id"), F.col("seq").alias("line_ix"), F.coalesce("img_key", F.lit("ERROR")).alias("kind"))
-    return v.last_rows(log, 20)
+    """The ring's last rows of two sessions that share the events."""
+    log = synth.viewport_events(spark, sf_dir).select((F.col("tab_id") % 2).alias("session_id"), F.col("seq").alias("line_ix"), F.coalesce("img_key", F.lit("ERROR")).alias("kind"))
+    return v.last_rows(log)
+
+
+_LOG_SQL = """
+l AS (SELECT user_id AS session_id, CASE event_type WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'ERROR: ' WHEN 1 THEN '2 bubbles dropped as garbage-shaped ' ELSE 'FATAL ' END
+  WHEN 'view' THEN 'FINAL READING ORDER: ' WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'speaking: ' WHEN 1 THEN 'speaking (piper): ' ELSE 'speaking (attempt 2): ' END ELSE 'idle ' END || event_id AS line FROM events),
+s AS (SELECT session_id, count(*) FILTER (contains(line, 'FINAL READING ORDER:')) AS captures, count(*) FILTER (contains(line, 'speaking:') OR contains(line, 'speaking (piper):')) AS spoken,
+  count(*) FILTER (contains(line, 'speaking (attempt')) AS fallbacks, count(*) FILTER (regexp_matches(line, 'ERROR|FATAL')) AS errors, count(*) FILTER (contains(line, 'dropped as garbage-shaped')) AS dropped_garbage FROM l GROUP BY 1)
+"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, k = F.col("event_type"), F.col("event_id") % 3
+    error = F.when(k == 0, "ERROR: ").when(k == 1, "2 bubbles dropped as garbage-shaped ").otherwise("FATAL ")
+    spoken = F.when(k == 0, "speaking: ").when(k == 1, "speaking (piper): ").otherwise("speaking (attempt 2): ")
+    line = F.concat(F.when(kind == "error", error).when(kind == "view", "FINAL READING ORDER: ").when(kind == "click", spoken).otherwise("idle "), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), line.alias("line"))
+
+
+@query(f"WITH {_LOG_SQL} SELECT * FROM s")
+def log_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters per session."""
+    return web.log_summary(_log(spark, sf_dir))
 
 
 @query(f"""
-WITH l AS (SELECT user_id AS session_id, CASE event_type WHEN 'error' THEN 'ERROR ' WHEN 'view' THEN 'captured ' WHEN 'click' THEN 'spoke ' ELSE 'idle ' END || event_id AS line FROM events),
-s AS (SELECT session_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, 'ERROR|FATAL')) AS n_errors, count(*) FILTER (contains(line, 'captured')) AS n_captures, count(*) FILTER (contains(line, 'spoke')) AS n_spoken FROM l GROUP BY 1)
-SELECT *, n_errors = 0 AND n_captures > 0 AS passes FROM s
+WITH {_LOG_SQL}, n AS (SELECT session_id, session_id % 11 <> 0 AS ok, session_id % 4 AS page_errors, session_id % 13 = 0 AS hit_cap FROM s),
+t AS (SELECT count(*) AS sessions, count(*) FILTER (ok) AS started, count(*) FILTER (ok AND hit_cap) AS capped, sum(captures) FILTER (ok)::bigint AS captures, sum(spoken) FILTER (ok)::bigint AS spoken,
+  sum(fallbacks) FILTER (ok)::bigint AS fallbacks, sum(errors) FILTER (ok)::bigint AS errors, sum(dropped_garbage) FILTER (ok)::bigint AS dropped_garbage, sum(page_errors) FILTER (ok)::bigint AS page_errors FROM n JOIN s USING (session_id))
+SELECT *, started = sessions AND errors = 0 AND page_errors = 0 AND capped = 0 AS passes FROM t
 """)
-def log_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13."""
-    kind = F.col("event_type")
-    line = F.concat(F.when(kind == "error", "ERROR ").when(kind == "view", "captured ").when(kind == "click", "spoke ").otherwise("idle "), F.col("event_id").cast("string"))
-    return web.log_summary(table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), line.alias("line")))
+def suite_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and the pass rule over all sessions."""
+    found = web.log_summary(_log(spark, sf_dir))
+    k = F.col("session_id")
+    return web.suite_result(found.select(k, (k % 11 != 0).alias("ok"), (k % 4).alias("page_errors"), (k % 13 == 0).alias("hit_cap")), found)
 
 
 # ---------------------------------------------------------------- pages and sites
@@ -210,24 +233,23 @@ def two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("numbered", F.concat(k.cast("string"), F.lit(". "), F.col("text")))
 
 
-@query()
-def autoscroll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST10: simulation per tab."""
-    e = synth.viewport_events(spark, sf_dir)
-    start = F.min("ts_ms").over(W.partitionBy("tab_id"))
-    s = e.select("tab_id", ((F.col("ts_ms") - start) / 100000).cast("bigint").alias("ts_ms"), F.when(F.col("img_key").isNotNull(), F.col("top").cast("double") * 40).alias("content_top"), (F.col("seq") % 4 == 0).alias("busy"))
-    return v.simulate_autoscroll(s, 800.0, 140.0)
-
-
 @query("""
-WITH e AS (SELECT user_id AS tab_id, event_id, CAST(value AS DOUBLE) * 3.7 AS top, event_id % 5 <> 0 AS visible FROM events), v AS (SELECT * FROM e WHERE visible)
-SELECT tab_id, event_id AS img, CAST(floor(top + 0.5) AS BIGINT) AS top FROM v QUALIFY row_number() OVER (PARTITION BY tab_id ORDER BY top, event_id) = 1
+WITH e AS (SELECT user_id AS tab_id, event_id AS img, CAST(value AS DOUBLE) * 9.7 - 120 AS top, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 200 + event_id % 300 END AS nw, 200 + event_id % 290 AS nh, 250 + event_id % 200 AS lw FROM events),
+f AS (SELECT * FROM e WHERE (CASE WHEN nw <> 0 THEN nw ELSE lw END) >= 320 AND nh >= 320 AND top + nh > 0 AND top < 800),
+l AS (SELECT tab_id, list([top, img]::DOUBLE[] ORDER BY img) AS l FROM f GROUP BY 1),
+b AS (SELECT tab_id, list_reduce(list_prepend([1e300, -1]::DOUBLE[], l), lambda acc, x: CASE WHEN x[1] < acc[1] THEN [floor(x[1] + 0.5), x[2]] ELSE acc END) AS b FROM l)
+SELECT tab_id, CAST(b[1] AS BIGINT) AS top, CAST(b[2] AS BIGINT) AS img FROM b
 """)
 def topmost_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tab's topmost visible image, first on ties, its top rounded."""
-    e = table(spark, sf_dir, "events").where("event_id % 5 <> 0").select(F.col("user_id").alias("tab_id"), "event_id", (F.col("value").cast("double") * 3.7).alias("top"))
-    best = e.groupBy("tab_id").agg(F.min(F.struct("top", "event_id")).alias("b"))
-    return best.select("tab_id", F.col("b.event_id").alias("img"), g.js_round(F.col("b.top")).cast("bigint").alias("top"))
+    """Each tab's topmost image of those large enough (layout size where there is no natural one) and in view."""
+    i, x = F.col("event_id"), F.col("value").cast("double")
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("tab_id"), i.alias("img"), (x * 9.7 - 120).alias("top"),
+        F.when(i % 3 == 0, 0).otherwise(200 + i % 300).alias("natural_w"), (200 + i % 290).alias("natural_h"), (250 + i % 200).alias("layout_w"),
+    )
+    fine = p.is_eligible_image(F.col("natural_w"), F.col("natural_h"), F.col("layout_w"), F.col("natural_h"))
+    seen = p.in_viewport(F.lit(0), F.col("top"), F.lit(390), F.col("top") + F.col("natural_h"), F.lit(390), F.lit(800))
+    return v.topmost(e.where(fine & seen))
 
 
 @query("SELECT engine, count(*) AS n, min(voice_id) AS first_voice FROM (VALUES " + ", ".join("('{}', '{}')".format(e, i) for e, i, _ in web.VOICES) + ") v(engine, voice_id) GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE_WORDS, CANVAS_W, CANVAS_H, VIEWPORT_W, VIEWPORT_H = 48, 520.0, 150.0, 390.0, 120.0
+MOST_PAGES = 10_000_000  # of one document: capture_id is doc_id times this, plus the page
 
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -26,7 +27,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """capture_id, word_ix, text, box, confidence, canvas_w, canvas_h."""
     tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
     flat = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tokens).alias("p", "text"))
-    ids = flat.select((F.col("doc_id") * 10000 + F.expr(f"p div {PAGE_WORDS}")).alias("capture_id"), (F.col("p") % PAGE_WORDS).cast("int").alias("word_ix"), "text")
+    ids = flat.select((F.col("doc_id") * MOST_PAGES + F.expr(f"p div {PAGE_WORDS}")).alias("capture_id"), (F.col("p") % PAGE_WORDS).cast("int").alias("word_ix"), "text")
     return ids.selectExpr(
         "capture_id", "word_ix", "text",
         "cast((word_ix % 8) * 60 + (capture_id * 7 + word_ix * 3) % 9 as double) as x0",
@@ -38,14 +39,14 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS_SQL = f"""
-words AS (
+words AS MATERIALIZED (
   SELECT capture_id, word_ix, text,
     CAST((word_ix % 8) * 60 + (capture_id * 7 + word_ix * 3) % 9 AS DOUBLE) AS x0,
     CAST((word_ix // 8) * 22 + (capture_id + word_ix * 5) % 7 AS DOUBLE) AS y0,
     CAST((word_ix % 8) * 60 + (capture_id * 7 + word_ix * 3) % 9 + 38 + (word_ix * 5 + capture_id) % 19 AS DOUBLE) AS x1,
     CAST((word_ix // 8) * 22 + (capture_id + word_ix * 5) % 7 + 14 + word_ix % 3 AS DOUBLE) AS y1,
     CAST(40 + (capture_id * 31 + word_ix * 17) % 61 AS DOUBLE) AS confidence
-  FROM (SELECT doc_id * 10000 + p // {PAGE_WORDS} AS capture_id, CAST(p % {PAGE_WORDS} AS INT) AS word_ix, t[p + 1] AS text
+  FROM (SELECT doc_id * {MOST_PAGES} + p // {PAGE_WORDS} AS capture_id, CAST(p % {PAGE_WORDS} AS INT) AS word_ix, t[p + 1] AS text
         FROM (SELECT doc_id, t, unnest(range(len(t))) AS p
               FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS t FROM documents))))
 """
@@ -74,7 +75,7 @@ anchors AS (
     CAST((capture_id * 5 + anchor_ix * 11) % 101 AS DOUBLE) / 128 AS obj,
     CAST((capture_id + anchor_ix * 3) % 97 AS DOUBLE) / 128 AS cls0, CAST((capture_id * 2 + anchor_ix) % 89 AS DOUBLE) / 128 AS cls1
   FROM (SELECT doc_id AS capture_id, unnest(range(12)) AS anchor_ix FROM documents)),
-decoded AS (
+decoded AS MATERIALIZED (
   SELECT capture_id, anchor_ix, greatest(0.0::DOUBLE, (cx - w / 2 - 10) / 0.5::DOUBLE) AS x0, greatest(0.0::DOUBLE, (cy - h / 2 - 20) / 0.5::DOUBLE) AS y0,
     least(640.0::DOUBLE, (cx + w / 2 - 10) / 0.5::DOUBLE) AS x1, least(480.0::DOUBLE, (cy + h / 2 - 20) / 0.5::DOUBLE) AS y1, obj * greatest(cls0, cls1) AS conf
   FROM anchors WHERE obj * greatest(cls0, cls1) >= 0.3::DOUBLE)
@@ -110,7 +111,7 @@ def noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES_SQL = r"""
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM documents),
-lines AS (SELECT doc_id, CAST(ix AS INT) AS ix, CAST(40 + (doc_id * 31 + ix * 17) % 61 AS DOUBLE) AS confidence,
+lines AS MATERIALIZED (SELECT doc_id, CAST(ix AS INT) AS ix, CAST(40 + (doc_id * 31 + ix * 17) % 61 AS DOUBLE) AS confidence,
   CASE (doc_id + ix) % 9 WHEN 0 THEN translate(line, 'oi', '01') WHEN 1 THEN replace(line, ', ', ',') WHEN 2 THEN replace(line, ' the ', '/the ')
     WHEN 3 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 4 THEN substr(line, 1, 6) WHEN 5 THEN regexp_replace(line, '[aeiou]', '', 'g') WHEN 6 THEN 'it''s' || line
     WHEN 7 THEN regexp_replace(line, '^[^ ]* ?', 'CHAPTER 12') ELSE line END AS text FROM raw_lines)

@@ -111,12 +111,28 @@ def with_selection(bubbles: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def log_summary(log: DataFrame) -> DataFrame:
-    """session_id, line: counters per session and whether it passes."""
+    """log: session_id, line. What each session's log says."""
     line = F.col("line")
     return log.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(line.rlike("ERROR|FATAL")).alias("n_errors"),
-        F.count_if(line.contains("captured")).alias("n_captures"), F.count_if(line.contains("spoke")).alias("n_spoken"),
-    ).withColumn("passes", (F.col("n_errors") == 0) & (F.col("n_captures") > 0))
+        F.count_if(line.contains("FINAL READING ORDER:")).alias("captures"),
+        F.count_if(line.contains("speaking:") | line.contains("speaking (piper):")).alias("spoken"),
+        F.count_if(line.contains("speaking (attempt")).alias("fallbacks"),
+        F.count_if(line.rlike("ERROR|FATAL")).alias("errors"),
+        F.count_if(line.contains("dropped as garbage-shaped")).alias("dropped_garbage"),
+    )
+
+
+def suite_result(sessions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """sessions: session_id, ok (it started), page_errors, hit_cap. One row: the totals, and whether the suite passes: every
+    session started, no error lines in those that did, no page errors, none stopped by the safety cap."""
+    both = sessions.join(summaries, "session_id", "left")
+    own = lambda c: F.sum(F.when(F.col("ok"), F.coalesce(F.col(c).cast("bigint"), F.lit(0))).otherwise(0))
+    totals = both.agg(
+        F.count(F.lit(1)).alias("sessions"), F.count_if("ok").alias("started"), F.count_if(F.col("ok") & F.col("hit_cap")).alias("capped"),
+        *(F.coalesce(own(c), F.lit(0)).alias(c) for c in ("captures", "spoken", "fallbacks", "errors", "dropped_garbage", "page_errors")),
+    )
+    clean = (F.col("started") == F.col("sessions")) & (F.col("errors") == 0) & (F.col("page_errors") == 0) & (F.col("capped") == 0)
+    return totals.withColumn("passes", clean)
 
 
 def playback_rows(clips: DataFrame) -> DataFrame:

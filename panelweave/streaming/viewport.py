@@ -1,18 +1,19 @@
-"""Viewport and speech stream operators. Batch forms are windows or folds over one tab's ordered events; the live form
+"""Viewport and speech stream operators. Batch forms are windows or walks over one tab's ordered events; the live form
 keeps the same fold in state (processing time, keyed by tab)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SETTLE_MS, DEDUP_RATIO, PROBE_MS = 350, 0.15, 700
 PAUSE_NEW_MS, PAUSE_SAME_MS, LOW_CONFIDENCE, RECHECK_MS = 380, 120, 78.0, 1200
-RESUME_GRACE_MS, CONTENT_GRACE_MS, TIMEOUT_MS, LOG_ROWS = 600, 1200, 20000, 3000
+TIMEOUT_MS, LOG_ROWS = 20000, 3000
 
 
 def islands(events: DataFrame, ts: str = "ts_ms") -> DataFrame:
@@ -40,32 +41,42 @@ def positions_match(top_a: Column, key_a: Column, top_b: Column, key_b: Column,
     return (key_a == key_b) & (F.abs(top_a - top_b) <= tolerance)
 
 
-def _fold(df: DataFrame, key: str, item: list[str], kind: str, keep) -> DataFrame:
-    """Ordered fold that keeps an item by comparing it with the last kept one."""
-    ordered = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*item))).cast(f"array<{kind}>").alias("e"))
-    out = F.aggregate(
-        "e", F.expr(f"cast(array() as array<{kind}>)"),
-        lambda acc, x: F.when((F.size(acc) == 0) | keep(F.get(acc, F.size(acc) - 1), x), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return ordered.select(key, F.explode(out).alias("e")).select(key, "e.*")
+def _walk(df: DataFrame, key: str, columns: list[str], keep: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """``columns`` (the first two give the order) of the rows that ``keep`` lets pass, asked with the last one kept of
+    their key and each next. Rows come sorted, and only the last kept one is held: no group is ever in memory whole."""
+    ordered = df.select(key, *columns).repartition(key).sortWithinPartitions(key, *columns[:2])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, begun = None, None, False
+        for batch in batches:
+            kept = []
+            for i, (k, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if not begun or k != at or keep(last, row):
+                    at, last, begun = k, row, True
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return ordered.mapInArrow(work, ordered.schema)
 
 
 def fresh_positions(reads: DataFrame, viewport_h: float, ts: str = "ts_ms") -> DataFrame:
     """Reads whose position differs from the last kept read only; an older position may come again."""
-    tolerance = F.lit(DEDUP_RATIO * viewport_h)
-    differs = lambda last, x: ~F.coalesce(positions_match(last["top"], last["img_key"], x["top"], x["img_key"], tolerance), F.lit(False))
-    return _fold(reads, "tab_id", [ts, "seq", "top", "img_key"], f"struct<{ts}:bigint,seq:bigint,top:bigint,img_key:string>", differs)
+    tolerance = DEDUP_RATIO * viewport_h
+
+    def differs(last: tuple, x: tuple) -> bool:
+        return None in (*last[2:], *x[2:]) or x[3] != last[3] or abs(x[2] - last[2]) > tolerance
+
+    return _walk(reads, "tab_id", [ts, "seq", "top", "img_key"], differs)
 
 
 def throttled(events: DataFrame, least: int = PROBE_MS, ts: str = "ts_ms") -> DataFrame:
     """Events at least ``least`` after the last one let through."""
-    return _fold(events, "tab_id", [ts, "seq"], f"struct<{ts}:bigint,seq:bigint>", lambda last, x: x[ts] - last[ts] >= least)
+    return _walk(events, "tab_id", [ts, "seq"], lambda last, x: x[0] - last[0] >= least)
 
 
 def single_flight(requests: DataFrame, ts: str = "ts_ms") -> DataFrame:
     """Requests (with took_ms) that start when the last accepted one is over."""
-    kind = f"struct<{ts}:bigint,seq:bigint,took_ms:bigint>"
-    return _fold(requests, "tab_id", [ts, "seq", "took_ms"], kind, lambda last, x: x[ts] >= last[ts] + last["took_ms"])
+    return _walk(requests, "tab_id", [ts, "seq", "took_ms"], lambda last, x: last[2] is not None and x[0] >= last[0] + last[2])
 
 
 def discard_stale(results: DataFrame, events: DataFrame, ts: str = "ts_ms") -> DataFrame:
@@ -117,40 +128,17 @@ def last_rows(log: DataFrame, n: int = LOG_ROWS, key: str = "session_id", order:
     return log.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
-def autoscroll(samples: pd.DataFrame, viewport_h: float, speed: float) -> pd.DataFrame:
-    """One tab's simulation over ticks (ts_ms, content_top: the next bubble's page position or none, busy).
-
-    States: gliding moves on by speed; content ahead makes it steer there, forward only and by at least the minimal
-    advance from the last read; there it freezes until it isn't busy and the resume grace is over, and new content
-    counts only after the content grace."""
-    margin, advance = min(160.0, max(60.0, 0.12 * viewport_h)), 0.75 * viewport_h
-    state, y, last_read, since, target, prev, rows = "gliding", 0.0, None, 0, 0.0, None, []
-    for r in samples.sort_values("ts_ms").itertuples(index=False):
-        dt = 0 if prev is None else r.ts_ms - prev
-        prev = r.ts_ms
-        if state == "gliding":
-            y += speed * dt / 1000
-            content = None if pd.isna(r.content_top) else max(0.0, float(r.content_top) - margin)
-            far = last_read is None or (content is not None and content >= last_read + advance)
-            if content is not None and content >= y and far and r.ts_ms - since >= CONTENT_GRACE_MS:
-                state, target = "steering", content
-        elif state == "steering":
-            y = min(target, y + 4 * speed * dt / 1000)
-            if y >= target:
-                state, since, last_read = "frozen", r.ts_ms, y
-        elif not r.busy and r.ts_ms - since >= RESUME_GRACE_MS:
-            state, since = "gliding", r.ts_ms
-        rows.append((r.ts_ms, state, y))
-    return pd.DataFrame(rows, columns=["ts_ms", "state", "y"])
-
-
-def simulate_autoscroll(samples: DataFrame, viewport_h: float, speed: float) -> DataFrame:
-    """samples: tab_id, ts_ms, content_top, busy."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        return autoscroll(rows, viewport_h, speed).assign(tab_id=rows["tab_id"].iloc[0])
-
-    return samples.groupBy("tab_id").applyInPandas(work, "tab_id long, ts_ms long, state string, y double")
+def topmost(images: DataFrame) -> DataFrame:
+    """images: tab_id, img, top, those that count. The position signal of each tab: images are met in order, and one
+    replaces the best if its top, as it is, is less than the best's rounded one."""
+    ordered = images.groupBy("tab_id").agg(F.array_sort(F.collect_list(F.struct("img", F.col("top").cast("double").alias("top")))).alias("rows"))
+    none = F.struct(F.lit(None).cast("bigint").alias("top"), F.lit(None).cast(images.schema["img"].dataType).alias("img"))
+
+    def meet(best: Column, x: Column) -> Column:
+        higher = best["top"].isNull() | (x["top"] < best["top"])
+        return F.when(higher, F.struct(F.floor(x["top"] + 0.5).alias("top"), x["img"].alias("img"))).otherwise(best)
+
+    return ordered.select("tab_id", F.aggregate("rows", none, meet).alias("b")).select("tab_id", "b.*")
 
 
 LIVE = "tab_id long, top long, img_key string, settled_at long"
