@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._shared import materialise
 
-SHARD_ROWS, QUERY_BLOCK, RATIO, DELTA, FAR_ROWS, STEP, SAMPLE = 16384, 16384, 1.4, 0.5, 800, 1.03, 32
+SHARD_ROWS, QUERY_BLOCK, RATIO, DELTA, FAR_ROWS, STEP, SAMPLE = 16384, 16384, 1.4, 0.05, 400, 1.03, 32
 
 
 def parameters(n: int, c: float = RATIO, delta: float = DELTA, far_rows: int = FAR_ROWS) -> tuple[float, int, int]:
