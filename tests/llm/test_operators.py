@@ -379,6 +379,28 @@ def test_packing_rounds_take_up_what_groups_leave(spark):
     assert len(used) <= -(-sum(lengths) // packing.CAPACITY) + 1
 
 
+def test_packing_query_columns(spark, data, encoder):
+    """Every column of the contract over the whole table; no more sequences than the bound."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    want = set()
+    for i, t in docs.items():
+        ids = np.array([*encoder.slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for k in range(-(-len(ids) // 2048)):
+            n = (len(ids) % 2048 or 2048) if k == 0 else 2048
+            want.add((i, k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+            at += n
+    got = packing.op4_packing(spark, data).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    used = defaultdict(list)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for parts in used.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 2048
+    assert len(used) == -(-sum(x[3] for x in want) // 2048)
+
+
 def test_packing_empty(none):
     assert packing.pack_documents(none).count() == 0
 
@@ -604,6 +626,21 @@ def test_hidden_markov(spark, docs, none):
     assert hidden_markov.fit_and_score(none.select("doc_id", "text")).count() == 0
 
 
+def test_lm_query_columns(spark, data):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in hidden_markov.op9_lm_scoring(spark, data).collect()}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    words = {i: [*BLANK.findall(low(t)), None] for i, t in docs.items()}
+    c = Counter(w for i, t in words.items() if i not in held for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in words.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9) and r.score < 0
+    # States are worth something on documents they haven't seen.
+    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+
+
 def _model(rng, states=3, classes=6):
     return rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(classes), states).T
 
