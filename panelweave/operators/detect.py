@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, iou, shift
@@ -53,12 +54,12 @@ def dedup_words(words: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame
     by falling confidence."""
     kind = "struct<neg:double,word_ix:int,x0:double,y0:double,x1:double,y1:double>"
     item = F.struct((-F.col("confidence")).alias("neg"), F.col("word_ix").cast("int").alias("word_ix"), "x0", "y0", "x1", "y1")
-    some = words.groupBy("capture_id", "text").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # One shuffle: dealt by capture, both the groups and the numbering are in place.
+    some = words.repartition("capture_id").groupBy("capture_id", "text").agg(F.array_sort(F.collect_list(item)).alias("items"))
     fold = _greedy(F.col("items").cast(f"array<{kind}>"), kind, lambda k, x: iou(_box(k), _box(x)) >= threshold)
     flat = some.select("capture_id", "text", F.explode(fold).alias("b")).select("capture_id", "text", "b.*")
-    per = flat.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("neg", "word_ix", "text", "x0", "y0", "x1", "y1"))).alias("w"))
-    out = per.select("capture_id", F.posexplode("w").alias("word_ix", "w"))
-    return out.select("capture_id", "word_ix", "w.text", "w.x0", "w.y0", "w.x1", "w.y1", (-F.col("w.neg")).alias("confidence"))
+    place = F.row_number().over(W.partitionBy("capture_id").orderBy("neg", "word_ix", "text")) - 1
+    return flat.select("capture_id", place.alias("word_ix"), "text", "x0", "y0", "x1", "y1", (-F.col("neg")).alias("confidence"))
 
 
 def rescue(words: DataFrame, crop_words: DataFrame) -> DataFrame:

@@ -116,3 +116,25 @@ def test_log_rules(spark):
     assert not passes([(2, False, 0, False)]).passes and not passes([(2, True, 1, False)]).passes and not passes([(2, True, 0, True)]).passes
     r = passes([(1, False, 5, True), (2, True, 0, False)])
     assert (r.sessions, r.started, r.captures, r.errors, r.page_errors, r.capped, r.passes) == (2, 1, 2, 0, 0, 0, False)
+
+
+def test_captures_and_sinks(spark, tmp_path):
+    (tmp_path / "shots").mkdir()
+    (tmp_path / "shots" / "a.png").write_bytes(b"\x89PNG-1")
+    (tmp_path / "shots" / "b.png").write_bytes(b"\x89PNG-22")
+    got = web.captures(spark, str(tmp_path / "shots"))
+    assert sorted((r.path.rsplit("/", 1)[1], r.length, bytes(r.content)) for r in got.collect()) == [("a.png", 6, b"\x89PNG-1"), ("b.png", 7, b"\x89PNG-22")]
+    at = str(tmp_path / "settings")
+    for value in ("55", "70"):  # the last write stands alone
+        web.save(web.settings(spark.createDataFrame([("volume", value)], "key string, value string")), at)
+    assert dict(spark.read.parquet(at).collect()) == {**web.DEFAULTS, "volume": "70"}
+
+
+def test_sizes_of_images_fall_back_to_layout(spark):
+    rows = [(1, 400, 400, 10, 10), (2, 0, 0, 400, 400), (3, None, 400, 330, 1), (4, 0, 400, 319, 400), (5, 300, 400, 900, 900)]
+    fine = predicates.is_eligible_image(*(F.col(c) for c in ("nw", "nh", "lw", "lh")))
+    got = spark.createDataFrame(rows, "i int, nw int, nh int, lw int, lh int").where(fine).collect()
+    assert sorted(r.i for r in got) == [1, 2, 3]
+    edge = spark.createDataFrame([(1, -5.0, 0.0), (2, 0.0, 5.0), (3, 100.0, 120.0)], "i int, left double, right double")
+    seen = predicates.in_viewport(F.col("left"), F.lit(0.0), F.col("right"), F.lit(10.0), F.lit(100.0), F.lit(100.0), 50.0)
+    assert [r.i for r in edge.where(seen).collect()] == [2]  # the margin is a vertical one
