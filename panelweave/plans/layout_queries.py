@@ -315,20 +315,20 @@ def rescue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A 120 x 90 raster for each nation: frame lines, a background stripe and noise."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("capture_id"))
-    px = n.select("capture_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("y"))
+    """A 120 x 90 raster for each supplier: frame lines, a background stripe and noise."""
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("capture_id"), (F.col("s_suppkey") % 25).alias("k"))
+    px = n.repartition("capture_id").select("capture_id", "k", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(89))).alias("y"))
     gray = F.expr(
-        "case when y = 2 then 5 when x between 60 and 62 and y between 5 + capture_id % 7 and 80 - capture_id % 9 then 10 + capture_id "
-        "when y between 20 + capture_id and 21 + capture_id and x between capture_id % 5 and 119 - capture_id * 2 then 30 when x = 100 and y > 3 then 20 else (x * 7 + y * 13 + capture_id) % 190 + 40 end"
+        "case when y = 2 then 5 when x between 60 and 62 and y between 5 + k % 7 and 80 - k % 9 then 10 + k "
+        "when y between 20 + k and 21 + k and x between k % 5 and 119 - k * 2 then 30 when x = 100 and y > 3 then 20 else (x * 7 + y * 13 + capture_id) % 190 + 40 end"
     )
-    return px.withColumn("g", gray), n.withColumn("width", F.lit(120)).withColumn("height", F.lit(90))
+    return px.select("capture_id", "x", "y", gray.cast("int").alias("g")), n.select("capture_id", F.lit(120).alias("width"), F.lit(90).alias("height"))
 
 
 _PIXELS_SQL = """
-px AS (SELECT n_nationkey AS capture_id, x, y, CASE WHEN y = 2 THEN 5 WHEN x BETWEEN 60 AND 62 AND y BETWEEN 5 + n_nationkey % 7 AND 80 - n_nationkey % 9 THEN 10 + n_nationkey
-  WHEN y BETWEEN 20 + n_nationkey AND 21 + n_nationkey AND x BETWEEN n_nationkey % 5 AND 119 - n_nationkey * 2 THEN 30 WHEN x = 100 AND y > 3 THEN 20 ELSE (x * 7 + y * 13 + n_nationkey) % 190 + 40 END AS g
-  FROM nation CROSS JOIN (SELECT unnest(range(120)) AS x) CROSS JOIN (SELECT unnest(range(90)) AS y)),
+px AS MATERIALIZED (SELECT s_suppkey AS capture_id, x, y, CASE WHEN y = 2 THEN 5 WHEN x BETWEEN 60 AND 62 AND y BETWEEN 5 + s_suppkey % 25 % 7 AND 80 - s_suppkey % 25 % 9 THEN 10 + s_suppkey % 25
+  WHEN y BETWEEN 20 + s_suppkey % 25 AND 21 + s_suppkey % 25 AND x BETWEEN s_suppkey % 25 % 5 AND 119 - s_suppkey % 25 * 2 THEN 30 WHEN x = 100 AND y > 3 THEN 20 ELSE (x * 7 + y * 13 + s_suppkey) % 190 + 40 END AS g
+  FROM supplier CROSS JOIN (SELECT unnest(range(120)) AS x) CROSS JOIN (SELECT unnest(range(90)) AS y)),
 bg AS (SELECT capture_id, y FROM px GROUP BY 1, 2 HAVING avg(CASE WHEN g < 60 THEN 1.0 ELSE 0.0 END) > 0.95),
 bc AS (SELECT capture_id, x FROM px GROUP BY 1, 2 HAVING avg(CASE WHEN g < 60 THEN 1.0 ELSE 0.0 END) > 0.95),
 inner_px AS (SELECT * FROM px WHERE (capture_id, y) NOT IN (SELECT capture_id, y FROM bg) AND (capture_id, x) NOT IN (SELECT capture_id, x FROM bc)),
@@ -366,17 +366,29 @@ def _confirmed_sql(own: str, other: str, size: int) -> str:
   OR EXISTS (SELECT 1 FROM {other} q WHERE q.capture_id = o.capture_id AND (abs(q.p0 - o.a) < 20 OR abs(q.p0 - o.b) < 20) AND o.p0 >= q.a - 20 AND o.p0 <= q.b + 20)"""
 
 
-@query(f"""
+_BORDERS_SQL = f"""
 WITH {_PIXELS_SQL}, {_bands_sql("hb", "y", "x")}, {_bands_sql("vb", "x", "y")}
 SELECT capture_id, 'h' AS orient, a AS x0, p0 AS y0, b AS x1, p1 AS y1 FROM ({_confirmed_sql("hb", "vb", 120)})
 UNION ALL SELECT capture_id, 'v', p0, a, p1, b FROM ({_confirmed_sql("vb", "hb", 90)})
-""")
+"""
+
+
+@query(_BORDERS_SQL)
 def border_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 whole: A10 D8 D7 J9, relational form."""
     px, sizes = _pixels(spark, sf_dir)
     return raster.border_bands(px, sizes, raster.Options(least_length=40))
 
 
+@query(_BORDERS_SQL)
+def border_bands_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 whole, one packed raster a capture: the form for large rasters."""
+    px, sizes = _pixels(spark, sf_dir)
+    rows = px.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "g"))).alias("p"))
+    gray = F.unhex(F.array_join(F.transform("p", lambda p: F.lpad(F.hex(p["g"].cast("long")), 2, "0")), ""))
+    return raster.border_bands_grouped(rows.select("capture_id", gray.alias("gray")).join(sizes, "capture_id"), raster.Options(least_length=40))
+
+
 # ---------------------------------------------------------------- audio
 
 
