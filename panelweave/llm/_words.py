@@ -61,12 +61,13 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         lens = self.ends - self.starts
-        order = np.argsort(np.minimum(lens, _LONG + 1).astype(np.uint16), kind="stable")[::-1]
+        order = np.argsort(np.minimum(lens, _LONG + 1).astype(np.uint8), kind="stable")[::-1].astype(np.int32)
         at, length = self.starts[order], lens[order]
         h = np.full(len(at), _OFFSET, np.uint64)
         n_long = int(np.count_nonzero(length > _LONG))
+        falling = -length[n_long:]
         for i in range(int(length[n_long]) if n_long < len(length) else 0):
-            k = n_long + int(np.searchsorted(-length[n_long:], -i, "left"))
+            k = n_long + int(np.searchsorted(falling, -i, "left"))
             h[n_long:k] = (h[n_long:k] ^ self.bytes[at[n_long:k] + i]) * _PRIME
         for j in range(n_long):
             h[j] = xxhash.xxh3_64_intdigest(self.bytes[at[j] : at[j] + length[j]].tobytes())

@@ -43,7 +43,7 @@ STATES, SINGLE, SHAPES, TOP = 8, 7680, 512, 1 << 17
 SEED_DOCS, SEED_SHARE, SEED_PASSES, MOST_PASSES, TOLERANCE = 384, 64, 6, 3, 0.002
 SEGMENT, OVERLAP, CHUNK = 256, 24, 2 << 20
 END = np.uint64(0x454E444F46544558)  # the end token's hash
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -373,25 +373,29 @@ def score_documents(docs: DataFrame, shared, lex: Lexicon, counts: DataFrame, ch
             h, shape, first = tokens(part)
             cls, c = lex.look_up(h, shape)
             top = c >= 0
+            rare = np.flatnonzero(~top)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(h[rare].view(np.int64)))
+            del h, shape
             logs = np.where(top, np.log10(np.maximum(c, 0) + 1.0), 0.0)
             within = np.where(cls >= SINGLE, lex.class_log[np.maximum(cls - SINGLE, 0)], 0.0)
             inside = np.where(cls >= SINGLE, logs, 0.0) - within  # log10 P(word | class), rare words' counts aside
+            del within
 
             def total(x: np.ndarray) -> np.ndarray:
                 sums = np.concatenate(([0], np.cumsum(x)))
                 return sums[first[1:]] - sums[first[:-1]]
 
+            sums = [np.diff(first), total(top.astype(np.int64)), total(logs), total(inside)]
+            del logs, inside, c, top
             hmm, last = model.log10_likelihood(cls, first[:-1], np.diff(first), before)
-            rare = np.flatnonzero(~top)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(h[rare].view(np.int64)))
-            return [np.diff(first), total(top.astype(np.int64)), total(logs), total(inside), hmm], lists, last
+            return [*sums, hmm], lists, last
 
         def rows(batch, whole: bool, sums, lists) -> pa.RecordBatch:
             flag = pa.array([whole] * batch.num_rows, pa.bool_())
             return pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), flag, *map(pa.array, sums), lists], names)
 
-        for batch, texts in slices(batches, most=6 * chunk):
-            if len(texts) > 1 or len(texts[0]) <= 6 * chunk:
+        for batch, texts in slices(batches, most=3 * chunk):
+            if len(texts) > 1 or len(texts[0]) <= 3 * chunk:
                 sums, lists, _ = judge([Chunk(t) for t in texts])
                 yield rows(batch, True, sums, lists)
                 continue
