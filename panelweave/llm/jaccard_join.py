@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import discard, documents, materialise, new_path, packed, scratch, unpacked
 from ._words import BLANK, Words, mix, slices
 
-SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH, HOT = 5, 80, 8192, 12 << 20, 1000, 16
+SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH, HOT, MOST_TASKS = 5, 80, 8192, 6 << 20, 1000, 16, 10000
 MANY = 65535  # the count that stands for this many items and more
 _DOCS, _ENTRIES, _DIRECT, _FREQUENT = range(4)  # kinds of rows that are dealt
 _SALT = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
@@ -182,14 +182,15 @@ def _gather(scattered: DataFrame, ranges: int) -> DataFrame:
         return pa.concat_tables(out)
 
     kind = scattered.schema["doc_id"].dataType.simpleString()
-    return scattered.groupBy("range").applyInArrow(work, f"doc_id {kind}, item long, n long, part int, blob binary")
+    # By number of ranges, so that a task's share doesn't grow with the table.
+    return scattered.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(work, f"doc_id {kind}, item long, n long, part int, blob binary")
 
 
 def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
+def _candidates(gathered: DataFrame, percent: int, ranges: int) -> DataFrame:
     """Items that may link: item, n, typical, tokens (their shared shingles), prefix (order 0), others (orders 1, 2)."""
 
     def work(key, table):
@@ -226,7 +227,7 @@ def _candidates(gathered: DataFrame, percent: int) -> DataFrame:
         })
 
     shared = gathered.where(F.col("blob").isNotNull()).select("part", "blob")
-    return shared.groupBy("part").applyInArrow(work, "item long, n long, typical int, tokens binary, prefix array<long>, others array<binary>")
+    return shared.repartition(min(ranges, MOST_TASKS), "part").groupBy("part").applyInArrow(work, "item long, n long, typical int, tokens binary, prefix array<long>, others array<binary>")
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -348,7 +349,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     at = new_path(docs.sparkSession, "components")
     gathered = materialise(_gather(_scatter(docs, ranges, k, hot), ranges), "shared-shingles", batch_rows=BATCH)
     with scratch(docs.sparkSession):
-        sets = materialise(_candidates(gathered, percent), "shingle-sets")
+        sets = materialise(_candidates(gathered, percent, ranges), "shingle-sets")
         labels = materialise(component_labels(sets, percent), "components", path=at)
     own = gathered.where(F.col("blob").isNull()).select("doc_id", "item", "n")
     items = own.where(F.col("item").isNotNull()).groupBy("item").agg(F.min("doc_id").alias("least"))
