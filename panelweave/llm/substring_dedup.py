@@ -202,7 +202,8 @@ def _compare(scattered: DataFrame, ranges: int, length: int, hot: int) -> DataFr
                     out.setdefault(p, [None, None])[column] = b
         return pa.table({"part": pa.array(list(out), pa.int32()), "intervals": pa.array([v[0] for v in out.values()], pa.binary()), "requests": pa.array([v[1] for v in out.values()], pa.binary())})
 
-    return scattered.groupBy("range").applyInArrow(work, "part int, intervals binary, requests binary")
+    # By number of ranges, so that a task's share doesn't grow with the table.
+    return scattered.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(work, "part int, intervals binary, requests binary")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +222,7 @@ def _per_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[i
     return {d: _pack(*(x.astype("u4") for x in merged(start[a:b], end[a:b]))) for d, (a, b) in zip(*_bounds(doc), strict=True)}
 
 
-def _documents(compared: DataFrame) -> DataFrame:
+def _documents(compared: DataFrame, ranges: int) -> DataFrame:
     """u, intervals, requests."""
 
     def work(key, table):
@@ -234,7 +235,7 @@ def _documents(compared: DataFrame) -> DataFrame:
         u = sorted({*iv, *wanted})
         return pa.table({"u": pa.array(np.array(u, np.uint64).view(np.int64)), "intervals": pa.array([iv.get(d) for d in u], pa.binary()), "requests": pa.array([wanted.get(d) for d in u], pa.binary())})
 
-    return compared.groupBy("part").applyInArrow(work, "u long, intervals binary, requests binary")
+    return compared.repartition(min(ranges, MOST_TASKS), "part").groupBy("part").applyInArrow(work, "u long, intervals binary, requests binary")
 
 
 def _fetch(asked: DataFrame, ranges: int, length: int) -> DataFrame:
@@ -405,7 +406,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_
     """u, intervals of documents with repeated windows. docs: u, text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-int(total) // range_bytes))
-    compared = materialise(_documents(_compare(_scatter(docs, ranges, length), ranges, length, hot)), "repeats")
+    compared = materialise(_documents(_compare(_scatter(docs, ranges, length), ranges, length, hot), ranges), "repeats")
     wanted = compared.where(F.col("requests").isNotNull()).select("u", "requests")
     asked = docs.join(wanted, "u").select("u", "text", "requests")
     ranges *= SEARCH_RANGES  # the same bytes are more work here
