@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, materialise, new_path
 
-N_SLOTS, SUBS = 4096, 16
+N_SLOTS, SUBS = 4096, 4
 MAP_SCHEMA = "version int, slot int, shard int, bytes bigint, rows bigint, first_place bigint"
 
 
