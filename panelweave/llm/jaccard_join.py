@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import discard, documents, materialise, new_path, packed, scratch, unpacked
 from ._words import BLANK, Words, mix, slices
 
-SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH, HOT, MOST_TASKS = 5, 80, 8192, 6 << 20, 1000, 16, 10000
+SHINGLE, PERCENT, BLOCK, RANGE_BYTES, BATCH, HOT, MOST_TASKS = 5, 80, 8192, 12 << 20, 1000, 16, 10000
 MANY = 65535  # the count that stands for this many items and more
 _DOCS, _ENTRIES, _DIRECT, _FREQUENT = range(4)  # kinds of rows that are dealt
 _SALT = [np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
