@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, substring_dedup
+from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, spelling, substring_dedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_lm_scoring": hidden_markov.op9_lm_scoring,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard_join.OP6_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op13_spelling": spelling.OP13_SQL,
     }
