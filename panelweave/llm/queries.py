@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, spelling, substring_dedup
+from . import decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, spelling, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_lm_scoring": hidden_markov.op9_lm_scoring,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_token_counts": token_counts.op12_token_counts,
         "op13_spelling": spelling.op13_spelling,
     }
 
