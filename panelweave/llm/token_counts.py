@@ -11,9 +11,9 @@ the starts.
 
 The second reads the bytes of a pretoken; each transition carries the change in the number of tokens (an added byte may
 join two into one, so it may be negative). A state is what can still matter: the longest suffix that begins some token
-and, for each place in it from which a token may come, the last token before it and the number of tokens relative to now. Two tokens may
-stand side by side unless a merge across their border comes before those that build them; exactly one token can end at
-each place, which makes the transducer deterministic. The complete machine would hold a state for each context of each
+and, for each place in it from which a token may come, what of the token before it can still forbid one, and the number of
+tokens relative to now. Two tokens may stand side by side unless a merge across their border comes before those that build
+them; exactly one token can end at each place, which makes the transducer deterministic. The complete machine would hold a state for each context of each
 of some 90,000 beginnings of tokens, so transitions are compiled when first met, kept for later rows and tasks of the
 worker, and dropped beyond MOST_STATES: memory is bounded and results don't depend on it. Pretokens all start in the
 same state, so all of a block step together whatever chunk they lie in.
@@ -191,14 +191,20 @@ class Counter:
             self.merges[a, b] = rank
             self.parts[ab] = (a, b, rank)
         self.beginnings = {t[:k] for t in self.ids for k in range(1, len(t))}
-        self.lefts: dict[int, list[tuple[int, float]]] = {}
-        self.rights: dict[int, list[tuple[int, float]]] = {}
+        self.soonest: dict[tuple[int, bytes], int] = {}  # rank of the first merge of a token with one that begins so
+        text = {i: t for t, i in self.ids.items()}
+        for (a, b), rank in self.merges.items():
+            for k in range(len(text[b]) + 1):
+                self.soonest.setdefault((a, text[b][:k]), rank)
+        self.lefts: dict[int, tuple] = {}
+        self.rights: dict[int, tuple] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.states = [(b"", ((0, None, 0),))]
+        self.states = [(b"", ((0, (), 0),))]
         self.numbers = {self.states[0]: 0}
-        self.allowed: dict[tuple[int, int], bool] = {}
+        self.allowed: dict[tuple[tuple, int], bool] = {}
+        self.edges: dict[tuple[tuple, bytes], tuple] = {}
         self.slots(1 << 18)
 
     def slots(self, size: int) -> None:
@@ -206,7 +212,7 @@ class Counter:
         self.shift, self.filled = np.uint64(64 - size.bit_length() + 1), 0
         self.key, self.to, self.change = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int16)
 
-    def spine(self, token: int, side: int) -> list[tuple[int, float]]:
+    def spine(self, token: int, side: int) -> tuple[tuple[int, float], ...]:
         """The pieces that stand at one edge while a token is built, with the rank of the merge that takes each away."""
         known = (self.lefts, self.rights)[side]
         if token not in known:
@@ -215,33 +221,48 @@ class Counter:
                 rank = self.parts[taken][2]
                 taken = self.parts[taken][side]
                 out.append((taken, rank))
-            known[token] = out
+            known[token] = tuple(out)
         return known[token]
 
-    def side_by_side(self, a: int, b: int) -> bool:
-        """Whether the tokens of a's and b's bytes together are a and b: no merge across the border comes first. At equal
-        ranks the one further left does."""
-        if (a, b) not in self.allowed:
-            self.allowed[a, b] = not any(
+    def matters(self, edge: tuple, text: bytes) -> tuple:
+        """The part of a right edge that can still forbid a token which begins with ``text``, or ends inside it."""
+        key = edge, text
+        if key not in self.edges:
+            def least(x: int) -> float:
+                inside = (self.merges.get((x, self.ids.get(text[:k], -1)), float("inf")) for k in range(1, len(text)))
+                return min(self.soonest.get((x, text), float("inf")), *inside, float("inf"))
+
+            self.edges[key] = tuple((x, gone) for x, gone in edge if least(x) < gone)
+        return self.edges[key]
+
+    def side_by_side(self, edge: tuple, b: int) -> bool:
+        """Whether token b may follow a token with this right edge: no merge across the border comes before those that
+        build the two. At equal ranks the one further left does."""
+        key = edge, b
+        if key not in self.allowed:
+            self.allowed[key] = not any(
                 (m := self.merges.get((x, y))) is not None and m < x_gone and m <= y_gone
-                for x, x_gone in self.spine(a, 1) for y, y_gone in self.spine(b, 0)
+                for x, x_gone in edge for y, y_gone in self.spine(b, 0)
             )
-        return self.allowed[a, b]
+        return self.allowed[key]
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         window, places = self.states[state]
         text = window + bytes([byte])
-        for k, last, tokens in places:
+        for k, edge, tokens in places:
             token = self.ids.get(text[k:])
-            if token is not None and (last is None or self.side_by_side(last, token)):
+            if token is not None and self.side_by_side(edge, token):
                 change = tokens + 1
                 break
         else:
             raise AssertionError("no token can end here")
         # Places from which a token may still come: what stands after them begins one.
-        left = [p for p in places if text[p[0] :] in self.beginnings]
-        k = left[0][0] if left else len(text)
-        new = (text[k:], (*((at - k, last, tokens - change) for at, last, tokens in left), (len(text) - k, token, 0)))
+        left = [(k, edge, tokens) for k, edge, tokens in places if text[k:] in self.beginnings]
+        low = left[0][0] if left else len(text)
+        new = (text[low:], (
+            *((k - low, self.matters(edge, text[k:]), tokens - change) for k, edge, tokens in left),
+            (len(text) - low, self.matters(self.spine(token, 1), b""), 0),
+        ))
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
