@@ -125,7 +125,7 @@ def triangle(fit: DataFrame, mean: Mean, fan: int = FAN) -> np.ndarray:
     found = fit.mapInArrow(leaf, "node long, r binary")
     while left > 1:
         left = -(-left // fan)
-        found = found.groupBy(F.pmod("node", F.lit(left)).alias("node")).applyInArrow(join, "node long, r binary")
+        found = found.withColumn("node", F.pmod("node", F.lit(left))).groupBy("node").applyInArrow(join, "node long, r binary")
     return fold(np.frombuffer(row.r).reshape(-1, d) for row in found.collect())
 
 
