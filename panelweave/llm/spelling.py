@@ -1,6 +1,7 @@
 """Spelling variants: words one edit apart, found by a rare-first positional q-gram prefix filter.
 
-One edit touches at most two of a word's bigrams. Under any one order of all bigrams two words within one edit therefore
+One edit touches at most two of a word's bigrams (words get two marks at either end, so that the shortest have three).
+Under any one order of all bigrams two words within one edit therefore
 share one of the first three of each, at places that agree from the left or from the right (prefix filter). The order is
 rarest first, by counts over the vocabulary. The shared bigram is one the edit left alone, so the edit lies on one side
 of it and everything on the other side is equal; and what remains lies in two halves of which one is equal, too. A join
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._shared import ascii_lower, documents, materialise
 
-LETTERS, SLICE, BUCKETS, RAREST = "[A-Za-zÀ-ÿ]", 1 << 20, 1 << 16, 3
+LETTERS, SLICE, BUCKETS, RAREST, MARKS = "[A-Za-zÀ-ÿ]", 1 << 20, 1 << 16, 3, ("\x02\x02", "\x03\x03")
 MIN_LENGTH, MIN_COUNT, ONE_IN, FACTOR = 5, 3, 97, 2
 
 
@@ -66,18 +67,20 @@ def counted(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN
 
 def bigram_counts(words: DataFrame) -> dict[int, int]:
     """How many bigrams of the vocabulary each hash bucket holds: at most BUCKETS entries."""
-    grams = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
-    each = words.where(F.char_length("word") > 1).select(F.explode(grams).alias("g"))
+    grams = F.transform(F.sequence(F.lit(1), F.char_length("_w") - 1), lambda i: F.substring(F.col("_w"), i, F.lit(2)))
+    each = words.select(F.concat(F.lit(MARKS[0]), "word", F.lit(MARKS[1])).alias("_w")).select(F.explode(grams).alias("g"))
     by = each.groupBy(F.pmod(F.crc32(F.col("g").cast("binary")), F.lit(BUCKETS)).alias("b")).count()
     return {r.b: r["count"] for r in by.collect()}
 
 
 def keys_of(word: str, order: dict[int, int]) -> Iterator[tuple[str, int]]:
     """(key, role) for each place an edit can have. Roles: 0 both as long, 1 the shorter, 2 the longer."""
-    grams = [word[i : i + 2] for i in range(len(word) - 1)]
+    whole = MARKS[0] + word + MARKS[1]
+    grams = [whole[i : i + 2] for i in range(len(whole) - 1)]
     ranked = sorted((order.get(zlib.crc32(g.encode()) % BUCKETS, 0), g, i) for i, g in enumerate(grams))
-    for _, g, i in ranked[:RAREST]:
-        for side, fixed, rest in (("l", word[: i + 2], word[i + 2 :]), ("r", word[i:], word[:i])):
+    for _, _, i in ranked[:RAREST]:
+        begin, end = max(0, i - 2), min(i, len(word))  # of the bigram, inside the word
+        for side, fixed, rest in (("l", word[:end], word[end:]), ("r", word[begin:], word[:begin])):
             n = len(rest)
             h = n // 2
             if n:
