@@ -9,8 +9,9 @@ ever brought together or broadcast.
 Equal texts aren't kept in one shard: a group of them may hold a third of all bytes, which no law of near equal sizes
 allows. They are dealt by doc_id like all others, and so evenly.
 
-Nulls: a null text has no bytes (size 1); rows with a null doc_id are dealt to slots by their place in the table, so they
-can't gather in one. Repeated rows are separate records and get separate places; ties in a slot are placed in any order.
+Nulls: a null text has no bytes (size 1); rows with a null doc_id are dealt by size and checksum. Repeated rows are
+separate records: they are numbered among their equals and dealt by that number, too, so they can't gather in one slot,
+and get separate places; ties in a slot are placed in any order.
 Long texts are only measured. An empty table gives an empty result and an empty map. Columns beyond doc_id and text are
 ignored, whatever their names.
 """
@@ -23,23 +24,28 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, materialise, new_path
 
-N_SLOTS, SUBS = 4096, 4
+N_SLOTS, SUBS, COPIES = 4096, 4, 1024
+RECORD = ("doc_id", "size", "text_crc32")
 MAP_SCHEMA = "version int, slot int, shard int, bytes bigint, rows bigint, first_place bigint"
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot, sub: what placing needs of each record (no text). ``sub`` splits a slot where its
-    records are ranked."""
+    """doc_id, size, text_crc32, copy, vslot, sub: what placing needs of each record (no text). Equal rows are counted
+    first (so a group of any size is a row a task in the shuffle) and told out again with their number among their equals,
+    large groups in blocks of COPIES that are dealt out; a row that has no equal keeps its slot whatever else comes. ``sub``
+    splits a slot where its records are ranked."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"),
-    ).select(
-        "doc_id", "size", "text_crc32",
-        F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.when(F.col("doc_id").isNull(), F.col("row"))), F.lit(n_slots)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64("row"), F.lit(SUBS)).cast("int").alias("sub"),
+    each = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    groups = materialise(each.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n")), "shard-groups")
+    few = groups.where(F.col("n") <= COPIES).select(*RECORD, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1), F.lit(COPIES).cast("long")))
+    blocks = groups.where(F.col("n") > COPIES).select(*RECORD, "n", block.alias("low")).repartition(*RECORD, "low")
+    many = blocks.select(*RECORD, F.explode(F.sequence("low", F.least(F.col("n"), F.col("low") + COPIES) - 1)).alias("copy"))
+    known = [*RECORD, F.when(F.col("copy") > 0, F.col("copy"))]
+    return few.unionByName(many).select(
+        *RECORD, "copy",
+        F.pmod(F.xxhash64(*known), F.lit(n_slots)).cast("int").alias("vslot"),
+        F.pmod(F.xxhash64(*known, F.lit("sub")), F.lit(SUBS)).cast("int").alias("sub"),
     )
 
 
@@ -122,9 +128,9 @@ def apply_map(recs: DataFrame, slot_map: DataFrame) -> DataFrame:
     parts = recs.groupBy("vslot", "sub").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
     m = slot_map.select(F.col("slot").alias("vslot"), "shard", "first_place", "version")
     firsts = parts.join(F.broadcast(m), "vslot").select("vslot", "sub", "shard", "version", (F.col("first_place") + F.col("ahead")).alias("first_place"))
-    inside = W.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size")
+    inside = W.partitionBy("vslot", "sub").orderBy("doc_id", "text_crc32", "size", "copy")
     ranked = recs.withColumn("r", F.row_number().over(inside)).join(F.broadcast(firsts), ["vslot", "sub"])
-    return ranked.withColumn("place", F.col("first_place") + F.col("r") - 1).drop("r", "first_place", "sub")
+    return ranked.withColumn("place", F.col("first_place") + F.col("r") - 1).drop("r", "first_place", "sub", "copy")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, DataFrame]:
