@@ -6,7 +6,8 @@ about GROUP_PIECES by a hash (no key can gather in one), and each group is packe
 pairs that fill a bin are taken out, the largest piece left is completed by undominated fillings (all of them, fullest
 first, made one by one), branches die when their waste exceeds what a better packing may waste, and best-fit decreasing
 gives the incumbent. The search ends at the lower bound, when nothing is left, or after STEPS_A_BIN steps back for each
-bin (the first dive takes none), with the best packing found; dominated fillings met count as steps.
+bin, LEAST_STEPS at least (the first dive takes none), with the best packing found; dominated fillings met count as steps.
+Small groups, where steps are cheap and win most, are so searched far beyond what their bins alone would allow.
 
 What groups leave unfilled is packed in further rounds: bins with room are taken apart and their pieces dealt to fewer
 groups, as long as that halves what is left, so the loss is a bin a table rather than a bin a group.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._shared import documents, materialise
 
-CAPACITY, END_ID, GROUP_PIECES, STEPS_A_BIN, MOST_ROUNDS = 2048, 0, 8192, 4, 64
+CAPACITY, END_ID, GROUP_PIECES, STEPS_A_BIN, LEAST_STEPS, MOST_ROUNDS = 2048, 0, 8192, 4, 20_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -206,7 +207,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, steps: int | None = None)
                 counts[y] -= n
     sizes = sorted(x for x, n in counts.items() if n)
     waste = capacity * (len(incumbent) - 1) - sum(lengths)  # what a better packing may waste
-    left = STEPS_A_BIN * len(incumbent) if steps is None else steps
+    left = max(LEAST_STEPS, STEPS_A_BIN * len(incumbent)) if steps is None else steps
 
     def take(x: int, n: int) -> None:
         counts[x] = counts.get(x, 0) - n

@@ -40,6 +40,12 @@ def docs(spark):
     return d.withColumns({c: F.lit(7) for c in ("_spans", "n_lines", "keeper", "_uid", "score", "batch", "_row")})
 
 
+def encoder_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)
@@ -365,6 +371,14 @@ def test_packing_is_optimal_on_twelve_pieces():
     assert len(packing.pack(*beaten[0])) == 4 < len(packing.best_fit(*beaten[0]))
 
 
+def test_small_groups_are_searched_to_the_end_of_twenty_thousand_steps(spark, data, encoder):
+    lengths = [r.length for r in packing.cut(spark.read.parquet(f"{data}/documents.parquet"), encoder_file()).select("length").collect()]
+    rng = np.random.default_rng(9)
+    for _ in range(25):
+        draw = rng.choice(lengths, 120).tolist()
+        assert len(packing.pack(draw)) <= len(packing.pack(draw, steps=20_000))
+
+
 def test_packing_rounds_take_up_what_groups_leave(spark):
     lengths = np.random.default_rng(5).integers(1, 900, 9000).tolist()
     pieces = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in enumerate(lengths)], packing.PIECES)
@@ -562,6 +576,25 @@ def test_rows_without_id_are_spread(spark):
     assert len(loads) == 8 and sum(loads) == 3000 and max(loads) - min(loads) <= 3 and placed.select("vslot").distinct().count() > 1500
 
 
+def test_law_holds_when_a_third_of_the_rows_is_one_row(spark):
+    d = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.expr("repeat('x', cast(case when id % 3 = 0 then 199 else id % 400 end as int))").alias("text"))
+    placed = sharding.shard_documents(d)[0].cache()
+    loads = [r[1] for r in placed.groupBy("shard").agg(F.sum("size")).collect()]
+    mean = sum(loads) / 8
+    assert len(loads) == 8 and placed.count() == 30000 and all(abs(x - mean) <= 0.01 * mean for x in loads)
+    by = defaultdict(list)
+    for r in placed.collect():
+        by[r.shard].append(r.place)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_a_row_keeps_its_slot_whatever_else_comes(spark):
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    slot = lambda df: {r.doc_id: r.vslot for r in sharding.records(df).where("copy = 0").collect()}
+    alone = slot(d)
+    assert alone == {k: v for k, v in slot(d.unionByName(spark.range(500, 900).selectExpr("id as doc_id", "'u' as text")).repartition(5)).items() if k < 500}
+
+
 def test_sharding_is_even(spark):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(1 + id % 300 as int))").alias("text"))
     loads = [r[1] for r in sharding.shard_documents(d)[0].groupBy("shard").agg(F.sum("size")).collect()]
