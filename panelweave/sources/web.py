@@ -48,10 +48,15 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def images(pages: DataFrame) -> DataFrame:
-    """page_id, pos, src of every image tag, each source once a page (repeated discovery changes nothing)."""
+def image_tags(pages: DataFrame, *more: str) -> DataFrame:
+    """page_id, pos, src of every image tag, and ``more`` columns."""
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<img[^>]*?\ssrc\s*=\s*[\"']([^\"'>]+)[\"']"), F.lit(1))
-    return pages.select("page_id", F.posexplode(tags).alias("pos", "src")).groupBy("page_id", "src").agg(F.min("pos").alias("pos"))
+    return pages.select("page_id", *more, F.posexplode(tags).alias("pos", "src"))
+
+
+def images(pages: DataFrame) -> DataFrame:
+    """page_id, pos, src, each source once a page (repeated discovery changes nothing)."""
+    return image_tags(pages).groupBy("page_id", "src").agg(F.min("pos").alias("pos"))
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Viewport and speech stream operators. Batch forms are windows or walks over one tab's ordered events; the live form
-keeps the same fold in state (processing time, keyed by tab)."""
+"""Viewport and speech stream operators in batch form: windows or walks over one tab's ordered events. live.py keeps the
+same folds in state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,24 +58,38 @@ def _walk(df: DataFrame, key: str, columns: list[str], keep: Callable[[tuple, tu
     return ordered.mapInArrow(work, ordered.schema)
 
 
-def fresh_positions(reads: DataFrame, viewport_h: float, ts: str = "ts_ms") -> DataFrame:
-    """Reads whose position differs from the last kept read only; an older position may come again."""
-    tolerance = DEDUP_RATIO * viewport_h
+def moved(tolerance: float) -> Callable[[tuple, tuple], bool]:
+    """Rows (ts, seq, top, img_key): another image, or further away than the tolerance."""
 
     def differs(last: tuple, x: tuple) -> bool:
         return None in (*last[2:], *x[2:]) or x[3] != last[3] or abs(x[2] - last[2]) > tolerance
 
-    return _walk(reads, "tab_id", [ts, "seq", "top", "img_key"], differs)
+    return differs
+
+
+def apart(least: int) -> Callable[[tuple, tuple], bool]:
+    """Rows (ts, seq): at least so long after the last one kept."""
+    return lambda last, x: x[0] - last[0] >= least
+
+
+def landed(last: tuple, x: tuple) -> bool:
+    """Rows (ts, seq, took_ms): the last one kept is over."""
+    return last[2] is not None and x[0] >= last[0] + last[2]
+
+
+def fresh_positions(reads: DataFrame, viewport_h: float, ts: str = "ts_ms") -> DataFrame:
+    """Reads whose position differs from the last kept read only; an older position may come again."""
+    return _walk(reads, "tab_id", [ts, "seq", "top", "img_key"], moved(DEDUP_RATIO * viewport_h))
 
 
 def throttled(events: DataFrame, least: int = PROBE_MS, ts: str = "ts_ms") -> DataFrame:
     """Events at least ``least`` after the last one let through."""
-    return _walk(events, "tab_id", [ts, "seq"], lambda last, x: x[0] - last[0] >= least)
+    return _walk(events, "tab_id", [ts, "seq"], apart(least))
 
 
 def single_flight(requests: DataFrame, ts: str = "ts_ms") -> DataFrame:
     """Requests (with took_ms) that start when the last accepted one is over."""
-    return _walk(requests, "tab_id", [ts, "seq", "took_ms"], lambda last, x: last[2] is not None and x[0] >= last[0] + last[2])
+    return _walk(requests, "tab_id", [ts, "seq", "took_ms"], landed)
 
 
 def discard_stale(results: DataFrame, events: DataFrame, ts: str = "ts_ms") -> DataFrame:
@@ -139,31 +152,3 @@ def topmost(images: DataFrame) -> DataFrame:
         return F.when(higher, F.struct(F.floor(x["top"] + 0.5).alias("top"), x["img"].alias("img"))).otherwise(best)
 
     return ordered.select("tab_id", F.aggregate("rows", none, meet).alias("b")).select("tab_id", "b.*")
-
-
-LIVE = "tab_id long, top long, img_key string, settled_at long"
-STATE = "top long, img_key string, since long, fired boolean, read_top long, read_key string"
-
-
-def live_positions(stream: DataFrame, viewport_h: float, settle: int = SETTLE_MS) -> DataFrame:
-    """Streaming: positions that settle and aren't the last read again. stream: tab_id, ts_ms, top, img_key."""
-
-    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        top, img, since, fired, read_top, read_key = state.get if state.exists else (None, None, 0, False, None, None)
-        out = []
-        for e in pd.concat(list(parts)).sort_values("ts_ms").itertuples(index=False):
-            e_img = None if pd.isna(e.img_key) else e.img_key
-            e_top = None if pd.isna(e.top) else int(e.top)
-            if (e_top, e_img) != (top, img):
-                top, img, since, fired = e_top, e_img, int(e.ts_ms), False
-            if img is not None and not fired and e.ts_ms - since >= settle:
-                fired = True
-                if not (img == read_key and read_top is not None and abs(top - read_top) <= DEDUP_RATIO * viewport_h):
-                    read_top, read_key = top, img
-                    out.append((key[0], top, img, int(e.ts_ms)))
-        state.update((top, img, since, fired, read_top, read_key))
-        yield pd.DataFrame(out, columns=["tab_id", "top", "img_key", "settled_at"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return stream.groupBy("tab_id").applyInPandasWithState(step, LIVE, STATE, "append", GroupStateTimeout.NoTimeout)

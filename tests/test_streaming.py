@@ -1,22 +1,10 @@
-"""The live form against its expected emissions."""
+"""Batch forms of the stream operators against plain Python."""
 
 from __future__ import annotations
 
 from panelweave.streaming import viewport
 
 
-def test_live_positions(spark, tmp_path):
-    rows = [(1, 0, 100, "a"), (1, 200, 100, "a"), (1, 400, 100, "a"), (1, 600, 120, "a"), (1, 1000, 120, "a"), (1, 1200, 900, "a"), (1, 1600, 900, "a"), (1, 1800, None, None), (1, 2400, None, None), (1, 2600, 100, "a"), (1, 3000, 100, "a")]
-    src = str(tmp_path / "in")
-    spark.createDataFrame(rows, "tab_id long, ts_ms long, top long, img_key string").coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("tab_id long, ts_ms long, top long, img_key string").parquet(src)
-    q = viewport.live_positions(stream, 800.0).writeStream.format("memory").queryName("live").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    got = [tuple(r) for r in spark.table("live").orderBy("settled_at").collect()]
-    # 120 is the last read again (within the tolerance); 100 after 900 is read again.
-    assert got == [(1, 100, "a", 400), (1, 900, "a", 1600), (1, 100, "a", 3000)]
-
-
 def test_topmost_compares_with_the_rounded_best(spark):
     rows = [(1, 1, 10.4), (1, 2, 10.2), (1, 3, 9.9), (2, 1, 7.5), (2, 2, 7.9), (3, 1, -0.5)]
     got = {r.tab_id: (r.top, r.img) for r in viewport.topmost(spark.createDataFrame(rows, "tab_id long, img long, top double")).collect()}
