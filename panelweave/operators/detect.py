@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, box, iou, shift
 from ..functions.predicates import DETECTOR_CONFIDENCE, detector_confidence, is_real_content
 
-NMS_IOU, DUPLICATE_IOU = 0.35, 0.6
+NMS_IOU, DUPLICATE_IOU, LEAST_CROP = 0.35, 0.6, 4
 
 
 def _box(s: Column) -> Box:
@@ -62,6 +62,11 @@ def dedup_words(words: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame
     return flat.select("capture_id", place.alias("word_ix"), "text", "x0", "y0", "x1", "y1", (-F.col("neg")).alias("confidence"))
 
 
+def of_large_crops(crop_words: DataFrame, least: float = LEAST_CROP) -> DataFrame:
+    """Words of crops (crop_x0, crop_y0, crop_x1, crop_y1) that are worth reading."""
+    return crop_words.where((F.col("crop_x1") - F.col("crop_x0") >= least) & (F.col("crop_y1") - F.col("crop_y0") >= least))
+
+
 def rescue(words: DataFrame, crop_words: DataFrame) -> DataFrame:
     """words: capture_id, word_ix, text, box, confidence. crop_words: the same of words found in crops of detected blocks,
     boxes relative to the crop, with crop_x0 and crop_y0. A capture with crops whose own words hold at most one of real

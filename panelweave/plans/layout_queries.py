@@ -91,8 +91,8 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("capture_id", "bubble_ix", "label", place.alias("place"))
 
 
-def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = synth.words(spark, sf_dir).select("capture_id").distinct()
+def _cuts(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    pages = synth.words(spark, sf_dir).select("capture_id").distinct() if pages is None else pages
     base = pages.select("capture_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("cut_ix"))
     return base.selectExpr(
         "capture_id", "case when cut_ix = 3 then 'h' else 'v' end as orient", "cut_ix",
@@ -199,8 +199,8 @@ def reading_order_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- spatial filters
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = synth.words(spark, sf_dir).select("capture_id").distinct()
+def _images(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    pages = synth.words(spark, sf_dir).select("capture_id").distinct() if pages is None else pages
     base = pages.select("capture_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("img_ix")).where("capture_id % 5 <> 4")
     return base.selectExpr(
         "capture_id", "img_ix", "cast(200 + (capture_id * 7 + img_ix * 131) % 400 as int) as natural_w", "cast(250 + (capture_id * 3 + img_ix * 57) % 300 as int) as natural_h",

@@ -3,31 +3,16 @@ again between slices. Each has the SQL of its batch form, whose rows it must giv
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import synth
+from ..sources.scratch import shared_folder
 from ..streaming import live, viewport as v
 from .queries import SQL, query
 from .stream_queries import HOUR
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session may do without."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="panelweave-live-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 @query(SQL["settled_positions"].replace("SELECT tab_id, run, top", "SELECT tab_id, top").replace("GROUP BY 1, 2, 3, 4", "GROUP BY tab_id, run, top, img_key"))
 def live_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1 as a stream, by polls."""

@@ -1,4 +1,4 @@
-"""The whole reading plan: words to bubbles, noise filter, order, text repair, sentences, speech text."""
+"""The whole reading plan: words to bubbles, retries, filters by noise and place, order, text repair, sentences, speech."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import predicates as p, text as t
 from ..operators import detect, layout, lexicon_repair as lr
 from ..sources import synth
+from ..sources.scratch import written
 from ..sources.synth import WORDS_SQL
+from ..streaming.viewport import best_attempt, needs_retry
 from .layout_queries import _cuts, _images, dedup_sql
 from .queries import CHROME_SQL, _lexicon, _names, query
 
 KEYS = ["capture_id", "seq"]
+WORD = ["capture_id", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
+PAGE = ["canvas_w", "canvas_h", "direction", "free"]
 
 
 def repair(bubbles: DataFrame, lexicon: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -23,58 +27,111 @@ def repair(bubbles: DataFrame, lexicon: DataFrame, names: DataFrame | None = Non
     return lr.respell(out, KEYS, names).select(*KEYS, F.col("fixed").alias("text"))
 
 
+def pages_of(words: DataFrame, direction: str = "rtl") -> DataFrame:
+    """A page for each capture that has words with canvas_w and canvas_h; none is cut off at its edges."""
+    sizes = words.groupBy("capture_id").agg(F.max("canvas_w").alias("canvas_w"), F.max("canvas_h").alias("canvas_h"))
+    return sizes.withColumns({"direction": F.lit(direction), "free": F.lit(True)})
+
+
+def judged(words: DataFrame, pages: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Bubbles of every capture, by place, with noise flags and what holds for their page."""
+    sized = words.where(p.is_word(F.col("text"))).join(pages.select("capture_id", "canvas_w", "canvas_h"), "capture_id")
+    found = layout.on_page(layout.reconstruct(sized), overlays, images)
+    return p.with_noise(found).join(pages.select("capture_id", *PAGE), "capture_id")
+
+
+def choice(first: DataFrame, again: DataFrame, retried: DataFrame) -> DataFrame:
+    """capture_id, attempt: the attempt to read of each capture that was ``retried``. The second one counts only if the
+    first is unsure or lost bubbles that look like speech; an attempt without bubbles lost none and is sure of nothing."""
+
+    def stats(bubbles: DataFrame, attempt: int) -> DataFrame:
+        own = bubbles.groupBy("capture_id").agg(F.count_if("kept").alias("kept"), F.count_if("suspicious").alias("dropped"), F.avg(F.when(F.col("kept"), F.col("confidence"))).alias("avg_confidence"))
+        every = retried.select("capture_id").distinct().join(own, "capture_id", "left")
+        return every.select("capture_id", F.lit(attempt).alias("attempt"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "dropped", "avg_confidence")))
+
+    one = stats(first, 0)
+    unsure = one.where(needs_retry(F.col("kept"), F.col("dropped"), F.col("avg_confidence"), F.lit(False))).select("capture_id")
+    two = stats(again, 1).join(unsure, "capture_id", "left_semi")
+    return best_attempt(one.unionByName(two)).select("capture_id", "attempt")
+
+
 def read_pages(
-    words: DataFrame, cuts: DataFrame | None, lexicon: DataFrame, names: DataFrame | None = None, direction: str = "rtl",
-    crop_words: DataFrame | None = None, overlays: DataFrame | None = None, images: DataFrame | None = None,
+    words: DataFrame, cuts: DataFrame | None, lexicon: DataFrame, names: DataFrame | None = None, pages: DataFrame | None = None,
+    crop_words: DataFrame | None = None, overlays: DataFrame | None = None, images: DataFrame | None = None, retry_words: DataFrame | None = None,
 ) -> DataFrame:
-    """capture_id, seq (bubble), part (sentence), text, spoken: what is read aloud, in order. Thin captures take words from
-    crops first; bubbles are put together in one shuffle on capture_id, filtered by place and by noise, ordered (their text
-    comes along), and only then repaired, so that every stage is planned once."""
+    """capture_id, seq (bubble), part (sentence), text, spoken: what is read aloud, in order.
+
+    words: WORD columns. pages: capture_id and PAGE: its own size, direction, and whether it is free of edges (forced, or at
+    the page's bottom); by default as the words say. Thin captures take words from crops first (crop_words: WORD relative to
+    the crop, and the crop's box). retry_words: the same captures recognised again. Bubbles that the edges cut off stay out.
+    Bubbles are ordered before their text, which comes along, is repaired; they are written once in between."""
+    pages = pages_of(words) if pages is None else pages
     if crop_words is not None:
-        sizes = words.select("capture_id", "canvas_w", "canvas_h").unionByName(crop_words.select("capture_id", "canvas_w", "canvas_h"))
-        sizes = sizes.groupBy("capture_id").agg(F.max("canvas_w").alias("canvas_w"), F.max("canvas_h").alias("canvas_h"))
-        words = detect.rescue(words, crop_words).join(sizes, "capture_id")
-    found = layout.on_page(layout.reconstruct(words), overlays, images)
-    kept = found.where(p.is_kept(F.col("text"), F.col("confidence")))
-    kept = kept.withColumn("direction", F.lit(direction)).withColumn("canvas_w", F.lit(synth.CANVAS_W))
-    fixed = repair(layout.order_bubbles(kept, cuts, ["text"]), lexicon, names)
-    lines = fixed.select(*KEYS, F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
+        fine = detect.of_large_crops(crop_words).where(p.is_word(F.col("text")))
+        words = detect.rescue(words.where(p.is_word(F.col("text"))).select(*WORD), fine)
+    found = judged(words.select(*WORD), pages, overlays, images)
+    if retry_words is not None:
+        first, again = written(found, "bubbles"), written(judged(retry_words.select(*WORD), pages, overlays, images), "bubbles-again")
+        pick = choice(first, again, retry_words)
+        second = pick.where("attempt = 1").select("capture_id")
+        found = first.join(second, "capture_id", "left_anti").unionByName(again.join(second, "capture_id", "left_semi"))
+    inside = ~p.cut_off_below(F.col("y1"), F.col("canvas_h"), F.col("free")) & ~p.cut_off_above(F.col("y0"), F.col("canvas_h"), F.col("free"))
+    ordered = written(layout.order_bubbles(found.where(F.col("kept") & inside), cuts, ["text"]), "bubbles-in-order")
+    lines = repair(ordered, lexicon, names).select(*KEYS, F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
     return lines.withColumn("spoken", t.speech(F.col("text"))).where(p.is_speakable(F.col("spoken")))
 
 
-def _thin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Captures of which every third keeps only its first word; the crops at (10, 5) there hold the first ten."""
-    w = synth.words(spark, sf_dir)
-    crops = w.where("capture_id % 3 = 0 and word_ix < 10").selectExpr(
+def _thin(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures of which every third keeps only its first word; crops at (10, 5) hold all of its words, and a sliver too
+    narrow to be read holds its second again."""
+    at = words.where("capture_id % 3 = 0").selectExpr(
         "capture_id", "word_ix + 100 as word_ix", "text", "x0 - 10 as x0", "y0 - 5 as y0", "x1 - 10 as x1", "y1 - 5 as y1",
-        "(confidence * 7 + word_ix) % 101 as confidence", "10.0D as crop_x0", "5.0D as crop_y0", "canvas_w", "canvas_h",
+        "cast((confidence * 7 + word_ix) % 101 as double) as confidence", "10.0D as crop_x0", "5.0D as crop_y0", "600.0D as crop_x1", "300.0D as crop_y1",
     )
-    return w.where("capture_id % 3 <> 0 or word_ix = 0"), crops
+    sliver = at.where("word_ix = 101").withColumns({"word_ix": F.col("word_ix") + 100, "crop_x0": F.lit(50.0), "crop_x1": F.lit(53.0)})
+    return words.where("capture_id % 3 <> 0 or word_ix = 0"), at.unionByName(sliver)
 
 
 @query(rf"""
 WITH {WORDS_SQL},
-own AS MATERIALIZED (SELECT * FROM words WHERE capture_id % 3 <> 0 OR word_ix = 0),
+own AS MATERIALIZED (SELECT * FROM words WHERE (capture_id % 3 <> 0 OR word_ix = 0) AND regexp_matches(text, '[A-Za-z]')),
 rich AS (SELECT capture_id FROM (SELECT capture_id, text, trim(regexp_replace(upper(text), '\s+', ' ', 'g')) AS shown FROM own)
   WHERE NOT regexp_matches(text, '{p.CHAPTER_LABEL}') AND NOT ({CHROME_SQL}) GROUP BY 1 HAVING count(*) > 1),
-thin AS MATERIALIZED (SELECT DISTINCT capture_id FROM words WHERE capture_id % 3 = 0 AND capture_id NOT IN (SELECT capture_id FROM rich)),
+thin AS MATERIALIZED (SELECT DISTINCT capture_id FROM words WHERE capture_id % 3 = 0 AND regexp_matches(text, '[A-Za-z]') AND capture_id NOT IN (SELECT capture_id FROM rich)),
 u AS (SELECT capture_id, word_ix, text, x0, y0, x1, y1, confidence FROM own JOIN thin USING (capture_id) UNION ALL
-  SELECT capture_id, word_ix + 100, text, x0, y0, x1, y1, (confidence * 7 + word_ix) % 101 FROM words JOIN thin USING (capture_id) WHERE word_ix < 10),
+  SELECT capture_id, word_ix + 100, text, x0, y0, x1, y1, (confidence * 7 + word_ix) % 101 FROM words JOIN thin USING (capture_id) WHERE regexp_matches(text, '[A-Za-z]')),
 {dedup_sql("u")}
 SELECT capture_id, word_ix, text, x0, y0, confidence FROM own WHERE capture_id NOT IN (SELECT capture_id FROM thin)
 UNION ALL SELECT capture_id, word_ix, text, x0, y0, confidence FROM deduped
 """)
 def rescued_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thin captures take words from crops."""
-    return detect.rescue(*_thin(spark, sf_dir)).select("capture_id", "word_ix", "text", "x0", "y0", "confidence")
+    """Thin captures take words from crops."""
+    own, crops = _thin(synth.words(spark, sf_dir))
+    fine = detect.of_large_crops(crops).where(p.is_word(F.col("text")))
+    return detect.rescue(own.where(p.is_word(F.col("text"))), fine).select("capture_id", "word_ix", "text", "x0", "y0", "confidence")
 
 
-@query()
-def page_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2, X1-X7 X9-X14, F1-F7, J1-J8, J13, D0 D3 D4 D5, W3 W4 in one plan."""
-    words, crops = _thin(spark, sf_dir)
-    overlays = words.where("capture_id % 3 = 1").select("capture_id").distinct().selectExpr(
+def inputs(spark: SparkSession, sf_dir: str) -> dict:
+    """What ``read_pages`` takes, of the whole documents table: words are written once, everything else comes of them.
+    Pages differ in size and direction, and every seventh capture was recognised twice."""
+    words = written(synth.words(spark, sf_dir), "words")
+    seen = written(words.select("capture_id").distinct(), "captures")
+    pages = seen.selectExpr(
+        "capture_id", "cast(520 + capture_id % 4 * 140 as double) as canvas_w", "cast(150 + capture_id % 5 * 2 as double) as canvas_h",
+        "case when capture_id % 2 = 0 then 'rtl' else 'ltr' end as direction", "capture_id % 4 <> 0 as free",
+    )
+    overlays = seen.where("capture_id % 3 = 1").selectExpr(
         "capture_id", "cast(capture_id % 300 as double) as x0", "cast(capture_id % 90 as double) as y0", "cast(capture_id % 300 + 120 as double) as x1", "cast(capture_id % 90 + 40 as double) as y1"
     )
-    images = _images(spark, sf_dir).selectExpr("capture_id", "left as x0", "top as y0", "right + 200 as x1", "bottom + 60 as y1")
-    return read_pages(words, _cuts(spark, sf_dir), _lexicon(spark, sf_dir), _names(spark, sf_dir), crop_words=crops, overlays=overlays, images=images)
+    own, crops = _thin(words)
+    again = words.where("capture_id % 7 = 0").withColumn("confidence", F.expr("cast(55 + (capture_id * 11 + word_ix * 5) % 45 as double)"))
+    return {
+        "words": own, "cuts": _cuts(spark, sf_dir, seen), "lexicon": written(_lexicon(spark, sf_dir), "lexicon"), "names": _names(spark, sf_dir), "pages": pages, "crop_words": crops,
+        "overlays": overlays, "images": _images(spark, sf_dir, seen).selectExpr("capture_id", "left as x0", "top as y0", "right + 200 as x1", "bottom + 60 as y1"), "retry_words": again,
+    }
+
+
+@query()
+def page_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2, X1-X7 X9-X14, F1-F8, G11 G12, J1-J8, J13, D0 D3 D4 D5, ST7 A12, W3 W4."""
+    return read_pages(**inputs(spark, sf_dir))
