@@ -2,8 +2,9 @@
 
 The rows of a capture are gathered into one array column (one shuffle on capture_id), and Arrow batches of many captures
 are worked on together: predicates compare all pairs of a capture in matrices that are stacked over captures of like
-size, so no Python runs per capture until lines are put together. Only the order-dependent splice and the panel claims
-go capture by capture.
+size, so no Python runs per capture until lines are put together. A capture of over LARGE boxes is swept instead: only
+boxes whose reach meets on both axes are compared, some at a time, and joined in a union-find, so memory follows the
+number of boxes. Only the order-dependent splice and the panel claims go capture by capture.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ SAME_COLUMN, GAP_HEIGHTS, GAP_PAGE = 0.6, 1.3, 0.015
 LINE_DRIFT, LINE_GAP_HEIGHTS, LINE_GAP_PAGE = 0.2, 1.0, 0.01
 SAME_ROW, ORPHAN_GAP = 0.35, 0.5
 PANEL_WIDTH, PANEL_OVERLAP = 0.08, 0.7
+LARGE = 1024  # boxes of a capture beyond which it is swept
 
 
 class Boxes:
@@ -68,11 +70,10 @@ def stacked(b: Boxes, page_h) -> np.ndarray:
     return (_share(b.x0, b.x1) > SAME_COLUMN) & (_gap(b.y0, b.y1) < np.maximum(GAP_HEIGHTS * least, GAP_PAGE * page_h))
 
 
-def in_line(b: Boxes, page_w, column: np.ndarray) -> np.ndarray:
-    """Which words stand on one line; not across columns that both have several words."""
-    (mid_a, mid_b), (h_a, h_b), (col_a, col_b) = _each((b.y0 + b.y1) / 2), _each(b.height), _each(column)
+def in_line(b: Boxes, page_w, column: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words stand on one line; not across columns that both have several words (``size`` of each word's column)."""
+    (mid_a, mid_b), (h_a, h_b), (col_a, col_b), (size_a, size_b) = _each((b.y0 + b.y1) / 2), _each(b.height), _each(column), _each(size)
     mean = (h_a + h_b) / 2
-    size_a, size_b = _each((col_a == col_b).sum(axis=-1))
     level = np.abs(mid_a - mid_b) <= LINE_DRIFT * mean
     apart = (col_a != col_b) & (size_a >= 2) & (size_b >= 2)
     return level & ~apart & (_gap(b.x0, b.x1) < np.maximum(LINE_GAP_HEIGHTS * mean, LINE_GAP_PAGE * page_w))
@@ -96,8 +97,60 @@ def components(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member of each one's set) after the sets of each u and v are joined."""
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        least = np.minimum(a, b)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def swept(b: Boxes, reach: tuple[np.ndarray, np.ndarray], linked: Callable[[np.ndarray], np.ndarray], most: int = 1 << 20) -> np.ndarray:
+    """The labels of ``components`` for many boxes. ``reach``: how far beyond its right and lower side a box can be linked
+    to one that begins there. ``linked``: which of these pairs (rows of two places) are. At most about ``most`` pairs are
+    held at a time; the axis with fewer to compare is swept."""
+    n, label = len(b), np.arange(len(b))
+    sides = ((b.x0, b.x1 + reach[0]), (b.y0, b.y1 + reach[1]))
+
+    def windows(lo: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(lo, kind="stable")
+        return order, np.maximum(0, np.searchsorted(lo[order], far[order], "right") - np.arange(n) - 1)
+
+    (order, count), (lo, far) = min(((windows(*own), other) for own, other in (sides, sides[::-1])), key=lambda x: int(x[0][1].sum()))
+    total = np.concatenate(([0], np.cumsum(count)))
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        k = np.repeat(np.arange(at, end), count[at:end])
+        pairs = order[np.stack((k, k + 1 + np.arange(len(k)) - (total[k] - total[at])), axis=1)]
+        u, v = pairs[:, 0], pairs[:, 1]
+        pairs = pairs[(lo[v] <= far[u]) & (lo[u] <= far[v])]
+        pairs = pairs[linked(pairs)]
+        label = joined(label, pairs[:, 0], pairs[:, 1])
+        at = end
+    return label
+
+
+def stacked_reach(b: Boxes, page_h: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(len(b)), np.maximum(GAP_HEIGHTS * b.height, GAP_PAGE * page_h)
+
+
+def in_line_reach(b: Boxes, page_w: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.maximum(LINE_GAP_HEIGHTS * (b.height + b.height.max(initial=0)) / 2, LINE_GAP_PAGE * page_w), np.zeros(len(b))
+
+
+def same_row_reach(b: Boxes) -> tuple[np.ndarray, np.ndarray]:
+    return np.full(len(b), np.inf), np.zeros(len(b))
+
+
 def groups_of(label: np.ndarray) -> list[np.ndarray]:
-    return [np.flatnonzero(label == k) for k in np.unique(label)]
+    order = np.argsort(label, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(label) else []
 
 
 class Items:
@@ -106,11 +159,24 @@ class Items:
     def __init__(self, box: Boxes, text: np.ndarray, confidence: np.ndarray, first: np.ndarray):
         self.box, self.text, self.confidence, self.first = box, text, confidence, first
 
-    def labels(self, link: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 21) -> np.ndarray:
+    def labels(
+        self, link: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray], reach: Callable[[Boxes, int], tuple[np.ndarray, np.ndarray]] | None = None, most: int = 1 << 21
+    ) -> np.ndarray:
         """For each item the first item of its cluster, as a place in its capture. Captures are taken by size, so that
-        stacks of matrices are even and hold about ``most`` pairs. ``link``: (boxes, captures, flat places)."""
+        stacks of matrices are even and hold about ``most`` pairs. ``link``: (boxes, captures, flat places); ``reach``
+        (boxes, capture) bounds it for large ones, which without it compare all pairs, some at a time."""
         out, size = np.empty(int(self.first[-1]), np.int64), np.diff(self.first)
+        for c in np.flatnonzero(size > LARGE).tolist():
+            low, high = int(self.first[c]), int(self.first[c + 1])
+            own = Boxes(*(v[low:high] for v in self.box.sides))
+            far = (np.full(len(own), np.inf),) * 2 if reach is None else reach(own, c)
+
+            def linked(pairs: np.ndarray, c: int = c, low: int = low, own: Boxes = own) -> np.ndarray:
+                return link(Boxes(*(v[pairs] for v in own.sides)), np.full(len(pairs), c), pairs + low)[:, 0, 1]
+
+            out[low:high] = swept(own, far, linked)
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= LARGE]
         at = int(np.searchsorted(size[order], 1))
         while at < len(order):
             end = at + 1
@@ -142,20 +208,23 @@ class Items:
 
 
 def words_to_lines(words: Items, page_w: np.ndarray, page_h: np.ndarray) -> Items:
-    column = words.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]))
-    label = words.labels(lambda b, c, place: in_line(b, page_w[c][:, None, None], np.where(np.arange(place.shape[1]) < np.diff(words.first)[c][:, None], column[place], -1 - np.arange(place.shape[1]))))
+    column = words.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]), lambda b, c: stacked_reach(b, page_h[c]))
+    flat = column + np.repeat(words.first[:-1], np.diff(words.first))
+    size = np.bincount(flat, minlength=len(flat))[flat]
+    label = words.labels(lambda b, c, place: in_line(b, page_w[c][:, None, None], column[place], size[place]), lambda b, c: in_line_reach(b, page_w[c]))
     return words.merged(label, words.box.x0)
 
 
 def lines_to_bubbles(lines: Items, page_h: np.ndarray) -> Items:
-    label = lines.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]))
+    label = lines.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]), lambda b, c: stacked_reach(b, page_h[c]))
     stripped = np.array([t.strip() for t in lines.text], object)
     return Items(lines.box, stripped, lines.confidence, lines.first).merged(label, lines.box.y0)
 
 
 def reading_rows(b: Boxes, rtl: bool) -> list[list[int]]:
     """Rows from the top, each in reading direction, equal places by index."""
-    rows = groups_of(components(same_row(b)))
+    large = len(b) > LARGE
+    rows = groups_of(swept(b, same_row_reach(b), lambda p: same_row(Boxes(*(v[p] for v in b.sides)))[:, 0, 1]) if large else components(same_row(b)))
     rows = [g[np.argsort(-b.x0[g] if rtl else b.x0[g], kind="stable")].tolist() for g in rows]
     return sorted(rows, key=lambda g: b.y0[g].min())
 
@@ -272,14 +341,16 @@ def _number(first: np.ndarray) -> np.ndarray:
     return (np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)
 
 
-def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str = "ix") -> DataFrame:
-    """Transitive clustering by a pairwise predicate on boxes. Adds the smallest index of each item's group, ``label``."""
+def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str = "ix", reach: Callable[[Boxes], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """Transitive clustering by a pairwise predicate on boxes, which ``reach`` may bound. Adds the smallest index of each
+    item's group, ``label``."""
+    far = None if reach is None else lambda b, _: reach(b)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch)
             ix = b.column(index)
-            place = Items(b.boxes(), ix, ix, b.first).labels(lambda x, _, __: link(x))
+            place = Items(b.boxes(), ix, ix, b.first).labels(lambda x, _, __: link(x), far)
             yield pa.RecordBatch.from_arrays([b.ids(b.first), pa.array(ix), pa.array(ix[place + np.repeat(b.first[:-1], b.size)])], ["capture_id", index, "label"])
 
     kind = {f.name: f.dataType.simpleString() for f in items.schema}

@@ -52,7 +52,7 @@ bubbles AS (SELECT *, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY l
 @query(f"WITH RECURSIVE {_COLUMNS_SQL} SELECT capture_id, word_ix, label, count(*) OVER (PARTITION BY capture_id, label) AS n FROM col")
 def word_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 D0 A6."""
-    found = layout.cluster(lambda b: layout.stacked(b, CANVAS_H), synth.words(spark, sf_dir), index="word_ix")
+    found = layout.cluster(lambda b: layout.stacked(b, CANVAS_H), synth.words(spark, sf_dir), index="word_ix", reach=lambda b: layout.stacked_reach(b, CANVAS_H))
     return found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("capture_id", "label")))
 
 
@@ -84,7 +84,7 @@ SELECT capture_id, bubble_ix, label, CAST(row_number() OVER (PARTITION BY captur
 def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and the order before orphans are spliced."""
     b = _bubbles(spark, sf_dir)
-    rows = layout.cluster(layout.same_row, b, index="bubble_ix")
+    rows = layout.cluster(layout.same_row, b, index="bubble_ix", reach=layout.same_row_reach)
     both = b.join(rows, ["capture_id", "bubble_ix"]).withColumn("row_y", F.min("y0").over(W.partitionBy("capture_id", "label")))
     across = F.when(F.col("direction") == "rtl", -F.col("x0")).otherwise(F.col("x0"))
     place = F.row_number().over(W.partitionBy("capture_id").orderBy("row_y", "label", across, "bubble_ix")) - 1

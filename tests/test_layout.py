@@ -59,6 +59,50 @@ def test_stacks_of_captures_equal_single_ones(captures):
     assert got.tolist() == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(box, min_size=1, max_size=30), st.integers(1, 40))
+def test_sweeps_equal_matrices(rows, most):
+    b = boxes(rows)
+    pairs_of = lambda link: lambda p: link(Boxes(*(v[p] for v in b.sides)))[:, 0, 1]
+    for link, reach in ((lambda x: layout.stacked(x, 400.0), layout.stacked_reach(b, 400.0)), (layout.same_row, layout.same_row_reach(b))):
+        want = layout.components(link(b)).tolist()
+        assert layout.swept(b, reach, pairs_of(link), most).tolist() == want
+        assert layout.swept(b, (np.full(len(b), np.inf),) * 2, pairs_of(link), most).tolist() == want
+
+
+def grid(n, seed=3):
+    rng, per = np.random.default_rng(seed), int(n**0.5)
+    i = np.arange(n)
+    x, y = (i % per) * 60 + rng.integers(0, 9, n), (i // per) * 22 + rng.integers(0, 7, n)
+    b = Boxes(x, y, x + 38 + rng.integers(0, 19, n), y + 14 + rng.integers(0, 3, n))
+    items = layout.Items(b, np.array([f"w{k}" for k in i], object), rng.integers(40, 100, n).astype(float), np.array([0, n]))
+    return items, np.array([per * 60.0]), np.array([(n // per + 1) * 22.0])
+
+
+def test_large_captures_are_what_small_ones_are(monkeypatch):
+    def run():
+        words, w, h = grid(900)
+        lines = layout.words_to_lines(words, w, h)
+        out = layout.lines_to_bubbles(lines, h)
+        return lines.text.tolist(), out.text.tolist(), [v.tolist() for v in out.box.sides], layout.order_flat(lines.box, True)
+
+    small = run()
+    monkeypatch.setattr(layout, "LARGE", 10)
+    assert run() == small
+
+
+def test_a_hundred_thousand_boxes_in_one_capture():
+    import tracemalloc
+
+    words, w, h = grid(100_000)
+    tracemalloc.start()
+    lines = layout.words_to_lines(words, w, h)
+    bubbles = layout.lines_to_bubbles(lines, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1e9 and sum(len(t.split()) for t in bubbles.text) == 100_000
+
+
 def test_panels_first():
     cut = (np.array([200.0]), np.array([0.0]), np.array([400.0]))
     b = boxes([(10, 10, 60, 40), (300, 10, 360, 40), (10, 200, 60, 240), (300, 200, 360, 240)])
