@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,13 +30,20 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scopes of this thread; another's queries keep their tables."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
@@ -93,9 +101,9 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside are deleted at the end: what is kept must have been written outside or read."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             discard(spark, path)
