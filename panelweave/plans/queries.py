@@ -198,17 +198,33 @@ def text_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.noisy_lines(spark, sf_dir).select("doc_id", "ix", t.normalize_case(F.col("text")).alias("spoken"))
 
 
-@query(r"""
-WITH s AS (SELECT conv_id, turn, 'P-' || text || ' HAHAHA' || repeat('HA', CAST(turn % 4 AS INT)) || '! W-W-Well' AS text, turn FROM conversations)
-SELECT conv_id, turn, length(text) AS n, 'HA-HA-HA' || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN '-HA' ELSE '-HA-HA' END || '!' AS laughter, 'We-Wel-Well' AS stutter FROM s
+_LAUGH = "regexp_full_match(lower(w), '(ha|he|ho|ah){2,}')"
+_SYLLABLES = "array_to_string(list_transform(range(0, least(5, length(x) // 2)), lambda k: substr(x, CAST(2 * k + 1 AS INT), 2)), '-')"
+
+
+@query(rf"""
+WITH m AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS m FROM conversations),
+w AS (SELECT conv_id, turn, unnest(m) AS w, generate_subscripts(m, 1) AS i FROM m),
+k AS (SELECT *, CASE WHEN {_LAUGH} THEN 0 ELSE (i + turn) % 4 END AS k, repeat(CASE i % 4 WHEN 0 THEN 'ha' WHEN 1 THEN 'he' WHEN 2 THEN 'ho' ELSE 'ah' END, CAST(2 + i % 6 AS INT)) AS laugh FROM w),
+x AS (SELECT conv_id, turn, i, w, k, CASE k WHEN 3 THEN upper(laugh) WHEN 2 THEN laugh ELSE w END AS x FROM k),
+y AS (SELECT conv_id, turn, i, CASE WHEN k >= 2 OR {_LAUGH} THEN {_SYLLABLES}
+  WHEN k = 1 AND length(w) >= 2 THEN array_to_string(list_transform(range(0, 1 + i % 3), lambda q: substr(w, 1, CAST(q + 2 AS INT))), '-') || '-' || w
+  WHEN k = 1 THEN repeat(w || '-', CAST(1 + i % 3 AS INT)) || w ELSE w END AS s FROM x)
+SELECT conv_id, turn, string_agg(s, ' ' ORDER BY i) AS spoken FROM y GROUP BY 1, 2
 """)
 def speech_normalising(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laughter and stutter appended to every turn, read back after the speech chain."""
-    tail = F.concat(F.lit("P-"), "text", F.lit(" HAHAHA"), F.expr("repeat('HA', cast(turn % 4 as int))"), F.lit("! W-W-Well"))
-    x = t.normalize_stutter(t.normalize_laughter(F.col("s")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tail.alias("s")).select(
-        "conv_id", "turn", F.length("s").alias("n"), F.element_at(F.split(x, " "), F.lit(-2)).alias("laughter"), F.element_at(F.split(x, " "), F.lit(-1)).alias("stutter")
-    )
+    """X10 X11 over every turn's words, of which half become laughter and a quarter stutter."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+
+    def said(w, at):
+        i = at + 1
+        k = F.when(F.lower(w).rlike("^(ha|he|ho|ah){2,}$"), 0).otherwise((i + F.col("turn")) % 4)
+        laugh = F.repeat(F.element_at(F.array(*(F.lit(x) for x in ("ha", "he", "ho", "ah"))), (i % 4 + 1).cast("int")), (2 + i % 6).cast("int"))
+        stutter = F.concat(F.repeat(F.concat(F.substring(w, 1, 1), F.lit("-")), (1 + i % 3).cast("int")), w)
+        return F.when(k == 1, stutter).when(k == 2, laugh).when(k == 3, F.upper(laugh)).otherwise(w)
+
+    made = table(spark, sf_dir, "conversations").where(F.size(words) > 0).select("conv_id", "turn", F.array_join(F.transform(words, said), " ").alias("s"))
+    return made.select("conv_id", "turn", t.normalize_stutter(t.normalize_laughter(F.col("s"))).alias("spoken"))
 
 
 @query(r"""

@@ -207,17 +207,18 @@ def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CAST(floor(CAST(value AS DOUBLE) * 100 + 0.5) AS BIGINT) || '::' || event_type || '::x' AS key, CAST(floor(CAST(value AS DOUBLE) * 100 + 0.5) AS BIGINT) AS top, event_type || '::x' AS img_key,
-  round(floor(value * 1000.0::DOUBLE / 3 + 0.5) / 1000, 6) AS synth_ms, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 100) / 100)) AS applied_volume FROM events
+  round(floor(value * 1000.0::DOUBLE / 3 + 0.5) / 1000, 6) AS synth_ms, round(floor(value * 1000.0::DOUBLE + 0.5) / 1000, 6) AS play_start_ms,
+  round(floor(value / 7.0::DOUBLE * 1000 + 0.5) / 1000, 6) AS rms_before, round(floor(value / 11.0::DOUBLE * 1000 + 0.5) / 1000, 6) AS rms_after, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 100) / 100)) AS applied_volume FROM events
 """)
 def positions_and_playback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X17 K1."""
     x = F.col("value").cast("double")
     e = table(spark, sf_dir, "events").select("event_id", t.position_key(x * 100, F.concat("event_type", F.lit("::x"))).alias("key"), x.alias("value"))
     clips = e.select(
-        F.col("event_id").alias("clip_id"), (x / 3).alias("synth_ms"), x.alias("play_start_ms"), x.alias("rms_before"), x.alias("rms_after"),
+        F.col("event_id").alias("clip_id"), (x / 3).alias("synth_ms"), x.alias("play_start_ms"), (x / 7).alias("rms_before"), (x / 11).alias("rms_after"),
         audio.volume(F.when(F.col("event_id") % 6 != 0, x)).alias("applied_volume"),
     )
-    rows = web.playback_rows(clips).select(F.col("clip_id").alias("event_id"), _r("synth_ms").alias("synth_ms"), "applied_volume")
+    rows = web.playback_rows(clips).select(F.col("clip_id").alias("event_id"), *(_r(c).alias(c) for c in ("synth_ms", "play_start_ms", "rms_before", "rms_after")), "applied_volume")
     return e.select("event_id", "key", t.parse_position(F.col("key")).alias("p")).select("event_id", "key", "p.top", "p.img_key").join(rows, "event_id")
 
 
@@ -252,7 +253,16 @@ def topmost_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.topmost(e.where(fine & seen))
 
 
-@query("SELECT engine, count(*) AS n, min(voice_id) AS first_voice FROM (VALUES " + ", ".join("('{}', '{}')".format(e, i) for e, i, _ in web.VOICES) + ") v(engine, voice_id) GROUP BY 1")
+@query(
+    "WITH v(engine, voice_id, label, ix) AS (VALUES " + ", ".join("('{}', '{}', '{}', {})".format(*row, i) for i, row in enumerate(web.VOICES)) + """),
+u AS (SELECT conv_id % 20 AS ix, count(*) AS turns, sum(length(text))::BIGINT AS characters FROM conversations WHERE role <> 'system' GROUP BY 1)
+SELECT engine, voice_id, label, coalesce(turns, 0) AS turns, coalesce(characters, 0) AS characters FROM v LEFT JOIN u USING (ix)
+"""
+)
 def voice_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S9."""
-    return web.voices(spark).groupBy("engine").agg(F.count(F.lit(1)).alias("n"), F.min("voice_id").alias("first_voice"))
+    """What each voice of the registry would speak, conversations being dealt to voices by turns."""
+    numbered = [(*row, i) for i, row in enumerate(web.VOICES)]
+    ix = spark.createDataFrame([(i, v) for _, v, _, i in numbered], "ix long, voice_id string")
+    used = table(spark, sf_dir, "conversations").where("role <> 'system'").groupBy((F.col("conv_id") % 20).alias("ix")).agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("characters"))
+    spoken = web.voices(spark).join(ix, "voice_id").join(used, "ix", "left")
+    return spoken.select("engine", "voice_id", "label", F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("characters", F.lit(0)).alias("characters"))

@@ -103,7 +103,7 @@ def noisy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = (
         F.when(k == 0, F.translate("line", "oi", "01")).when(k == 1, F.replace("line", F.lit(", "), F.lit(",")))
         .when(k == 2, F.replace("line", F.lit(" the "), F.lit("/the "))).when(k == 3, F.translate("line", _LOW, _LOW.upper()))
-        .when(k == 4, F.substring("line", 1, 6)).when(k == 5, F.regexp_replace("line", "[aeiou]", "")).when(k == 6, F.concat(F.lit("it's"), "line"))
+        .when(k == 4, F.translate("line", "ls", "15")).when(k == 5, F.regexp_replace("line", "[aeiou]", "")).when(k == 6, F.concat(F.lit("it's"), "line"))
         .when(k == 7, F.regexp_replace("line", "^[^ ]* ?", "CHAPTER 12")).otherwise(F.col("line"))
     )
     return lines.select("doc_id", "ix", damaged.alias("text"), (40 + F.pmod(F.col("doc_id") * 31 + F.col("ix") * 17, F.lit(61))).cast("double").alias("confidence"))
@@ -113,6 +113,6 @@ LINES_SQL = r"""
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM documents),
 lines AS MATERIALIZED (SELECT doc_id, CAST(ix AS INT) AS ix, CAST(40 + (doc_id * 31 + ix * 17) % 61 AS DOUBLE) AS confidence,
   CASE (doc_id + ix) % 9 WHEN 0 THEN translate(line, 'oi', '01') WHEN 1 THEN replace(line, ', ', ',') WHEN 2 THEN replace(line, ' the ', '/the ')
-    WHEN 3 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 4 THEN substr(line, 1, 6) WHEN 5 THEN regexp_replace(line, '[aeiou]', '', 'g') WHEN 6 THEN 'it''s' || line
+    WHEN 3 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 4 THEN translate(line, 'ls', '15') WHEN 5 THEN regexp_replace(line, '[aeiou]', '', 'g') WHEN 6 THEN 'it''s' || line
     WHEN 7 THEN regexp_replace(line, '^[^ ]* ?', 'CHAPTER 12') ELSE line END AS text FROM raw_lines)
 """

@@ -89,3 +89,21 @@ def test_registered_names(spark):
     assert "core_word" in register(spark)
     row = spark.sql("SELECT core_word(\"Don't\") a, repair_slashes('a/b\\\\c') b, js_round(-2.5D) c, box_gap(0D, 1D, 3D, 4D) d, box_overlap_ratio(0D, 2D, 1D, 4D) e, space_after_comma('a,b') f").first()
     assert tuple(row) == ("don", "aibic", -2, 2.0, 0.5, "a, b")
+
+
+def test_table_functions_equal_their_operators(spark):
+    from panelweave.functions import text as t
+    from panelweave.functions.tables import register_tables
+    from panelweave.operators import layout
+
+    register_tables(spark)
+    texts = ["...WHAT", "", "a. b. c.", "No.\u00a0", "\u3000Hi! Yes? I see it. Ok", "!!!", None, "one", "A. B. Long enough. c"]
+    df = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    got = spark.sql("SELECT d.id, s.seq, s.chunk FROM {d} d, LATERAL sentence_chunks(d.text) s", d=df)
+    want = df.select("id", F.posexplode(t.sentences(F.col("text"))).alias("seq", "chunk"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    boxes = [(c, i, float(i % 5 * 40), float(i // 5 * (12 + c)), float(i % 5 * 40 + 30), float(i // 5 * (12 + c) + 9)) for c in range(3) for i in range(40)]
+    b = spark.createDataFrame(boxes, "capture_id long, ix int, x0 double, y0 double, x1 double, y1 double")
+    for name, more, link in (("stacked_boxes", ", 100.0D", lambda x: layout.stacked(x, 100.0)), ("box_rows", "", layout.same_row)):
+        got = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT * FROM {{b}}) PARTITION BY capture_id ORDER BY (ix){more})", b=b)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.cluster(link, b).collect()))
