@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import core_word, replace_slashes
+from ..functions.text import collapsed_trimmed, core_word, join_hyphenated, replace_slashes, space_after_comma
 
 # --- fixed values ---
 SHORT_PREFIXES = ["does", "when", "can", "saw", "put", "so", "is", "for"]
@@ -133,3 +133,32 @@ def respell(df: DataFrame, keys: list[str], names: DataFrame | None, text: str =
     t = t.join(names.select("word", "respelling").dropDuplicates(["word"]), "word", "left")
     new = F.when(F.col("respelling").isNotNull(), _cased(F.col("token"), F.col("respelling"))).otherwise(F.col("token"))
     return assemble(t, keys, new, name)
+
+
+def repaired(df: DataFrame, keys: list[str], lexicon: DataFrame, names: DataFrame | None = None, text: str = "text", name: str = "fixed") -> DataFrame:
+    """The whole chain: blanks, digits, commas, fused words, hyphens at line ends, respelling.
+
+    All but the hyphens happens inside a word, so each distinct word is resolved once and joined back, and texts are put
+    together once. Hyphens join what stands on both sides without changing letters: the letter runs of the text after it
+    are those of its words, in order, and respellings are laid over them."""
+    parts = df.select(*keys, F.posexplode(F.split(collapsed_trimmed(F.coalesce(F.col(text), F.lit(""))), " ", -1)).alias("_at", "_word"))
+    known = fix_digits(parts.select("_word").distinct(), ["_word"], lexicon, "_word", "_x").select("_word", space_after_comma(F.col("_x")).alias("_x"))
+    known = split_fused(known, ["_word"], lexicon, "_x", "_y")
+    known = known.join(respelled_runs(known, names), "_word", "left")
+    each = F.struct("_at", "_y", F.coalesce("_new", F.expr("cast(array() as array<string>)")).alias("_new"))
+    rows = parts.join(known, "_word").groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("_l"))
+    joined = join_hyphenated(F.array_join(F.transform("_l", lambda x: x["_y"]), " "))
+    both = F.arrays_zip(F.split(joined, "[A-Za-z]+", -1).alias("gap"), F.flatten(F.transform("_l", lambda x: x["_new"])).alias("token"))
+    whole = F.array_join(F.transform(both, lambda z: F.concat(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["token"], F.lit("")))), "")
+    return rows.select(*keys, whole.alias(name))
+
+
+def respelled_runs(known: DataFrame, names: DataFrame | None) -> DataFrame:
+    """_word, _new: the letter runs of each word's ``_y`` in order, respelled."""
+    runs = known.select("_word", F.posexplode(F.regexp_extract_all("_y", F.lit("[A-Za-z]+"), F.lit(0))).alias("_k", "_run"))
+    new = F.col("_run")
+    if names is not None:
+        runs = runs.withColumn("word", F.lower("_run")).join(names.select("word", "respelling").dropDuplicates(["word"]), "word", "left")
+        new = F.when(F.col("respelling").isNotNull(), _cased(F.col("_run"), F.col("respelling"))).otherwise(F.col("_run"))
+    ordered = F.array_sort(F.collect_list(F.struct("_k", new.alias("_s"))))
+    return runs.groupBy("_word").agg(F.transform(ordered, lambda x: x["_s"]).alias("_new"))

@@ -21,10 +21,7 @@ PAGE = ["canvas_w", "canvas_h", "direction", "free"]
 
 def repair(bubbles: DataFrame, lexicon: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The repair chain in its order; one row for each of ``bubbles`` with KEYS and text."""
-    out = bubbles.select(*KEYS, t.collapsed_trimmed(F.col("text")).alias("text"))
-    out = lr.fix_digits(out, KEYS, lexicon).select(*KEYS, t.space_after_comma(F.col("fixed")).alias("text"))
-    out = lr.split_fused(out, KEYS, lexicon).select(*KEYS, t.join_hyphenated(F.col("fixed")).alias("text"))
-    return lr.respell(out, KEYS, names).select(*KEYS, F.col("fixed").alias("text"))
+    return lr.repaired(bubbles, KEYS, lexicon, names).select(*KEYS, F.col("fixed").alias("text"))
 
 
 def pages_of(words: DataFrame, direction: str = "rtl") -> DataFrame:

@@ -96,6 +96,24 @@ def test_page_reading_over_the_whole_table(spark, data):
     assert got == want
 
 
+def test_one_pass_repairs_like_the_chain_of_steps(spark, data):
+    """Over all damaged lines, and texts made for what crosses words."""
+    from panelweave.operators import lexicon_repair as lr
+    from panelweave.plans.queries import _lexicon, _names
+    from panelweave.sources import synth
+
+    made = ["", None, "  the- \u00a0the ", "for-\nthe the-the-the", "H0PE,the w1ll it'sthe ITWAS", "a-bcd abc-def-ghi THE-the", "THE,the- the/the", "x- yz abc- d the-- the", "ofthe-\nsucha THE"]
+    odd = spark.createDataFrame([(-1 - i, 0, x) for i, x in enumerate(made)], "doc_id long, ix int, text string")
+    lines = synth.noisy_lines(spark, data).select("doc_id", "ix", "text").unionByName(odd).cache()
+    keys, lexicon, names = ["doc_id", "ix"], _lexicon(spark, data).cache(), _names(spark, data)
+    for given in (names, None):
+        out = lines.select(*keys, t.collapsed_trimmed(F.coalesce("text", F.lit(""))).alias("text"))
+        out = lr.fix_digits(out, keys, lexicon).select(*keys, t.space_after_comma(F.col("fixed")).alias("text"))
+        out = lr.split_fused(out, keys, lexicon).select(*keys, t.join_hyphenated(F.col("fixed")).alias("text"))
+        want = sorted(map(tuple, lr.respell(out, keys, given).select(*keys, "fixed").collect()))
+        assert sorted(map(tuple, lr.repaired(lines, keys, lexicon, given).select(*keys, "fixed").collect())) == want and len(want) > 500
+
+
 def test_pages_are_ordered_by_their_own_width(spark):
     """The same bubbles and cuts on pages of other widths and directions are other panels, and another order."""
     cut = [(350.0, 14.0, 120.0), (700.0, 22.0, 147.0)]
