@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapse, trimmed
+from .text import collapse, let, trimmed
 
 # --- fixed values: they must equal the original pipeline's for equal results ---
 CHROME_PATTERNS = [
@@ -64,11 +64,6 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z]", "")
 
 
-def let(value: Column, f) -> Column:
-    """f(value) with value computed once: branches of a CASE don't share common parts otherwise."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def is_garbage(text: Column) -> Column:
     def judge(s: Column) -> Column:
         t, only, low, w = (s[c] for c in ("t", "only", "low", "w"))

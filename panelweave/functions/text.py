@@ -43,13 +43,20 @@ def strip_cjk(text: Column) -> Column:
     return collapsed_trimmed(F.regexp_replace(text, CJK, " "))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: what f uses twice would be computed twice, and again at each level above."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _map_tokens(text: Column, token: str, change) -> Column:
     """Apply ``change`` to every match of ``token``, leaving what stands between."""
-    found = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    between = F.split(text, token, -1)
-    return F.array_join(
-        F.zip_with(between, F.transform(found, change), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
-    )
+
+    def mapped(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(token), F.lit(0))
+        pieces = F.zip_with(F.split(t, token, -1), F.transform(found, change), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return let(text, mapped)
 
 
 _EDGE0, _EDGE1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"

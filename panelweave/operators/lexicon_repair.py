@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed_trimmed, core_word, join_hyphenated, replace_slashes, space_after_comma
+from ..sources.scratch import written
 
 # --- fixed values ---
 SHORT_PREFIXES = ["does", "when", "can", "saw", "put", "so", "is", "for"]
@@ -143,7 +144,7 @@ def repaired(df: DataFrame, keys: list[str], lexicon: DataFrame, names: DataFram
     are those of its words, in order, and respellings are laid over them."""
     parts = df.select(*keys, F.posexplode(F.split(collapsed_trimmed(F.coalesce(F.col(text), F.lit(""))), " ", -1)).alias("_at", "_word"))
     known = fix_digits(parts.select("_word").distinct(), ["_word"], lexicon, "_word", "_x").select("_word", space_after_comma(F.col("_x")).alias("_x"))
-    known = split_fused(known, ["_word"], lexicon, "_x", "_y")
+    known = written(split_fused(known, ["_word"], lexicon, "_x", "_y"), "distinct-words")
     known = known.join(respelled_runs(known, names), "_word", "left")
     each = F.struct("_at", "_y", F.coalesce("_new", F.expr("cast(array() as array<string>)")).alias("_new"))
     rows = parts.join(known, "_word").groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("_l"))

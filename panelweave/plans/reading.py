@@ -33,7 +33,7 @@ def pages_of(words: DataFrame, direction: str = "rtl") -> DataFrame:
 def judged(words: DataFrame, pages: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """Bubbles of every capture, by place, with noise flags and what holds for their page."""
     sized = words.where(p.is_word(F.col("text"))).join(pages.select("capture_id", "canvas_w", "canvas_h"), "capture_id")
-    found = layout.on_page(layout.reconstruct(sized), overlays, images)
+    found = layout.on_page(written(layout.reconstruct(sized), "reconstructed"), overlays, images)
     return p.with_noise(found).join(pages.select("capture_id", *PAGE), "capture_id")
 
 
@@ -74,8 +74,9 @@ def read_pages(
         found = first.join(second, "capture_id", "left_anti").unionByName(again.join(second, "capture_id", "left_semi"))
     inside = ~p.cut_off_below(F.col("y1"), F.col("canvas_h"), F.col("free")) & ~p.cut_off_above(F.col("y0"), F.col("canvas_h"), F.col("free"))
     ordered = written(layout.order_bubbles(found.where(F.col("kept") & inside), cuts, ["text"]), "bubbles-in-order")
-    lines = repair(ordered, lexicon, names).select(*KEYS, F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
-    return lines.withColumn("spoken", t.speech(F.col("text"))).where(p.is_speakable(F.col("spoken")))
+    fixed = written(repair(ordered, lexicon, names), "repaired")
+    lines = fixed.select(*KEYS, F.posexplode(t.sentences(F.col("text"))).alias("part", "text"))
+    return written(lines.withColumn("spoken", t.speech(F.col("text"))), "lines").where(p.is_speakable(F.col("spoken")))
 
 
 def _thin(words: DataFrame) -> tuple[DataFrame, DataFrame]:
