@@ -72,8 +72,10 @@ def rescue(words: DataFrame, crop_words: DataFrame) -> DataFrame:
     boxes relative to the crop, with crop_x0 and crop_y0. A capture with crops whose own words hold at most one of real
     content takes both, without duplicates (word_ix is then the place by falling confidence); all others stay."""
     columns = ["capture_id", "word_ix", "text", "x0", "y0", "x1", "y1", "confidence"]
-    rich = words.groupBy("capture_id").agg(F.count_if(is_real_content(F.col("text"))).alias("n")).where("n > 1").select("capture_id")
-    thin = crop_words.select("capture_id").distinct().join(rich, "capture_id", "left_anti")
+    offered = crop_words.select("capture_id").distinct()
+    own = words.join(offered, "capture_id", "left_semi")  # only there does it matter how much was read
+    rich = own.groupBy("capture_id").agg(F.count_if(is_real_content(F.col("text"))).alias("n")).where("n > 1").select("capture_id")
+    thin = offered.join(rich, "capture_id", "left_anti")
     moved = shift(box(), F.col("crop_x0"), F.col("crop_y0"))
     found = crop_words.select("capture_id", "word_ix", "text", *(getattr(moved, c).alias(c) for c in ("x0", "y0", "x1", "y1")), "confidence")
     both = words.select(*columns).unionByName(found).join(thin, "capture_id", "left_semi")

@@ -242,7 +242,23 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(t.sentences(F.col("text"))).alias("seq", "chunk"))
 
 
-@query()
+_TRIM = lambda x: rf"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
+_PUSHED = f"CASE WHEN {_TRIM('acc[1]')} <> '' THEN list_concat(acc[2:], [{_TRIM('acc[1]')}]) ELSE acc[2:] END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_TRIM("text")} AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, t, regexp_extract_all(t, '[^.!?…\n]+[.!?…]*\s*') AS m FROM d),
+u AS (SELECT doc_id, t, flatten(list_transform(CASE WHEN len(m) > 0 THEN m ELSE [t] END, lambda p:
+  CASE WHEN length(p) > 400 THEN list_concat([['f', '']], list_transform(regexp_split_to_array(p, '\s+'), lambda w: ['w', w])) ELSE [['p', p]] END)) AS u FROM m),
+r AS (SELECT doc_id, t, list_reduce(list_prepend([''], u), lambda acc, x: CASE
+  WHEN x[1] = 'f' THEN list_concat([''], {_PUSHED})
+  WHEN x[1] = 'p' THEN CASE WHEN length(acc[1] || x[2]) > 400 THEN list_concat([x[2]], {_PUSHED}) ELSE list_concat([acc[1] || x[2]], acc[2:]) END
+  WHEN length({_TRIM("CASE WHEN acc[1] = '' THEN x[2] ELSE acc[1] || ' ' || x[2] END")}) > 400 THEN list_concat([x[2]], {_PUSHED})
+  ELSE list_concat([CASE WHEN acc[1] = '' THEN x[2] ELSE acc[1] || ' ' || x[2] END], acc[2:]) END) AS acc FROM u),
+c AS (SELECT doc_id, CASE WHEN t = '' THEN []::VARCHAR[] WHEN length(t) <= 400 THEN [t] ELSE {_PUSHED} END AS c FROM r)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS seq, unnest(c) AS chunk FROM c
+""")
 def tts_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X15 on whole documents."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.tts_chunks(F.col("text"))).alias("seq", "chunk"))
