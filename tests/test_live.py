@@ -179,7 +179,7 @@ def test_a_request_without_an_answer_times_out(spark, tmp_path):
         wait_for(query, lambda: seen().get(7) == "timeout")
         # An answer after the deadline counts for nothing.
         spark.createDataFrame([(1, "result", 600, 4, 7, None, None)], columns).coalesce(1).write.mode("append").parquet(f"{at}/in")
-        query.processAllAvailable()
+        wait_for(query, lambda: any(x["numInputRows"] for x in query.recentProgress))  # the only rows since the start
         assert seen() == {7: "timeout", 8: "ok"} and spark.read.schema(live.ANSWER).parquet(f"{at}/out").count() == 2
     finally:
         query.stop()
