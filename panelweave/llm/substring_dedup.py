@@ -198,7 +198,8 @@ def _compare(scattered: DataFrame, ranges: int, length: int, hot: int) -> DataFr
             (1, rep, (doc, k, place, at, windows, np.minimum(count, 2).astype("u4"), (kinds > hot).astype("u1"))),
         ):
             if chosen.any():
-                for p, b in zip(*_by_range(doc[chosen], ranges, *(a[chosen] for a in arrays)), strict=True):
+                # Row numbers begin with the partition: unmixed, all of them would fall into the first range.
+                for p, b in zip(*_by_range(mix(doc[chosen]), ranges, *(a[chosen] for a in arrays)), strict=True):
                     out.setdefault(p, [None, None])[column] = b
         return pa.table({"part": pa.array(list(out), pa.int32()), "intervals": pa.array([v[0] for v in out.values()], pa.binary()), "requests": pa.array([v[1] for v in out.values()], pa.binary())})
 
