@@ -3,14 +3,17 @@
 1. Every window of ``length`` bytes chooses the smallest hashed KMER bytes in it (the leftmost, if equal); neighbours
    that choose the same place form a segment. Equal windows choose alike, so all places of a window meet under one
    key, and text is split into segments without loss.
-2. Segments (key, content hash, place; packed arrays) are dealt by ranges of the key. Segments of equal content are
-   one string with a count: a count of two makes all their windows repeated, as equal strings have equal suffixes.
-   Keys with different contents keep one representative of each.
-3. Only for those the bytes are fetched. Segments of a key are aligned at the chosen place and cut where two of them
+2. Segments (key, content hash, place; packed arrays) are counted where they are read, HELD at a time: of those with
+   equal content one goes on, with a count of two, and the stretches of all of them go to their documents, merged. So
+   what many documents share reaches the task of its key once for each HELD segments, not once for each place.
+3. They are dealt by ranges of the key. Segments of equal content are one string with a count: a count of two makes all
+   their windows repeated, as equal strings have equal suffixes. Keys with different contents keep one representative of
+   each.
+4. Only for those the bytes are fetched. Segments of a key are aligned at the chosen place and cut where two of them
    begin to differ, so each is a short string over blocks; one suffix array per batch of keys orders all their
    suffixes by grouping construction, and the longest common prefix with a neighbour, in bytes, tells which windows
    occur twice.
-4. Intervals are merged per document and cut out.
+5. Intervals are merged per document and cut out.
 
 A key with more than HOT different contents is split by window: each window's hash goes to its own range and is
 counted, so no task gets an unbounded group. Documents longer than UNIT bytes are taken in overlapping units.
@@ -34,7 +37,7 @@ from ._grouping import common_prefixes, grouping_suffix_array
 from ._shared import documents, materialise
 from ._words import mix, slices
 
-LENGTH, KMER, HOT, UNIT, RANGE_BYTES, SEARCH_RANGES, BATCH_SYMBOLS, MOST_TASKS = 200, 64, 8000, 8 << 20, 16 << 20, 8, 60000, 10000
+LENGTH, KMER, HOT, UNIT, RANGE_BYTES, SEARCH_RANGES, BATCH_SYMBOLS, MOST_TASKS, HELD = 200, 64, 8000, 8 << 20, 16 << 20, 8, 60000, 10000, 1 << 19
 _PLACE_BITS = np.uint64(24)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -149,16 +152,55 @@ def _by_range(of: np.ndarray, n: int, *arrays: np.ndarray) -> tuple[list[int], l
 
 
 #: Packed columns: of segments, of intervals, of requests for bytes, of windows of hot keys.
-_SEGMENT = ("u8", "u8", "u8", "u4", "u2", "u2")  # key, content, document, place, offset, windows
+_SEGMENT = ("u8", "u8", "u8", "u4", "u2", "u2", "u1")  # key, content, document, place, offset, windows, count
 _INTERVAL = ("u8", "u4", "u4")  # document, start, end
 _REQUEST = ("u8", "u8", "u4", "u2", "u2", "u4", "u1")  # document, key, place, offset, windows, count, hot
 _WINDOW = ("u8", "u8", "u4", "u4")  # window, document, place, count
 
 
-def _scatter(docs: DataFrame, ranges: int, length: int) -> DataFrame:
-    """docs: u, text."""
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of intervals."""
+    o = np.argsort(start, kind="stable")
+    start, end = start[o], np.maximum.accumulate(end[o]) if len(o) else end
+    gap = np.concatenate(([True], start[1:] > end[:-1])) if len(o) else np.zeros(0, bool)
+    first = np.flatnonzero(gap)
+    return start[first], end[np.concatenate((first[1:] - 1, [len(start) - 1])).astype(np.int64)] if len(o) else end
+
+
+def merged_in_documents(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of intervals of many documents: each document's are moved to a stretch of numbers of its own."""
+    ids, k = np.unique(doc, return_inverse=True)
+    base = k.astype(np.int64) << 33
+    low, high = merged(base + start, base + end)
+    return ids[low >> 33], (low & ((1 << 33) - 1)).astype("u4"), (high & ((1 << 33) - 1)).astype("u4")
+
+
+def combined(key, content, doc, place, at, windows, length: int) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """One segment of each key and content with a count of one or two (more), and the merged stretches (document, start,
+    end) of all segments that have an equal."""
+    order = np.argsort(key ^ mix(content))  # equal ones meet; a collision in between only leaves them apart
+    k, c = key[order], content[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))) if len(k) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    count = np.minimum(np.bincount(run), 2).astype("u1") if len(k) else np.empty(0, "u1")
+    one, twice = order[new], order[count[run] > 1]
+    spans = merged_in_documents(doc[twice], place[twice], place[twice] + windows[twice] + np.uint32(length - 1))
+    return [*(a[one] for a in (key, content, doc, place, at, windows)), count], spans
+
+
+def _scatter(docs: DataFrame, ranges: int, length: int, held: int) -> DataFrame:
+    """docs: u, text. Packed segments (kind 0) by range of the key, intervals (kind 1) by range of the document."""
+
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        one, spans = combined(*(np.concatenate(x) for x in zip(*parts, strict=True)), length)
+        # Keys are minima of many hashes, so their own high bits are all alike.
+        there, blobs = _by_range(mix(one[0]), ranges, *one)
+        again, more = _by_range(mix(spans[0]), ranges, *spans)
+        kinds = [0] * len(there) + [1] * len(again)
+        return pa.RecordBatch.from_arrays([pa.array(there + again, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs + more, pa.binary())], ["range", "kind", "blob"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
         for batch, texts in slices(batches, most=2 << 20):
             ids = batch.column("u").to_numpy().view(np.uint64)
             units, doc, offset = _units(texts, length)
@@ -166,33 +208,41 @@ def _scatter(docs: DataFrame, ranges: int, length: int) -> DataFrame:
             content, begin = np.empty(len(unit), np.uint64), place.tolist()
             for i, (q, a, x, w) in enumerate(zip(unit.tolist(), begin, at.tolist(), windows.tolist(), strict=True)):
                 content[i] = xxhash.xxh3_64_intdigest(units[q][a : a + w - 1 + length], x)
-            # Keys are minima of many hashes, so their own high bits are all alike.
-            there, blobs = _by_range(mix(key), ranges, key, content, ids[doc[unit]], (place + offset[unit]).astype("u4"), at.astype("u2"), windows.astype("u2"))
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+            parts.append((key, content, ids[doc[unit]], (place + offset[unit]).astype("u4"), at.astype("u2"), windows.astype("u2")))
+            n += len(unit)
+            if n >= held:
+                yield packed(parts)
+                parts, n = [], 0
+        if n:
+            yield packed(parts)
 
-    return docs.mapInArrow(work, "range int, blob binary")
+    return docs.mapInArrow(work, "range int, kind int, blob binary")
 
 
 def _compare(scattered: DataFrame, ranges: int, length: int, hot: int) -> DataFrame:
-    """part, intervals, requests: packed, by range of the document."""
+    """part, intervals, requests: packed, by range of the document. Intervals that come along are passed on."""
 
     def work(key, table):
-        k, content, doc, place, at, windows = _joined(table.column("blob").to_pylist(), *_SEGMENT)
+        by_kind: tuple[list, list] = ([], [])
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            by_kind[kind].append(blob)
+        k, content, doc, place, at, windows, seen = _joined(by_kind[0], *_SEGMENT)
         order = np.argsort(k)
         same = k[order][1:] == k[order][:-1]
         twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(k) else order
-        k, content, doc, place, at, windows = (a[twice] for a in (k, content, doc, place, at, windows))
+        k, content, doc, place, at, windows, seen = (a[twice] for a in (k, content, doc, place, at, windows, seen))
         order = np.lexsort((place, doc, content, k))
-        k, content, doc, place, at, windows = (a[order] for a in (k, content, doc, place, at, windows))
+        k, content, doc, place, at, windows, seen = (a[order] for a in (k, content, doc, place, at, windows, seen))
         new_key = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
         new = new_key | np.concatenate(([True], content[1:] != content[:-1])) if len(k) else new_key
         run = np.cumsum(new) - 1
-        count = np.bincount(run)[run] if len(k) else run
+        count = np.bincount(run, seen).astype(np.int64)[run] if len(k) else run
         group = np.cumsum(new_key) - 1
         kinds = np.bincount(group, new).astype(np.int64)[group] if len(k) else group
-        full = count >= 2
+        full = (count >= 2) & (seen < 2)  # the others' stretches were sent by those who counted them
         rep = new & (kinds >= 2)
         out: dict[int, list] = {}
+        rows = [(key[0].as_py(), _pack(*_joined(by_kind[1], *_INTERVAL)), None)] if by_kind[1] else []
         for column, chosen, arrays in (
             (0, full, (doc, place, (place + windows + np.uint32(length - 1)).astype("u4"))),
             (1, rep, (doc, k, place, at, windows, np.minimum(count, 2).astype("u4"), (kinds > hot).astype("u1"))),
@@ -201,21 +251,13 @@ def _compare(scattered: DataFrame, ranges: int, length: int, hot: int) -> DataFr
                 # Row numbers begin with the partition: unmixed, all of them would fall into the first range.
                 for p, b in zip(*_by_range(mix(doc[chosen]), ranges, *(a[chosen] for a in arrays)), strict=True):
                     out.setdefault(p, [None, None])[column] = b
-        return pa.table({"part": pa.array(list(out), pa.int32()), "intervals": pa.array([v[0] for v in out.values()], pa.binary()), "requests": pa.array([v[1] for v in out.values()], pa.binary())})
+        part, intervals, requests = zip(*rows, *((p, *v) for p, v in out.items()), strict=True) if rows or out else ((), (), ())
+        return pa.table({"part": pa.array(part, pa.int32()), "intervals": pa.array(intervals, pa.binary()), "requests": pa.array(requests, pa.binary())})
 
     # By number of ranges, so that a task's share doesn't grow with the table.
     return scattered.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(work, "part int, intervals binary, requests binary")
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals."""
-    o = np.argsort(start, kind="stable")
-    start, end = start[o], np.maximum.accumulate(end[o]) if len(o) else end
-    gap = np.concatenate(([True], start[1:] > end[:-1])) if len(o) else np.zeros(0, bool)
-    first = np.flatnonzero(gap)
-    return start[first], end[np.concatenate((first[1:] - 1, [len(start) - 1])).astype(np.int64)] if len(o) else end
-
-
 def _per_document(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[int, bytes]:
     """Merged packed intervals of each document."""
     o = np.argsort(doc, kind="stable")
@@ -403,11 +445,11 @@ def _search(fetched: DataFrame, ranges: int, length: int) -> DataFrame:
     return fetched.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(work, "u long, intervals binary")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, hot: int = HOT, range_bytes: int = RANGE_BYTES, held: int = HELD) -> DataFrame:
     """u, intervals of documents with repeated windows. docs: u, text."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1, -(-int(total) // range_bytes))
-    compared = materialise(_documents(_compare(_scatter(docs, ranges, length), ranges, length, hot), ranges), "repeats")
+    compared = materialise(_documents(_compare(_scatter(docs, ranges, length, held), ranges, length, hot), ranges), "repeats")
     wanted = compared.where(F.col("requests").isNotNull()).select("u", "requests")
     asked = docs.join(wanted, "u").select("u", "text", "requests")
     ranges *= SEARCH_RANGES  # the same bytes are more work here

@@ -764,8 +764,8 @@ def test_long_texts_score_as_in_one_piece(spark):
 # ---------------------------------------------------------------- op10
 
 
-@pytest.mark.parametrize("hot", [1, 20000])
-def test_substring_dedup(spark, docs, none, hot):
+@pytest.mark.parametrize("hot, held", [(1, 1), (20000, 1), (1, 1 << 19), (20000, 1 << 19)])
+def test_substring_dedup(spark, docs, none, hot, held):
     rng = np.random.default_rng(10)
     letters = np.array(list("abcdefgh é\n"))
     passage = "".join(rng.choice(letters, 400))
@@ -786,11 +786,28 @@ def test_substring_dedup(spark, docs, none, hot):
         kept = bytes(x for x, c in zip(b, cover.tolist(), strict=True) if not c)
         want.append((str(i), len(b), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest()))
     table = spark.createDataFrame(data, "doc_id long, text string")
-    got = substring_dedup.remove_repeats(table, hot=hot, range_bytes=20000).collect()
+    got = substring_dedup.remove_repeats(table, hot=hot, held=held, range_bytes=20000).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted(want)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_equal_segments_are_counted_before_they_are_dealt():
+    """A third of all segments are one: of each two contents of a key one stays, and stretches are merged in documents."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    key, content = rng.integers(0, 40, n).astype(np.uint64), rng.integers(0, 30, n).astype(np.uint64)
+    key[::3], content[::3] = 7, 7
+    doc, place = rng.integers(0, 50, n).astype(np.uint64) << np.uint64(33), rng.integers(0, 5000, n).astype("u4")
+    windows = rng.integers(1, 90, n).astype("u2")
+    one, spans = substring_dedup.combined(key, content, doc, place, np.zeros(n, "u2"), windows, 200)
+    times = Counter(zip(key.tolist(), content.tolist(), strict=True))
+    assert {(k, c): s for k, c, *_, s in zip(*(a.tolist() for a in one), strict=True)} == {x: min(m, 2) for x, m in times.items()} and len(one[0]) == len(times)
+    want = {(d, b) for k, c, d, p, w in zip(*(a.tolist() for a in (key, content, doc, place, windows)), strict=True) if times[k, c] > 1 for b in range(p, p + w + 199)}
+    got = [(d, b) for d, a, e in zip(*(a.tolist() for a in spans), strict=True) for b in range(a, e)]
+    assert set(got) == want and len(got) == len(want)
+    assert [len(a) for a in substring_dedup.combined(*(a[:0] for a in (key, content, doc, place, windows, windows)), 200)[0]] == [0] * 7
+
+
 def test_substring_dedup_of_a_text_over_16_mib(spark):
     rng = np.random.default_rng(16)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
