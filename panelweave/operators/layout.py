@@ -10,9 +10,11 @@ number of boxes. Only the order-dependent splice and the panel claims go capture
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,9 +249,38 @@ def splice_orphans(rows: list[list[int]], b: Boxes, rtl: bool) -> list[list[int]
 
 
 def order_flat(b: Boxes, rtl: bool) -> list[int]:
+    """The boxes of one capture in reading order, without panels."""
     return [i for row in splice_orphans(reading_rows(b, rtl), b, rtl) for i in row]
 
 
+def flat_orders(b: Boxes, first: np.ndarray, rtl: np.ndarray) -> np.ndarray:
+    """The boxes of each group (``first`` as in Items) in reading order, without panels. Groups are worked on together;
+    only those in which a lone bubble joins the row above it go one by one."""
+    group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    row = Items(b, b.x0, b.x0, first).labels(lambda x, _, __: same_row(x), lambda x, _: same_row_reach(x)) + first[group]
+    top, bottom = np.full(len(b), np.inf), np.full(len(b), -np.inf)
+    np.minimum.at(top, row, b.y0)
+    np.maximum.at(bottom, row, b.y1)
+    at = np.lexsort((np.where(rtl[group], -b.x0, b.x0), row, top[row], group))
+    if not len(at):
+        return at
+    begin = np.flatnonzero(np.concatenate(([True], row[at][1:] != row[at][:-1])))
+    size, own = np.diff(np.append(begin, len(at))), group[at[begin]]
+    lone = 1 + np.flatnonzero((size[1:] == 1) & (size[:-1] >= 2) & (own[1:] == own[:-1]))
+    i, above = at[begin[lone]], row[at[begin[lone - 1]]]
+    gap = np.maximum(0, np.where(top[above] <= b.y0[i], b.y0[i] - bottom[above], top[above] - b.y1[i]))
+    for c in np.unique(own[lone[gap <= ORPHAN_GAP * b.height[i]]]).tolist():
+        a, e = int(first[c]), int(first[c + 1])
+        rows = np.split(at[a:e], begin[np.searchsorted(begin, a, "right") : np.searchsorted(begin, e)] - a)
+        at[a:e] = [k for r in splice_orphans([r.tolist() for r in rows], b, bool(rtl[c])) for k in r]
+    return at
+
+
+@lru_cache(256)
+def _each_two(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def panel_pairs(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, page_w: float | None) -> tuple[np.ndarray, ...]:
     """Pairs of vertical cuts that may bound a panel, tallest first: i, j, least height, x0, y0, x1, y1. With a page
     width both page sides count as cuts."""
@@ -257,7 +288,7 @@ def panel_pairs(x: np.ndarray, y0: np.ndarray, y1: np.ndarray, page_w: float | N
     if page_w:
         x, y0, y1 = np.append(x, (0.0, page_w)), np.append(y0, (0.0, 0.0)), np.append(y1, (np.inf, np.inf))
         edge = np.append(edge, (True, True))
-    i, j = np.triu_indices(len(x), 1)
+    i, j = _each_two(len(x))
     keep = ~(edge[i] & edge[j])
     i, j = i[keep], j[keep]
     lo, hi = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
@@ -282,28 +313,43 @@ def claim_panels(pairs: tuple[np.ndarray, ...]) -> Boxes:
     return Boxes(*(v[rows] for v in pairs[3:]))
 
 
-def assign_panels(b: Boxes, rects: Boxes) -> list[np.ndarray]:
-    """Bubbles of each panel (the first that holds the centre), then each other bubble alone."""
+def assign_panels(b: Boxes, rects: Boxes) -> np.ndarray:
+    """The panel of each bubble: the first that holds its centre, else one of its own after all others."""
+    own = len(rects) + np.arange(len(b))
     if not len(rects):
-        return [np.arange(len(b))]
+        return np.zeros(len(b), np.int64)
     cx, cy = ((b.x0 + b.x1) / 2)[:, None], ((b.y0 + b.y1) / 2)[:, None]
     inside = (cx >= rects.x0) & (cx <= rects.x1) & (cy >= rects.y0) & (cy <= rects.y1)
-    first = np.where(inside.any(axis=1), inside.argmax(axis=1), -1)
-    return [g for k in range(len(rects)) if len(g := np.flatnonzero(first == k))] + [np.array([k]) for k in np.flatnonzero(first == -1)]
+    return np.where(inside.any(axis=1), inside.argmax(axis=1), own)
+
+
+def panel_orders(b: Boxes, first: np.ndarray, rtl: np.ndarray, panel: np.ndarray) -> np.ndarray:
+    """The bubbles of each capture in reading order: its panels first, as one box each, then the bubbles of each.
+    ``panel``: the panel of each bubble, any number that tells those of a capture apart."""
+    if not len(b):
+        return np.empty(0, np.int64)
+    capture = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    by = np.lexsort((panel, capture))
+    begin = np.flatnonzero(np.concatenate(([True], (panel[by][1:] != panel[by][:-1]) | (capture[by][1:] != capture[by][:-1]))))
+    inner = flat_orders(Boxes(*(v[by] for v in b.sides)), np.append(begin, len(by)), rtl[capture[by[begin]]])
+    low, high = (np.minimum.reduceat(v[by], begin) for v in (b.x0, b.y0)), (np.maximum.reduceat(v[by], begin) for v in (b.x1, b.y1))
+    outer = flat_orders(Boxes(*low, *high), np.searchsorted(capture[by[begin]], np.arange(len(first))), rtl)
+    rank = np.empty(len(outer), np.int64)
+    rank[outer] = np.arange(len(outer))
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(by))))
+    return by[inner[np.argsort(rank[of[inner]], kind="stable")]]
 
 
 def order(b: Boxes, rtl: bool, vertical: tuple[np.ndarray, np.ndarray, np.ndarray], n_horizontal: int, page_w: float | None) -> list[int]:
-    """Total reading order: panels first if cuts bound several, bubbles inside each. vertical: x, y0 and y1 of cuts."""
-    if len(vertical[0]) + n_horizontal:
-        panels = assign_panels(b, claim_panels(panel_pairs(*vertical, page_w)))
-        if len(panels) > 1:
-            out = []
-            for p in order_flat(b.union(panels), rtl):
-                own = panels[p]
-                part = Boxes(b.x0[own], b.y0[own], b.x1[own], b.y1[own])
-                out += own[order_flat(part, rtl)].tolist()
-            return out
-    return order_flat(b, rtl)
+    """Total reading order of one capture: panels first if cuts bound several. vertical: x, y0 and y1 of cuts."""
+    return panel_orders(b, np.array([0, len(b)]), np.array([rtl]), panels_by_cuts(b, vertical, n_horizontal, page_w)).tolist()
+
+
+def panels_by_cuts(b: Boxes, vertical: tuple[np.ndarray, np.ndarray, np.ndarray], n_horizontal: int, page_w: float | None) -> np.ndarray:
+    """The panel of each bubble as the cuts bound them; all are in one without cuts."""
+    if not len(vertical[0]) + n_horizontal:
+        return np.zeros(len(b), np.int64)
+    return assign_panels(b, claim_panels(panel_pairs(*vertical, page_w)))
 
 
 _BOX = "text string, x0 double, y0 double, x1 double, y1 double, confidence double"
@@ -402,18 +448,19 @@ def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None, carry: list
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, box = Batch(batch), Batch(batch).boxes()
-            rtl = [d == "rtl" for d in batch.column("direction").to_pylist()]
-            page_w = batch.column("canvas_w").to_pylist()
-            listed = batch.column("cuts").to_pylist() if "cuts" in batch.schema.names else [None] * len(rtl)
-            at = []
-            for c, (a, e) in enumerate(zip(b.first.tolist(), b.first[1:].tolist(), strict=False)):
-                cut = listed[c] or []
-                vertical = tuple(np.array([x[k] for x in cut if x["orient"] == "v"], float) for k in ("x0", "y0", "y1"))
-                n_h = sum(x["orient"] == "h" for x in cut)
-                found = order(Boxes(*(v[a:e] for v in box.sides)), rtl[c], vertical, n_h, page_w[c] or None)
-                at.append(a + np.array(found, np.int64))
-            at = np.concatenate(at) if at else np.empty(0, np.int64)
+            b = Batch(batch)
+            box, rtl = b.boxes(), pc.fill_null(pc.equal(batch.column("direction"), "rtl"), False).to_numpy(zero_copy_only=False)
+            panel = np.zeros(len(box), np.int64)
+            if "cuts" in batch.schema.names:
+                page_w, cut = batch.column("canvas_w").to_pylist(), Batch(batch, "cuts")
+                upright = pc.fill_null(pc.equal(cut.fields.field("orient"), "v"), False).to_numpy(zero_copy_only=False)
+                v, before = np.stack([cut.column(x)[upright] for x in ("x0", "y0", "y1")]), np.concatenate(([0], np.cumsum(upright)))
+                n_h = np.concatenate(([0], np.cumsum(pc.fill_null(pc.equal(cut.fields.field("orient"), "h"), False).to_numpy(zero_copy_only=False))))
+                for c in np.flatnonzero((cut.size > 0) & (b.size > 1)).tolist():
+                    a, e, first, last = b.first[c], b.first[c + 1], cut.first[c], cut.first[c + 1]
+                    own = Boxes(*(x[a:e] for x in box.sides))
+                    panel[a:e] = panels_by_cuts(own, tuple(v[:, before[first] : before[last]]), int(n_h[last] - n_h[first]), page_w[c] or None)
+            at = panel_orders(box, b.first, rtl, panel)
             own = [b.fields.field(c).take(pa.array(at)) for c in ("bubble_ix", *carry)]
             yield pa.RecordBatch.from_arrays([b.ids(b.first), *own, pa.array(_number(b.first))], ["capture_id", "bubble_ix", *carry, "seq"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -141,3 +142,42 @@ def test_survivors_keep_their_distance(spark, data):
                 inter = max(0, w) * max(0, h)
                 area = lambda q: (q[2] - q[0]) * (q[3] - q[1])
                 assert inter / (area(b[i]) + area(b[j]) - inter + 1e-9) < 0.35
+
+
+def plain_order(b, rtl, panel):
+    """One capture: its panels as one box each, then the boxes of each panel."""
+    if not len(b):
+        return []
+    groups = [np.flatnonzero(panel == k) for k in np.unique(panel)]
+    out = []
+    for k in layout.order_flat(b.union(groups), rtl):
+        own = groups[k]
+        out += own[layout.order_flat(layout.Boxes(*(v[own] for v in b.sides)), rtl)].tolist()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_orders_of_many_captures_at_once_equal_those_of_each(seed):
+    """Ties, empty captures, lone boxes close below rows, both directions, several panels."""
+    rng = np.random.default_rng(seed)
+    size = rng.integers(0, 14, 120)
+    first = np.concatenate(([0], np.cumsum(size)))
+    n = int(first[-1])
+    x, y = rng.integers(0, 12, n) * 10.0, rng.integers(0, 8, n) * 10.0
+    b = layout.Boxes(x, y, x + rng.integers(0, 5, n) * 10, y + rng.integers(0, 4, n) * 6)
+    rtl, panel = rng.random(120) < 0.5, rng.integers(0, 1 + seed % 4, n)
+    want, spliced = [], 0
+    for c, (a, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        own = layout.Boxes(*(v[a:e] for v in b.sides))
+        want += [a + k for k in plain_order(own, bool(rtl[c]), panel[a:e])]
+        rows = layout.reading_rows(own, bool(rtl[c]))
+        spliced += layout.splice_orphans(rows, own, bool(rtl[c])) != rows
+    assert layout.panel_orders(b, first, rtl, panel).tolist() == want and spliced > 10
+
+
+def test_order_of_a_large_capture():
+    rng = np.random.default_rng(5)
+    n = layout.LARGE + 300
+    x, y = rng.random(n) * 1000, rng.random(n) * 40000
+    b = layout.Boxes(x, y, x + 30, y + 12)
+    assert layout.panel_orders(b, np.array([0, n]), np.array([True]), np.zeros(n, int)).tolist() == layout.order_flat(b, True)
