@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from panelweave.llm import _words, decontamination, hidden_markov, jaccard_join, language_id, license_scan, line_dedup, nearest, packing, sharding, substring_dedup
@@ -446,6 +447,41 @@ def test_dictionaries_come_from_whole_texts(spark):
     assert judge(b"kinu talo bora") [0] == "aa" and judge(b"plank schrift trend")[0] == "bb"
 
 
+def test_language_id_query_equals_plain_python(spark, data):
+    """Every column over the whole table, from dictionaries put together here; at this size all labelled documents are used."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h")).collect()
+
+    def plain(text):
+        return re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+
+    def out(r):
+        return zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+
+    shares, labelled = defaultdict(list), Counter(r.lang for r in docs if r.lang is not None and not out(r))
+    assert max(labelled.values()) <= 256
+    for r in docs:
+        if r.lang is not None and not out(r) and any(map(str.isalpha, r.text or "")):
+            b = plain(r.text)
+            shares[r.lang].append((r.h, b if len(b) <= 384 else b"".join(b[(k := (len(b) - 64) * i // 5) : k + 64] for i in range(6))))
+    by_size = sorted(shares, key=lambda x: (-labelled[x], x))
+    coders = {}
+    for lang in by_size:
+        d = zstandard.ZstdCompressionDict(b"\n".join(x for _, x in sorted(shares[lang])), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(6)
+        coders[lang] = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    want = set()
+    for r in docs:
+        found, score = "und", 0.0
+        if any(map(str.isalpha, r.text or "")):
+            b = plain(r.text)
+            size = {lang: sum(len(coders[lang].compress(b[i : i + 2048])) for i in range(0, len(b), 2048)) for lang in by_size}
+            found, other = sorted(size, key=size.get)[:2]
+            score = (size[other] - size[found]) / size[other]
+        want.add((r.doc_id, out(r), found, score, found == "und" or score < 0.02))
+    got = [tuple(r) for r in language_id.op5_language_id(spark, data).select("doc_id", "held_out", "lang_pred", "score", "rejected").collect()]
+    assert set(got) == want and len(got) == len(docs)
+
+
 def test_language_id_query_is_accurate(spark, data):
     """Held-out accuracy on the whole table; every column of the contract."""
     told = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
