@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,8 +89,10 @@ def css_rect_to_canvas(left: Column, top: Column, right: Column, bottom: Column,
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
-    """Luma as stored in clamped bytes: half to even."""
-    return F.least(F.lit(255), F.greatest(F.lit(0), F.rint(r * 0.299 + g * 0.587 + b * 0.114))).cast("int")
+    """Luma as stored in clamped bytes: half to even. The weights are decimals, so that a whole number's part is exact, as
+    in SQL; as doubles, some sums that end in .5 fall to the other side."""
+    part = lambda c, weight: c * F.lit(Decimal(weight))
+    return F.least(F.lit(255), F.greatest(F.lit(0), F.rint(part(r, "0.299") + part(g, "0.587") + part(b, "0.114")))).cast("int")
 
 
 def js_round(c: Column) -> Column:
