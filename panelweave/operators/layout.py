@@ -357,7 +357,10 @@ _SIDES = ["x0", "y0", "x1", "y1"]
 
 
 def gathered(items: DataFrame, index: str, columns: list[str], per_capture: list[str] | None = None) -> DataFrame:
-    """One row for each capture: capture_id, what holds for all of it, and ``rows``, its items by index."""
+    """One row for each capture: capture_id, what holds for all of it, and ``rows``, its items by index. Items that come so
+    already aren't shuffled."""
+    if "rows" in items.columns:
+        return items.select("capture_id", F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in (index, *columns)))).alias("rows"), *(per_capture or []))
     same = [F.first(c).alias(c) for c in per_capture or []]
     return items.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct(index, *columns))).alias("rows"), *same)
 
@@ -399,12 +402,13 @@ def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str =
             place = Items(b.boxes(), ix, ix, b.first).labels(lambda x, _, __: link(x), far)
             yield pa.RecordBatch.from_arrays([b.ids(b.first), pa.array(ix), pa.array(ix[place + np.repeat(b.first[:-1], b.size)])], ["capture_id", index, "label"])
 
-    kind = {f.name: f.dataType.simpleString() for f in items.schema}
-    return gathered(items, index, _SIDES).mapInArrow(work, f"capture_id {kind['capture_id']}, {index} {kind[index]}, label {kind[index]}")
+    rows = gathered(items, index, _SIDES)
+    kind = {f.name: f.dataType.simpleString() for f in (*rows.schema["rows"].dataType.elementType, rows.schema["capture_id"])}
+    return rows.mapInArrow(work, f"capture_id {kind['capture_id']}, {index} {kind[index]}, label {kind[index]}")
 
 
 def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
-    """words: capture_id, word_ix, text, box, confidence, canvas_w, canvas_h. Lines or bubbles of every capture. Missing
+    """words: capture_id, word_ix, text, box, confidence, canvas_w, canvas_h; or as ``gathered``. Lines or bubbles of every capture. Missing
     confidences count as 0; no capture is left out or cut."""
     name = "bubble_ix" if level == "bubbles" else "line_ix"
 
@@ -418,7 +422,8 @@ def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
             cols = [b.ids(out.first), pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
             yield pa.RecordBatch.from_arrays(cols, ["capture_id", name, "text", *_SIDES, "confidence"])
 
-    rows = gathered(words.withColumn("text", F.coalesce("text", F.lit(""))), "word_ix", ["text", *_SIDES, "confidence"], ["canvas_w", "canvas_h"])
+    rows = gathered(words, "word_ix", ["text", *_SIDES, "confidence"], ["canvas_w", "canvas_h"])
+    rows = rows.withColumn("rows", F.transform("rows", lambda r: r.withField("text", F.coalesce(r["text"], F.lit("")))))
     return rows.mapInArrow(work, f"capture_id long, {name} int, {_BOX}")
 
 

@@ -61,3 +61,12 @@ def test_only_tokens_that_change_leave_their_text(operator, spark):
     want = {"fix_digits": "c4t soon isthere end", "split_fused": "c4t s00n is there end", "respell": "c4t s00n isthere fin"}[operator]
     assert {r.fixed for r in found} == {"cat dog " * 29 + want} and len(found) == 3000
     assert n < 3000 * 6
+
+
+def test_captures_are_dealt_whole(spark, data):
+    """Words of a capture stay together from the text to their bubbles: rows shuffled are captures, not words."""
+    from panelweave.plans import QUERIES
+    from panelweave.sources import synth
+
+    n = synth.captures(spark, data).count()
+    assert shuffled(spark, lambda: QUERIES["text_lines"](spark, data).collect()) < 3 * n < synth.words(spark, data).count() / 8
