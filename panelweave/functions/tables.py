@@ -10,8 +10,7 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
 from ..operators import layout
-
-BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+from .text import BLANKS
 
 
 @udtf(returnType="seq int, chunk string")

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 #: Blanks as ECMAScript sees them (Java's \\s lacks the no-break space and its kin).
 BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same, one by one.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: CJK blocks that speech leaves out.
 CJK = r"[\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+    """Looks at the ends only, where a pattern would look for blanks all over."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, f"{BLANK}+", " ")
+    return F.regexp_replace(text, f"{BLANK}++", " ")
 
 
 def collapsed_trimmed(text: Column) -> Column:
@@ -32,7 +35,8 @@ def space_after_comma(text: Column) -> Column:
 
 
 def join_hyphenated(text: Column) -> Column:
-    return F.regexp_replace(text, rf"([A-Za-z]{{3,}})-{BLANK}*([A-Za-z]{{3,}})", "$1 $2")
+    # A run of letters is looked at once, from its start: what begins inside it would end where it does.
+    return F.regexp_replace(text, rf"(?<![A-Za-z])([A-Za-z]{{3,}}+)-{BLANK}*+([A-Za-z]{{3,}})", "$1 $2")
 
 
 def core_word(word: Column) -> Column:

@@ -261,7 +261,8 @@ SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS seq, unnest(c) AS c
 """)
 def tts_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X15 on whole documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.tts_chunks(F.col("text"))).alias("seq", "chunk"))
+    docs = synth.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(t.tts_chunks(F.col("text"))).alias("seq", "chunk"))
 
 
 # ---------------------------------------------------------------- lexicon

@@ -70,3 +70,51 @@ def test_captures_are_dealt_whole(spark, data):
 
     n = synth.captures(spark, data).count()
     assert shuffled(spark, lambda: QUERIES["text_lines"](spark, data).collect()) < 3 * n < synth.words(spark, data).count() / 8
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    """A file of many splits whose rows lie in one row group: every partition gets some, of tts_chunks too."""
+    from panelweave.plans import QUERIES
+    from panelweave.sources import synth
+
+    spark.range(400).selectExpr("id as doc_id", "repeat(concat('Line ', id, '. '), 90) as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        splits = synth.table(spark, str(tmp_path), "documents").rdd.getNumPartitions()
+        assert splits > spark.sparkContext.defaultParallelism
+        assert QUERIES["tts_chunks"](spark, str(tmp_path)).selectExpr("spark_partition_id() as at").distinct().count() > splits / 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_long_runs_are_looked_at_once(spark):
+    """200000 blanks, or letters, on end: patterns that begin anew inside a run take the square of it."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from panelweave.functions import text as t
+
+    runs = spark.range(1).selectExpr("concat('a', repeat(' ', 200000), 'b') as blanks", "repeat('c', 200000) as letters")
+    began = time.time()
+    got = runs.select(F.length(t.trimmed(F.col("blanks"))), F.length(t.join_hyphenated(F.col("letters")))).first()
+    assert tuple(got) == (200002, 200000) and time.time() - began < 5
+
+
+@pytest.mark.parametrize("name", ["noise_predicates", "capture_stats", "text_scalars"])
+def test_lines_of_odd_words(name, spark, tmp_path):
+    """Words about each limit of the rules, in lines of random make, against SQL."""
+    import random
+
+    import duckdb
+
+    from panelweave.plans import QUERIES, SQL
+
+    pick = random.Random(3)
+    parts = ["a", "I", "x", "aaa", "bbb", "Hm", "oh", "...", "!", "-", "'", "  ", "\t", "=>", "class", "subclass", "VAR", "e" * 18, "abc" * 6, "abc" * 6 + "d", "a-b" * 9 + "c", "a.b" * 10, "9", "{", "so-and", "Ch. 7", "zun", "café", "aeiou"]
+    texts = ["\n".join("".join(pick.choice(parts) + pick.choice(["", " ", " "]) for _ in range(pick.randrange(1, 7))) for _ in range(30)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(con.execute(SQL[name]).df())
