@@ -64,29 +64,39 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z]", "")
 
 
+def several_words(t: Column) -> Column:
+    """Of a trimmed text."""
+    return t.rlike(r"\s")
+
+
+_MARKS = "|".join(x for x in CODE_LIKE.split("|") if not x.startswith(r"\b"))
+_KEYWORDS = rf"(?i){_NOT_BEFORE}(?:{'|'.join(x.strip(chr(92) + 'b') for x in CODE_LIKE.split('|') if x.startswith(chr(92) + 'b'))}){_NOT_AFTER}"
+
+
 def is_garbage(text: Column) -> Column:
+    """Rules about words are patterns over the whole text, which end at the first word that decides."""
+
     def judge(s: Column) -> Column:
-        t, only, low, w = (s[c] for c in ("t", "only", "low", "w"))
-        n = F.length(only)
-        bare = F.transform(w, lambda x: F.length(letters(x)))
-        packed = F.lower(F.regexp_replace(t, r"\s+", ""))
-        rescued = (F.size(w) >= 2) & (n >= 5)
+        t, low = s["t"], s["low"]
+        n = F.length(low)
+        interjection = low.rlike(java(re.sub(r"\[.*?\]\*", "", INTERJECTION))) & F.lower(F.regexp_replace(t, r"\s+", "")).rlike(java(INTERJECTION))
+        # Over 0.7 of some thirty letters have three equal ones in a row (without, 2/3 at most).
+        uneven = (n <= 30) | low.rlike(r"(.)\1\1")
         top = F.greatest(*(n - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit(""))) for i in range(26)))
         return (
             F.when(low.isin("i", "a"), False)
             .when(F.length(t) < 2, True)
-            .when(packed.rlike(java(INTERJECTION)), False)
-            .when((F.try_divide(n, F.length(t)) < 0.55) & ~rescued, True)
-            .when((n > 3) & ~only.rlike("[aeiouAEIOU]"), True)
-            .when(t.rlike(java(CODE_LIKE, True)), True)
-            .when(F.exists(bare, lambda k: k > 18), True)
-            .when((F.size(w) >= 2) & F.forall(bare, lambda k: k <= 1), True)
-            .when((n > 4) & (F.try_divide(top, n) > 0.7), True)
+            .when(interjection, False)
+            .when((F.try_divide(n, F.length(t)) < 0.55) & ~((n >= 5) & several_words(t)), True)
+            .when((n > 3) & ~low.rlike("[aeiou]"), True)
+            .when(t.rlike(_MARKS) | t.rlike(_KEYWORDS), True)
+            .when((n > 18) & t.rlike(r"\S{19}") & t.rlike(r"(?<!\S)[^\sA-Za-z]*+(?:[A-Za-z][^\sA-Za-z]*+){19}"), True)
+            .when(~t.rlike(r"[A-Za-z][^\sA-Za-z]*+[A-Za-z]") & several_words(t), True)
+            .when((n > 4) & uneven & (F.try_divide(top, n) > 0.7), True)
             .otherwise(False)
         )
 
-    parts = lambda t: F.struct(t.alias("t"), letters(t).alias("only"), F.lower(letters(t)).alias("low"), F.split(t, r"\s+").alias("w"))
-    return let(trimmed(text), lambda t: let(parts(t), judge))
+    return let(trimmed(text), lambda t: let(F.struct(t.alias("t"), F.lower(letters(t)).alias("low")), judge))
 
 
 def is_chrome(text: Column) -> Column:
@@ -98,16 +108,19 @@ def is_url_only(text: Column) -> Column:
 
 
 def is_sound_effect(text: Column, confidence: Column) -> Column:
-    w = words(text)
-    n = F.size(w)
-    first = F.regexp_replace(F.lower(F.element_at(w, 1)), "[^a-z]", "")
-    known = first.isin(SFX_TOKENS) | reduce(lambda a, b: a | b, (first.startswith(p) for p in SFX_PREFIXES))
-    return (
-        F.when((n == 1) & first.isin("i", "a"), False)
-        .when((n <= SFX_MAX_WORDS) & (confidence < SFX_MIN_CONFIDENCE), True)
-        .when((n <= SFX_TOKEN_MAX_WORDS) & known, True)
-        .otherwise(False)
-    )
+    def judge(w: Column) -> Column:
+        n = F.size(w)
+        first = F.regexp_replace(F.lower(F.get(w, F.lit(0))), "[^a-z]", "")
+        known = first.isin(SFX_TOKENS) | reduce(lambda a, b: a | b, (first.startswith(p) for p in SFX_PREFIXES))
+        return (
+            F.when((n == 1) & first.isin("i", "a"), False)
+            .when((n <= SFX_MAX_WORDS) & (confidence < SFX_MIN_CONFIDENCE), True)
+            .when((n <= SFX_TOKEN_MAX_WORDS) & known, True)
+            .otherwise(False)
+        )
+
+    # No more words are told apart than the rules count.
+    return let(F.split(trimmed(text), r"\s+", SFX_TOKEN_MAX_WORDS + 1), judge)
 
 
 NOISE = ["garbage", "chrome", "url_only", "sound"]
@@ -119,7 +132,7 @@ def with_noise(df: DataFrame, text: str = "text", confidence: str = "confidence"
     flags = dict(zip(NOISE, (is_garbage(t), is_chrome(t), is_url_only(t), is_sound_effect(t, c)), strict=True))
     sure = c >= MIN_CONFIDENCE
     kept = sure & ~reduce(lambda a, b: a | b, (F.col(x) for x in NOISE))
-    return df.withColumns(flags).withColumns({"kept": kept, "suspicious": sure & F.col("garbage") & (F.size(words(t)) >= 2)})
+    return df.withColumns(flags).withColumns({"kept": kept, "suspicious": sure & F.col("garbage") & several_words(trimmed(t))})
 
 
 def is_kept(text: Column, confidence: Column) -> Column:
@@ -127,7 +140,7 @@ def is_kept(text: Column, confidence: Column) -> Column:
 
 
 def is_dropped_suspicious(text: Column, confidence: Column) -> Column:
-    return (confidence >= MIN_CONFIDENCE) & is_garbage(text) & (F.size(words(text)) >= 2)
+    return (confidence >= MIN_CONFIDENCE) & is_garbage(text) & several_words(trimmed(text))
 
 
 def is_word(text: Column) -> Column:
