@@ -144,8 +144,8 @@ def is_dropped_suspicious(text: Column, confidence: Column) -> Column:
 
 
 def is_word(text: Column) -> Column:
-    """A recognised word that counts at all: not blank and with a letter."""
-    return (trimmed(text) != "") & text.rlike("[A-Za-z]")
+    """A recognised word that counts at all: with a letter, so not blank."""
+    return text.rlike("[A-Za-z]")
 
 
 CHAPTER_LABEL = r"(?i)^Ch\.?\s*\d"

@@ -72,6 +72,33 @@ def test_captures_are_dealt_whole(spark, data):
     assert shuffled(spark, lambda: QUERIES["text_lines"](spark, data).collect()) < 3 * n < synth.words(spark, data).count() / 8
 
 
+@pytest.mark.parametrize("name", ["rescue_dedup", "rescued_words"])
+def test_captures_are_rescued_whole(name, spark, data):
+    """The same of words found twice."""
+    from panelweave.plans import QUERIES
+    from panelweave.sources import synth
+
+    n = synth.captures(spark, data).count()
+    assert shuffled(spark, lambda: QUERIES[name](spark, data).count()) < 5 * n < synth.words(spark, data).count() / 4
+
+
+def test_alike_boxes_are_told_by_groups_and_by_blocks():
+    """Groups of all sizes, one of several blocks, against a plain walk."""
+    import numpy as np
+
+    from panelweave.operators import detect
+
+    rng = np.random.default_rng(5)
+    group = np.sort(np.concatenate([rng.integers(0, 300, 900), np.full(1300, 400), np.full(3, 401)]))
+    x, y = rng.integers(0, 60, len(group)).astype(float), rng.integers(0, 20, len(group)).astype(float)
+    sides, kept = np.stack([x, y, x + 12, y + rng.integers(0, 12, len(group))]), []
+    for i in range(len(group)):
+        mine = [k for k in kept if group[k] == group[i]]
+        if not mine or not detect._alike(tuple(v[i] for v in sides), tuple(v[mine] for v in sides), 0.6).any():
+            kept.append(i)
+    assert np.flatnonzero(detect.first_of_alike(group, sides, 0.6)).tolist() == kept and 600 < len(kept) < len(group) - 600
+
+
 def test_one_row_group_is_spread(spark, tmp_path):
     """A file of many splits whose rows lie in one row group: every partition gets some, of tts_chunks too."""
     from panelweave.plans import QUERIES
