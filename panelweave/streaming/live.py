@@ -186,20 +186,31 @@ class _Requests(StatefulProcessor):
         self.open = handle.getMapState("open", _schema("request_id long"), _schema("top long, img_key string, sent long, due long"))
 
     def handleInputRows(self, key: Any, rows: Rows, timerValues: Any) -> Rows:
+        # Each look at state is a message to the executor: what a batch opens and answers itself never gets there.
         now = timerValues.getCurrentProcessingTimeInMs() if self.timers else 0
+        before = at = self.at.get()
+        opened = {}
         for r in sorted(rows, key=lambda r: (r.ts_ms, self.ORDER[r.kind], r.seq)):
             if r.kind == "position":
-                self.at.update((r.top, r.img_key))
+                at = (r.top, r.img_key)
             elif r.kind == "dispatch":
-                self.open.updateValue((r.request_id,), (r.top, r.img_key, r.ts_ms, now + self.limit))
+                opened[r.request_id] = (r.top, r.img_key, r.ts_ms, now + self.limit)
                 if self.timers:
                     self.handle.registerTimer(now + self.limit)
-            elif self.open.containsKey((r.request_id,)):
-                top, img_key, sent, _ = self.open.getValue((r.request_id,))
-                self.open.removeKey((r.request_id,))
-                at = self.at.get()
+            else:
+                request = opened.pop(r.request_id, None)
+                if self.open.containsKey((r.request_id,)):
+                    request = request or self.open.getValue((r.request_id,))
+                    self.open.removeKey((r.request_id,))
+                if request is None:
+                    continue
+                top, img_key, sent, _ = request
                 same = at is not None and tuple(at) == (top, img_key)
                 yield Row(tab_id=key[0], request_id=r.request_id, status="timeout" if r.ts_ms - sent > self.limit else "ok" if same else "stale", at_ms=r.ts_ms)
+        if at is not before:
+            self.at.update(at)
+        for request_id, request in opened.items():
+            self.open.updateValue((request_id,), request)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Rows:
         over = [(k[0], x) for k, x in self.open.iterator() if x[3] <= expiredTimerInfo.getExpiryTimeInMs()]
@@ -248,7 +259,12 @@ class _Ring(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Rows, timerValues: Any) -> Rows:
         n = self.held.get()
         n = 0 if n is None else n[0]
-        new = sorted((tuple(r[f.name] for f in self.schema) for r in rows), key=lambda x: x[0])
+        new = []  # of a batch, the last lines alone can stay: no more of them are held or written
+        for r in rows:
+            new.append(tuple(r[f.name] for f in self.schema))
+            if len(new) > 2 * self.size:
+                new = sorted(new, key=lambda x: x[0])[-self.size :]
+        new = sorted(new, key=lambda x: x[0])[-self.size :]
         for low in range(0, len(new), self.size):
             part = new[low : low + self.size]
             if n + len(part) > 2 * self.size:

@@ -145,3 +145,21 @@ def test_lines_of_odd_words(name, spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(con.execute(SQL[name]).df())
+
+
+def test_requests_answered_in_their_batch_leave_state_alone():
+    """A hundred requests asked and answered in one batch: one look at state for each, nothing written for them."""
+    from types import SimpleNamespace as Row
+    from unittest.mock import MagicMock
+
+    from panelweave.streaming import live
+
+    step = live._Requests(1000, timers=False)
+    step.at, step.open = MagicMock(), MagicMock()
+    step.at.get.return_value, step.open.containsKey.return_value = None, False
+    row = lambda i, kind: Row(kind=kind, ts_ms=i, seq=i, request_id=i, top=1, img_key="a")
+    rows = [row(0, "position"), *(row(i, kind) for i in range(100) for kind in ("dispatch", "result")), row(200, "dispatch")]
+    got = list(step.handleInputRows((7,), iter(rows), None))
+    assert len(got) == 100 and {r.status for r in got} == {"ok"}
+    assert len(step.open.mock_calls) == 101 and len(step.at.mock_calls) == 2
+    step.open.updateValue.assert_called_once_with((200,), (1, "a", 200, 1000))
