@@ -135,6 +135,14 @@ def with_noise(df: DataFrame, text: str = "text", confidence: str = "confidence"
     return df.withColumns(flags).withColumns({"kept": kept, "suspicious": sure & F.col("garbage") & several_words(trimmed(t))})
 
 
+def verdict(text: Column, confidence: Column) -> Column:
+    """``kept`` and ``suspicious`` of ``with_noise`` as a struct, for what stands in an array: a rule is looked at only where
+    those before it leave it open."""
+    clean = ~is_url_only(text) & ~is_sound_effect(text, confidence) & ~is_chrome(text)
+    told = let(is_garbage(text), lambda g: F.struct((~g & clean).alias("kept"), (g & several_words(trimmed(text))).alias("suspicious")))
+    return F.when(confidence >= MIN_CONFIDENCE, told).otherwise(F.struct(F.lit(False).alias("kept"), F.lit(False).alias("suspicious")))
+
+
 def is_kept(text: Column, confidence: Column) -> Column:
     return (confidence >= MIN_CONFIDENCE) & ~is_garbage(text) & ~is_chrome(text) & ~is_url_only(text) & ~is_sound_effect(text, confidence)
 

@@ -58,7 +58,7 @@ def _map_tokens(text: Column, token: str, change) -> Column:
     def mapped(t: Column) -> Column:
         found = F.regexp_extract_all(t, F.lit(token), F.lit(0))
         pieces = F.zip_with(F.split(t, token, -1), F.transform(found, change), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-        return F.array_join(pieces, "")
+        return F.when(t.rlike(token), F.array_join(pieces, "")).otherwise(t)  # most texts have none
 
     return let(text, mapped)
 
@@ -93,7 +93,7 @@ def normalize_stutter(text: Column) -> Column:
 
 def normalize_case(text: Column) -> Column:
     """Words of several capital letters in lower case."""
-    return _map_tokens(text, "[A-Za-z']+", lambda w: F.when((F.length(w) > 1) & (w == F.upper(w)), F.lower(w)).otherwise(w))
+    return _map_tokens(text, "(?<![A-Za-z'])[A-Z']{2,}+(?![A-Za-z'])", F.lower)
 
 
 def repair(text: Column) -> Column:

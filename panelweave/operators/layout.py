@@ -138,11 +138,11 @@ def swept(b: Boxes, reach: tuple[np.ndarray, np.ndarray], linked: Callable[[np.n
     return label
 
 
-def stacked_reach(b: Boxes, page_h: float) -> tuple[np.ndarray, np.ndarray]:
+def stacked_reach(b: Boxes, page_h) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(len(b)), np.maximum(GAP_HEIGHTS * b.height, GAP_PAGE * page_h)
 
 
-def in_line_reach(b: Boxes, page_w: float) -> tuple[np.ndarray, np.ndarray]:
+def in_line_reach(b: Boxes, page_w) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(LINE_GAP_HEIGHTS * (b.height + b.height.max(initial=0)) / 2, LINE_GAP_PAGE * page_w), np.zeros(len(b))
 
 
@@ -162,36 +162,49 @@ class Items:
         self.box, self.text, self.confidence, self.first = box, text, confidence, first
 
     def labels(
-        self, link: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray], reach: Callable[[Boxes, int], tuple[np.ndarray, np.ndarray]] | None = None, most: int = 1 << 21
+        self, link: Callable[[Boxes, np.ndarray, np.ndarray], np.ndarray], reach: Callable[[Boxes, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, most: int = 1 << 16
     ) -> np.ndarray:
         """For each item the first item of its cluster, as a place in its capture. Captures are taken by size, so that
-        stacks of matrices are even and hold about ``most`` pairs. ``link``: (boxes, captures, flat places); ``reach``
-        (boxes, capture) bounds it for large ones, which without it compare all pairs, some at a time."""
-        out, size = np.empty(int(self.first[-1]), np.int64), np.diff(self.first)
-        for c in np.flatnonzero(size > LARGE).tolist():
-            low, high = int(self.first[c]), int(self.first[c + 1])
-            own = Boxes(*(v[low:high] for v in self.box.sides))
-            far = (np.full(len(own), np.inf),) * 2 if reach is None else reach(own, c)
+        stacks of matrices are even and hold about ``most`` pairs, few enough for a core's cache. A matrix only says which
+        boxes are in ``reach`` (boxes, their captures) of each other, all without one; ``link`` (boxes two by two, their
+        captures, flat places) judges those. Large captures are swept."""
+        n, size = int(self.first[-1]), np.diff(self.first)
+        capture = np.repeat(np.arange(len(size)), size)
+        far = (np.full(n, np.inf),) * 2 if reach is None else reach(self.box, capture)
+        x0, y0, x1, y1 = self.box.sides
+        # A box that is turned round reaches as far as it does either way.
+        low, high = (np.fmin(x0, x1), np.fmin(y0, y1)), tuple(np.fmax(a, b) + r for a, b, r in ((x0, x1, far[0]), (y0, y1, far[1])))
 
-            def linked(pairs: np.ndarray, c: int = c, low: int = low, own: Boxes = own) -> np.ndarray:
-                return link(Boxes(*(v[pairs] for v in own.sides)), np.full(len(pairs), c), pairs + low)[:, 0, 1]
+        def linked(pairs: np.ndarray) -> np.ndarray:
+            return link(Boxes(*(v[pairs] for v in self.box.sides)), capture[pairs[:, 0]], pairs)[:, 0, 1]
 
-            out[low:high] = swept(own, far, linked)
+        label = np.arange(n)
+        for c in np.flatnonzero(size > LARGE).tolist():
+            at = slice(int(self.first[c]), int(self.first[c + 1]))
+            own = Boxes(*(v[at] for v in self.box.sides))
+            label[at] = at.start + swept(own, tuple(v[at] for v in far), lambda pairs, at=at: linked(pairs + at.start))
         order = np.argsort(size, kind="stable")
-        order = order[size[order] <= LARGE]
-        at = int(np.searchsorted(size[order], 1))
+        order, pairs = order[size[order] <= LARGE], []
+        at = int(np.searchsorted(size[order], 2))
         while at < len(order):
             end = at + 1
             while end < len(order) and (end + 1 - at) * int(size[order[end]]) ** 2 <= most:
                 end += 1
             own = order[at:end]
-            n = int(size[own].max())
-            valid = np.arange(n) < size[own][:, None]
-            place = np.minimum(self.first[own][:, None] + np.arange(n), len(out) - 1)
-            linked = link(Boxes(*(v[place] for v in self.box.sides)), own, place) & valid[:, :, None] & valid[:, None, :]
-            out[place[valid]] = components(linked)[valid]
+            m = int(size[own].max())
+            valid = np.arange(m) < size[own][:, None]
+            place = np.minimum(self.first[own][:, None] + np.arange(m), n - 1)
+            near = valid[:, :, None] & valid[:, None, :]
+            for lo, hi in zip(low, high, strict=True):
+                near &= lo[place][:, None, :] <= hi[place][:, :, None]
+            c, i, j = np.nonzero(near & near.transpose(0, 2, 1) & (np.arange(m)[:, None] < np.arange(m)))
+            found = np.stack((place[c, i], place[c, j]), axis=1)
+            pairs.append(found[linked(found)])
             at = end
-        return out
+        if pairs:
+            u, v = np.concatenate(pairs).T
+            label = joined(label, u, v)
+        return label - self.first[capture]
 
     def merged(self, label: np.ndarray, across: np.ndarray) -> Items:
         """One item for each cluster, clusters by their first member; texts in the order of ``across``."""
@@ -366,10 +379,10 @@ def gathered(items: DataFrame, index: str, columns: list[str], per_capture: list
 
 
 class Batch:
-    """An Arrow batch of gathered captures."""
+    """An Arrow batch of gathered captures. ``rows``: their column, or an array in its stead."""
 
-    def __init__(self, batch: pa.RecordBatch, rows: str = "rows"):
-        lists = batch.column(rows)
+    def __init__(self, batch: pa.RecordBatch, rows: str | pa.ListArray = "rows"):
+        lists = batch.column(rows) if isinstance(rows, str) else rows
         self.size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.size)))
         self.fields = lists.flatten()
@@ -407,6 +420,17 @@ def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str =
     return rows.mapInArrow(work, f"capture_id {kind['capture_id']}, {index} {kind[index]}, label {kind[index]}")
 
 
+def rebuilt(b: Batch, page_w: np.ndarray, page_h: np.ndarray, level: str = "bubbles") -> Items:
+    """Lines or bubbles of the words of a batch. Missing confidences count as 0, missing texts as empty."""
+    text, confidence = pc.fill_null(b.fields.field("text"), "").to_numpy(zero_copy_only=False), np.nan_to_num(b.column("confidence").astype(float))
+    lines = words_to_lines(Items(b.boxes(), text, confidence, b.first), page_w, page_h)
+    return lines if level == "lines" else lines_to_bubbles(lines, page_h)
+
+
+def page_sizes(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("canvas_w", "canvas_h"))
+
+
 def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
     """words: capture_id, word_ix, text, box, confidence, canvas_w, canvas_h; or as ``gathered``. Lines or bubbles of every capture. Missing
     confidences count as 0; no capture is left out or cut."""
@@ -415,18 +439,24 @@ def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch)
-            w, h = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("canvas_w", "canvas_h"))
-            out = words_to_lines(Items(b.boxes(), b.column("text"), np.nan_to_num(b.column("confidence").astype(float)), b.first), w, h)
-            if level == "bubbles":
-                out = lines_to_bubbles(out, h)
+            out = rebuilt(b, *page_sizes(batch), level)
             cols = [b.ids(out.first), pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
             yield pa.RecordBatch.from_arrays(cols, ["capture_id", name, "text", *_SIDES, "confidence"])
 
     rows = gathered(words, "word_ix", ["text", *_SIDES, "confidence"], ["canvas_w", "canvas_h"])
-    rows = rows.withColumn("rows", F.transform("rows", lambda r: r.withField("text", F.coalesce(r["text"], F.lit("")))))
     return rows.mapInArrow(work, f"capture_id long, {name} int, {_BOX}")
 
 
+BUBBLES = f"array<struct<bubble_ix int, {_BOX}>>"
+
+
+def bubble_rows(b: Batch, page_w: np.ndarray, page_h: np.ndarray) -> pa.ListArray:
+    """The same as BUBBLES: those of each capture in one array."""
+    out = rebuilt(b, page_w, page_h)
+    cols = [pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
+    return pa.ListArray.from_arrays(pa.array(out.first.astype(np.int32)), pa.StructArray.from_arrays(cols, ["bubble_ix", "text", *_SIDES, "confidence"]))
+
+
 def on_page(bubbles: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
     """``bubbles`` off the overlays and, in captures that have images, on one of them. overlays, images: capture_id, box."""
 
@@ -443,10 +473,11 @@ def on_page(bubbles: DataFrame, overlays: DataFrame | None = None, images: DataF
 
 
 def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
-    """bubbles: capture_id, bubble_ix, box, direction, canvas_w; cuts: capture_id, orient, cut_ix, box.
+    """bubbles: capture_id, bubble_ix, box, direction, canvas_w; cuts: capture_id, orient, cut_ix, box. Bubbles may come as
+    ``gathered``, with the cuts of each capture in an array by cut_ix.
     Adds ``seq``, the place in reading order (from 0); columns to ``carry`` come along."""
     carry = carry or []
-    rows = gathered(bubbles, "bubble_ix", [*_SIDES, *carry], ["direction", "canvas_w"])
+    rows = gathered(bubbles, "bubble_ix", [*_SIDES, *carry], ["direction", "canvas_w", *(c for c in ("cuts",) if c in bubbles.columns)])
     if cuts is not None:
         own = cuts.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("cut_ix", "orient", *_SIDES))).alias("cuts"))
         rows = rows.join(own, "capture_id", "left")
@@ -469,7 +500,7 @@ def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None, carry: list
             own = [b.fields.field(c).take(pa.array(at)) for c in ("bubble_ix", *carry)]
             yield pa.RecordBatch.from_arrays([b.ids(b.first), *own, pa.array(_number(b.first))], ["capture_id", "bubble_ix", *carry, "seq"])
 
-    kinds = "".join(f", {c} {bubbles.schema[c].dataType.simpleString()}" for c in carry)
+    kinds = "".join(f", {c} {rows.schema['rows'].dataType.elementType[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(work, f"capture_id long, bubble_ix int{kinds}, seq int")
 
 

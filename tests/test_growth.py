@@ -163,3 +163,25 @@ def test_requests_answered_in_their_batch_leave_state_alone():
     assert len(got) == 100 and {r.status for r in got} == {"ok"}
     assert len(step.open.mock_calls) == 101 and len(step.at.mock_calls) == 2
     step.open.updateValue.assert_called_once_with((200,), (1, "a", 200, 1000))
+
+
+def test_captures_are_read_whole(spark, data, monkeypatch):
+    """From its text to the order of its bubbles a capture is dealt once, with its crops, its second attempt and its page."""
+    from panelweave.plans import reading
+    from panelweave.sources import synth
+
+    monkeypatch.setattr(reading, "_lexicon", lambda *_: spark.createDataFrame([("x",)], "word string"))
+    monkeypatch.setattr(reading, "repair", lambda bubbles, *_: bubbles.select(*reading.KEYS, "text"))
+    n, found = synth.captures(spark, data).count(), []
+    assert shuffled(spark, lambda: found.append(reading.page_reading(spark, data).count())) < 2 * n and found[0] > n
+
+
+def test_words_of_several_tokens_are_repaired(spark):
+    """A word is told by itself, not by a token in it."""
+    from panelweave.operators import lexicon_repair as lr
+
+    texts = ["ofthe- sucha", "ofthe a", "S00N,the s00n, w1ll-s00n", "plain text-\nhere"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lexicon, names = spark.createDataFrame([("soon",), ("will",)], "word string"), spark.createDataFrame([("the", "thee")], "word string, respelling string")
+    got = [r.fixed for r in sorted(lr.repaired(lines, ["id"], lexicon, names).collect())]
+    assert got == ["of thee such a", "of thee a", "SOON, thee soon, will soon", "plain text here"]
