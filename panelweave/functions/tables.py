@@ -6,8 +6,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from ..operators import layout
 from .text import BLANKS
@@ -85,7 +86,21 @@ class BoxRows:
             yield from self.held.labels(layout.same_row, layout.same_row_reach)
 
 
-TABLE_FUNCTIONS = {"sentence_chunks": SentenceChunks, "stacked_boxes": StackedBoxes, "box_rows": BoxRows}
+@arrow_udtf(returnType="capture_id long, ix int, label int, n long")
+class StackedCaptures:
+    """stacked_captures(TABLE(captures), page_h): the same of captures that come whole: capture_id, rows (an array of ix and
+    a box, by ix). Many are worked on at a time, so none is dealt by its boxes. n: how many boxes the column has."""
+
+    def eval(self, captures: pa.RecordBatch, page_h: pa.Array) -> Iterator[pa.Table]:
+        h, b = page_h[0].as_py(), layout.Batch(captures)
+        ix = b.column("ix")
+        place = layout.Items(b.boxes(), ix, ix, b.first).labels(lambda x, _, __: layout.stacked(x, h), lambda x, _: layout.stacked_reach(x, h))
+        place = place + np.repeat(b.first[:-1], b.size)
+        n = np.bincount(place, minlength=len(place))[place]
+        yield pa.table({"capture_id": b.ids(b.first), "ix": pa.array(ix), "label": pa.array(ix[place]), "n": pa.array(n)})
+
+
+TABLE_FUNCTIONS = {"sentence_chunks": SentenceChunks, "stacked_boxes": StackedBoxes, "box_rows": BoxRows, "stacked_captures": StackedCaptures}
 
 
 def register_tables(spark: SparkSession) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.tables import register_tables
 from ..sources import synth
@@ -22,6 +23,6 @@ def sql_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_word_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D0 J1 as a table function over a table argument."""
     register_tables(spark)
-    boxes = synth.words(spark, sf_dir).selectExpr("capture_id", "word_ix as ix", "x0", "y0", "x1", "y1")
-    found = f"stacked_boxes(TABLE(SELECT * FROM {{b}}) PARTITION BY capture_id ORDER BY (ix), {synth.CANVAS_H}D)"
-    return spark.sql(f"SELECT capture_id, ix AS word_ix, label, count(*) OVER (PARTITION BY capture_id, label) AS n FROM {found}", b=boxes)
+    box = F.transform("rows", lambda w: F.struct(w["word_ix"].alias("ix"), *(w[c].alias(c) for c in ("x0", "y0", "x1", "y1"))))
+    boxes = synth.captures(spark, sf_dir).select("capture_id", box.alias("rows"))
+    return spark.sql(f"SELECT capture_id, ix AS word_ix, label, n FROM stacked_captures(TABLE(SELECT * FROM {{b}}), {synth.CANVAS_H}D)", b=boxes)

@@ -185,3 +185,22 @@ def test_words_of_several_tokens_are_repaired(spark):
     lexicon, names = spark.createDataFrame([("soon",), ("will",)], "word string"), spark.createDataFrame([("the", "thee")], "word string, respelling string")
     got = [r.fixed for r in sorted(lr.repaired(lines, ["id"], lexicon, names).collect())]
     assert got == ["of thee such a", "of thee a", "SOON, thee soon, will soon", "plain text here"]
+
+
+def test_table_function_takes_captures_whole(spark, data):
+    """Rows shuffled are texts and captures, not words; columns are those of the boxes one by one, large captures' too."""
+    from pyspark.sql import functions as F
+
+    from panelweave.functions.tables import register_tables
+    from panelweave.plans import QUERIES
+    from panelweave.sources import synth
+
+    n = synth.captures(spark, data).count()
+    assert shuffled(spark, lambda: QUERIES["sql_word_columns"](spark, data).count()) < 3 * n
+    register_tables(spark)
+    boxes = [(c, i, float(i % 5 * 40), float(i // 5 * (12 + c)), float(i % 5 * 40 + 30), float(i // 5 * (12 + c) + 9)) for c in range(4) for i in range(1100 if c == 1 else 40)]
+    b = spark.createDataFrame(boxes, "capture_id long, ix int, x0 double, y0 double, x1 double, y1 double")
+    whole = b.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("ix", "x0", "y0", "x1", "y1"))).alias("rows"))
+    got = spark.sql("SELECT capture_id, ix, label FROM stacked_captures(TABLE(SELECT * FROM {b}), 14.0D)", b=whole)
+    want = spark.sql("SELECT * FROM stacked_boxes(TABLE(SELECT * FROM {b}) PARTITION BY capture_id ORDER BY (ix), 14.0D)", b=b)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
