@@ -204,3 +204,26 @@ def test_table_function_takes_captures_whole(spark, data):
     got = spark.sql("SELECT capture_id, ix, label FROM stacked_captures(TABLE(SELECT * FROM {b}), 14.0D)", b=whole)
     want = spark.sql("SELECT * FROM stacked_boxes(TABLE(SELECT * FROM {b}) PARTITION BY capture_id ORDER BY (ix), 14.0D)", b=b)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_events_of_a_tab_reach_state_in_lists(spark):
+    """A thousand events of a tab are four rows of its state's step, in order; no key is lost, nor one without a value."""
+    import random
+
+    from panelweave.streaming import live
+
+    rows = [(tab, t, i, None if i % 7 == 0 else i % 5, None if i % 3 == 0 else "ab"[i % 2]) for tab in (None, -3, 5, 8) for i, t in enumerate(range(0, 5000, 5))] + [(9, 1, 1, 1, "a")]
+    mixed = random.Random(5).sample(rows, len(rows))
+    events = spark.createDataFrame(mixed, "tab_id long, ts_ms long, seq long, top long, img_key string")
+    lists = live.gathered(events, "tab_id", ["ts_ms", "seq"]).collect()
+    assert len(lists) == 17 and max(len(r.seq) for r in lists) == 256
+    apart = [(r.tab_id, *x) for r in lists for x in zip(*r[1:], strict=True)]
+    assert sorted(apart, key=str) == sorted(rows, key=str)
+    assert all(list(r.ts_ms) == sorted(r.ts_ms) for r in lists)
+    one = live._Apart(live._LastKept("tab_id", ["ts_ms"], None, None), ["ts_ms", "top"])
+    one.step.init = lambda _: None
+    one.step.handleInputRows = lambda key, rows, _: [(key, r.ts_ms, r.top) for r in rows]
+    one.init(None)
+    assert len(one.handleInputRows((8,), (r for r in lists if r.tab_id == 8), None)) == 1000
+    assert sum(len(c.column(1)[k]) for c in [live._listed(events.toArrow().to_batches(), "tab_id", ["ts_ms"])] for k in range(c.num_rows)) == 4001
+    assert list(live.gathered(events.where("tab_id > 100"), "tab_id", ["ts_ms"]).collect()) == []
