@@ -44,7 +44,7 @@ def _schema(text: str) -> T.StructType:
 
 # ---------------------------------------------------------------- many rows of a key in one
 
-HELD_ROWS, LIST_ROWS = 1 << 19, 256
+HELD_ROWS, LIST_ROWS, BUCKETS = 1 << 19, 256, 8192
 
 
 def _listed(batches: list[pa.RecordBatch], key: str, order: list[str]) -> pa.RecordBatch:
@@ -104,9 +104,76 @@ class _Apart(StatefulProcessor):
         self.step.close()
 
 
-def _through(step: StatefulProcessor, rows: DataFrame, key: str, order: list[str], out: T.StructType, time: str = "none", initial: Any = None) -> DataFrame:
+class _Kept:
+    """A value state of each key of a bucket, as a list state: read once a batch, and written once if it changed."""
+
+    def __init__(self, state: Any):
+        self.state, self.rows, self.changed = state, None, False
+
+    def get(self) -> tuple | None:
+        if self.rows is None:
+            self.rows = {x[0]: tuple(x[1:]) for x in self.state.get()}
+        return self.rows.get(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.get()
+        self.rows[self.key], self.changed = tuple(value), True
+
+    def write(self) -> None:
+        if self.changed:
+            self.state.put([(k, *x) for k, x in self.rows.items()])
+        self.rows, self.changed = None, False
+
+
+class _Bucket(_Apart):
+    """A step for all keys of a bucket, which keeps nothing but values of a key: three messages to the executor for a
+    bucket, where keys of their own take three each."""
+
+    def __init__(self, step: StatefulProcessor, names: list[str], key: T.StructField):
+        super().__init__(step, names)
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, []
+        self.one = namedtuple("One", self.names, rename=True)._make
+        self.step.init(self)
+
+    def getValueState(self, name: str, schema: T.StructType, ttl: None = None) -> _Kept:
+        """What the step takes for its handle's."""
+        self.kept.append(_Kept(self.handle.getListState(name, T.StructType([self.key, *schema]))))
+        return self.kept[-1]
+
+    def _turn(self, key: Any) -> tuple:
+        for x in self.kept:
+            x.key = key
+        return (key,)
+
+    def _write(self) -> None:
+        for x in self.kept:
+            x.write()
+
+    def handleInputRows(self, key: Any, rows: Rows, timerValues: Any) -> Rows:
+        held: dict = {}
+        for r in rows:
+            held.setdefault(r[self.key.name], []).append(r)
+        for k, mine in held.items():
+            yield from super().handleInputRows(self._turn(k), mine, timerValues)
+        self._write()
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        super().handleInitialState(self._turn(initialState[self.key.name]), initialState, timerValues)
+        self._write()
+
+
+def _through(step: StatefulProcessor, rows: DataFrame, key: str, order: list[str], out: T.StructType, time: str = "none", initial: DataFrame | None = None, together: bool = False) -> DataFrame:
+    """``together``: keys share the state of their bucket, so the step may have values only, without timers or TTL.
+    BUCKETS stands in the checkpoint."""
     names = [c for c in rows.columns if c != key]
-    return gathered(rows, key, order).groupBy(key).transformWithState(_Apart(step, names), out, "append", time, initial)
+    lists = gathered(rows, key, order)
+    if not together:
+        return lists.groupBy(key).transformWithState(_Apart(step, names), out, "append", time, None if initial is None else initial.groupBy(key))
+    dealt = lambda df: df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).groupBy("_bucket")
+    return dealt(lists).transformWithState(_Bucket(step, names, rows.schema[key]), out, "append", time, None if initial is None else dealt(initial))
 
 
 # ---------------------------------------------------------------- positions: settling, early triggers, reads
@@ -186,7 +253,7 @@ def positions(stream: DataFrame, settle: int = v.SETTLE_MS, viewport_h: float |
     tolerance = None if viewport_h is None else v.DEDUP_RATIO * viewport_h
     step = _Positions(settle, poll, idle, tolerance, timers)
     rows = stream.select("tab_id", "ts_ms", "seq", "top", "img_key")
-    return _through(step, rows, "tab_id", ["ts_ms", "seq"], _schema(POSITION), "processingTime" if timers else "none")
+    return _through(step, rows, "tab_id", ["ts_ms", "seq"], _schema(POSITION), "processingTime" if timers else "none", together=not timers)
 
 
 # ---------------------------------------------------------------- walks: fresh reads, throttling, single flight
@@ -224,8 +291,8 @@ def walk(stream: DataFrame, key: str, columns: list[str], keep: Callable[[tuple,
     initial = None
     if kept_before is not None:
         last = F.max_by(F.struct(*columns), F.struct(*columns[:2])).alias("_last")
-        initial = kept_before.groupBy(key).agg(last).select(key, "_last.*").groupBy(key)
-    return _through(_LastKept(key, columns, held, keep), rows, key, columns[:2], rows.schema, initial=initial)
+        initial = kept_before.groupBy(key).agg(last).select(key, "_last.*")
+    return _through(_LastKept(key, columns, held, keep), rows, key, columns[:2], rows.schema, initial=initial, together=True)
 
 
 def fresh_positions(stream: DataFrame, viewport_h: float, kept_before: DataFrame | None = None) -> DataFrame:

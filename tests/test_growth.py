@@ -227,3 +227,32 @@ def test_events_of_a_tab_reach_state_in_lists(spark):
     assert len(one.handleInputRows((8,), (r for r in lists if r.tab_id == 8), None)) == 1000
     assert sum(len(c.column(1)[k]) for c in [live._listed(events.toArrow().to_batches(), "tab_id", ["ts_ms"])] for k in range(c.num_rows)) == 4001
     assert list(live.gathered(events.where("tab_id > 100"), "tab_id", ["ts_ms"]).collect()) == []
+
+
+def test_tabs_of_a_bucket_share_a_look_at_state():
+    """Fifty tabs: what is kept of them is read once a batch and written once, and each goes on from its own."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from panelweave.streaming import live
+
+    held, handle = [], MagicMock()
+    state = handle.getListState.return_value
+    state.get.side_effect = lambda: iter(list(held))
+    state.put.side_effect = lambda rows: held.__setitem__(slice(None), rows)
+    lists = lambda tab, ts: Row(_bucket=3, tab_id=tab, ts_ms=ts, seq=ts, top=[1] * len(ts), img_key=["a"] * len(ts))
+    names, key = ["ts_ms", "seq", "top", "img_key"], T.StructField("tab_id", T.LongType())
+
+    def batch(rows):
+        step = live._Bucket(live._Positions(1000, 200, 1000, None, False), names, key)
+        step.init(handle)
+        return [(r.kind, r.tab_id, r.at_ms) for r in step.handleInputRows((3,), iter(rows), None)]
+
+    tabs = [None, *range(49)]
+    first = batch([lists(t, [10, 20]) for t in tabs] + [lists(7, [5, 30])])  # a tab's lists may be apart
+    assert first == [("early", t, 10 if t == 7 else 20) for t in tabs]
+    assert batch([lists(8, [1010]), lists(7, [1004, 1005])]) == [("settled", 8, 1010), ("settled", 7, 1005)]
+    assert state.get.call_count == state.put.call_count == 2 and {x[0] for x in held} == set(tabs)
+    assert not [c for c in handle.mock_calls if "getValueState" in str(c)]
