@@ -166,8 +166,11 @@ class _Bucket(_Apart):
 
 
 def _through(step: StatefulProcessor, rows: DataFrame, key: str, order: list[str], out: T.StructType, time: str = "none", initial: DataFrame | None = None, together: bool = False) -> DataFrame:
-    """``together``: keys share the state of their bucket, so the step may have values only, without timers or TTL.
-    BUCKETS stands in the checkpoint."""
+    """With timers a batch holds what came since a moment ago, so rows go to the step as they are, without another shuffle.
+    ``together``: keys share the state of their bucket, so the step may have values only, without timers or TTL. A
+    checkpoint stands for its BUCKETS."""
+    if time != "none":
+        return rows.groupBy(key).transformWithState(step, out, "append", time)
     names = [c for c in rows.columns if c != key]
     lists = gathered(rows, key, order)
     if not together:
@@ -181,7 +184,8 @@ def _through(step: StatefulProcessor, rows: DataFrame, key: str, order: list[str
 
 class _Positions(StatefulProcessor):
     """Emits early triggers, settled positions and fresh reads of a tab. A timer stands for the polls that don't come: it
-    fires when the position has been still for a poll, or for the settling time, since its last event."""
+    fires when the position has been still for a poll, or for the settling time, since its last event. The last one forgets
+    the tab; a TTL would forget it before what is due is told, if a batch takes longer than that."""
 
     HELD = "top long, img_key string, since long, last long, seen long, ticks int, early boolean, settled boolean"
 
@@ -190,9 +194,8 @@ class _Positions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        ttl = self.idle if self.timers else None
-        self.at = handle.getValueState("at", _schema(self.HELD), ttl)
-        self.read = handle.getValueState("read", _schema("ts_ms long, seq long, top long, img_key string"), ttl)
+        self.at = handle.getValueState("at", _schema(self.HELD))
+        self.read = handle.getValueState("read", _schema("ts_ms long, seq long, top long, img_key string"))
 
     def _judge(self, tab: Any, held: dict, ts: int, ticks: int) -> Rows:
         """What a position says that has been there from ``since`` to ``ts``, for so many polls more."""
@@ -215,6 +218,10 @@ class _Positions(StatefulProcessor):
         old = self.at.get()
         held = dict(zip(self.HELD.replace(",", "").split()[::2], old, strict=True)) if old is not None else None
         now = timerValues.getCurrentProcessingTimeInMs() if self.timers else 0
+        if self.timers and held is not None and now - held["seen"] >= self.idle:  # a late batch: its timers haven't fired yet
+            yield from self._judge(key[0], held, held["last"] + self.idle, held["ticks"] + (self.idle >= self.poll))
+            self.read.clear()
+            held = None
         for r in sorted(rows, key=lambda r: (r.ts_ms, r.seq)):
             if held is None or (r.top, r.img_key) != (held["top"], held["img_key"]):
                 held = {"top": r.top, "img_key": r.img_key, "since": r.ts_ms, "last": r.ts_ms, "seen": now, "ticks": 0, "early": False, "settled": False}
@@ -229,6 +236,7 @@ class _Positions(StatefulProcessor):
                 if not held["early"]:
                     self.handle.registerTimer(now + self.poll)
                 self.handle.registerTimer(now + max(0, self.settle - (held["last"] - held["since"])))
+            self.handle.registerTimer(now + self.idle)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Rows:
         old = self.at.get()
@@ -237,7 +245,11 @@ class _Positions(StatefulProcessor):
         held = dict(zip(self.HELD.replace(",", "").split()[::2], old, strict=True))
         still = expiredTimerInfo.getExpiryTimeInMs() - held["seen"]
         yield from self._judge(key[0], held, held["last"] + still, held["ticks"] + (still >= self.poll))
-        self.at.update(tuple(held.values()))
+        if still >= self.idle:
+            self.at.clear()
+            self.read.clear()
+        else:
+            self.at.update(tuple(held.values()))
 
     def close(self) -> None:
         pass

@@ -183,3 +183,17 @@ def test_a_request_without_an_answer_times_out(spark, tmp_path):
         assert seen() == {7: "timeout", 8: "ok"} and spark.read.schema(live.ANSWER).parquet(f"{at}/out").count() == 2
     finally:
         query.stop()
+
+
+def test_a_late_batch_tells_what_was_due(spark, tmp_path):
+    """The tab is idle before the next batch begins: what its position had to say by then isn't lost."""
+    live.state_store(spark)
+    at, columns = str(tmp_path), "tab_id long, ts_ms long, seq long, top long, img_key string"
+    spark.createDataFrame([(1, 1000, 1, 100, "a")], columns).coalesce(1).write.parquet(f"{at}/in")
+    form = live.positions(spark.readStream.schema(columns).parquet(f"{at}/in"), viewport_h=800.0, idle=400)
+    query = form.writeStream.format("memory").queryName("late").option("checkpointLocation", f"{at}/cp").trigger(processingTime="1 second").start()
+    try:
+        wait_for(query, lambda: spark.table("late").count() == 3, 30)
+        assert sorted((r.kind, r.at_ms) for r in spark.table("late").collect()) == [("early", 1200), ("read", 1350), ("settled", 1350)]
+    finally:
+        query.stop()
