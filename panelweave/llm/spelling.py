@@ -16,6 +16,9 @@ U+00C0-U+00FF have 8100 bigrams), so what travels to the tasks is bounded.
 Forms point to words at least twice as frequent, so paths are at most log2(largest count) long and never circular; roots
 are found by pointer doubling, a written table a round.
 
+All joins are merge joins by their hint: Spark sizes a side by the compressed files below it, and the keys of a word, which
+a Python step makes, as that word alone; a side that passes for small would go through the driver whole.
+
 Nulls: a null text has no words; a null doc_id counts as an empty one where ids are hashed. Repeated rows count each.
 Words are counted over whole texts; texts over SLICE code points are taken in slices, a run belonging to the slice it
 starts in. Ties between forms go to the smaller word in code-point order. An empty table gives no rows. Other columns are
@@ -118,7 +121,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left, right = entries(words, order, (0, 1), "a"), entries(words, order, (0, 2), "b")
     one_apart = (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
     once = (F.char_length("a") != F.char_length("b")) | (F.col("a") < F.col("b"))
-    return left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & once & one_apart).select("a", "n_a", "b", "n_b").distinct()
+    return left.join(right.withColumnRenamed("key", "key_b").hint("merge"), (F.col("key") == F.col("key_b")) & once & one_apart).select("a", "n_a", "b", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialise(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         step = now.select(F.col("word").alias("_at"), F.col("root").alias("_to"))
-        moved = now.join(step, F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("_moved"))
+        moved = now.join(step.hint("merge"), F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("_moved"))
         moved = materialise(moved, "spelling-roots")
         now = moved.select("word", "root")
         if moved.where("_moved").isEmpty():
@@ -144,13 +147,13 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     )).alias("p")).select("p.*")
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_other")).alias("less"), F.col("other"))).alias("best"))
     takes = -F.col("best.less") >= factor * F.col("n")
-    judged = words.join(best, "word", "left").select(
+    judged = words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(takes, F.col("best.other")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n"),
     )
     judged = materialise(judged, "spelling-forms")
     ends = roots(judged.where(F.col("form").isNotNull()))
-    return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

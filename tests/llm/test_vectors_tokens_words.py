@@ -233,3 +233,20 @@ def test_words_are_counted_over_whole_texts(spark, data, monkeypatch, slice_size
 def test_no_words(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "1 2 3")], "doc_id long, text string")
     assert spelling.variants(spelling.counted(spelling.runs(docs).select(F.col("run").alias("word")))).count() == 0
+
+
+def test_no_join_of_words_goes_through_the_driver(spark, monkeypatch):
+    """Spark takes the keys for as small as their words; a broadcast of them fills the driver."""
+    plans, write = [], spelling.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "materialise", lambda df, *a, **b: (plans.append(plan(df)), write(df, *a, **b))[1])
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, 10 << 20)
+    try:
+        got = spelling.variants(spark.createDataFrame([("silver", 9), ("silvr", 3), ("silvrq", 1)], "word string, n long"))
+        assert {(r.word, r.form, r.root) for r in got.collect()} == {("silver", None, "silver"), ("silvr", "silver", "silver"), ("silvrq", "silvr", "silver")}
+        joined = [p for p in [*plans, plan(got)] if "Join" in p]
+        assert len(joined) >= 3 and not any("Broadcast" in p for p in joined)
+    finally:
+        spark.conf.set(threshold, before)
