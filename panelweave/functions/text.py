@@ -84,11 +84,14 @@ def _growing(n: int):
 
 def normalize_stutter(text: Column) -> Column:
     """P-P-POISON becomes PO-POI-POISON; up to three fragments, each the word's first letter."""
-    out = text
-    for n in (3, 2, 1):
-        pattern = rf"(?i)(?<![A-Za-z0-9_])(?<![A-Za-z]-)([A-Za-z])-" + r"\1-" * (n - 1) + r"(?=\1)([A-Za-z]{2,})" + _EDGE1
-        out = _map_tokens(out, pattern, _growing(n))
-    return out
+
+    def each(out: Column) -> Column:
+        for n in (3, 2, 1):
+            pattern = rf"(?i)(?<![A-Za-z0-9_])(?<![A-Za-z]-)([A-Za-z])-" + r"\1-" * (n - 1) + r"(?=\1)([A-Za-z]{2,})" + _EDGE1
+            out = _map_tokens(out, pattern, _growing(n))
+        return out
+
+    return let(text, lambda t: F.when(t.contains("-"), each(t)).otherwise(t))  # most texts have no hyphen
 
 
 def normalize_case(text: Column) -> Column:

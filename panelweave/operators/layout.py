@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, boxes_overlap
+from .noise import verdicts
 
 # Fixed values of the clustering and ordering rules.
 SAME_COLUMN, GAP_HEIGHTS, GAP_PAGE = 0.6, 1.3, 0.015
@@ -155,10 +156,19 @@ def groups_of(label: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(label) else []
 
 
+def _arrow(text: pa.Array | np.ndarray) -> pa.Array:
+    return text if isinstance(text, pa.Array) else pa.array(text, pa.string())
+
+
+def _as_given(text: pa.Array, like: pa.Array | np.ndarray) -> pa.Array | np.ndarray:
+    return text if isinstance(like, pa.Array) else text.to_numpy(zero_copy_only=False)
+
+
 class Items:
-    """Boxes of several captures, one after another: ``first[c]`` is the index of capture c's first."""
+    """Boxes of several captures, one after another: ``first[c]`` is the index of capture c's first. Texts may be in an Arrow
+    array or in numpy's, and stay so."""
 
-    def __init__(self, box: Boxes, text: np.ndarray, confidence: np.ndarray, first: np.ndarray):
+    def __init__(self, box: Boxes, text: pa.Array | np.ndarray, confidence: np.ndarray, first: np.ndarray):
         self.box, self.text, self.confidence, self.first = box, text, confidence, first
 
     def labels(
@@ -212,14 +222,14 @@ class Items:
         order = np.lexsort((across, label, capture))
         key = capture[order] * (1 << 32) + label[order]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        edges = [*begin.tolist(), len(order)]
         low, high = (lambda v: np.minimum.reduceat(v[order], begin)), (lambda v: np.maximum.reduceat(v[order], begin))
         x0, y0, x1, y1 = self.box.sides
         box = Boxes(low(x0), low(y0), high(x1), high(y1)) if len(begin) else Boxes([], [], [], [])
-        text = self.text[order]
-        joined = np.array([" ".join(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)], object)
+        edges = np.append(begin, len(order))
+        text = _arrow(self.text).take(pa.array(order))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), text), " ")
         mean = np.add.reduceat(self.confidence[order], begin) / np.diff(edges) if len(begin) else np.empty(0)
-        return Items(box, joined, mean, np.searchsorted(capture[order][begin], np.arange(len(self.first))))
+        return Items(box, _as_given(joined, self.text), mean, np.searchsorted(capture[order][begin], np.arange(len(self.first))))
 
 
 def words_to_lines(words: Items, page_w: np.ndarray, page_h: np.ndarray) -> Items:
@@ -232,8 +242,8 @@ def words_to_lines(words: Items, page_w: np.ndarray, page_h: np.ndarray) -> Item
 
 def lines_to_bubbles(lines: Items, page_h: np.ndarray) -> Items:
     label = lines.labels(lambda b, c, _: stacked(b, page_h[c][:, None, None]), lambda b, c: stacked_reach(b, page_h[c]))
-    stripped = np.array([t.strip() for t in lines.text], object)
-    return Items(lines.box, stripped, lines.confidence, lines.first).merged(label, lines.box.y0)
+    stripped = pc.utf8_trim_whitespace(_arrow(lines.text))
+    return Items(lines.box, _as_given(stripped, lines.text), lines.confidence, lines.first).merged(label, lines.box.y0)
 
 
 def reading_rows(b: Boxes, rtl: bool) -> list[list[int]]:
@@ -365,6 +375,64 @@ def panels_by_cuts(b: Boxes, vertical: tuple[np.ndarray, np.ndarray, np.ndarray]
     return assign_panels(b, claim_panels(panel_pairs(*vertical, page_w)))
 
 
+def panels_of_captures(b: Boxes, first: np.ndarray, vertical: np.ndarray, cut_first: np.ndarray, n_horizontal: np.ndarray, page_w: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """``panels_by_cuts`` of many captures. vertical: x, y0 and y1 of cuts, ``cut_first`` as in Items; page_w: 0 without a
+    width. Captures with as many cuts are worked on together, as many as have about ``most`` pairs of cuts; those with over 32 go
+    one by one."""
+    panel, size, n_cuts = np.zeros(len(b), np.int64), np.diff(first), np.diff(cut_first)
+    sided = page_w != 0  # both page sides count as cuts
+    some = (size > 1) & (n_cuts + n_horizontal > 0)
+    for n, edges in np.unique(np.stack((n_cuts[some], sided[some])), axis=1).T.tolist():
+        own = np.flatnonzero(some & (n_cuts == n) & (sided == edges))
+        m = n + 2 * edges
+        if m < 2:
+            continue  # no panel: all are in one
+        for c in own.tolist() if n > 32 else ():
+            at = slice(first[c], first[c + 1])
+            panel[at] = panels_by_cuts(Boxes(*(v[at] for v in b.sides)), tuple(vertical[:, cut_first[c] : cut_first[c + 1]]), int(n_horizontal[c]), page_w[c] or None)
+        step = max(1, most // m**2)
+        for k in range(0, len(own) if n <= 32 else 0, step):
+            part = own[k : k + step]
+            at = np.repeat(first[part] - np.concatenate(([0], np.cumsum(size[part])[:-1])), size[part]) + np.arange(size[part].sum())
+            panel[at] = _panels(Boxes(*(v[at] for v in b.sides)), size[part], vertical[:, cut_first[part][:, None] + np.arange(n)], page_w[part] if edges else None)
+    return panel
+
+
+def _panels(b: Boxes, size: np.ndarray, vertical: np.ndarray, page_w: np.ndarray | None) -> np.ndarray:
+    """The panels of captures with ``size`` bubbles and as many cuts each, by the rules of panel_pairs, claim_panels and
+    assign_panels: each step takes the next pair of every capture."""
+    x, y0, y1 = vertical
+    n, rows = len(size), np.arange(len(size))
+    i, j = _each_two(x.shape[1] + 2 * (page_w is not None))
+    if page_w is not None:
+        zero = np.zeros((n, 1))
+        x, y0, y1 = np.hstack((x, zero, page_w[:, None])), np.hstack((y0, zero, zero)), np.hstack((y1, zero + np.inf, zero + np.inf))
+        inner = i < x.shape[1] - 2  # not both sides of the page
+        i, j = i[inner], j[inner]
+    lo, hi = np.minimum(x[:, i], x[:, j]), np.maximum(x[:, i], x[:, j])
+    top, bottom = np.maximum(y0[:, i], y0[:, j]), np.minimum(y1[:, i], y1[:, j])
+    least = np.minimum(y1[:, i] - y0[:, i], y1[:, j] - y0[:, j])
+    ok = (bottom - top > 0) & (least > 0) & np.isfinite(least)
+    ok &= np.where(ok, bottom - top, 0) / np.where(ok, least, 1) >= PANEL_OVERLAP
+    if page_w is not None:
+        ok &= hi - lo >= (page_w * PANEL_WIDTH)[:, None]
+    order = np.argsort(np.where(ok, -least, np.inf), axis=1, kind="stable")
+    used, claimed = np.zeros(x.shape, bool), np.zeros(n, np.int64)
+    capture = np.repeat(rows, size)
+    cx, cy = (b.x0 + b.x1) / 2, (b.y0 + b.y1) / 2
+    panel = np.full(len(b), -1, np.int64)
+    for k in range(min(order.shape[1], int(ok.sum(axis=1).max(initial=0)))):
+        p = order[:, k]
+        takes = ok[rows, p] & ~used[rows, i[p]] & ~used[rows, j[p]]
+        used[rows[takes], i[p[takes]]] = used[rows[takes], j[p[takes]]] = True
+        r = tuple(v[rows, p][capture] for v in (lo, top, hi, bottom))
+        inside = takes[capture] & (panel < 0) & (cx >= r[0]) & (cx <= r[2]) & (cy >= r[1]) & (cy <= r[3])
+        panel[inside] = claimed[capture[inside]]
+        claimed += takes
+    number = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size)
+    return np.where(claimed[capture] == 0, 0, np.where(panel < 0, claimed[capture] + number, panel))
+
+
 _BOX = "text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 _SIDES = ["x0", "y0", "x1", "y1"]
 
@@ -422,7 +490,7 @@ def cluster(link: Callable[[Boxes], np.ndarray], items: DataFrame, index: str =
 
 def rebuilt(b: Batch, page_w: np.ndarray, page_h: np.ndarray, level: str = "bubbles") -> Items:
     """Lines or bubbles of the words of a batch. Missing confidences count as 0, missing texts as empty."""
-    text, confidence = pc.fill_null(b.fields.field("text"), "").to_numpy(zero_copy_only=False), np.nan_to_num(b.column("confidence").astype(float))
+    text, confidence = pc.fill_null(b.fields.field("text"), "").cast(pa.string()), np.nan_to_num(b.column("confidence").astype(float))
     lines = words_to_lines(Items(b.boxes(), text, confidence, b.first), page_w, page_h)
     return lines if level == "lines" else lines_to_bubbles(lines, page_h)
 
@@ -440,21 +508,21 @@ def reconstruct(words: DataFrame, level: str = "bubbles") -> DataFrame:
         for batch in batches:
             b = Batch(batch)
             out = rebuilt(b, *page_sizes(batch), level)
-            cols = [b.ids(out.first), pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
+            cols = [b.ids(out.first), pa.array(_number(out.first)), out.text, *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
             yield pa.RecordBatch.from_arrays(cols, ["capture_id", name, "text", *_SIDES, "confidence"])
 
     rows = gathered(words, "word_ix", ["text", *_SIDES, "confidence"], ["canvas_w", "canvas_h"])
     return rows.mapInArrow(work, f"capture_id long, {name} int, {_BOX}")
 
 
-BUBBLES = f"array<struct<bubble_ix int, {_BOX}>>"
+BUBBLES = f"array<struct<bubble_ix int, {_BOX}, kept boolean, suspicious boolean>>"
 
 
 def bubble_rows(b: Batch, page_w: np.ndarray, page_h: np.ndarray) -> pa.ListArray:
-    """The same as BUBBLES: those of each capture in one array."""
+    """The same as BUBBLES: those of each capture in one array, each with the ``noise.verdicts`` as far as they are plain."""
     out = rebuilt(b, page_w, page_h)
-    cols = [pa.array(_number(out.first)), pa.array(out.text, pa.string()), *(pa.array(v) for v in out.box.sides), pa.array(out.confidence)]
-    return pa.ListArray.from_arrays(pa.array(out.first.astype(np.int32)), pa.StructArray.from_arrays(cols, ["bubble_ix", "text", *_SIDES, "confidence"]))
+    cols = [pa.array(_number(out.first)), out.text, *(pa.array(v) for v in out.box.sides), pa.array(out.confidence), *verdicts(out.text, out.confidence)]
+    return pa.ListArray.from_arrays(pa.array(out.first.astype(np.int32)), pa.StructArray.from_arrays(cols, ["bubble_ix", "text", *_SIDES, "confidence", "kept", "suspicious"]))
 
 
 def on_page(bubbles: DataFrame, overlays: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
@@ -488,14 +556,10 @@ def order_bubbles(bubbles: DataFrame, cuts: DataFrame | None = None, carry: list
             box, rtl = b.boxes(), pc.fill_null(pc.equal(batch.column("direction"), "rtl"), False).to_numpy(zero_copy_only=False)
             panel = np.zeros(len(box), np.int64)
             if "cuts" in batch.schema.names:
-                page_w, cut = batch.column("canvas_w").to_pylist(), Batch(batch, "cuts")
-                upright = pc.fill_null(pc.equal(cut.fields.field("orient"), "v"), False).to_numpy(zero_copy_only=False)
-                v, before = np.stack([cut.column(x)[upright] for x in ("x0", "y0", "y1")]), np.concatenate(([0], np.cumsum(upright)))
-                n_h = np.concatenate(([0], np.cumsum(pc.fill_null(pc.equal(cut.fields.field("orient"), "h"), False).to_numpy(zero_copy_only=False))))
-                for c in np.flatnonzero((cut.size > 0) & (b.size > 1)).tolist():
-                    a, e, first, last = b.first[c], b.first[c + 1], cut.first[c], cut.first[c + 1]
-                    own = Boxes(*(x[a:e] for x in box.sides))
-                    panel[a:e] = panels_by_cuts(own, tuple(v[:, before[first] : before[last]]), int(n_h[last] - n_h[first]), page_w[c] or None)
+                cut = Batch(batch, "cuts")
+                is_v, is_h = (pc.fill_null(pc.equal(cut.fields.field("orient"), o), False).to_numpy(zero_copy_only=False) for o in "vh")
+                v, before, n_h = np.stack([cut.column(x)[is_v] for x in ("x0", "y0", "y1")]), np.concatenate(([0], np.cumsum(is_v))), np.concatenate(([0], np.cumsum(is_h)))
+                panel = panels_of_captures(box, b.first, v, before[cut.first], np.diff(n_h[cut.first]), pc.fill_null(batch.column("canvas_w"), 0).to_numpy(zero_copy_only=False).astype(float))
             at = panel_orders(box, b.first, rtl, panel)
             own = [b.fields.field(c).take(pa.array(at)) for c in ("bubble_ix", *carry)]
             yield pa.RecordBatch.from_arrays([b.ids(b.first), *own, pa.array(_number(b.first))], ["capture_id", "bubble_ix", *carry, "seq"])

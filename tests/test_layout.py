@@ -181,3 +181,20 @@ def test_order_of_a_large_capture():
     x, y = rng.random(n) * 1000, rng.random(n) * 40000
     b = layout.Boxes(x, y, x + 30, y + 12)
     assert layout.panel_orders(b, np.array([0, n]), np.array([True]), np.zeros(n, int)).tolist() == layout.order_flat(b, True)
+
+
+def test_panels_of_many_captures_are_those_of_each():
+    rng = np.random.default_rng(5)
+    size, n_cuts, n_h, page_w = rng.integers(0, 9, 400), rng.integers(0, 7, 400), rng.integers(0, 2, 400), rng.choice([0.0, 300.0, 520.0], 400)
+    n_cuts[:3] = 40
+    first, cut_first = (np.concatenate(([0], np.cumsum(v))) for v in (size, n_cuts))
+    x0, y0 = rng.integers(0, 500, size.sum()), rng.integers(0, 200, size.sum())
+    b = Boxes(x0, y0, x0 + rng.integers(1, 90, len(x0)), y0 + rng.integers(1, 60, len(x0)))
+    # Few different values, so that heights tie; some cuts have none.
+    cuts = np.stack((rng.integers(0, 52, n_cuts.sum()) * 10.0, rng.integers(0, 3, n_cuts.sum()) * 10.0, rng.integers(0, 5, n_cuts.sum()) * 50.0))
+    got = layout.panels_of_captures(b, first, cuts, cut_first, n_h, page_w, most=200)
+    for c in range(len(size)):
+        at = slice(first[c], first[c + 1])
+        own = tuple(cuts[:, cut_first[c] : cut_first[c + 1]])
+        want = layout.panels_by_cuts(Boxes(*(v[at] for v in b.sides)), own, int(n_h[c]), page_w[c] or None)
+        assert size[c] < 2 or got[at].tolist() == want.tolist(), c

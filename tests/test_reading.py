@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelweave.functions import predicates, text as t
-from panelweave.operators import detect, layout
+from panelweave.operators import detect, layout, noise
 from panelweave.plans import reading
 from panelweave.sources import web
 
@@ -201,3 +203,25 @@ def test_sizes_of_images_fall_back_to_layout(spark):
     edge = spark.createDataFrame([(1, -5.0, 0.0), (2, 0.0, 5.0), (3, 100.0, 120.0)], "i int, left double, right double")
     seen = predicates.in_viewport(F.col("left"), F.lit(0.0), F.col("right"), F.lit(10.0), F.lit(100.0), F.lit(100.0), 50.0)
     assert [r.i for r in edge.where(seen).collect()] == [2]  # the margin is a vertical one
+
+
+def test_plain_verdicts_are_those_of_the_rules(spark):
+    """Texts made of what the rules look at and of ordinary words: where a verdict is told at once, the rules say the same."""
+    rng = random.Random(3)
+    parts = [
+        "images server", "report error", "read this toon", "next chapter", "chapter 12", "go home", "shortcuts", "customize", "manga online »", "import", "class", "var", "biki", "b-iki", "zun!", "fwiishing", "ta",
+        "hmm...", "aaaaaaaaaaa", "bcdfg", "xx", "i", "a", "x.y.com", "{}", "=>", "//", "é", "naïve", "\u3042", "  ", "\t", "1234", "...", "it's", "incomprehensibilities", "a1b2c3d4e5f6g7h8i9j0k1",
+        "HELLO", "the", "quick", "brown", "over", "lazy", "dogs", "waited", "here", "and", "nothing", "moved",
+    ]
+    rows = [(" ".join(rng.choice(parts[k:]) for _ in range(rng.randint(0, 7))), rng.choice([10.0, 44.9, 45.0, 60.0, 80.0, 99.0])) for k in (0, 0, 20, 37, 37) for _ in range(1500)]
+    kept, suspicious = (v.to_pylist() for v in noise.verdicts(pa.array([t for t, _ in rows]), np.array([c for _, c in rows])))
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c double").select("i", predicates.verdict(F.col("t"), F.col("c")).alias("v")).collect()
+    told = 0
+    for r in got:
+        if kept[r.i] is not None:
+            told += 1
+            assert (kept[r.i], suspicious[r.i]) == (r.v.kept, r.v.suspicious), rows[r.i]
+        else:
+            assert suspicious[r.i] is None
+    plain = [k for (t, c), k in zip(rows[-1500:], kept[-1500:], strict=True) if c >= 60 and len(t.split()) >= 3]
+    assert told > 2500 and sum(k is True for k in plain) > 0.9 * len(plain)
