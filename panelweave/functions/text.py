@@ -44,7 +44,12 @@ def core_word(word: Column) -> Column:
 
 
 def strip_cjk(text: Column) -> Column:
-    return collapsed_trimmed(F.regexp_replace(text, CJK, " "))
+    def stripped(s: Column) -> Column:
+        # Most texts are ASCII with single spaces and need none of it.
+        plain = (F.octet_length(s) == F.char_length(s)) & ~s.contains("  ") & ~s.rlike(r"[\t-\r]")
+        return F.when(plain, F.trim(s)).otherwise(collapsed_trimmed(F.regexp_replace(s, CJK, " ")))
+
+    return let(text, stripped)
 
 
 def let(value: Column, f) -> Column:

@@ -16,8 +16,11 @@ _CHROME = "|".join(re.sub(r"\{\d+,\d+\}", "*", x.replace(r"\b", "").removeprefix
 _CODE = "|".join(x for x in p.CODE_LIKE.split("|"))
 _SKIPPED = "[^A-Za-z ]*"
 _SOUND = f"^{_SKIPPED}(?:{'|'.join([*(_SKIPPED.join(x) + f'{_SKIPPED}(?: |$)' for x in p.SFX_TOKENS), *(_SKIPPED.join(x) for x in p.SFX_PREFIXES)])})"
-#: Only printable ASCII, with single blanks between words, counts as plain.
-_OPEN = ["[^ -~]|^ | $|  ", f"(?i){_CHROME}", f"(?i){_CODE}", f"(?i){_SOUND}", r"[^ ]{19}"]
+#: Characters of plain texts: printable ASCII; Latin, Greek and Cyrillic letters and marks, but none that is a blank or whose
+#: upper or lower case has ASCII letters.
+PLAIN = " -~\u00a1-\u00ac\u00ae-\u00de\u00e0-\u012f\u0132-\u0148\u014a-\u017e\u0370-\u052f\u2010-\u2027"
+#: Single blanks stand between their words.
+_OPEN = [f"[^{PLAIN}]|^ | $|  ", f"(?i){_CHROME}", f"(?i){_CODE}", f"(?i){_SOUND}", r"[^ ]{19}"]
 _TWO_LETTERS = "[A-Za-z][^ A-Za-z]*[A-Za-z]"
 _LETTER = np.full(256, 26, np.int64)
 for _i in range(26):
@@ -36,9 +39,9 @@ def letter_counts(text: pa.StringArray) -> np.ndarray:
 def verdicts(text: pa.StringArray, confidence: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """``kept`` and ``suspicious`` of ``predicates.verdict`` of texts without nulls; both null where those rules have to say.
 
-    Told are texts of too little confidence, which are neither, and plain ones, which are kept: several words, all in ASCII
-    (so not a URL, nor short of letters for its length), more than two or sure (so no lone sound), a vowel, a word of two letters,
-    five letters at least of which none makes up over 0.7, and nothing of _OPEN."""
+    Told are texts of too little confidence, which are neither, and plain ones, which are kept: several words (so not
+    a URL), more than two or sure (so no lone sound), a vowel, a word of two letters, five letters at least (so not short of them
+    for its length) of which none makes up over 0.7, and nothing of _OPEN. Letters are those from A to Z."""
     if not len(text):
         return pa.array([], pa.bool_()), pa.array([], pa.bool_())
     low = confidence < p.MIN_CONFIDENCE

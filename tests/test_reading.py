@@ -210,10 +210,10 @@ def test_plain_verdicts_are_those_of_the_rules(spark):
     rng = random.Random(3)
     parts = [
         "images server", "report error", "read this toon", "next chapter", "chapter 12", "go home", "shortcuts", "customize", "manga online »", "import", "class", "var", "biki", "b-iki", "zun!", "fwiishing", "ta",
-        "hmm...", "aaaaaaaaaaa", "bcdfg", "xx", "i", "a", "x.y.com", "{}", "=>", "//", "é", "naïve", "\u3042", "  ", "\t", "1234", "...", "it's", "incomprehensibilities", "a1b2c3d4e5f6g7h8i9j0k1",
+        "hmm...", "aaaaaaaaaaa", "bcdfg", "xx", "i", "a", "x.y.com", "{}", "=>", "//", "é", "naïve", "straße", "ımage", "imageßerver", "ſhortcuts", "été", "“so”", "Ωmega", "Ünder", "d’un", "\u00a0", "\u2003", "мир", "\u3042", "  ", "\t", "1234", "...", "it's", "incomprehensibilities", "a1b2c3d4e5f6g7h8i9j0k1",
         "HELLO", "the", "quick", "brown", "over", "lazy", "dogs", "waited", "here", "and", "nothing", "moved",
     ]
-    rows = [(" ".join(rng.choice(parts[k:]) for _ in range(rng.randint(0, 7))), rng.choice([10.0, 44.9, 45.0, 60.0, 80.0, 99.0])) for k in (0, 0, 20, 37, 37) for _ in range(1500)]
+    rows = [(" ".join(rng.choice(parts[k:]) for _ in range(rng.randint(0, 7))), rng.choice([10.0, 44.9, 45.0, 60.0, 80.0, 99.0])) for k in (0, 0, 20, 51, 51) for _ in range(1500)]
     kept, suspicious = (v.to_pylist() for v in noise.verdicts(pa.array([t for t, _ in rows]), np.array([c for _, c in rows])))
     got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c double").select("i", predicates.verdict(F.col("t"), F.col("c")).alias("v")).collect()
     told = 0
@@ -225,3 +225,6 @@ def test_plain_verdicts_are_those_of_the_rules(spark):
             assert suspicious[r.i] is None
     plain = [k for (t, c), k in zip(rows[-1500:], kept[-1500:], strict=True) if c >= 60 and len(t.split()) >= 3]
     assert told > 2500 and sum(k is True for k in plain) > 0.9 * len(plain)
+
+    whole = "".join(chr(c) for c in range(0x80, 0x10000) if re.fullmatch(f"[{noise.PLAIN}]", chr(c)))
+    assert not re.search("[ -~]", whole.upper() + whole.lower()) and not set(whole) & set(t.BLANKS)
